@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ def with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def slot_of(x):
         # A cut is the first id of the slots below it; the id itself goes with the larger ones' end. Null: the last slot.
         filled = x.fillna(np.iinfo(np.int64).min).astype("int64")
-        return (len(cuts) - np.searchsorted(cuts, filled, side="left")).astype("int64")
+        return pd.Series((len(cuts) - np.searchsorted(cuts, filled, side="left")).astype("int64"))
 
     slotted = rows.withColumn("slot", slot_of("doc_id"))
     # First rows: ids of each slot by a narrow pass, then their texts by a join with as many rows as there are slots.
