@@ -86,8 +86,10 @@ def splitting_tree(plan: DataFrame, levels: int, seed: int) -> DataFrame:
         total = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, q: a + q)
         start = F.struct(total.alias("rest"), F.floor(total / 2).cast("long").alias("drawn"), F.expr("cast(array() as array<bigint>)").alias("left"))
 
-        def draw(a: Column, q: Column, level: int = level) -> Column:
-            u = _uniform(F.lit(seed), F.lit(level), F.col("node"), F.size(a["left"]))
+        at = level
+
+        def draw(a: Column, q: Column) -> Column:
+            u = _uniform(F.lit(seed), F.lit(at), F.col("node"), F.size(a["left"]))
             got = F.when(q > 0, _hypergeometric(q, a["rest"] - q, a["drawn"], u)).otherwise(F.lit(0).cast("long"))
             return F.transform(F.array(got), lambda x: F.struct((a["rest"] - q).alias("rest"), (a["drawn"] - x).alias("drawn"), F.concat(a["left"], F.array(x)).alias("left")))[0]
 
