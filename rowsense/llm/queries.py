@@ -2,9 +2,11 @@
 
 from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprints import op2_fingerprints
+from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .mixing import op6_mixing
 from .secret_scan import op3_secret_scan
 from .topk_search import OP5_SQL, op5_topk
+from .toxicity import op8_toxicity
 from .warc_archive import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -13,6 +15,8 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_topk": OP5_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_topk": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL}
