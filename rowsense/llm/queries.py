@@ -2,19 +2,23 @@
 
 from .chat_format import OP10_SQL, op10_chat_format
 from .fingerprints import op2_fingerprints
+from .html_extract import op1_html_extract
 from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .mixing import op6_mixing
+from .packing import op7_packing
 from .secret_scan import op3_secret_scan
 from .topk_search import OP5_SQL, op5_topk
 from .toxicity import op8_toxicity
 from .warc_archive import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_fingerprints": op2_fingerprints,
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
     "op5_topk": op5_topk,
     "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
