@@ -139,8 +139,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     def shard(position: Column) -> Column:
         # The first shard whose running total lies above the position.
-        step = lambda lo, i: F.when(F.element_at(p("cuts"), (lo + F.shiftleft(F.lit(1), F.lit(levels) - i)).cast("int")) <= position, lo + F.shiftleft(F.lit(1), F.lit(levels) - i)).otherwise(lo)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), step).cast("long") if levels else F.lit(0).cast("long")
+        strides = F.array(*(F.lit(1 << i) for i in range(levels - 1, -1, -1)))
+        step = lambda lo, stride: F.when(F.element_at(p("cuts"), lo + stride) <= position, lo + stride).otherwise(lo)
+        return F.aggregate(strides, F.lit(0), step).cast("long") if levels else F.lit(0).cast("long")
 
     def drawn(j: Column, k: Column) -> Column:
         start = F.greatest(j * b, F.col("_at"))
