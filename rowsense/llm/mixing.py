@@ -19,6 +19,8 @@ documents of their own; an empty table gives an empty mix.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,11 @@ def _log_factorial(n: Column) -> Column:
     return F.when(n <= 1, F.lit(0.0)).otherwise(series)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _hypergeometric(good: Column, bad: Column, drawn: Column, uniform: Column) -> Column:
     """How many of `drawn` draws without replacement are good; eight deviations around the mean are looked at."""
     total = good + bad
@@ -66,11 +73,15 @@ def _hypergeometric(good: Column, bad: Column, drawn: Column, uniform: Column) -
     low = F.greatest(F.lit(0).cast("long"), drawn - bad, F.floor(mean - spread))
     high = F.greatest(low, F.least(drawn, good, F.ceil(mean + spread)))
     log_p = lambda k: -(_log_factorial(k) + _log_factorial(good - k) + _log_factorial(drawn - k) + _log_factorial(bad - drawn + k))
+    # What a lambda uses again is bound first: it would be made anew for each element.
     logs = F.transform(F.sequence(low, high), log_p)
-    shares = F.transform(F.array(logs), lambda v: F.transform(v, lambda y: F.exp(y - F.array_max(v))))[0]
-    mass = F.aggregate(shares, F.lit(0.0), lambda a, y: a + y)
+    shares = _bound(logs, lambda v: _bound(F.array_max(v), lambda top: F.transform(v, lambda y: F.exp(y - top))))
     start = F.struct(F.lit(0.0).alias("seen"), F.lit(-1).cast("long").alias("k"))
-    walk = F.aggregate(shares, start, lambda a, y: F.when((a["seen"] > uniform * mass) & (a["k"] >= 0), a).otherwise(F.struct((a["seen"] + y).alias("seen"), (a["k"] + 1).alias("k"))))
+
+    def walked(v: Column, most: Column) -> Column:
+        return F.aggregate(v, start, lambda a, y: F.when((a["seen"] > most) & (a["k"] >= 0), a).otherwise(F.struct((a["seen"] + y).alias("seen"), (a["k"] + 1).alias("k"))))
+
+    walk = _bound(shares, lambda v: _bound(uniform * F.aggregate(v, F.lit(0.0), lambda a, y: a + y), lambda most: walked(v, most)))
     return low + F.greatest(walk["k"], F.lit(0).cast("long"))
 
 
