@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import to_batch, whole, written
 
 WINDOW, END, SHARD_DOCS, QUERY_TERMS = 2048, 1, 2048, 16
-#: Words that a worker remembers.
-REMEMBERED = 500_000
+#: Words, and parts of words, that a worker remembers; only parts go through the tokenizer.
+WORDS_HELD, PARTS_HELD = 500_000, 900_000
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Fixed value: the tokenizer's own way of cutting words, which its file states.
@@ -93,9 +93,6 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         for word, i in vocabulary.items():
             self.ends[i] = word.endswith("</w>")
-        self.forget()
-
-    def forget(self) -> None:
         self.words, self.word_ids = WordTable(), Ragged()
         self.parts, self.part_ids = WordTable(), Ragged()
 
@@ -127,8 +124,10 @@ class Encoder:
         self.word_ids.add(ids, np.bincount(of, weights=lengths, minlength=len(new)).astype(np.int64))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > REMEMBERED:
-            self.forget()
+        if len(self.words) > WORDS_HELD:
+            self.words, self.word_ids = WordTable(), Ragged()
+        if len(self.parts) > PARTS_HELD:
+            self.parts, self.part_ids = WordTable(), Ragged()
         rows: list[np.ndarray | None] = []
         for text in texts:
             if ODD.search(text):
