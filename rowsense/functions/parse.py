@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapsed, no_space, norm_flag
+from .text import bind, collapsed, no_space, norm_flag
 
 NUMBER = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
 #: Separators of two-sided ranges.
@@ -34,35 +34,39 @@ def parse_scalar(x: Column) -> Column:
     return F.when(bare.rlike(f"^{NUMBER}$"), bare.try_cast("double"))
 
 
+def _readings(bare: Column) -> Column:
+    end = lambda s, i: _as(F.regexp_extract(bare, f"^({NUMBER}){s}({NUMBER})$", i))
+    pairs = F.array(*(F.struct(end(s, 1).alias("low"), end(s, 2).alias("high")) for s in SEPARATORS))
+    # No digit before a separator, no range: most texts end here.
+    none = F.lit(None).cast("array<struct<low:double,high:double>>")
+    found = F.when(bare.rlike(r"[0-9.][-~–—]"), F.array_distinct(F.filter(pairs, lambda p: p["low"] <= p["high"]))).otherwise(none)
+    return F.coalesce(found, F.when(bare.isNotNull(), F.expr("cast(array() as array<struct<low:double,high:double>>)")))
+
+
 def range_readings(x: Column) -> Column:
     """Distinct two-sided readings with low <= high, as array<struct<low, high>>."""
-    bare = no_space(x)
-    pairs = [F.struct(_as(F.regexp_extract(bare, f"^({NUMBER}){s}({NUMBER})$", 1)).alias("low"), _as(F.regexp_extract(bare, f"^({NUMBER}){s}({NUMBER})$", 2)).alias("high")) for s in SEPARATORS]
-    return F.array_distinct(F.filter(F.array(*pairs), lambda p: p["low"] <= p["high"]))
+    return bind(no_space(x), _readings)
 
 
 def parse_range(x: Column) -> Column:
     """struct<low, high, low_open, high_open>: two-sided inclusive, or one-sided; null where there is no or more than one reading."""
-    bare = F.translate(no_space(x), "＜＞≤≥", "<>≤≥")
-    two = range_readings(x)
-    side = lambda pattern: _as(F.regexp_extract(bare, f"^(?:{pattern})({NUMBER})$", 1))
-    under, most, over, least = side("<"), side("<=|≤"), side(">"), side(">=|≥")
     none = F.lit(None).cast("double")
-    made = lambda low, high, low_open, high_open: F.struct(low.alias("low"), high.alias("high"), F.lit(low_open).alias("low_open"), F.lit(high_open).alias("high_open"))
-    return (
-        F.when(F.size(two) == 1, made(two[0]["low"], two[0]["high"], False, False))
-        .when(F.size(two) > 1, F.lit(None))
-        .when(under.isNotNull(), made(none, under, False, True))
-        .when(most.isNotNull(), made(none, most, False, False))
-        .when(over.isNotNull(), made(over, none, True, False))
-        .when(least.isNotNull(), made(least, none, False, False))
-    )
+    made = lambda low, high, low_open, high_open: F.struct(low.alias("low"), high.alias("high"), low_open.alias("low_open"), high_open.alias("high_open"))
+    no = F.lit(False)
+
+    def one_sided(bare: Column) -> Column:
+        sign, number = F.regexp_extract(bare, "^(<=|>=|[<>≤≥])", 1), _as(F.regexp_extract(bare, f"^(?:<=|>=|[<>≤≥])({NUMBER})$", 1))
+        return F.when(number.isNotNull() & sign.startswith("<") | number.isNotNull() & (sign == "≤"), made(none, number, no, sign == "<")).when(number.isNotNull(), made(number, none, sign == ">", no))
+
+    def read(bare: Column) -> Column:
+        return bind(_readings(bare), lambda two: F.when(F.size(two) == 1, made(two[0]["low"], two[0]["high"], no, no)).when(F.size(two) == 0, one_sided(bare)))
+
+    return bind(F.translate(no_space(x), "＜＞", "<>"), read)
 
 
 def parse_value_range(x: Column) -> Column:
     """A value that is itself a range with both ends."""
-    got = parse_range(x)
-    return F.when(got["low"].isNotNull() & got["high"].isNotNull(), got)
+    return bind(parse_range(x), lambda got: F.when(got["low"].isNotNull() & got["high"].isNotNull(), got))
 
 
 def parse_qualitative(x: Column) -> Column:
@@ -72,8 +76,10 @@ def parse_qualitative(x: Column) -> Column:
 def flag_direction(x: Column) -> Column:
     """high, low or abnormal; a flag that says both is abnormal; other text is null."""
     mixed = [a + j + b for h in HIGH for lo in LOW for j in JOINERS for a, b in ((h, lo), (lo, h))]
-    flag = norm_flag(x)
-    return F.when(flag.isin(*HIGH), "high").when(flag.isin(*LOW), "low").when(flag.isin(*ABNORMAL) | flag.isin(*mixed), "abnormal")
+    table = {f: "abnormal" for f in (*mixed, *ABNORMAL)} | dict.fromkeys(HIGH, "high") | dict.fromkeys(LOW, "low")
+    # One map literal for all, looked up once.
+    literal = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return F.element_at(F.expr(f"map({literal})"), norm_flag(x))
 
 
 def chinese_number(x: Column) -> Column:

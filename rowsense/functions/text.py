@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\u3000\u00a0\ufeff]+"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once a row, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def no_space(x: Column) -> Column:
     return F.regexp_replace(x, SPACE, "")
 

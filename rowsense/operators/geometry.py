@@ -5,66 +5,93 @@ null anchor."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from statistics import median
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Share of the narrower width that must overlap; share of a row's height within which a cell belongs to it.
 OVERLAP, NEAR = 0.5, 0.4
 
 
-def _columns(c: pd.DataFrame) -> np.ndarray:
+def _columns(cells: list[dict]) -> list[int]:
     """The column of each cell, numbered by the median middle of its cells. Cells come by x."""
     spans: list[list[float]] = []
-    of = np.zeros(len(c), int)
-    for i, (x, w) in enumerate(zip(c.x, c.width)):
-        for k, (a, b) in enumerate(spans):
-            if min(b, x + w) - max(a, x) > OVERLAP * min(w, b - a):
-                spans[k], of[i] = [min(a, x), max(b, x + w)], k
-                break
+    of: list[int] = []
+    for c in cells:
+        x, w = c["x"], c["width"]
+        at = next((k for k, (a, b) in enumerate(spans) if min(b, x + w) - max(a, x) > OVERLAP * min(w, b - a)), len(spans))
+        if at < len(spans):
+            spans[at] = [min(spans[at][0], x), max(spans[at][1], x + w)]
         else:
             spans.append([x, x + w])
-            of[i] = len(spans) - 1
-    mid = (c.x + c.width / 2).to_numpy()
-    order = np.argsort([np.median(mid[of == k]) for k in range(len(spans))], kind="stable")
-    return np.argsort(order)[of]
+        of.append(at)
+    middle = [median(c["x"] + c["width"] / 2 for c, k in zip(cells, of, strict=True) if k == n) for n in range(len(spans))]
+    place = {k: i for i, k in enumerate(sorted(range(len(spans)), key=lambda k: middle[k]))}
+    return [place[k] for k in of]
 
 
-def cluster_columns(cells: DataFrame) -> DataFrame:
-    """cells (page_id, cell_id, x, y, width, height, text) with their column."""
+def _anchors(cells: list[dict], column: list[int]) -> list[int | None]:
+    middle = np.array([c["y"] + c["height"] / 2 for c in cells])
+    first = sorted((i for i, k in enumerate(column) if k == 0), key=lambda i: (middle[i], i))
+    rows = middle[first]
+    gaps = np.diff(rows)
+    near = NEAR * (float(np.median(gaps[gaps > 0])) if (gaps > 0).any() else median(c["height"] for c in cells))
+    anchor: list[int | None] = [None] * len(cells)
+    for i in first:
+        anchor[i] = cells[i]["cell_id"]
+    for k in sorted(set(column) - {0}):
+        own = [i for i, x in enumerate(column) if x == k]
+        # The offset at which most cells meet a row; of equal ones with the least distances, then the smallest.
+        best = (0, 0.0, 0.0, 0.0)
+        for d in np.unique(np.r_[0.0, (rows[:, None] - middle[own]).ravel()]):
+            off = np.abs(middle[own][:, None] + d - rows).min(1)
+            best = min(best, (-int((off <= near).sum()), float(off.sum()), abs(float(d)), float(d)))
+        away = np.abs(middle[own][:, None] + best[3] - rows)
+        taken: set[int] = set()
+        for _, _, r, i in sorted((float(away[n, r]), cells[i]["cell_id"], r, i) for n, i in enumerate(own) for r in range(len(first)) if away[n, r] <= near):
+            if r not in taken and anchor[i] is None:
+                taken.add(r)
+                anchor[i] = cells[first[r]]["cell_id"]
+    return anchor
+
+
+def _by_page(cells: DataFrame, make: Callable[[list[dict]], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """make() of each page's cells by x: pages come as a sorted stream, of which one is held."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield from batch.to_pylist()
 
-    def run(c: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values(["x", "cell_id"], kind="stable").reset_index(drop=True)
-        return c[["page_id", "cell_id"]].assign(column=_columns(c))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, page in groupby(rows(batches), key=lambda c: c["page_id"]):
+            out += make(list(page))
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return cells.groupBy("page_id").applyInPandas(run, "page_id long, cell_id long, column long")
+    return cells.repartition("page_id").sortWithinPartitions("page_id", "x", "cell_id").mapInArrow(run, ddl)
+
+
+def cluster_columns(cells: DataFrame) -> DataFrame:
+    """page_id, cell_id, column of cells (page_id, cell_id, x, y, width, height, text)."""
+    schema = pa.schema([(x, pa.int64()) for x in ("page_id", "cell_id", "column")])
+    return _by_page(cells, lambda cs: [(c["page_id"], c["cell_id"], k) for c, k in zip(cs, _columns(cs), strict=True)], schema, "page_id long, cell_id long, column long")
 
 
 def bind_cells(cells: DataFrame) -> DataFrame:
     """page_id, cell_id, column, anchor: the cell of the first column in whose row a cell stands. Each column is first
     shifted by the offset at which most of its cells meet a row; a row takes one cell of a column, the nearest."""
+    schema = pa.schema([(x, pa.int64()) for x in ("page_id", "cell_id", "column", "anchor")])
+
+    def make(cs: list[dict]) -> list[tuple]:
+        column = _columns(cs)
+        return [(c["page_id"], c["cell_id"], k, a) for c, k, a in zip(cs, column, _anchors(cs, column), strict=True)]
 
-    def run(c: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values(["x", "cell_id"], kind="stable").reset_index(drop=True)
-        c["column"] = _columns(c)
-        mid = (c.y + c.height / 2).to_numpy()
-        first = c.index[c.column == 0].to_numpy()
-        first = first[np.argsort(mid[first], kind="stable")]
-        anchors, gaps = mid[first], np.diff(mid[first])
-        near = NEAR * (np.median(gaps[gaps > 0]) if (gaps > 0).any() else float(c.height.median() or 1))
-        anchor = np.full(len(c), -1, np.int64)
-        anchor[first] = c.cell_id.to_numpy()[first]
-        for k in sorted(set(c.column) - {0}):
-            own = c.index[c.column == k].to_numpy()
-            deltas = np.unique(np.r_[0.0, (anchors[:, None] - mid[own][None, :]).ravel()])
-            off = np.abs(mid[own][None, :, None] + deltas[:, None, None] - anchors[None, None, :]).min(2) if len(deltas) <= 4096 else None
-            shift = 0.0 if off is None else deltas[np.lexsort((np.abs(deltas), off.sum(1), -(off <= near).sum(1)))[0]]
-            pairs = sorted((abs(mid[i] + shift - anchors[r]), int(c.cell_id[i]), r, i) for i in own for r in range(len(anchors)) if abs(mid[i] + shift - anchors[r]) <= near)
-            taken: set[int] = set()
-            for _, _, r, i in pairs:
-                if r not in taken and anchor[i] < 0:
-                    taken.add(r)
-                    anchor[i] = c.cell_id[first[r]]
-        return pd.DataFrame({"page_id": c.page_id, "cell_id": c.cell_id, "column": c.column, "anchor": pd.array(np.where(anchor < 0, pd.NA, anchor), dtype="Int64")})
-
-    return cells.groupBy("page_id").applyInPandas(run, "page_id long, cell_id long, column long, anchor long")
+    return _by_page(cells, make, schema, "page_id long, cell_id long, column long, anchor long")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import classify, disjoint, outside, range_plausible, ranges_disagree, status
+from ..functions.text import bind
 
 #: Rules in order, with severity and whether they stop.
 RULES = (("R1-UNKNOWN-ANALYTE", 2, True), ("R18-SPECIMEN-MATCH-UNCORROBORATED", 2, True), ("REPORT-ONLY", 0, True), ("R2-UNIT-MISMATCH", 2, True), ("R13-IMPLAUSIBLE-VALUE", 2, True), ("R3-CRITICAL-PANIC-RANGE", 3, False), ("R4-HIGH-STAKES-ANY-ABNORMAL", 2, False), ("R5-LOW-OCR-CONFIDENCE-NUMERIC", 2, False), ("R6-HIGH-STAKES-MANDATORY-CONFIRM", 1, False), ("R16-PRINTED-RANGE-UNIT-SUSPECT", 2, False), ("R17-BAND-NOT-COMPARABLE", 2, False), ("R11-RANGE-DISAGREEMENT", 1, False), ("R12-POPULATION-SENSITIVE", 1, False))
@@ -17,48 +18,64 @@ ABSTAINING = ("R1-UNKNOWN-ANALYTE", "R18-SPECIMEN-MATCH-UNCORROBORATED", "R2-UNI
 CONFIRMING = ("R13-IMPLAUSIBLE-VALUE", "R5-LOW-OCR-CONFIDENCE-NUMERIC", "R6-HIGH-STAKES-MANDATORY-CONFIRM", "R16-PRINTED-RANGE-UNIT-SUSPECT")
 
 
-def rule_conditions() -> dict[str, Column]:
-    c, no = F.col, lambda x: F.coalesce(x, F.lit(False))
-    kind = classify(c("value"), c("ours.low"), c("ours.high"), c("critical_low"), c("critical_high"))
-    suspect = c("printed").isNotNull() & ~range_plausible(c("ours"), c("printed"), c("absolute_low"), c("absolute_high"))
-    apart = c("printed").isNotNull() & disjoint(c("ours.low"), c("ours.high"), c("printed.low"), c("printed.high"))
-    by_ours, by_printed = status(c("value"), c("ours")), status(c("value"), c("printed"))
-    flips = (by_ours != by_printed) & (by_printed != "none") & (by_ours != "none")
+#: Columns that the rules read.
+READ = ("key", "report_only", "unit_fits", "value", "value_parsed", "confidence", "high_stakes", "sensitive", "ours", "printed", "absolute_low", "absolute_high", "critical_low", "critical_high", "sex", "has_ages", "scope_fits")
+
+
+def derived(z: Column) -> Column:
+    """What several rules ask for, made once a row. z: a struct of READ."""
+    kind = classify(z["value"], z["ours"]["low"], z["ours"]["high"], z["critical_low"], z["critical_high"])
+    suspect = z["printed"].isNotNull() & ~range_plausible(z["ours"], z["printed"], z["absolute_low"], z["absolute_high"])
+    apart = z["printed"].isNotNull() & disjoint(z["ours"]["low"], z["ours"]["high"], z["printed"]["low"], z["printed"]["high"])
+    return F.struct(kind.alias("kind"), suspect.alias("suspect"), apart.alias("apart"), status(z["value"], z["ours"]).alias("by_ours"), status(z["value"], z["printed"]).alias("by_printed"))
+
+
+def rule_conditions(z: Column, y: Column) -> dict[str, Column]:
+    """Whether each rule holds, by itself. y: derived(z)."""
+    no = lambda x: F.coalesce(x, F.lit(False))
+    flips = (y["by_ours"] != y["by_printed"]) & (y["by_printed"] != "none") & (y["by_ours"] != "none")
     return {
-        "R1-UNKNOWN-ANALYTE": c("key").isNull(),
-        "R18-SPECIMEN-MATCH-UNCORROBORATED": ~no(c("scope_fits")),
-        "REPORT-ONLY": no(c("report_only")),
-        "R2-UNIT-MISMATCH": ~no(c("unit_fits")),
-        "R13-IMPLAUSIBLE-VALUE": outside(c("value"), c("absolute_low"), c("absolute_high")),
-        "R3-CRITICAL-PANIC-RANGE": kind.startswith("critical"),
-        "R4-HIGH-STAKES-ANY-ABNORMAL": no(c("high_stakes")) & kind.isin("low", "high"),
-        "R5-LOW-OCR-CONFIDENCE-NUMERIC": (c("confidence") == "low") | ~no(c("value_parsed")),
-        "R6-HIGH-STAKES-MANDATORY-CONFIRM": no(c("high_stakes")),
-        "R16-PRINTED-RANGE-UNIT-SUSPECT": suspect,
-        "R17-BAND-NOT-COMPARABLE": ~suspect & apart,
-        "R11-RANGE-DISAGREEMENT": ~suspect & ~apart & c("printed").isNotNull() & (flips | ranges_disagree(c("ours"), c("printed"))),
-        "R12-POPULATION-SENSITIVE": no(c("sensitive")) & ((c("sex") == "unknown") | no(c("has_ages"))),
+        "R1-UNKNOWN-ANALYTE": z["key"].isNull(),
+        "R18-SPECIMEN-MATCH-UNCORROBORATED": ~no(z["scope_fits"]),
+        "REPORT-ONLY": no(z["report_only"]),
+        "R2-UNIT-MISMATCH": ~no(z["unit_fits"]),
+        "R13-IMPLAUSIBLE-VALUE": outside(z["value"], z["absolute_low"], z["absolute_high"]),
+        "R3-CRITICAL-PANIC-RANGE": y["kind"].startswith("critical"),
+        "R4-HIGH-STAKES-ANY-ABNORMAL": no(z["high_stakes"]) & y["kind"].isin("low", "high"),
+        "R5-LOW-OCR-CONFIDENCE-NUMERIC": (z["confidence"] == "low") | ~no(z["value_parsed"]),
+        "R6-HIGH-STAKES-MANDATORY-CONFIRM": no(z["high_stakes"]),
+        "R16-PRINTED-RANGE-UNIT-SUSPECT": y["suspect"],
+        "R17-BAND-NOT-COMPARABLE": ~y["suspect"] & y["apart"],
+        "R11-RANGE-DISAGREEMENT": ~y["suspect"] & ~y["apart"] & z["printed"].isNotNull() & (flips | ranges_disagree(z["ours"], z["printed"])),
+        "R12-POPULATION-SENSITIVE": no(z["sensitive"]) & ((z["sex"] == "unknown") | no(z["has_ages"])),
     }
 
 
 def evaluate(rows: DataFrame) -> DataFrame:
     """rows with flags (array of id and severity, in order), classification, abstained, needs_confirm, action."""
-    conditions, stopped = rule_conditions(), F.lit(False)
-    flags = []
-    for name, severity, stops in RULES:
-        flags.append(F.when(~stopped & conditions[name], F.struct(F.lit(name).alias("id"), F.lit(severity).alias("severity"))))
-        if stops:
-            stopped = stopped | conditions[name]
-    kept = F.filter(F.array(*flags), lambda f: f.isNotNull())
-    has = lambda of: F.exists("flags", lambda f: f["id"].isin(*of))
-    out = rows.withColumn("flags", kept).withColumn("abstained", has(ABSTAINING))
-    kind = classify(F.col("value"), F.col("ours.low"), F.col("ours.high"), F.col("critical_low"), F.col("critical_high"))
-    worst = F.coalesce(F.array_max(F.transform("flags", lambda f: f["severity"])), F.lit(0))
-    return (
-        out.withColumn("classification", F.when(F.col("abstained") | (F.col("report_only") & F.col("ours").isNull()), "unclassified").otherwise(kind))
-        .withColumn("needs_confirm", has(CONFIRMING) | (has(("R2-UNIT-MISMATCH", "REPORT-ONLY")) & F.coalesce("high_stakes", F.lit(False))))
-        .withColumn("action", F.element_at(F.array(*map(F.lit, ("none", "info", "caution", "urgent"))), worst + 1))
-    )
+
+    def judged(z: Column, y: Column) -> Column:
+        conditions, stopped, flags = rule_conditions(z, y), F.lit(False), []
+        for name, severity, stops in RULES:
+            flags.append(F.when(~stopped & conditions[name], F.struct(F.lit(name).alias("id"), F.lit(severity).alias("severity"))))
+            if stops:
+                stopped = stopped | conditions[name]
+        return bind(F.filter(F.array(*flags), lambda f: f.isNotNull()), lambda kept: concluded(z, y, kept))
+
+    def concluded(z: Column, y: Column, flags: Column) -> Column:
+        has = lambda of: F.exists(flags, lambda f: f["id"].isin(*of))
+        worst = F.coalesce(F.array_max(F.transform(flags, lambda f: f["severity"])), F.lit(0))
+        unclassified = has(ABSTAINING) | (z["report_only"] & z["ours"].isNull())
+        return F.struct(
+            flags.alias("flags"),
+            has(ABSTAINING).alias("abstained"),
+            F.when(unclassified, "unclassified").otherwise(y["kind"]).alias("classification"),
+            (has(CONFIRMING) | (has(("R2-UNIT-MISMATCH", "REPORT-ONLY")) & F.coalesce(z["high_stakes"], F.lit(False)))).alias("needs_confirm"),
+            F.element_at(F.array(*map(F.lit, ("none", "info", "caution", "urgent"))), worst + 1).alias("action"),
+        )
+
+    result = bind(F.struct(*READ), lambda z: bind(derived(z), lambda y: judged(z, y)))
+    return rows.withColumn("_r", result).select(*rows.columns, "_r.*")
 
 
 def cross_row(rows: DataFrame, report: str = "report_id", total: str = "total", direct: str = "direct", indirect: str = "indirect") -> DataFrame:

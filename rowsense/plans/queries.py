@@ -352,9 +352,9 @@ def burst_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 COST = "case event_type when 'purchase' then 5 when 'click' then 3 else 1 end"
 
 
-@query(f"SELECT user_id, ts::DATE AS day, sum({COST})::BIGINT AS spent FROM events GROUP BY 1, 2")
+@query(f"SELECT user_id, ts::DATE::VARCHAR AS day, sum({COST})::BIGINT AS spent FROM events GROUP BY 1, 2")
 def daily_cost_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limits.daily_cost(table(spark, sf_dir, "events"), F.expr(COST).cast("long"))
+    return limits.daily_cost(table(spark, sf_dir, "events"), F.expr(COST).cast("long")).withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
