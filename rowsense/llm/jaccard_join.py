@@ -6,7 +6,8 @@ class that one member stands for. Links between classes come in two steps.
 1. Stars. Classes that share one of their few smallest hashes are paired with one or two of them, chosen by a hash: as
    many pairs as classes, not all pairs within a group. This joins most copies into clusters.
 2. Tiles. Sets that link share one of the first n - ceil(t n) + 1 hashes of each (the prefix). Hashes whose classes all lie
-   in one cluster are done. The others' classes meet in tiles: by hash, by band of set sizes (a set also visits the band
+   in one cluster are done. Of the others, stars again pair each class with one centre a hash, which joins most of what is
+   left; then the classes of hashes whose clusters still differ meet in tiles: by hash, by band of set sizes (a set also visits the band
    below, as linked sizes differ by a factor t at most), and, where a tile is large, by pair of blocks of it. In a tile,
    hashed parity bitmaps are compared: the bits in which two differ are no more than the shingles in which the sets differ,
    so their count bounds the overlap from above. Only pairs of different clusters that pass are kept.
@@ -68,9 +69,9 @@ def shingles(text: str, k: int) -> np.ndarray:
 
 
 def parity_bits(h: np.ndarray) -> bytes:
-    """A power of two of bits, at least half the set's size: each the parity of the number of hashes that fall on it."""
+    """A power of two of bits, at least twice the set's size: each the parity of the number of hashes that fall on it."""
     size = 64
-    while size * 2 < len(h):
+    while size < 2 * len(h):
         size *= 2
     # The low bits choose the place, so a bitmap's halves xor to that of half the size.
     count = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
@@ -244,19 +245,26 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc
     # Rows of one id are one node.
     clusters = written(components(star_links), "clusters")
 
-    # Tiles.
     entries = reps.join(clusters, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"), F.explode("prefix").alias("key"))
     alive = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.min("doc_id").alias("b"), F.max("doc_id").alias("a")).filter("c0 <> c1"), "alive")
-    pairs = alive.filter("members = 2").select("a", "b").distinct()
+    many = written(entries.join(alive.filter("members > 2").select("key"), "key"), "many")
+    # Stars again, over the prefixes: a centre for each hash that clusters share, and the pairs that are alone with a hash.
+    hub = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id"), "doc_id", "cluster")).alias("hub")).select("key", F.col("hub.doc_id").alias("centre"), F.col("hub.cluster").alias("of"))
+    rays = many.join(hub, "key").filter("cluster <> of").select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b"))
+    rays = rays.union(alive.filter("members = 2").select("a", "b")).distinct()
+    star_links = star_links.union(verified(bounded(rays, reps, num, den), reps, docs, k, num, den, doc_id, text))
+    clusters = written(components(star_links), "clusters")
+
+    # Tiles.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    many = written(entries.join(alive.filter("members > 2").select("key"), "key").withColumn("own", band), "many")
+    many = many.drop("cluster").join(clusters, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"), band.alias("own"))
     # A set is at home in its band and visits the one below; the margin of one band covers the rounding of logarithms.
     placed = many.withColumn("at", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") - 1).alias("band"), F.lit(False).alias("home")), F.struct((F.col("own") - 2).alias("band"), F.lit(False).alias("home"))))).select("key", "doc_id", "n", "cluster", "at.*")
     counted = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("members"), F.max("home").alias("lived"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).filter("lived and c0 <> c1").select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     tiles = placed.join(counted, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     celled = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
     cells = celled.join(reps.select("doc_id", "bits"), "doc_id").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-    more = bounded(pairs, reps, num, den).union(tile_pairs(cells, num, den)).distinct()
+    more = tile_pairs(cells, num, den).distinct()
     tile_links = verified(more, reps, docs, k, num, den, doc_id, text)
 
     found = written(components(star_links.union(tile_links)), "components")
