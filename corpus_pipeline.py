@@ -3,18 +3,18 @@
 Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps with the columns of documents; the last one
 gives the packed pieces. run() writes each stage's rows as Parquet in the shared folder and reads them for the next.
 
-Defined results: null texts are kept as empty ones until packing, where they are an end id; of repeated rows (equal doc_id)
-one stays from the second stage on; an empty table gives no pieces; further columns of documents are carried along.
+Defined results: null texts are kept as empty ones until packing, where they are an end id; rows are copies by their texts
+alone, whether ids are null or come again; an empty table gives no pieces; further columns of documents are carried along.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsense.llm.common import written
-from rowsense.llm.jaccard_join import jaccard_join
+from rowsense.llm.jaccard_join import least_rows, mark_of
 from rowsense.llm.mixing import mix, mixed_texts
 from rowsense.llm.packing import pack
 from rowsense.llm.secret_scan import secret_scan
@@ -31,15 +31,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; documents without words are nobody's copies."""
-    found = jaccard_join(docs.select("doc_id", "text"))
-    keep = written(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.struct("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    kept = docs.withColumn("_id", F.struct("doc_id")).join(keep, "_id")
+    """The row with the smallest id of each component of texts; documents without words are nobody's copies."""
+    keep = written(least_rows(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), F.col("rows").alias("_rows")), "kept")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    kept = docs.filter(worded).withColumn("_mark", mark_of("text")).join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")))
+    out = docs.filter(~worded).unionByName(kept.filter("_rows = 1").select(*docs.columns))
     if keep.filter("_rows > 1").isEmpty():
-        return kept.select(*docs.columns)
-    # Only ids that come again are put in an order.
-    again = kept.filter("_rows > 1").withColumn("_at", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).filter("_at = 1")
-    return kept.filter("_rows = 1").select(*docs.columns).unionByName(again.select(*docs.columns))
+        return out
+    # Only rows of one id and one text are repeats.
+    again = kept.filter("_rows > 1").dropDuplicates(["_id", "_mark"])
+    return out.unionByName(again.select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

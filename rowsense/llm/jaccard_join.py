@@ -15,9 +15,11 @@ class that one member stands for. Links between classes come in two steps.
 Pairs of both steps are verified by intersecting the sorted arrays. Nothing is sampled or capped: a tile of any size is
 cut into blocks.
 
-Defined results: null and blank texts have empty sets and no links; texts with fewer than k words are one shingle; rows
-with one doc_id are one node of the graph, each with its own n_shingles; a null doc_id is a node below all others whose
-component_id is null; an empty table gives an empty result.
+Nodes of the graph are classes, by a number of their own: ids may be null or come again with another text.
+
+Defined results: null and blank texts have empty sets and no links; texts with fewer than k words are one shingle; a
+component's id is the smallest doc_id in it, null if all are null; classes with one smallest doc_id have one component_id
+(but links of their own: classes() keeps them apart); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ from .common import to_batch, whole, written
 
 #: Smallest hashes of a set that make stars; rows of a block of a tile; pairs' documents up to which their ids are broadcast.
 STARS, BLOCK, FEW_IDS = 4, 256, 1_000_000
-NO_ID = -(1 << 63)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
 
 
@@ -103,8 +104,13 @@ def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(both) - common)
 
 
-SIGNED = "doc_id long, n long, set_hash binary, low array<bigint>, prefix array<bigint>, bits binary"
-SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("low", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+def mark_of(text: str) -> Column:
+    """With the id, what tells rows apart by their texts."""
+    return F.unhex(F.md5(whole(text)))
+
+
+SIGNED = "doc_id long, mark binary, n long, set_hash binary, low array<bigint>, prefix array<bigint>, bits binary"
+SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("n", pa.int64()), ("set_hash", pa.binary()), ("low", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
@@ -116,10 +122,10 @@ def signatures(docs: DataFrame, k: int, num: int, den: int, doc_id: str, text: s
                     h = shingles(x["body"], k)
                     n = len(h)
                     signed = h.view(np.int64)
-                    lines.append((x["doc_id"], n, hashlib.blake2b(h.tobytes(), digest_size=16).digest() if n else b"", signed[:STARS], signed[: n - -(-num * n // den) + 1] if n else signed, parity_bits(h) if n else b""))
+                    lines.append((x["doc_id"], x["mark"], n, hashlib.blake2b(h.tobytes(), digest_size=16).digest() if n else b"", signed[:STARS], signed[: n - -(-num * n // den) + 1] if n else signed, parity_bits(h) if n else b""))
                 yield to_batch(lines, SIGNED_ARROW)
 
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole(text).alias("body"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), whole(text).alias("body"))
     return rows.mapInArrow(run, SIGNED)
 
 
@@ -129,7 +135,7 @@ def sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
 
 def bounded(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose bitmaps allow a link."""
-    of = lambda side: signs.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+    of = lambda side: signs.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +148,9 @@ def bounded(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their arrays. reps: doc_id and set_hash of the rows that pairs speak of."""
+    """Those of the pairs (a, b) that link, by their arrays. reps: node, set_hash, and the doc_id and mark of a row of each class."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(reps.select("doc_id", "set_hash"), "doc_id"), "ids")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "set_hash", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")), "node"), "ids")
     wanted = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +160,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: in
                 for x in batch.slice(i, 256).to_pylist():
                     h = shingles(x["body"], k)
                     if hashlib.blake2b(h.tobytes(), digest_size=16).digest() == x["set_hash"]:
-                        lines.append((x["doc_id"], h.astype("<u8").tobytes()))
+                        lines.append((x["node"], h.astype("<u8").tobytes()))
                 if lines:
-                    yield to_batch(lines, pa.schema([("doc_id", pa.int64()), ("h", pa.binary())]))
+                    yield to_batch(lines, pa.schema([("node", pa.int64()), ("h", pa.binary())]))
 
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole(text).alias("body")).join(wanted, "doc_id")
-    sets = written(rows.mapInArrow(arrays, "doc_id long, h binary").dropDuplicates(["doc_id"]), "sets")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), whole(text).alias("body"))
+    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))).select("node", "set_hash", "body")
+    sets = written(rows.mapInArrow(arrays, "node long, h binary").dropDuplicates(["node"]), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +175,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: in
                 if kept:
                     yield to_batch(kept, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("h").alias(f"h_{side}"))
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("h").alias(f"h_{side}"))
     return written(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long"), "links")
 
 
@@ -180,7 +187,7 @@ def all_stars(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc_id, component (the smallest node reachable) of all nodes of edges (a, b): large and small stars in turn, until
+    """node, component (the smallest node reachable) of all nodes of edges (a, b): large and small stars in turn, until
     each node points at its component's smallest; the number of rounds grows with the logarithm of the nodes."""
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not all_stars(now):
@@ -193,7 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         now = written(small, "edges")
-    return now.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 CELL = "a long, b long"
@@ -211,7 +218,7 @@ def tile_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
                     continue
                 n, m = x["n"], y["n"]
                 if den * min(n, m) >= num * max(n, m) and may_link(n, m, differing(x["bits"], y["bits"]), num, den):
-                    yield (x["doc_id"], y["doc_id"]) if x["doc_id"] > y["doc_id"] else (y["doc_id"], x["doc_id"])
+                    yield (x["node"], y["node"]) if x["node"] > y["node"] else (y["node"], x["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows, out = None, [], set()
@@ -234,48 +241,69 @@ def tile_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
     return cells.mapInArrow(run, CELL)
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Signatures of the rows, and of their classes: set_hash, node, component (a node), and the doc_id and mark of the class's
+    row with the smallest doc_id (null only if all are)."""
     signed = written(signatures(docs, k, num, den, doc_id, text), "signatures")
-    classes = signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    reps = written(signed.join(classes, ["set_hash", "doc_id"], "left_semi").dropDuplicates(["set_hash", "doc_id"]), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least")
+    same = [F.first(c).alias(c) for c in ("n", "low", "prefix", "bits")]
+    numbered = signed.filter("n > 0").groupBy("set_hash").agg(least, *same).select(F.monotonically_increasing_id().alias("node"), "set_hash", "least.doc_id", "least.mark", "n", "low", "prefix", "bits")
+    # Numbers hold from here on, as the table is written once.
+    reps = written(numbered, "classes")
 
     # Stars.
-    low = reps.select("doc_id", "n", F.explode("low").alias("key"))
-    pick = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), "doc_id"), "doc_id"))["doc_id"]
+    low = reps.select("node", "n", F.explode("low").alias("key"))
+    pick = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), "node"), "node"))["node"]
     centres = low.groupBy("key").agg(F.count(F.lit(1)).alias("members"), pick(1).alias("one"), pick(2).alias("two")).filter("members > 1").select("key", F.explode(F.array_distinct(F.array("one", "two"))).alias("centre"))
-    stars = low.join(centres, "key").filter("doc_id <> centre").select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b")).distinct()
+    stars = low.join(centres, "key").filter("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
     star_links = verified(bounded(stars, reps, num, den), reps, docs, k, num, den, doc_id, text)
-    # Rows of one id are one node.
     clusters = written(components(star_links), "clusters")
 
-    entries = reps.join(clusters, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"), F.explode("prefix").alias("key"))
-    alive = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.min("doc_id").alias("b"), F.max("doc_id").alias("a")).filter("c0 <> c1"), "alive")
+    entries = reps.join(clusters, "node", "left").select("node", "n", F.coalesce("component", "node").alias("cluster"), F.explode("prefix").alias("key"))
+    alive = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.min("node").alias("b"), F.max("node").alias("a")).filter("c0 <> c1"), "alive")
     many = written(entries.join(alive.filter("members > 2").select("key"), "key"), "many")
     # Stars again, over the prefixes: a centre for each hash that clusters share, and the pairs that are alone with a hash.
-    hub = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id"), "doc_id", "cluster")).alias("hub")).select("key", F.col("hub.doc_id").alias("centre"), F.col("hub.cluster").alias("of"))
-    rays = many.join(hub, "key").filter("cluster <> of").select(F.greatest("doc_id", "centre").alias("a"), F.least("doc_id", "centre").alias("b"))
+    hub = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node", "cluster")).alias("hub")).select("key", F.col("hub.node").alias("centre"), F.col("hub.cluster").alias("of"))
+    rays = many.join(hub, "key").filter("cluster <> of").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
     rays = rays.union(alive.filter("members = 2").select("a", "b")).distinct()
     star_links = star_links.union(verified(bounded(rays, reps, num, den), reps, docs, k, num, den, doc_id, text))
     clusters = written(components(star_links), "clusters")
 
     # Tiles.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    many = many.drop("cluster").join(clusters, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("cluster"), band.alias("own"))
+    many = many.drop("cluster").join(clusters, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("cluster"), band.alias("own"))
     # A set is at home in its band and visits the one below; the margin of one band covers the rounding of logarithms.
-    placed = many.withColumn("at", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") - 1).alias("band"), F.lit(False).alias("home")), F.struct((F.col("own") - 2).alias("band"), F.lit(False).alias("home"))))).select("key", "doc_id", "n", "cluster", "at.*")
+    placed = many.withColumn("at", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") - 1).alias("band"), F.lit(False).alias("home")), F.struct((F.col("own") - 2).alias("band"), F.lit(False).alias("home"))))).select("key", "node", "n", "cluster", "at.*")
     counted = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("members"), F.max("home").alias("lived"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).filter("lived and c0 <> c1").select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    tiles = placed.join(counted, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    tiles = placed.join(counted, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     celled = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    cells = celled.join(reps.select("doc_id", "bits"), "doc_id").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    cells = celled.join(reps.select("node", "bits"), "node").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
     more = tile_pairs(cells, num, den).distinct()
     tile_links = verified(more, reps, docs, k, num, den, doc_id, text)
 
     found = written(components(star_links.union(tile_links)), "components")
-    of_class = classes.join(found, "doc_id", "left").select("set_hash", F.coalesce("component", "doc_id").alias("component"))
-    out = signed.select("doc_id", "n", "set_hash").join(of_class, "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(shown("doc_id"), "n_shingles", shown("component_id"))
+    return signed, written(reps.join(found, "node", "left").select("set_hash", "node", F.coalesce("component", "node").alias("component"), "doc_id", "mark"), "classes")
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row."""
+    signed, found = classes(docs, k, num, den, doc_id, text)
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = found.join(least, "component").select("set_hash", "doc_id", "component_id")
+    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # Classes with one smallest id.
+        ids = written(components(of_class.filter("doc_id is not null").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))), "ids")
+        of_class = of_class.join(ids.select(F.col("node").alias("component_id"), "component"), "component_id", "left").select("set_hash", F.coalesce("component", "component_id").alias("component_id"))
+    out = signed.select("doc_id", "n", "set_hash").join(of_class.select("set_hash", "component_id"), "set_hash", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def least_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, mark of the row with the smallest id of each component of texts, and how many rows have both."""
+    signed, found = classes(docs)
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least")).select(F.col("least.doc_id").alias("of_id"), F.col("least.mark").alias("of_mark"))
+    rows = signed.filter("n > 0").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    return least.join(rows, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))).select("doc_id", "mark", "rows")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,3 +176,15 @@ def test_pipeline_keeps_clean_documents(spark):
     assert sorted(str(r["doc_id"]) for r in once.collect()) == ["0", "1", "2", "3", "4", "6", "7", "None"]
     redacted = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_secrets(spark, docs, SF).collect()}
     assert redacted[7].startswith("[assign] <|endoftext|>") and redacted[0] is None
+
+
+def test_rows_that_share_an_id_are_copies_by_their_texts_alone(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(None, one), (None, two), (None, None), (None, ""), (1, two), (2, three), (3, two + " more"), (4, one), (4, three + " b"), (4, "alone with its id"), (4, "alone with its id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=str)
+    assert kept == sorted([(None, None), (None, ""), (1, two), (2, three), (4, one), (4, "alone with its id")], key=str)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs.filter("doc_id is null or doc_id <> 4")).collect()}
+    assert got == {(None, 36, None), (None, 36, 1), (None, 0, None), (1, 36, 1), (2, 36, 2), (3, 37, 1)}
