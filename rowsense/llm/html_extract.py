@@ -18,7 +18,9 @@ template's. A page that its host's rules don't fit is read by the rules of a wra
 
 Defined results: null or empty html gives the empty text; a null or broken URL is a host of its own, the empty one; equal
 pages give equal texts within a host; rows with equal ids stay; elements nested deeper than DEPTH are read as content of
-the deepest. White space is Unicode's; a line break element is white space.
+the deepest. White space is Unicode's; a line break element is white space; formulas are text of their line. Classes and roles
+mark what is not the article by whole words or compounds with words of layout only (TEXT_TAGS by whole words alone); ids only
+where they stand on ID_TAGS and hold one of ID_WORDS.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -45,45 +48,76 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/><]*)((?
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 # Elements by their kind in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template noscript svg math object audio video canvas select".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp template noscript svg annotation annotation-xml object audio video canvas select".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 ENDS_P = BLOCK - {"option", "optgroup", "legend", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "body", "html"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 SCOPE = frozenset("ul ol dl table div article section body html main aside nav form".split())
 # Elements and words of class, id or role that mark what is not the article.
-OUT_TAGS = frozenset("nav aside footer form script style noscript template iframe button select textarea dialog menu svg math object audio video canvas head title noembed noframes search".split())
+OUT_TAGS = frozenset("nav aside footer form script style noscript template iframe button select textarea dialog menu svg object audio video canvas head title noembed noframes search".split())
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox adslot adsense banner promo promotion sponsor sponsored sponsors nav navbar navigation navi menu menubar submenu breadcrumb breadcrumbs footer foot sidebar side aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations trending pagination pager paging toolbar search login widget widgets copyright legal disclaimer skip masthead topbar complementary contentinfo dialog hidden".split())
 HEAD_WORDS = frozenset("header head banner masthead topbar".split())
 # Classes that templates put on the body, where their words don't mark.
 NEVER_OUT = frozenset("html body article main".split())
+# Words beside a telling one that leave its meaning; elements that only a whole class or role word marks.
+LAYOUT_WORDS = frozenset("area bar block bottom box button buttons col column container content group inner item items left link links list main outer page panel post right row section site slot top unit wrap wrapper".split())
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+# Elements that an id alone marks, and its words, as slugs of headings are ids too.
+ID_TAGS = frozenset("div section ul ol dl table center details figure fieldset".split())
+ID_WORDS = frozenset("ad ads adbox adslot adsense nav navbar submenu breadcrumb breadcrumbs footer sidebar comments commentlist disqus respond newsletter masthead topbar pager".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What ends the labels of elements that their attributes mark: as no part of the article, or as a header.
+NO_PART, HEADER = ". !", ". ^"
+
+
+def tells(word: str, marks: frozenset, compound: bool) -> bool:
+    """Whether a class, role or id is one of the marks; or, as a compound, made of marks and words of layout."""
+    parts = [x for x in re.split(r"[^a-z]+", word) if x]
+    if len(parts) < 2:
+        return bool(parts) and parts[0] in marks
+    return compound and any(x in marks for x in parts) and all(x in OUT_WORDS or x in HEAD_WORDS or x in LAYOUT_WORDS for x in parts)
+
+
+@lru_cache(10_000)
+def mark(tag: str, ids: tuple[str, ...], words: tuple[str, ...]) -> str:
+    if tag in NEVER_OUT:
+        return ""
+    compound = tag not in TEXT_TAGS
+    if any(tells(w, OUT_WORDS - HEAD_WORDS, compound) for w in words) or tag in ID_TAGS and any(tells(w, ID_WORDS - HEAD_WORDS, True) for w in ids):
+        return NO_PART
+    if compound and any(tells(w, HEAD_WORDS, True) for w in words) or tag in ID_TAGS and any(tells(w, HEAD_WORDS, True) for w in ids):
+        return HEADER
+    return ""
 
 
-def names(tag: str, attributes: str) -> tuple[str, bool]:
-    """The label: tag, then id and class words with digits as 0; and whether the element is marked as hidden."""
+def names(tag: str, attributes: str) -> str:
+    """The label: tag, then id and class words with digits as 0, and what the attributes mark."""
     if not attributes or attributes.isspace():
-        return tag, False
-    found, hidden = [], False
+        return tag
+    found, ids, words, hidden = [], [], [], False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif key != "aria-hidden":
-            found += re.sub(r"\d+", "0", value.lower()).split()
-    return ".".join([tag, *dict.fromkeys(found)][:8]), hidden
+            some = re.sub(r"\d+", "0", value.lower()).split()
+            found += some
+            (ids if key == "id" else words).extend(some)
+    kept = list(dict.fromkeys(found))[:7]
+    told = NO_PART if hidden else mark(tag, tuple(w for w in ids if w in kept), tuple(w for w in words if w in kept))
+    return ".".join([tag, *kept]) + told
 
 
 class Element:
     __slots__ = ("children", "label", "out", "tag")
 
-    def __init__(self, tag: str, label: str, hidden: bool = False) -> None:
+    def __init__(self, tag: str, label: str) -> None:
         self.tag, self.label, self.children = tag, label, []
-        words = set(re.split(r"[^a-z]+", label)) - {tag}
-        self.out = hidden or tag not in NEVER_OUT and (tag in OUT_TAGS or tag == "header" or bool(words & OUT_WORDS or words & HEAD_WORDS))
+        self.out = tag in OUT_TAGS or tag == "header" or label.endswith((NO_PART, HEADER))
 
     def is_head(self) -> bool:
         """Left out only as a header, which an article's own header is not."""
-        words = set(re.split(r"[^a-z]+", self.label)) - {self.tag}
-        return self.out and self.tag not in OUT_TAGS and not words & (OUT_WORDS - HEAD_WORDS)
+        return self.out and self.tag not in OUT_TAGS and not self.label.endswith(NO_PART)
 
 
 def read_tree(page: str) -> Element:
@@ -140,16 +174,16 @@ def read_tree(page: str) -> Element:
             close(SIBLINGS[tag], frozenset(("ul", "ol", "dl", "table", "select")))
         if tag == "a":
             close(("a",), BLOCK)
-        label, hidden = names(tag, m[3])
+        label = names(tag, m[3])
         if tag == "html":
             continue
-        if tag not in BLOCK and tag != "a" and label == tag and not hidden:
+        if tag not in BLOCK and tag != "a" and label == tag:
             continue
         if len(stack) > DEPTH:
             over[tag] = over.get(tag, 0) + 1
             stack[-1].children.append("\n")
             continue
-        now = Element(tag, label, hidden)
+        now = Element(tag, label)
         stack[-1].children.append(now)
         if not (m[3].rstrip().endswith("/") and tag not in BLOCK):
             stack.append(now)
@@ -212,7 +246,8 @@ def generalised(items: list[list]) -> list[list]:
     wide = {t for t, k in many.items() if k > LABELS_HELD}
     if not wide:
         return items
-    plain = lambda x: [x[0].split(".", 1)[0] if x[0].split(".", 1)[0] in wide else x[0], *x[1:]]
+    told = lambda x: x[-len(NO_PART) :] if x.endswith((NO_PART, HEADER)) else ""
+    plain = lambda x: [x[0].split(".", 1)[0] + told(x[0]) if x[0].split(".", 1)[0] in wide else x[0], *x[1:]]
     return fold([[*i[:6], [plain(x) for x in i[6]]] if i[0] == GROUP else plain(i) for i in items])
 
 
@@ -314,7 +349,7 @@ def rules_of(wrapper: list) -> dict:
     def under(item: list, path: tuple) -> None:
         if item[0] == SLOT:
             if item[6] and item[3] >= CONSTANT_PAGES and not item[2] and path[: len(root)] == root:
-                constants.append(["/".join(path), item[6]])
+                constants.append([path, item[6]])
             return
         here = path if item[0] == GROUP else (*path, item[0])
         tag = item[0].split(".", 1)[0]
@@ -328,7 +363,10 @@ def rules_of(wrapper: list) -> dict:
     # A template's constants need variable text beside them: copies of one page are no template.
     if sum(len(c) for _, c in constants) * 2 * wrapper[3] > best.get(root, 0.0) + sum(len(c) for _, c in constants) * wrapper[3] or wrapper[3] < CONSTANT_PAGES:
         constants = []
-    return {"root": list(root), "constants": constants, "links": links}
+    # Articles of one host share headings: those in the article's element are its text.
+    inner = lambda path: path[len(root) :] if named else path[len(root) : len(root) + 1]
+    cut = [["/".join(path), c] for path, c in constants if not any(x.split(".", 1)[0] in HEADINGS for x in inner(path))]
+    return {"root": list(root), "constants": cut, "links": links}
 
 
 def blocks_of(tree: Element, rules: dict) -> list[str]:

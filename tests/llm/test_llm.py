@@ -188,3 +188,12 @@ def test_rows_that_share_an_id_are_copies_by_their_texts_alone(spark):
     assert kept == sorted([(None, None), (None, ""), (1, two), (2, three), (4, one), (4, "alone with its id")], key=str)
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs.filter("doc_id is null or doc_id <> 4")).collect()}
     assert got == {(None, 36, None), (None, 36, 1), (None, 0, None), (1, 36, 1), (2, 36, 2), (3, 37, 1)}
+
+
+def test_html_keeps_headings_and_sections_with_telling_slugs(spark):
+    page = """<body><nav>Menu</nav><article><h1>T{0}</h1><h2>Summary</h2><p>Text {0} of this page</p><h2 id="side-effects">Side effects</h2><p class="legal-text">Legal {0}</p>
+      <section id="discussion"><h3 id="market-share">Market share</h3><p>More {0}</p></section><section id="related-work"><p>Known {0}</p></section>
+      <p>As <math><mi>x</mi><mo>=</mo><mn>{0}</mn><annotation>x=</annotation></math> holds</p><div class="cookie-notice">Cookies</div><div id="post-comments">Reader</div></article></body>"""
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\nSummary\nText {i} of this page\nSide effects\nLegal {i}\nMarket share\nMore {i}\nKnown {i}\nAs x={i} holds" for i in range(5)}
