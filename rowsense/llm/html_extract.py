@@ -103,8 +103,9 @@ def names(tag: str, attributes: str) -> str:
             some = re.sub(r"\d+", "0", value.lower()).split()
             found += some
             (ids if key == "id" else words).extend(some)
-    kept = list(dict.fromkeys(found))[:7]
-    told = NO_PART if hidden else mark(tag, tuple(w for w in ids if w in kept), tuple(w for w in words if w in kept))
+    # All words mark; the label holds the first, and the one that rules look for.
+    kept = sorted(dict.fromkeys(found), key=lambda w: w != "articlebody")[:7]
+    told = NO_PART if hidden else mark(tag, tuple(ids), tuple(words))
     return ".".join([tag, *kept]) + told
 
 

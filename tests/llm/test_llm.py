@@ -197,3 +197,9 @@ def test_html_keeps_headings_and_sections_with_telling_slugs(spark):
     rows = [(i, f"http://h/{i}", page.format(i)) for i in range(5)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"T{i}\nSummary\nText {i} of this page\nSide effects\nLegal {i}\nMarket share\nMore {i}\nKnown {i}\nAs x={i} holds" for i in range(5)}
+
+
+def test_html_marks_by_words_beyond_the_label():
+    many = " ".join(f"{c}-utility" for c in "abcdefghi")
+    page = f'<body><div class="{many} sidebar"><p>Side {"text " * 40}</p></div><div class="{many}" itemprop="articleBody"><p>Article</p><div class="{many} advert">Buy</div></div></body>'
+    assert html_extract.main_text(page, None) == "Article"
