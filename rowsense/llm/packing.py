@@ -3,10 +3,11 @@ r"""Lexical retrieval packing: every token of every document lies in exactly one
 1. Texts become token ids. Words are looked up in a per-worker table that forgets all when it has become large; words it
    lacks are encoded together. A document's ids end with the end id.
 2. Documents are dealt to shards of about `shard_docs` documents by a weighted min-hash of their tokens, so texts that share
-   rare tokens tend to meet. A min-hash that many documents have (groups of copies) is split over several shards by a hash.
+   rare tokens tend to meet. A min-hash that many documents have is split by a second one; only what is still too large for
+   a shard (groups of copies) is split by a hash.
 3. In a shard, whole windows of long documents are sequences of their own. What remains of each document enters an inverted
-   index with BM25 weights, whose document frequencies and mean length are those of all documents. A seed document's
-   heaviest terms return the unused neighbours with the highest scores, which greedily fill its window; the one that
+   index with BM25 weights, whose document frequencies and mean length are those of all documents. All terms of
+   a seed document return the unused neighbours with the highest scores, which greedily fill its window; the one that
    doesn't fit is cut, and its rest stays unused. So all sequences but a shard's last are full; the last is cut into
    sequences whose lengths are powers of two.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import to_batch, whole, written
 
-WINDOW, END, SHARD_DOCS, QUERY_TERMS = 2048, 1, 2048, 16
+WINDOW, END, SHARD_DOCS = 2048, 1, 2048
 #: Words, and parts of words, that a worker remembers; only parts go through the tokenizer.
 WORDS_HELD, PARTS_HELD = 500_000, 900_000
 #: BM25's usual parameters.
@@ -155,15 +156,15 @@ def hashed(x: np.ndarray, salt: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-@lru_cache(1)
-def draws(size: int) -> np.ndarray:
+@lru_cache(2)
+def draws(size: int, salt: int = 77) -> np.ndarray:
     """For each id a uniform number's exponential draw, divided by the rarity that a merge order tells: the least wins."""
-    u = (hashed(np.arange(size), 77) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    u = (hashed(np.arange(size), salt) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
     return -np.log(np.maximum(u, 1e-300)) / np.maximum(np.log2(np.arange(size) + 2.0) - 7.0, 0.05) ** 3
 
 
-TOKENS = "doc_id long, n_tokens long, ids binary, signature int, checksum long, df binary"
-TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("signature", pa.int32()), ("checksum", pa.int64()), ("df", pa.binary())])
+TOKENS = "doc_id long, n_tokens long, ids binary, signature int, second int, checksum long, df binary"
+TOKENS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("signature", pa.int32()), ("second", pa.int32()), ("checksum", pa.int64()), ("df", pa.binary())])
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,7 +172,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, doc_id: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        df, draw = np.zeros(enc.size, np.int64), draws(enc.size)
+        df, draw, other = np.zeros(enc.size, np.int64), draws(enc.size), draws(enc.size, 78)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
@@ -181,10 +182,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, doc_id: str = "do
                     terms = np.unique(ids)
                     df[terms] += 1
                     raw = ids.tobytes()
-                    lines.append((d, len(ids), raw, int(terms[np.argmin(draw[terms])]), zlib.crc32(raw), None))
+                    lines.append((d, len(ids), raw, int(terms[np.argmin(draw[terms])]), int(terms[np.argmin(other[terms])]), zlib.crc32(raw), None))
                 yield to_batch(lines, TOKENS_ARROW)
         if df.any():
-            yield to_batch([(None, None, None, None, None, df.astype("<i8").tobytes())], TOKENS_ARROW)
+            yield to_batch([(None, None, None, None, None, None, df.astype("<i8").tobytes())], TOKENS_ARROW)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("body")).mapInArrow(run, TOKENS)
 
@@ -222,11 +223,7 @@ class Pool:
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        ends = np.cumsum(n)
-        self.query = []
-        for a, b in zip(ends - n, ends, strict=True):
-            heavy = np.argpartition(-weight[a:b], QUERY_TERMS)[:QUERY_TERMS] if b - a > QUERY_TERMS else np.arange(b - a)
-            self.query.append(term[a:b][heavy])
+        self.query = [t for t, _ in found]
         self.next = 0
 
     def neighbours(self, seed: int) -> Iterator[int]:
@@ -291,6 +288,22 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED_ARROW = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
 
+def in_shards(rows: DataFrame, n: int, shard_docs: int) -> DataFrame:
+    """The n rows with their shards: by the min-hash, where that gives too many by the second too, then by a hash."""
+    parts = lambda docs: F.ceil(docs / shard_docs).cast("long")
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("signature"), F.lit(max(1, -(-n // shard_docs)))))
+    seconds = written(placed.groupBy("bucket", "second").agg(F.count(F.lit(1)).alias("docs")), "seconds")
+    large = seconds.groupBy("bucket").agg(parts(F.sum("docs")).alias("subs"))
+    seconds = seconds.join(large, "bucket").withColumn("sub", F.pmod(F.xxhash64("second"), F.col("subs")))
+    sizes = seconds.groupBy("bucket", "subs", "sub").agg(parts(F.sum("docs")).alias("splits"))
+    first = F.coalesce(F.sum("splits").over(Window.orderBy("bucket", "sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    shards = written(sizes.select("bucket", "subs", "sub", "splits", first.alias("first")), "shards")
+    subs = shards.select("bucket", "subs").distinct()
+    placed = placed.join(F.broadcast(subs), "bucket").withColumn("sub", F.pmod(F.xxhash64("second"), F.col("subs")))
+    met = placed.join(shards.drop("subs"), ["bucket", "sub"])
+    return met.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id", "checksum"), F.col("splits")))
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, shard_docs: int = SHARD_DOCS, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids (unsigned 16-bit)."""
     tokens = written(tokenized(docs, tokenizer, end, doc_id, text), "tokens")
@@ -298,12 +311,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).first()
     n, mean = total["n"], (total["t"] or 0) / max(1, total["n"])
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    # A row per bucket and split count, about as many as there are shards.
-    bucket = F.pmod(F.xxhash64("signature"), F.lit(max(1, -(-n // shard_docs))))
-    sizes = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("docs")).withColumn("splits", F.ceil(F.col("docs") / shard_docs).cast("long"))
-    first = F.coalesce(F.sum("splits").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    shards = written(sizes.select("bucket", "splits", first.alias("first")), "shards")
-    dealt = rows.withColumn("bucket", bucket).join(shards, "bucket").select((F.col("first") + F.pmod(F.xxhash64("doc_id", "checksum"), F.col("splits"))).alias("shard"), "doc_id", "n_tokens", "checksum", "ids")
+    dealt = in_shards(rows, n, shard_docs).select("shard", "doc_id", "n_tokens", "checksum", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, local, rests, lines = None, 0, [], []

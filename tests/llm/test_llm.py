@@ -203,3 +203,11 @@ def test_html_marks_by_words_beyond_the_label():
     many = " ".join(f"{c}-utility" for c in "abcdefghi")
     page = f'<body><div class="{many} sidebar"><p>Side {"text " * 40}</p></div><div class="{many}" itemprop="articleBody"><p>Article</p><div class="{many} advert">Buy</div></div></body>'
     assert html_extract.main_text(page, None) == "Article"
+
+
+def test_packing_asks_by_all_terms_of_a_seed():
+    terms = np.arange(40, dtype=np.uint16)
+    idf = np.linspace(1, 9, 100)
+    pool = packing.Pool([(0, 40, 0, terms), (1, 3, 0, terms[:3] + 50), (2, 3, 0, np.array([0, 60, 61], np.uint16))], idf, 20.0)
+    pool.take(0, 40)
+    assert next(pool.neighbours(0)) == 2
