@@ -1,25 +1,26 @@
 """N-gram Jaccard join: all links of similarity `num / den` or more, exactly, and their connected components.
 
 A document's set is its distinct shingles of k words, as 64-bit hashes in ascending order. Documents with equal sets form a
-class that one member stands for. Links between classes come in two steps.
-
-1. Stars. Classes that share one of their few smallest hashes are paired with one or two of them, chosen by a hash: as
-   many pairs as classes, not all pairs within a group. This joins most copies into clusters.
-2. Tiles. Sets that link share one of the first n - ceil(t n) + 1 hashes of each (the prefix). Hashes whose classes all lie
-   in one cluster are done. Of the others, stars again pair each class with one centre a hash, which joins most of what is
-   left; then the classes of hashes whose clusters still differ meet in tiles: by hash, by band of set sizes (a set also visits the band
-   below, as linked sizes differ by a factor t at most), and, where a tile is large, by pair of blocks of it. In a tile,
-   hashed parity bitmaps are compared: the bits in which two differ are no more than the shingles in which the sets differ,
-   so their count bounds the overlap from above. Only pairs of different clusters that pass are kept.
-
-Pairs of both steps are verified by intersecting the sorted arrays. Nothing is sampled or capped: a tile of any size is
-cut into blocks.
-
-Nodes of the graph are classes, by a number of their own: ids may be null or come again with another text.
+class that one member stands for.
+
+1. A first pass counts shingles in a table of 2**20 places, summed over all tasks, so its size doesn't grow with the data.
+   It gives the shingles an order, rare places first, then by hash. Any order gives right results; this one keeps what many
+   documents share out of the prefixes.
+2. Sets that link share one of the first n - ceil(t n) + 1 shingles of each in that order (the prefix). Shingles that one
+   class alone has in its prefix are done.
+3. Stars. Twice, each class is paired with one centre a shingle, which joins most copies into clusters: as many pairs as
+   rows, not all pairs of a group. Shingles whose classes all lie in one cluster are done.
+4. Tiles. The classes of the shingles that are left meet by shingle, by band of set sizes (a set also visits the bands below,
+   as linked sizes differ by a factor t at most), and, where a tile is large, by pair of blocks of it. In a tile, hashed
+   parity bitmaps are compared: the bits in which two differ are no more than the shingles in which the sets differ, so
+   their count bounds the overlap from above. Only pairs of different clusters that pass are kept.
+
+Pairs of stars and tiles are verified by intersecting the sorted arrays. Nothing is sampled or capped: a tile of any size is
+cut into blocks. Nodes of the graph are classes, by a number of their own: ids may be null or come again with another text.
 
 Defined results: null and blank texts have empty sets and no links; texts with fewer than k words are one shingle; a
 component's id is the smallest doc_id in it, null if all are null; classes with one smallest doc_id have one component_id
-(but links of their own: classes() keeps them apart); an empty table gives an empty result.
+(but links of their own: classes() keeps them apart); an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -33,118 +34,243 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import to_batch, whole, written
-
-#: Smallest hashes of a set that make stars; rows of a block of a tile; pairs' documents up to which their ids are broadcast.
-STARS, BLOCK, FEW_IDS = 4, 256, 1_000_000
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
-
-
-class WordHashes(dict):
-    """Hashes of words; forgets all when it has become large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_known = WordHashes()
+from .common import mixed, release, to_batch, whole, written
+
+#: Places of the table of counts; rows of a block of a tile; pairs' documents up to which their ids are broadcast.
+PLACES, BLOCK, FEW_IDS = 1 << 20, 2048, 1_000_000
+#: Bytes that are hashed at once; words longer than this many bytes are hashed one by one.
+CHUNK, LONG = 1 << 18, 1 << 16
+BASE = 0x9E3779B97F4A7C15
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: A number for each byte; capital ASCII letters have those of the small ones.
+BYTES = mixed(np.arange(256, dtype=np.uint64), 11)
+BYTES[65:91] = BYTES[97:123]
+ODD = mixed(np.arange(64, dtype=np.uint64), 12) | np.uint64(1)
+
+
+def powers(of: int) -> np.ndarray:
+    out = np.full(CHUNK, of, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+UP, DOWN = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+
+
+def words_of(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of the bytes, in which each of `cuts` is behind white space. A word's hash is a
+    polynomial of its bytes modulo 2**64, mixed with its length: running sums give those of all words."""
+    hashes, places, at, n = [], [], 0, len(raw)
+    while at < n:
+        end = min(n, at + CHUNK)
+        if end < n:
+            gaps = np.flatnonzero(SPACE[raw[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:  # one word fills the chunk
+                while end < n and not SPACE[raw[end]]:
+                    end += 1
+                hashes.append(np.array([long_word(raw[at:end])], np.uint64))
+                places.append(np.array([at]))
+                at = end
+                continue
+        part = raw[at:end]
+        space = np.ones(len(part) + 2, bool)
+        space[1:-1] = SPACE[part]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        start, stop = edges[::2], edges[1::2]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * UP[: len(part)], out=sums[1:])
+        h = mixed((sums[stop] - sums[start]) * DOWN[start] + (stop - start).astype(np.uint64), 13)
+        for i in np.flatnonzero(stop - start > LONG):
+            h[i] = long_word(part[start[i] : stop[i]])
+        hashes.append(h)
+        places.append(start + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def long_word(raw: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(raw.tobytes().lower())
+
+
+def shingle_sets(raw: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each text of the bytes, by its end (behind a line feed), the distinct hashes of k neighbouring words, ascending."""
+    h, start = words_of(raw, ends)
+    last = np.searchsorted(start, ends)
+    total = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    for i in range(k):
+        total += h[i : len(h) - k + 1 + i] * ODD[i]
+    total = mixed(total, 14)
+    out, a = [], 0
+    for b in last.tolist():
+        if b - a >= k:
+            x = np.sort(total[a : b - k + 1])
+            new = np.ones(len(x), bool)
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            out.append(x if new.all() else x[new])
+        elif b > a:
+            out.append(mixed((h[a:b] * ODD[: b - a]).sum(dtype=np.uint64, keepdims=True), 15 + b - a))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        a = b
+    return out
+
+
+def sets_of(batch: pa.RecordBatch, k: int, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batch in parts of about so many bytes of `body`, each text of which ends with a line feed, and the texts' sets."""
+    body = batch.column("body").cast(pa.large_string())
+    ends = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+    data = np.frombuffer(body.buffers()[2], np.uint8) if ends[-1] else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(body):
+        b = max(a + 1, min(a + 512, int(np.searchsorted(ends, ends[a] + most, "right")) - 1))
+        yield batch.slice(a, b - a), shingle_sets(data[ends[a] : ends[b]], ends[a + 1 : b + 1] - ends[a], k)
+        a = b
 
 
 def shingles(text: str, k: int) -> np.ndarray:
-    """Distinct hashes of k neighbouring words, ascending. ASCII letters in lower case; words end at ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    n = min(k, len(words))
-    total = np.full(len(words) - n + 1, n, np.uint64) * np.uint64(0x632BE59BD9B4E019)
-    for i in range(n):
-        total += h[i : len(words) - n + 1 + i] * ODD[i % len(ODD)] ** np.uint64(1 + i // len(ODD))
-    total ^= total >> np.uint64(29)
-    total *= np.uint64(0xBF58476D1CE4E5B9)
-    total ^= total >> np.uint64(32)
-    return np.unique(total)
+    """Distinct hashes of k neighbouring words of one text."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass") + b"\n", np.uint8)
+    return shingle_sets(raw, np.array([len(raw)]), k)[0]
 
 
 def parity_bits(h: np.ndarray) -> bytes:
-    """A power of two of bits, at least twice the set's size: each the parity of the number of hashes that fall on it."""
+    """A power of two of bits, at least the set's size: each the parity of the number of hashes that fall on it."""
     size = 64
-    while size < 2 * len(h):
+    while size < len(h):
         size *= 2
     # The low bits choose the place, so a bitmap's halves xor to that of half the size.
     count = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(count.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(bits: bytes, words: int) -> np.ndarray:
+    x = np.frombuffer(bits, "<u8")
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def differing(a: bytes, b: bytes) -> int:
     """Places in which two bitmaps differ, the larger folded to the smaller's size."""
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    n, m = len(a) * 8, len(b) * 8
-    while n > m:
-        n //= 2
-        x = (x >> n) ^ (x & ((1 << n) - 1))
-    while m > n:
-        m //= 2
-        y = (y >> m) ^ (y & ((1 << m) - 1))
-    return (x ^ y).bit_count()
-
-
-def may_link(n_a: int, n_b: int, differ: int, num: int, den: int) -> bool:
+    words = min(len(a), len(b)) // 8
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
+def may_link(n_a, n_b, differ, num: int, den: int):
     """Whether sets of such sizes can link: overlap <= (n_a + n_b - differ) / 2, and den * overlap >= num * union."""
     return (den + num) * (n_a + n_b - differ) >= 2 * num * (n_a + n_b)
 
 
 def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     both = np.concatenate([a, b])
-    both.sort()
+    both.sort(kind="stable")
     common = int(np.count_nonzero(both[1:] == both[:-1]))
     return den * common >= num * (len(both) - common)
 
 
+def set_hash(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.astype("<u8").tobytes(), digest_size=16).digest() if len(h) else b""
+
+
 def mark_of(text: str) -> Column:
     """With the id, what tells rows apart by their texts."""
     return F.unhex(F.md5(whole(text)))
 
 
-SIGNED = "doc_id long, mark binary, n long, set_hash binary, low array<bigint>, prefix array<bigint>, bits binary"
-SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("n", pa.int64()), ("set_hash", pa.binary()), ("low", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+def bodies(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), F.concat(whole(text), F.lit("\n")).alias("body"))
+
 
+SIGNED = "doc_id long, mark binary, n long, set_hash binary, place int, counts binary"
+SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("n", pa.int64()), ("set_hash", pa.binary()), ("place", pa.int32()), ("counts", pa.binary())])
+
+
+def signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """A row per document; and the counts of each task's shingles, in rows of 4096 places (n is null)."""
 
-def signatures(docs: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(PLACES, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                lines = []
-                for x in batch.slice(i, 256).to_pylist():
-                    h = shingles(x["body"], k)
+            for part, sets in sets_of(batch, k):
+                found = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                if len(found):
+                    np.add.at(counts, (found >> np.uint64(44)).astype(np.int64), 1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_hash(h) for h in sets], pa.binary()), pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())], schema=SIGNED_ARROW)
+        if counts.any():
+            yield to_batch([(None, None, None, None, i, counts[i : i + 4096].astype("<i8").tobytes()) for i in range(0, PLACES, 4096)], SIGNED_ARROW)
+
+    return bodies(docs, doc_id, text).mapInArrow(run, SIGNED)
+
+
+def levels(signed: DataFrame) -> np.ndarray:
+    """For each place, a number that rises with its count: 2**20 numbers at any size of the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        done = []
+        for batch in batches:
+            for place, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                one = np.frombuffer(raw, "<i8")
+                if place != now:
+                    if now is not None:
+                        done.append((now, total.tobytes()))
+                    now, total = place, one.copy()
+                else:
+                    total += one
+        if now is not None:
+            yield to_batch([*done, (now, total.tobytes())], pa.schema([("place", pa.int32()), ("counts", pa.binary())]))
+
+    parts = signed.filter("n is null").select("place", "counts")
+    got = parts.repartition("place").sortWithinPartitions("place").mapInArrow(run, "place int, counts binary").toArrow()
+    out = np.zeros(PLACES)
+    for place, raw in zip(got["place"].to_pylist(), got["counts"].to_pylist(), strict=True):
+        out[place : place + 4096] = np.frombuffer(raw, "<i8")
+    return np.minimum(np.log2(out + 1) * 1000, 65535).astype(np.uint16)
+
+
+CLASSED = "doc_id long, mark binary, n long, set_hash binary, prefix array<bigint>, bits binary"
+
+
+def prefixes(docs: DataFrame, level: np.ndarray, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sets in sets_of(batch, k):
+                firsts, bits = [], []
+                for h in sets:
                     n = len(h)
-                    signed = h.view(np.int64)
-                    lines.append((x["doc_id"], x["mark"], n, hashlib.blake2b(h.tobytes(), digest_size=16).digest() if n else b"", signed[:STARS], signed[: n - -(-num * n // den) + 1] if n else signed, parity_bits(h) if n else b""))
-                yield to_batch(lines, SIGNED_ARROW)
+                    # Sets ascend, so a stable sort by level puts equal levels in the order of hashes.
+                    order = np.argsort(level[(h >> np.uint64(44)).astype(np.int64)], kind="stable")
+                    firsts.append(h[order[: n - -(-num * n // den) + 1 if n else 0]].view(np.int64))
+                    bits.append(parity_bits(h) if n else b"")
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_hash(h) for h in sets], pa.binary()), lists, pa.array(bits, pa.binary())], names=["doc_id", "mark", "n", "set_hash", "prefix", "bits"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), whole(text).alias("body"))
-    return rows.mapInArrow(run, SIGNED)
+    return bodies(docs, doc_id, text).mapInArrow(run, CLASSED)
 
 
-def sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
-    return (den * F.least(a, b)) >= (num * F.greatest(a, b))
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def bounded(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+def bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs (a, b) whose bitmaps allow a link."""
-    of = lambda side: signs.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+    of = lambda side: reps.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(x["a"], x["b"]) for x in batch.to_pylist() if may_link(x["n_a"], x["n_b"], differing(x["bits_a"], x["bits_b"]), num, den)]
-            if kept:
-                yield to_batch(kept, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                columns = [part.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b")]
+                kept = [(a, b) for a, b, n, m, x, y in zip(*columns, strict=True) if may_link(n, m, differing(x, y), num, den)]
+                if kept:
+                    yield to_batch(kept, PAIR)
 
-    met = pairs.join(of("a"), "a").join(of("b"), "b").filter(sizes_fit(F.col("n_a"), F.col("n_b"), num, den))
-    return met.mapInArrow(run, "a long, b long")
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    return met.filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
@@ -155,28 +281,29 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: in
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                lines = []
-                for x in batch.slice(i, 256).to_pylist():
-                    h = shingles(x["body"], k)
-                    if hashlib.blake2b(h.tobytes(), digest_size=16).digest() == x["set_hash"]:
-                        lines.append((x["node"], h.astype("<u8").tobytes()))
-                if lines:
-                    yield to_batch(lines, pa.schema([("node", pa.int64()), ("h", pa.binary())]))
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), mark_of(text).alias("mark"), whole(text).alias("body"))
-    rows = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))).select("node", "set_hash", "body")
-    sets = written(rows.mapInArrow(arrays, "node long, h binary").dropDuplicates(["node"]), "sets")
+            for part, sets in sets_of(batch, k):
+                kept = [(node, h.astype("<u8").tobytes()) for node, same, h in zip(part.column("node").to_pylist(), part.column("set_hash").to_pylist(), sets, strict=True) if set_hash(h) == same]
+                if kept:
+                    yield to_batch(kept, pa.schema([("node", pa.int64()), ("h", pa.binary())]))
+
+    rows = bodies(docs, doc_id, text).join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+    # A row that comes again gives its set again.
+    sets = written(rows.select("node", "set_hash", "body").mapInArrow(arrays, "node long, h binary"), "sets")
+    once = sets if sets.groupBy("node").count().filter("count > 1").isEmpty() else sets.dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                kept = [(x["a"], x["b"]) for x in batch.slice(i, 512).to_pylist() if links(np.frombuffer(x["h_a"], "<u8"), np.frombuffer(x["h_b"], "<u8"), num, den)]
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                columns = [part.column(c).to_pylist() for c in ("a", "b", "h_a", "h_b")]
+                kept = [(a, b) for a, b, x, y in zip(*columns, strict=True) if links(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), num, den)]
                 if kept:
-                    yield to_batch(kept, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                    yield to_batch(kept, PAIR)
 
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("h").alias(f"h_{side}"))
-    return written(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long"), "links")
+    of = lambda side: once.select(F.col("node").alias(side), F.col("h").alias(f"h_{side}"))
+    found = written(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long"), "links")
+    release(pairs, ids, sets)
+    return found
 
 
 def all_stars(edges: DataFrame) -> bool:
@@ -199,26 +326,27 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
+        old, now = now, written(small, "edges")
+        release(old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-CELL = "a long, b long"
-
-
 def tile_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that pass the bitmaps' bound within each cell (key, band, i, j): of one block, or between blocks i and j."""
 
     def near(rows: list[dict], i: int, j: int) -> Iterator[tuple[int, int]]:
-        left = [x for x in rows if x["block"] == i]
-        right = left if i == j else [x for x in rows if x["block"] == j]
-        for at, x in enumerate(left):
-            for y in right[at + 1 :] if i == j else right:
-                if x["cluster"] == y["cluster"] or not (x["home"] or y["home"]):
-                    continue
-                n, m = x["n"], y["n"]
-                if den * min(n, m) >= num * max(n, m) and may_link(n, m, differing(x["bits"], y["bits"]), num, den):
-                    yield (x["node"], y["node"]) if x["node"] > y["node"] else (y["node"], x["node"])
+        words = min(len(x["bits"]) for x in rows) // 8
+        bits = np.stack([folded(x["bits"], words) for x in rows])
+        n, cluster, node = (np.array([x[c] for x in rows]) for c in ("n", "cluster", "node"))
+        home, block = np.array([x["home"] for x in rows]), np.array([x["block"] for x in rows])
+        for at in np.flatnonzero(block == i).tolist():
+            other = np.arange(at + 1, len(rows)) if i == j else np.flatnonzero(block == j)
+            other = other[(cluster[other] != cluster[at]) & (home[other] | home[at])]
+            other = other[den * np.minimum(n[other], n[at]) >= num * np.maximum(n[other], n[at])]
+            if len(other):
+                differ = np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1, dtype=np.int64)
+                for b in node[other[may_link(n[other], n[at], differ, num, den)]].tolist():
+                    yield max(int(node[at]), b), min(int(node[at]), b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows, out = None, [], set()
@@ -226,63 +354,82 @@ def tile_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
             for x in batch.to_pylist():
                 key = (x["key"], x["band"], x["i"], x["j"])
                 if key != cell:
-                    if cell:
+                    if len(rows) > 1:
                         out.update(near(rows, cell[2], cell[3]))
                     cell, rows = key, []
                 rows.append(x)
-            if len(out) > 5000:
-                yield to_batch(list(out), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-                out = set()
-        if cell:
+                if len(out) > 5000:
+                    yield to_batch(list(out), PAIR)
+                    out = set()
+        if len(rows) > 1:
             out.update(near(rows, cell[2], cell[3]))
         if out:
-            yield to_batch(list(out), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield to_batch(list(out), PAIR)
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def tiles(shared: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Cells of the tiles of (key, node, n, cluster)."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    # A set is at home in its band and visits those below; the margin of one band covers the rounding of logarithms.
+    visits = F.explode(F.array(*(F.struct((F.col("own") - i).alias("band"), F.lit(i == 0).alias("home")) for i in range(3))))
+    placed = shared.withColumn("own", band).withColumn("at", visits).select("key", "node", "n", "cluster", "at.*")
+    counted = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("members"), F.max("home").alias("lived"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).filter("lived and c0 <> c1").select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    celled = placed.join(counted, ["key", "band"]).withColumn("block", block).withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return celled.join(reps.select("node", "bits"), "node").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+
+
+def alive(shared: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Those of the rows (key, node, n) whose key has nodes of different clusters, with their cluster."""
+    now = written(shared.join(clusters, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("cluster")), "clustered")
+    keys = now.groupBy("key").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).filter("c0 <> c1").select("key")
+    out = written(now.join(keys, "key"), "alive")
+    release(now)
+    return out
 
-    return cells.mapInArrow(run, CELL)
+
+def rays(shared: DataFrame, salt: Column) -> DataFrame:
+    """Pairs of each node and the centre of each of its keys: the node with the least salt. Rows: key, node, cluster."""
+    centre = shared.groupBy("key").agg(F.min(F.struct(salt.alias("salt"), "node", "cluster")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.cluster").alias("of"))
+    return shared.join(centre, "key").filter("cluster <> of").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Signatures of the rows, and of their classes: set_hash, node, component (a node), and the doc_id and mark of the class's
     row with the smallest doc_id (null only if all are)."""
-    signed = written(signatures(docs, k, num, den, doc_id, text), "signatures")
+    signed = written(signatures(docs, k, doc_id, text), "signatures")
+    level = levels(signed)
+    signed = signed.filter("n is not null").drop("place", "counts")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("least")
-    same = [F.first(c).alias(c) for c in ("n", "low", "prefix", "bits")]
-    numbered = signed.filter("n > 0").groupBy("set_hash").agg(least, *same).select(F.monotonically_increasing_id().alias("node"), "set_hash", "least.doc_id", "least.mark", "n", "low", "prefix", "bits")
+    same = [F.first(c).alias(c) for c in ("n", "prefix", "bits")]
+    made = prefixes(docs, level, k, num, den, doc_id, text).filter("n > 0").groupBy("set_hash").agg(least, *same)
     # Numbers hold from here on, as the table is written once.
-    reps = written(numbered, "classes")
-
-    # Stars.
-    low = reps.select("node", "n", F.explode("low").alias("key"))
-    pick = lambda salt: F.min(F.struct(F.xxhash64(F.lit(salt), "node"), "node"))["node"]
-    centres = low.groupBy("key").agg(F.count(F.lit(1)).alias("members"), pick(1).alias("one"), pick(2).alias("two")).filter("members > 1").select("key", F.explode(F.array_distinct(F.array("one", "two"))).alias("centre"))
-    stars = low.join(centres, "key").filter("node <> centre").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
-    star_links = verified(bounded(stars, reps, num, den), reps, docs, k, num, den, doc_id, text)
-    clusters = written(components(star_links), "clusters")
-
-    entries = reps.join(clusters, "node", "left").select("node", "n", F.coalesce("component", "node").alias("cluster"), F.explode("prefix").alias("key"))
-    alive = written(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1"), F.min("node").alias("b"), F.max("node").alias("a")).filter("c0 <> c1"), "alive")
-    many = written(entries.join(alive.filter("members > 2").select("key"), "key"), "many")
-    # Stars again, over the prefixes: a centre for each hash that clusters share, and the pairs that are alone with a hash.
-    hub = many.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node", "cluster")).alias("hub")).select("key", F.col("hub.node").alias("centre"), F.col("hub.cluster").alias("of"))
-    rays = many.join(hub, "key").filter("cluster <> of").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
-    rays = rays.union(alive.filter("members = 2").select("a", "b")).distinct()
-    star_links = star_links.union(verified(bounded(rays, reps, num, den), reps, docs, k, num, den, doc_id, text))
-    clusters = written(components(star_links), "clusters")
-
-    # Tiles.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    many = many.drop("cluster").join(clusters, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("cluster"), band.alias("own"))
-    # A set is at home in its band and visits the one below; the margin of one band covers the rounding of logarithms.
-    placed = many.withColumn("at", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") - 1).alias("band"), F.lit(False).alias("home")), F.struct((F.col("own") - 2).alias("band"), F.lit(False).alias("home"))))).select("key", "node", "n", "cluster", "at.*")
-    counted = placed.groupBy("key", "band").agg(F.count(F.lit(1)).alias("members"), F.max("home").alias("lived"), F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).filter("lived and c0 <> c1").select("key", "band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    tiles = placed.join(counted, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    celled = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
-    cells = celled.join(reps.select("node", "bits"), "node").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-    more = tile_pairs(cells, num, den).distinct()
-    tile_links = verified(more, reps, docs, k, num, den, doc_id, text)
-
-    found = written(components(star_links.union(tile_links)), "components")
-    return signed, written(reps.join(found, "node", "left").select("set_hash", "node", F.coalesce("component", "node").alias("component"), "doc_id", "mark"), "classes")
+    reps = written(made.select(F.monotonically_increasing_id().alias("node"), "set_hash", "least.doc_id", "least.mark", "n", "prefix", "bits"), "classes")
+    checked = lambda pairs: verified(bounded(pairs, reps, num, den), reps, docs, k, num, den, doc_id, text)
+
+    entries = reps.select("node", "n", F.explode("prefix").alias("key"))
+    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
+    shared = written(entries.join(keys, "key").select("key", "node", "n"), "shared")
+
+    alone = shared.withColumn("cluster", F.col("node"))
+    found = checked(rays(alone, F.xxhash64("node")))
+    clusters = components(found)
+    left = alive(shared, clusters)
+    release(shared, clusters)
+    more = checked(rays(left, F.xxhash64("key", "node")))
+    found = found.union(more)
+    clusters = components(found)
+    last = alive(left.drop("cluster"), clusters)
+    release(left, clusters)
+    more = checked(tile_pairs(tiles(last, reps, num, den), num, den).distinct())
+    release(last)
+    joined = components(found.union(more))
+    out = written(reps.join(joined, "node", "left").select("set_hash", "node", F.coalesce("component", "node").alias("component"), "doc_id", "mark"), "components")
+    release(reps, joined, found, more)
+    return signed, out
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
