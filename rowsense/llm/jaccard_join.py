@@ -103,7 +103,7 @@ def shingle_sets(raw: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
     last = np.searchsorted(start, ends)
     total = np.zeros(max(0, len(h) - k + 1), np.uint64)
     for i in range(k):
-        total += h[i : len(h) - k + 1 + i] * ODD[i]
+        total += h[i : i + len(total)] * ODD[i]
     total = mixed(total, 14)
     out, a = [], 0
     for b in last.tolist():
@@ -139,9 +139,9 @@ def shingles(text: str, k: int) -> np.ndarray:
 
 
 def parity_bits(h: np.ndarray) -> bytes:
-    """A power of two of bits, at least the set's size: each the parity of the number of hashes that fall on it."""
+    """A power of two of bits, at least twice the set's size: each the parity of the number of hashes that fall on it."""
     size = 64
-    while size < len(h):
+    while size < 2 * len(h):
         size *= 2
     # The low bits choose the place, so a bitmap's halves xor to that of half the size.
     count = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
@@ -391,9 +391,10 @@ def alive(shared: DataFrame, clusters: DataFrame) -> DataFrame:
     return out
 
 
-def rays(shared: DataFrame, salt: Column) -> DataFrame:
-    """Pairs of each node and the centre of each of its keys: the node with the least salt. Rows: key, node, cluster."""
-    centre = shared.groupBy("key").agg(F.min(F.struct(salt.alias("salt"), "node", "cluster")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.cluster").alias("of"))
+def rays(shared: DataFrame, *order: Column) -> DataFrame:
+    """Pairs of each node and the centre of each of its keys: the node that is first in the order. Rows: key, node, cluster."""
+    first = F.min(F.struct(*(x.alias(f"by{i}") for i, x in enumerate(order)), "node", "cluster")).alias("c")
+    centre = shared.groupBy("key").agg(first).select("key", F.col("c.node").alias("centre"), F.col("c.cluster").alias("of"))
     return shared.join(centre, "key").filter("cluster <> of").select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
@@ -414,8 +415,9 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id:
     keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
     shared = written(entries.join(keys, "key").select("key", "node", "n"), "shared")
 
-    alone = shared.withColumn("cluster", F.col("node"))
-    found = checked(rays(alone, F.xxhash64("node")))
+    # Of many near copies, the one with the most shared shingles in its prefix has the fewest changes of its own.
+    alone = shared.join(shared.groupBy("node").agg((-F.count(F.lit(1))).alias("least")), "node").withColumn("cluster", F.col("node"))
+    found = checked(rays(alone, F.col("least"), F.xxhash64("node")))
     clusters = components(found)
     left = alive(shared, clusters)
     release(shared, clusters)
