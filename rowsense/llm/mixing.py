@@ -3,18 +3,21 @@
 1. Each source's target is its weight's part of the mix, stopped at `cap` times the source, with the excess reshared
    by weight (water filling, in closed form over the sources ordered by cap / weight).
 2. A source's documents lie on a line of words in the order of a hash. The line is cut into blocks; blocks are drawn
-   in passes, each a permutation of the blocks, until the source's quota is used; the last block is cut to the word.
+   in passes, each in a keyed permutation of its own (swap-or-not rounds, a bijection for any number of blocks), until the
+   source's quota is used; the last block is cut to the word.
 3. The tree's root holds the block quotas of all sources. A node gives its left child half of its blocks, drawn
    without replacement: source by source a hypergeometric variate (inverse distribution function of a hashed uniform).
    Quotas are conserved exactly, and the leaves are the output shards.
-4. A source's permuted draws go to the shards in turn by the leaves' quotas, so shards get disjoint draws; within a
-   shard they are sorted by a hash.
+4. A source's permuted draws go to the shards in turn by the leaves' quotas, so shards get disjoint draws: draws join the
+   shards' stretches by source and range. Within a shard they are sorted by a hash.
 
-The line's prefix sums use buckets of about the square root of a source's documents, so a source that holds most rows
-is many keys. Plans are tables with a row per source; they reach the documents by a join whose way Spark picks by size.
+Words are counted once: documents are written with their sizes and a number of their own. The line's prefix sums use buckets
+of about the square root of a source's documents, so a source that holds most rows is many keys. A node of the tree is a row
+with a number per source; the shards' stretches are a row per source and shard.
 
 Defined results: null or blank text has size 0 and no draws; null is a source, the last one; rows with equal ids are
-documents of their own; an empty table gives an empty mix.
+documents of their own; an empty table gives an empty mix; the documents' own columns, whatever their names, are carried
+as they are (mix() replaces those named size, source_size, target or pieces).
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from .common import whole, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-PIECE = "struct<shard:bigint,order_key:bigint,pass:bigint,word_start:bigint,n_words:bigint>"
+#: Rounds of a permutation.
+ROUNDS = 24
 
 
 def words(text: str) -> Column:
@@ -90,7 +94,7 @@ def _uniform(*of: Column) -> Column:
 
 
 def splitting_tree(plan: DataFrame, levels: int, seed: int) -> DataFrame:
-    """rank, cuts (running totals over the 2**levels shards) of plan's rank and draws: a row per source."""
+    """rank, shard, quota for the 2**levels shards of plan's rank and draws."""
     listed = F.sort_array(F.collect_list(F.struct("rank", F.col("draws").cast("long").alias("draws"))))
     node = plan.agg(listed.alias("all")).select(F.lit(0).cast("long").alias("node"), F.transform("all", lambda x: x["draws"]).alias("quotas"))
     for level in range(levels):
@@ -108,23 +112,37 @@ def splitting_tree(plan: DataFrame, levels: int, seed: int) -> DataFrame:
         node = node.select("node", "quotas", left.alias("left")).select(
             F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("quotas", "left", lambda q, x: q - x).alias("quotas")))).alias("child")
         ).select("child.*")
-    leaves = node.select("node", F.posexplode("quotas").alias("rank", "quota")).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("node", "quota"))).alias("of"))
-    running = F.aggregate("of", F.expr("cast(array() as array<bigint>)"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + x["quota"])))
-    return leaves.select(F.col("rank").cast("long").alias("rank"), running.alias("cuts"))
-
-
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block_words: int = 1024, shard_blocks: int = 4096, seed: int = 17, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """docs' columns with size, source_size, target and pieces: what the mix takes of the document, each a run of its
-    words for one shard; order_key orders a shard. Columns of docs with those names are replaced."""
-    size = words(text)
-    sized = docs.select(F.col(source).alias("source"), size.alias("size"))
-    plan = source_targets(sized, weights, share, cap)
-    whole_words = F.round("target").cast("long")
-    b = F.lit(block_words).cast("long")
+    return node.select(F.col("node").alias("shard"), F.posexplode("quotas").alias("rank", "quota")).select(F.col("rank").cast("long").alias("rank"), "shard", "quota")
+
+
+def permuted(x: Column, n: Column, *key: Column) -> Column:
+    """A keyed bijection of 0 .. n - 1: in each round x and a partner (a keyed sum less x) swap places or not, as a hash of
+    the larger of both says."""
+    m = F.greatest(n, F.lit(1).cast("long"))
+
+    def turn(v: Column, i: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(*key, i), m) - v, m)
+        return _bound(partner, lambda w: F.when(F.pmod(F.xxhash64(*key, i, F.greatest(v, w)), F.lit(2)) == 1, w).otherwise(v))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
+
+
+def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None, seed: int = 17) -> DataFrame:
+    """doc (a struct of the columns to carry, all if None), source, size, h (what orders the line) of each row."""
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns if carry is None or c in carry))
+    return docs.select(doc.alias("doc"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(whole(text))).alias("h"))
+
+
+def drawn(rows: DataFrame, block_words: int = 1024, shard_blocks: int = 4096, seed: int = 17, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sized()'s doc and size, with source_size, target and pieces: what the mix takes of the document, each a run of its
+    words for one shard; order_key orders a shard."""
+    base = written(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
+    long = lambda x: F.lit(x).cast("long")
+    b = long(block_words)
+    plan = source_targets(base.select("source", "size"), weights, share, cap)
     plan = (
-        plan.withColumn("passes", F.coalesce(F.expr("try_divide(round(target), source_size)").cast("double"), F.lit(0.0)))
-        .withColumn("passes", F.floor("passes").cast("long"))
-        .withColumn("rest", whole_words - F.col("passes") * F.col("source_size"))
+        plan.withColumn("passes", F.floor(F.coalesce(F.expr("try_divide(round(target), source_size)").cast("double"), F.lit(0.0))).cast("long"))
+        .withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
         .withColumn("full", F.floor(F.col("source_size") / b).cast("long"))
         .withColumn("blocks", F.ceil(F.col("source_size") / b).cast("long"))
         .withColumn("draws", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / b).cast("long"))
@@ -133,63 +151,70 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     plan = written(plan, "targets")
     draws = plan.agg(F.sum("draws")).first()[0] or 0
     levels = max(0, (max(1, -(-draws // shard_blocks)) - 1).bit_length())
-    cuts = splitting_tree(plan.select("rank", "draws"), levels, seed)
-    plan = written(plan.join(cuts, "rank").select(F.struct("source").alias("_of"), F.struct("source", "rank", "source_size", "target", "passes", "rest", "full", "blocks", "buckets", "cuts").alias("_plan")), "plan")
-
-    h = F.xxhash64(F.lit(seed), F.col(doc_id))
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "pieces")]
-    rows = docs.select(*keep, size.alias("size"), F.struct(F.col(source).alias("source")).alias("_of"), h.alias("_h")).join(plan, "_of").withColumn("_bucket", F.pmod("_h", F.col("_plan.buckets")))
-    # The same sums by bucket, then over the buckets of a source: two narrow steps in place of one window over a source.
-    thin = docs.select(size.alias("size"), F.struct(F.col(source).alias("source")).alias("_of"), h.alias("_h")).join(plan.select("_of", F.col("_plan.buckets").alias("buckets"), F.col("_plan.rank").alias("_rank")), "_of")
-    sums = thin.groupBy("_rank", F.pmod("_h", F.col("buckets")).alias("_bucket")).agg(F.sum("size").alias("of_bucket"))
-    before = Window.partitionBy("_rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sums.select("_rank", "_bucket", F.coalesce(F.sum("of_bucket").over(before), F.lit(0).cast("long")).alias("_start")), "starts")
-    within = Window.partitionBy("_rank", "_bucket").orderBy("_h", doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
-    lined = rows.withColumn("_rank", F.col("_plan.rank")).join(starts, ["_rank", "_bucket"]).withColumn("_at", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
-    p = lambda c: F.col(f"_plan.{c}")
-
-    def shard(position: Column) -> Column:
-        # The first shard whose running total lies above the position.
-        strides = F.array(*(F.lit(1 << i) for i in range(levels - 1, -1, -1)))
-        step = lambda lo, stride: F.when(F.element_at(p("cuts"), lo + stride) <= position, lo + stride).otherwise(lo)
-        return F.aggregate(strides, F.lit(0), step).cast("long") if levels else F.lit(0).cast("long")
-
-    def drawn(j: Column, k: Column) -> Column:
-        start = F.greatest(j * b, F.col("_at"))
-        placed = F.when(j < p("full"), F.pmod(j * 1000003 + p("rank") * 7919, F.greatest(p("full"), F.lit(1).cast("long")))).otherwise(j)
-        last = F.floor(p("rest") / b).cast("long")
-        cut = F.when(k < p("passes"), (j + 1) * b).when(placed < last, (j + 1) * b).when(placed == last, j * b + p("rest") % b).otherwise(F.lit(0).cast("long"))
-        n = F.greatest(F.lit(0).cast("long"), F.least(cut, F.col("_at") + F.col("size")) - start)
-        position = k * p("blocks") + placed
-        return F.struct(F.when(n > 0, shard(position)).alias("shard"), F.xxhash64(F.lit(seed), p("rank"), position).alias("order_key"), k.alias("pass"), (start - F.col("_at")).alias("word_start"), n.alias("n_words"))
-
-    blocks = F.sequence(F.floor(F.col("_at") / b).cast("long"), F.floor((F.col("_at") + F.greatest("size", F.lit(1).cast("long")) - 1) / b).cast("long"))
-    pieces = F.flatten(F.transform(blocks, lambda j: F.transform(F.sequence(F.lit(0).cast("long"), p("passes")), lambda k: drawn(j, k))))
-    none = F.expr(f"cast(array() as array<{PIECE}>)")
-    pieces = F.when(F.col("size") > 0, F.filter(pieces, lambda x: x["n_words"] > 0)).otherwise(none)
-    return lined.select(*keep, "size", p("source_size").alias("source_size"), p("target").alias("target"), pieces.cast(f"array<{PIECE}>").alias("pieces"))
-
-
-def mixed_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """A row per run of a document's words that lies in one shard and pass, with its text, dealt to shards and in each
-    shard's order. mixed: mix()'s rows."""
-    runs = F.aggregate(
-        F.array_sort(F.transform("pieces", lambda x: F.struct(x["pass"].alias("pass"), x["word_start"].alias("word_start"), x["n_words"].alias("n_words"), x["shard"].alias("shard"), x["order_key"].alias("order_key")))),
-        F.expr("cast(array() as array<struct<pass:bigint,word_start:bigint,n_words:bigint,shard:bigint,order_key:bigint>>)"),
-        lambda a, x: F.when(
-            (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["pass"] == x["pass"]) & (F.try_element_at(a, F.lit(-1))["word_start"] + F.try_element_at(a, F.lit(-1))["n_words"] == x["word_start"]),
-            F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(x["pass"].alias("pass"), F.try_element_at(a, F.lit(-1))["word_start"].alias("word_start"), (F.try_element_at(a, F.lit(-1))["n_words"] + x["n_words"]).alias("n_words"), F.try_element_at(a, F.lit(-1))["shard"].alias("shard"), F.try_element_at(a, F.lit(-1))["order_key"].alias("order_key")))),
-        ).otherwise(F.concat(a, F.array(x))),
-    )
-    keep = [c for c in mixed.columns if c not in ("pieces", text)]
+    # A shard's stretch of a source's draws, with the cells of the source's mean stretch that it touches.
+    mean = F.greatest(F.ceil(F.col("draws") / (1 << levels)), long(1)).cast("long")
+    quotas = splitting_tree(plan.select("rank", "draws"), levels, seed).join(plan.select("rank", mean.alias("mean")), "rank")
+    until = F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))
+    stretches = quotas.withColumn("until", until).filter("quota > 0").withColumn("since", F.col("until") - F.col("quota"))
+    cells = F.sequence(F.floor(F.col("since") / F.col("mean")).cast("long"), F.floor((F.col("until") - 1) / F.col("mean")).cast("long"))
+    stretches = written(stretches.select("rank", "shard", "since", "until", F.explode(cells).alias("cell")), "stretches")
+
+    key = F.struct(F.col("source").alias("source"))
+    plan = plan.withColumn("mean", mean).withColumn("of", key)
+    thin = base.select("row", "size", "h", key.alias("of")).join(plan.select("of", "rank", "buckets", "passes", "rest", "full", "blocks", "mean"), "of").drop("of").withColumn("bucket", F.pmod("h", F.col("buckets")))
+    # Running sums by bucket, then within buckets: two narrow steps in place of one window over a source.
+    before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = thin.groupBy("rank", "bucket").agg(F.sum("size").alias("all")).select("rank", "bucket", F.coalesce(F.sum("all").over(before), long(0)).alias("start"))
+    within = Window.partitionBy("rank", "bucket").orderBy("h", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    lined = thin.filter("size > 0").join(starts, ["rank", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(within), long(0)))
+    blocks = F.sequence(F.floor(F.col("at") / b).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / b).cast("long"))
+    runs = lined.withColumn("j", F.explode(blocks)).withColumn("pass", F.explode(F.sequence(long(0), F.col("passes"))))
+    placed = F.when(F.col("j") < F.col("full"), permuted(F.col("j"), F.col("full"), F.lit(seed), F.col("rank"), F.col("pass"))).otherwise(F.col("j"))
+    last = F.floor(F.col("rest") / b).cast("long")
+    cut = F.when((F.col("pass") < F.col("passes")) | (F.col("placed") < last), (F.col("j") + 1) * b).when(F.col("placed") == last, F.col("j") * b + F.col("rest") % b).otherwise(long(0))
+    first = F.greatest(F.col("j") * b, F.col("at"))
+    runs = runs.withColumn("placed", placed).withColumn("n_words", F.least(cut, F.col("at") + F.col("size")) - first).filter("n_words > 0")
+    runs = runs.withColumn("position", F.col("pass") * F.col("blocks") + F.col("placed")).withColumn("word_start", first - F.col("at")).withColumn("cell", F.floor(F.col("position") / F.col("mean")).cast("long"))
+    met = runs.join(stretches, ["rank", "cell"]).filter("position >= since and position < until")
+    piece = F.struct("pass", "word_start", "n_words", "shard", F.xxhash64(F.lit(seed), F.col("rank"), F.col("position")).alias("order_key"))
+    pieces = met.groupBy("row").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    none = F.expr("cast(array() as array<struct<pass:bigint,word_start:bigint,n_words:bigint,shard:bigint,order_key:bigint>>)")
+    out = base.withColumn("of", key).join(plan.select("of", "source_size", "target"), "of").join(pieces, "row", "left")
+    return out.select("doc", "size", "source_size", "target", F.coalesce("pieces", none).alias("pieces"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None, **how) -> DataFrame:
+    """docs' columns (those to carry) with size, source_size, target and pieces, for drawn()'s parameters."""
+    own = ("size", "source_size", "target", "pieces")
+    rows = drawn(sized(docs, text, source, doc_id, carry), **how)
+    keep = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in own and (carry is None or c in carry)]
+    return rows.select(*keep, *own)
+
+
+def mixed_texts(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The mix itself: docs' columns and shard, order_key, a row per run of a document's words that one shard gets in one
+    pass, with those words as its text, dealt to shards and in each shard's order. Documents without words are not in it."""
+    rows = drawn(sized(docs, text, source, doc_id), **how)
+    empty = F.expr("cast(array() as array<struct<pass:bigint,word_start:bigint,n_words:bigint,shard:bigint,order_key:bigint>>)")
+
+    def longer(a: Column, x: Column) -> Column:
+        """Neighbouring runs of one pass and shard as one."""
+        last = F.try_element_at(a, F.lit(-1))
+        joins = (F.size(a) > 0) & (last["pass"] == x["pass"]) & (last["shard"] == x["shard"]) & (last["word_start"] + last["n_words"] == x["word_start"])
+        grown = F.struct(last["pass"].alias("pass"), last["word_start"].alias("word_start"), (last["n_words"] + x["n_words"]).alias("n_words"), last["shard"].alias("shard"), last["order_key"].alias("order_key"))
+        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(grown))).otherwise(F.concat(a, F.array(x)))
+
+    body = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
     pattern = r"(?s)([\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"
-    part = F.when(F.col("_run.n_words") == F.col("size"), whole(text)).otherwise(F.array_join(F.slice(F.regexp_extract_all(whole(text), F.lit(pattern), F.lit(1)), (F.col("_run.word_start") + 1).cast("int"), F.col("_run.n_words").cast("int")), ""))
-    out = mixed.select(*keep, text, F.explode(runs).alias("_run")).select(*keep, part.alias(text), F.col("_run.shard").alias("shard"), F.col("_run.order_key").alias("order_key"))
-    return out.repartition("shard").sortWithinPartitions("shard", "order_key")
+    part = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), (F.col("run.word_start") + 1).cast("int"), F.col("run.n_words").cast("int")), "")
+    part = F.when(F.col("run.n_words") == F.col("size"), body).otherwise(part)
+    out = rows.select("doc", "size", F.explode(F.aggregate("pieces", empty, longer)).alias("run")).repartition("run.shard").sortWithinPartitions("run.shard", "run.order_key")
+    keep = [part.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "order_key")]
+    return out.select(*keep, F.col("run.shard").alias("shard"), F.col("run.order_key").alias("order_key"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents, mixed to weights 5, 2, 1 and 150% of all words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["n_words"])
-    return mix(docs).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", taken.alias("taken"))

@@ -33,7 +33,7 @@ from .common import to_batch, whole, written
 
 WINDOW, END, SHARD_DOCS = 2048, 1, 2048
 #: Words, and parts of words, that a worker remembers; only parts go through the tokenizer.
-WORDS_HELD, PARTS_HELD = 500_000, 900_000
+WORDS_HELD, PARTS_HELD = 200_000, 200_000
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Fixed value: the tokenizer's own way of cutting words, which its file states.

@@ -113,6 +113,42 @@ def test_mixing_conserves_quotas(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_against_the_line_of_words(spark):
+    """Each pass takes each word of a source once at most, whole passes all of them; shards get the tree's quotas."""
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(i * 7 % 50)), "en", ("a", "b", None)[i % 3 if i % 2 else 0], 0) for i in range(200)]
+    clash = {"row": 1, "h": 2, "bucket": 3, "doc": 4, "rank": 5, "size": 6, "pieces": 7}
+    docs = spark.createDataFrame(rows, DOCS)
+    for c, x in clash.items():
+        docs = docs.withColumn(c, F.lit(x))
+    texts = mixing.mixed_texts(docs, block_words=16, shard_blocks=8).collect()
+    assert all({c: r[c] for c in clash} == clash for r in texts)
+    taken: dict = {}
+    for r in texts:
+        for w in r["text"].split():
+            taken[w] = taken.get(w, 0) + 1
+    mixed = mixing.mix(docs, block_words=16, shard_blocks=8).collect()
+    for s in ("a", "b", None):
+        own = [r for r in mixed if r["source"] == s]
+        n = [taken.get(w, 0) for r in own for w in r["text"].split()]
+        passes, rest = divmod(round(own[0]["target"]), own[0]["source_size"])
+        assert set(n) <= {passes, passes + 1} and sum(x == passes + 1 for x in n) == rest
+        assert sum(n) == sum(p["n_words"] for r in own for p in r["pieces"])
+    shards = {r["shard"] for r in texts}
+    assert len(shards) > 8 and sorted(map(str, texts)) == sorted(map(str, mixing.mixed_texts(docs.repartition(7), block_words=16, shard_blocks=8).collect()))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 97, 128])
+def test_permutations_are_bijections(spark, n):
+    got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(1), F.lit(2))).collect()]
+    assert sorted(got) == list(range(n)) and (n < 10 or got != list(range(n)))
+
+
+def test_a_permutation_of_1000003_blocks(spark):
+    n = 1_000_003
+    some = spark.range(0, n, 1, 8).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(1), F.lit(2)).alias("x"))
+    assert some.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first() == (n, 0, n - 1)
+
+
 def test_packing_holds_every_token_once(spark):
     docs = odd_docs(spark)
     pieces = packing.pack(docs, TOKENIZER, window=256, shard_docs=4).collect()
@@ -178,6 +214,21 @@ def test_pipeline_keeps_clean_documents(spark):
     assert redacted[7].startswith("[assign] <|endoftext|>") and redacted[0] is None
 
 
+def test_stages_carry_columns_whose_names_clash(spark):
+    import corpus_pipeline
+
+    names = ("size", "shard", "score", "blob", "findings", "mark", "rows", "doc", "body", "_id", "_h", "row", "pieces", "component", "node")
+    docs = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i}", "en", "ab"[i % 2], 0) for i in range(6)], DOCS)
+    for c in names:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.count()
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in names)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.pack_windows(spark, docs.limit(0), SF).count() == 0
+
+
 def test_rows_that_share_an_id_are_copies_by_their_texts_alone(spark):
     import corpus_pipeline
 
