@@ -22,10 +22,12 @@ def status_qualitative(value: Column, printed: Column) -> Column:
 
 
 def status_range(value: Column, of: Column) -> Column:
-    """A value that is a range: contained, wholly outside, or (partly) none."""
-    inf = lambda x, sign: F.coalesce(x, F.lit(sign * float("inf")))
-    low, high = inf(of["low"], -1), inf(of["high"], 1)
-    return F.when(value.isNull() | of.isNull(), "none").when((value["low"] >= low) & (value["high"] <= high), "within").when(value["high"] < low, "below").when(value["low"] > high, "above").otherwise("none")
+    """A value that is a range against a two-sided one: contained, wholly outside, or (partly, or one-sided) none."""
+    above_low, below_high = (value["low"] > of["low"]) | (value["low"] == of["low"]) & ~of["low_open"], (value["high"] < of["high"]) | (value["high"] == of["high"]) & ~of["high_open"]
+    below = (value["high"] < of["low"]) | of["low_open"] & (value["high"] == of["low"])
+    above = (value["low"] > of["high"]) | of["high_open"] & (value["low"] == of["high"])
+    said = F.when(above_low & below_high, "within").when(below, "below").when(above, "above").otherwise("none")
+    return F.when(value.isNull() | of.isNull() | of["low"].isNull() | of["high"].isNull(), "none").otherwise(said)
 
 
 def report_status(number: Column, quality: Column, value_range: Column, printed: Column, printed_quality: Column) -> Column:
@@ -61,12 +63,38 @@ def disjoint(a_low: Column, a_high: Column, b_low: Column, b_high: Column) -> Co
 
 def range_plausible(ours: Column, printed: Column, absolute_low: Column, absolute_high: Column) -> Column:
     """False if the printed range lies beyond what can be, or if every bound that compares is off by more than IMPLAUSIBLE."""
-    ratio = lambda a, b: F.when((a != 0) & (b != 0), F.greatest(F.abs(a / b), F.abs(b / a)))
-    ratios = F.filter(F.array(ratio(ours["low"], printed["low"]), ratio(ours["high"], printed["high"])), lambda r: r.isNotNull())
-    return ~disjoint(absolute_low, absolute_high, printed["low"], printed["high"]) & ~((F.size(ratios) > 0) & F.forall(ratios, lambda r: r > IMPLAUSIBLE))
+    ratio = lambda a, b: F.when((a != 0) & (b != 0), F.greatest(a / b, b / a))
+    low, high = ratio(ours["low"], printed["low"]), ratio(ours["high"], printed["high"])
+    off = (low.isNotNull() | high.isNotNull()) & F.coalesce(low > IMPLAUSIBLE, F.lit(True)) & F.coalesce(high > IMPLAUSIBLE, F.lit(True))
+    return ~disjoint(absolute_low, absolute_high, printed["low"], printed["high"]) & ~off
 
 
 def rounded_bound(x: Column, up: bool, digits: int = 4) -> Column:
     """To significant digits, inwards: low bounds go up and high bounds down."""
     unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (digits - 1))
     return F.when(x == 0, F.lit(0.0)).otherwise((F.ceil(x / unit) if up else F.floor(x / unit)) * unit)
+
+
+# Bounds of entries: struct<any, male, female>, any for both sexes or else null; null without a bound.
+BOUND = "struct<any:double,male:double,female:double>"
+
+
+def bound_for(bound: Column, sex: Column, low: bool) -> Column:
+    """A bound for a sex; the wider of the two where the sex isn't known."""
+    wide = F.least if low else F.greatest
+    by_sex = F.when(sex == "male", bound["male"]).when(sex == "female", bound["female"]).otherwise(wide(bound["male"], bound["female"]))
+    return F.coalesce(bound["any"], by_sex)
+
+
+def resolved_bounds(low: Column, high: Column, bands: Column, sex: Column, age: Column) -> Column:
+    """struct<low, high, used_union> of an entry's bounds, or of its bands (array of struct<age_min, age_max, low, high>):
+    the first band with the age; all bands and sexes together where none has it."""
+    split = lambda b: b.isNotNull() & b["any"].isNull()
+    made = lambda a, z, union: F.struct(a.alias("low"), z.alias("high"), F.coalesce(union, F.lit(False)).alias("used_union"))
+    unknown = ~sex.isin("male", "female")
+    own = lambda a, z: made(bound_for(a, sex, True), bound_for(z, sex, False), (split(a) | split(z)) & unknown)
+    fits = F.filter(bands, lambda x: age.between(x["age_min"], x["age_max"]))
+    least = F.array_min(F.transform(bands, lambda x: F.coalesce(x["low"]["any"], F.least(x["low"]["male"], x["low"]["female"]))))
+    most = F.array_max(F.transform(bands, lambda x: F.coalesce(x["high"]["any"], F.greatest(x["high"]["male"], x["high"]["female"]))))
+    band = F.try_element_at(fits, F.lit(1))
+    return F.when(F.coalesce(F.size(bands), F.lit(0)) <= 0, own(low, high)).when(F.size(fits) > 0, own(band["low"], band["high"])).otherwise(made(least, most, F.lit(True)))

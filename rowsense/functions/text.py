@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: White space of any kind that reports print: Java's own class lacks the last three.
-SPACE = r"[\s\u3000\u00a0\ufeff]+"
+#: Unicode's white space and the byte order mark; Java's own class has ASCII's alone.
+SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = f"[{SPACES}]+"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -16,13 +20,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{SPACE}|{SPACE}$", "")
+
+
 def no_space(x: Column) -> Column:
     return F.regexp_replace(x, SPACE, "")
 
 
 def collapsed(x: Column) -> Column:
     """Runs of white space as one space, none at the ends, lower case."""
-    return F.lower(F.trim(F.regexp_replace(x, SPACE, " ")))
+    return F.lower(F.regexp_replace(trimmed(x), SPACE, " "))
 
 
 def norm_name(x: Column) -> Column:
@@ -42,7 +50,7 @@ def unit_key(x: Column) -> Column:
 
 def norm_flag(x: Column) -> Column:
     """A printed flag: lower case, no white space, neutral marks dropped at both ends only."""
-    return F.regexp_replace(no_space(F.lower(x)), r"^[*.,:;()\[\]]+|[*.,:;()\[\]]+$", "")
+    return F.regexp_replace(no_space(F.lower(x)), r"^[：:．.,()（）\[\]【】]+|[：:．.,()（）\[\]【】]+$", "")
 
 
 def fnv1a(x: Column) -> Column:
@@ -54,3 +62,28 @@ def fnv1a(x: Column) -> Column:
 def client_ip(*headers: Column) -> Column:
     """The first header that names an address: its first part, at most 128 characters; else 'unknown'."""
     return F.substring(F.coalesce(*(F.nullif(F.trim(F.split_part(h, F.lit(","), F.lit(1))), F.lit("")) for h in headers), F.lit("unknown")), 1, 128)
+
+
+@F.pandas_udf(StringType())
+def composed(x: pd.Series) -> pd.Series:
+    """Unicode's composed form, trimmed."""
+    return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t).strip())
+
+
+@F.pandas_udf(StringType())
+def _compatible(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def plain(x: Column) -> Column:
+    """For safety rules: the compatibility form without format characters, fraction slashes as /, white space collapsed."""
+    return F.regexp_replace(trimmed(F.regexp_replace(F.regexp_replace(_compatible(x), r"\p{Cf}", ""), "\u2044", "/")), SPACE, " ")
+
+
+def pseudonym(x: Column, key: bytes, space: str = "") -> Column:
+    """HMAC-SHA256 of an identifier, hex, behind a namespace; the key is at most a block long."""
+    if len(key) > 64:
+        raise ValueError("the key is longer than 64 bytes")
+    pad = lambda b: F.unhex(F.lit("".join(f"{(k ^ b):02x}" for k in key.ljust(64, b"\0"))))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(x, "UTF-8")), 256))
+    return F.concat(F.lit(space), F.sha2(F.concat(pad(0x5C), inner), 256))

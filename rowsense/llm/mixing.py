@@ -206,11 +206,15 @@ def mixed_texts(docs: DataFrame, text: str = "text", source: str = "source", doc
 
     body = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
     pattern = r"(?s)([\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"
-    part = F.array_join(F.slice(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), (F.col("run.word_start") + 1).cast("int"), F.col("run.n_words").cast("int")), "")
-    part = F.when(F.col("run.n_words") == F.col("size"), body).otherwise(part)
-    out = rows.select("doc", "size", F.explode(F.aggregate("pieces", empty, longer)).alias("run")).repartition("run.shard").sortWithinPartitions("run.shard", "run.order_key")
-    keep = [part.alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "order_key")]
-    return out.select(*keep, F.col("run.shard").alias("shard"), F.col("run.order_key").alias("order_key"))
+    # A text that is cut is read into words once; runs leave with their own words alone.
+    joined = lambda ws, x: F.array_join(F.slice(ws, (x["word_start"] + 1).cast("int"), x["n_words"].cast("int")), "")
+    placed = lambda x, part: F.struct(x["shard"].alias("shard"), x["order_key"].alias("order_key"), part.alias("text"))
+    cut = F.exists("runs", lambda x: x["n_words"] < F.col("size"))
+    parts = F.when(cut, _bound(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda ws: F.transform("runs", lambda x: placed(x, joined(ws, x))))).otherwise(F.transform("runs", lambda x: placed(x, body)))
+    rows = rows.select("doc", "size", body.alias("body"), F.aggregate("pieces", empty, longer).alias("runs")).select("doc", F.explode(parts).alias("run"))
+    keep = [F.col("run.text").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "order_key")]
+    out = rows.select(*keep, F.col("run.shard").alias("shard"), F.col("run.order_key").alias("order_key"))
+    return out.repartition("shard").sortWithinPartitions("shard", "order_key")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+#: What ends a clause.
+CLAUSE_ENDS = r"[。；;!?！？\n]|(?<![0-9])[.,]|[.,](?![0-9])|但是|但|而|及|和|，|(?i:\band\b|\bbut\b)"
 #: Units of doses, longest first.
 UNITS = ("tablets", "tablet", "capsules", "capsule", "units", "drops", "mcg", "ug", "mg", "ml", "kg", "iu", "g", "l")
 
 
 def clauses(x: Column) -> Column:
     """Parts between sentence marks, commas and points outside numbers, and the words and, but; no empty ones."""
-    parts = F.split(x, r"[。；;!?！？\n]|(?<![0-9])[.,]|[.,](?![0-9])|但是|但|而|及|和|，|(?i:\band\b|\bbut\b)")
-    return F.filter(F.transform(parts, F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(x, CLAUSE_ENDS), lambda c: trimmed(c)), lambda c: c != "")
 
 
 def numbers(x: Column) -> Column:
@@ -41,10 +44,5 @@ def has_term(x: Column, term: str) -> Column:
     return low.rlike(rf"(?<![a-z0-9])\Q{term.lower()}\E(?![a-z0-9])")
 
 
-def negated(x: Column) -> Column:
-    """Clauses that hold a word of negation."""
-    return F.filter(clauses(x), lambda c: c.rlike(r"(?i)(?<![a-z0-9])(no|not|without|denies|never|absent)(?![a-z0-9])|无|未|没有|否认"))
-
-
 def language(x: Column) -> Column:
     return F.when(x.rlike(r"[\u4e00-\u9fff]"), "zh").otherwise("en")

@@ -10,6 +10,7 @@ from itertools import groupby
 from statistics import median
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -95,3 +96,100 @@ def bind_cells(cells: DataFrame) -> DataFrame:
         return [(c["page_id"], c["cell_id"], k, a) for c, k, a in zip(cs, column, _anchors(cs, column), strict=True)]
 
     return _by_page(cells, make, schema, "page_id long, cell_id long, column long, anchor long")
+
+
+#: A table has at least so many rows, such a share of its cells in rows, and of a column's cells that are results.
+ROWS, IN_ROWS, RESULTS, SHORT = 3, 0.7, 0.6, 6
+FIELDS = ("name", "value", "unit", "printed_range")
+
+
+def is_result(text: str) -> bool:
+    """A short text with a digit."""
+    return len(text.strip()) <= 24 and any(c in "0123456789" for c in text)
+
+
+def _result_column(texts: list[str]) -> bool:
+    if sum(map(is_result, texts)) >= RESULTS * len(texts):
+        return True
+    short = [t.strip() for t in texts if 0 < len(t.strip()) <= SHORT]
+    return len(short) >= RESULTS * len(texts) and len(set(short)) <= 0.5 * len(short)
+
+
+def _structure(cells: list[dict]) -> tuple[int, int, bool, str]:
+    column = _columns(cells)
+    columns = max(column) + 1
+    if columns < 2:
+        return columns, 0, False, "one column"
+    half = 0.5 * sum(c["height"] for c in cells) / len(cells)
+    lines: list[tuple[float, set[int]]] = []
+    for i in sorted(range(len(cells)), key=lambda i: column[i]):
+        middle = cells[i]["y"] + cells[i]["height"] / 2
+        line = next((x for x in lines if abs(x[0] - middle) <= half), None)
+        if line is None:
+            lines.append((middle, {column[i]}))
+        else:
+            line[1].add(column[i])
+    aligned = [of for _, of in lines if len(of) > 1]
+    results = any(_result_column([c["text"] or "" for c, k in zip(cells, column, strict=True) if k == n]) for n in range(1, columns))
+    if len(aligned) < ROWS:
+        why = "few rows"
+    elif sum(map(len, aligned)) < IN_ROWS * len(cells):
+        why = "scattered"
+    else:
+        why = "" if results else "no results"
+    return columns, len(aligned), results, why
+
+
+def table_structure(cells: DataFrame) -> DataFrame:
+    """page_id, columns, aligned_rows, has_results, reason (empty if the page is a table) of each page that has cells."""
+    schema = pa.schema([("page_id", pa.int64()), ("columns", pa.int64()), ("aligned_rows", pa.int64()), ("has_results", pa.bool_()), ("reason", pa.string())])
+    return _by_page(cells, lambda cs: [(cs[0]["page_id"], *_structure(cs))], schema, "page_id long, columns long, aligned_rows long, has_results boolean, reason string")
+
+
+def _claimed(rows: list[dict], cells: list[dict]) -> Iterator[tuple[int, str, str]]:
+    """ord, field and problem. Each printed text serves as many claims as it is printed, the nearest to its row's name first."""
+    norm = lambda t: "".join((t or "").lower().split())
+    middle = lambda c: c["y"] + c["height"] / 2
+    free: dict[str, list[dict]] = {}
+    for c in cells:
+        if norm(c["text"]):
+            free.setdefault(norm(c["text"]), []).append(c)
+    found: list[dict[str, dict]] = []
+    for r in rows:
+        mine: dict[str, dict] = {}
+        for f in FIELDS:
+            key = norm(r[f])
+            if not key:
+                continue
+            if not free.get(key):
+                yield r["ord"], f, "reused-cell" if key in free else "not-on-page"
+                continue
+            at = min(range(len(free[key])), key=lambda i: abs(middle(free[key][i]) - middle(mine["name"])) if "name" in mine else i)
+            mine[f] = free[key].pop(at)
+        found.append(mine)
+    half = 0.5 * median(c["height"] for c in cells)
+    away = lambda m, f: middle(m[f]) - middle(m["name"])
+    for f in FIELDS[1:]:
+        both = [(r, m) for r, m in zip(rows, found, strict=True) if f in m and "name" in m]
+        if both:
+            usual = median(away(m, f) for _, m in both)
+            for r, m in both:
+                if abs(away(m, f) - usual) > half:
+                    yield r["ord"], f, "incoherent-band"
+
+
+def verify_rows(claims: DataFrame, cells: DataFrame) -> DataFrame:
+    """page_id, ord, field, problem of claims (page_id, ord, name, value, unit, printed_range) that a page's cells don't bear
+    out; a claim on a page without cells is 'unverifiable' (no field)."""
+
+    def check(rows: pd.DataFrame, on_page: pd.DataFrame) -> pd.DataFrame:
+        claimed = rows.astype(object).where(rows.notna(), None).sort_values("ord").to_dict("records")
+        cs = on_page.astype(object).where(on_page.notna(), None).sort_values(["y", "x", "cell_id"]).to_dict("records")
+        if not cs:
+            out = [(r["ord"], None, "unverifiable") for r in claimed]
+        else:
+            out = list(_claimed(claimed, cs)) if claimed else []
+        page = claimed[0]["page_id"] if claimed else None
+        return pd.DataFrame([(page, *o) for o in out], columns=["page_id", "ord", "field", "problem"])
+
+    return claims.groupBy("page_id").cogroup(cells.groupBy("page_id")).applyInPandas(check, "page_id long, ord long, field string, problem string")

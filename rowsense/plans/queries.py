@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals, parse, text
-from ..operators import entities, geometry, lookup, metrics, reconcile, rules
+from ..operators import entities, evaluation, geometry, lookup, metrics, notes, quality, reconcile, rules
 from ..streaming import limits
 
 #: Derived columns, the same text for Spark and SQL.
 QUANTITY = "cast(cast(l_quantity as int) as string)"
-VALUE = f"concat({QUANTITY}, case l_partkey % 9 when 0 then ' H' when 1 then '↑' when 2 then 'x' when 3 then '.5' else '' end)"
+VALUE = f"concat({QUANTITY}, case l_partkey % 9 when 0 then ' H' when 1 then '↑' when 2 then 'x' when 3 then '.5' when 4 then '.' when 5 then '\u3000' when 6 then '\u00a0h' else '' end)"
 RANGE = "case l_suppkey % 9 when 0 then '5-30' when 1 then '<20' when 2 then '>= 10' when 3 then '10 ~ 40' when 4 then '-3.0--1.0' when 5 then '0--25' when 6 then '≤15' when 7 then '25–12' else '' end"
 UNIT = "case l_partkey % 5 when 0 then 'mg/dL' when 1 then ' MG / dl' when 2 then 'µmol/L' when 3 then '(μmol/l)' else '*10^9/L' end"
-FLAG = "case event_id % 10 when 0 then ' H ' when 1 then '↓' when 2 then 'H/L' when 3 then 'abnormal' when 4 then '(low)' when 5 then 'L-H' when 6 then 'HH' when 7 then '高' when 8 then 'x' else '*h' end"
-QUALITY = "case o_orderkey % 8 when 0 then ' Negative' when 1 then 'POS' when 2 then '±' when 3 then 'Not  Detected' when 4 then '阴性' when 5 then 'reactive' when 6 then 'maybe' else 'trace' end"
+FLAG = "case event_id % 14 when 0 then ' H ' when 1 then '↓' when 2 then 'H/L' when 3 then 'abnormal' when 4 then '(low)' when 5 then 'L-H' when 6 then 'HH' when 7 then '高' when 8 then 'x' when 9 then '*H' when 10 then ' * ' when 11 then '增高' when 12 then '【减低】' else 'H?' end"
+QUALITY = "case o_orderkey % 14 when 0 then ' Negative' when 1 then 'POS' when 2 then '±' when 3 then 'Not  Detected' when 4 then '阴性' when 5 then 'reactive' when 6 then 'maybe' when 7 then 'trace' when 8 then '++' when 9 then '未检出' when 10 then 'Absent' when 11 then '+/-' when 12 then '检出' else 'nil' end"
 SEX = "case l_returnflag when 'R' then 'male' when 'A' then 'female' else 'unknown' end"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 N = parse.NUMBER
 BARE = "regexp_replace(r, '\\s', '', 'g')"
-TWO = ", ".join(f"{{'lo': try_cast(nullif(regexp_extract(b, '^({N}){s}({N})$', 1), '') as double), 'hi': try_cast(nullif(regexp_extract(b, '^({N}){s}({N})$', 2), '') as double)}}" for s in parse.SEPARATORS)
+TWO = ", ".join(f"{{'lo': try_cast(nullif(regexp_extract(b, '^({N}){s}({N})$', 1), '') as double), 'hi': try_cast(nullif(regexp_extract(b, '^({N}){s}({N})$', 2), '') as double)}}" for s in ("--", "[-~–—]"))
 RANGE_SQL = f"""
 r0 AS (SELECT *, {RANGE} AS r FROM lineitem), r1 AS (SELECT *, {BARE} AS b FROM r0),
 r2 AS (SELECT *, list_distinct(list_filter([{TWO}], lambda p: p.lo <= p.hi)) AS two,
@@ -57,7 +57,7 @@ r3 AS (SELECT *, len(two) AS readings, CASE WHEN len(two) = 1 THEN two[1].lo WHE
 SELECT l_returnflag, CASE WHEN low IS NULL AND high IS NULL THEN 'none' WHEN l_quantity < low OR (low_open AND l_quantity = low) THEN 'below'
   WHEN l_quantity > high OR (high_open AND l_quantity = high) THEN 'above' ELSE 'within' END AS status, count(*)::BIGINT AS n FROM r3 GROUP BY 1, 2""")
 def printed_range_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", parse.parse_range(F.expr(RANGE)).alias("of"))
+    rows = parse.with_ranges(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", F.expr(RANGE).alias("r")), "r")
     return rows.groupBy("l_returnflag", intervals.status(F.col("l_quantity"), F.col("of")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -68,7 +68,7 @@ def printed_range_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RANGE_SQL}, v AS (SELECT *, l_quantity AS a, l_quantity + 5 AS z FROM r3)
-SELECT CASE WHEN low IS NULL AND high IS NULL THEN 'none' WHEN a >= coalesce(low, '-inf'::DOUBLE) AND z <= coalesce(high, 'inf'::DOUBLE) THEN 'within' WHEN z < low THEN 'below' WHEN a > high THEN 'above' ELSE 'none' END AS status, count(*)::BIGINT AS n FROM v GROUP BY 1""")
+SELECT CASE WHEN low IS NULL OR high IS NULL THEN 'none' WHEN a >= low AND z <= high THEN 'within' WHEN z < low THEN 'below' WHEN a > high THEN 'above' ELSE 'none' END AS status, count(*)::BIGINT AS n FROM v GROUP BY 1""")
 def range_vs_range_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = parse.parse_value_range(F.expr(f"concat({QUANTITY}, '-', cast(cast(l_quantity as int) + 5 as string))"))
     rows = table(spark, sf_dir, "lineitem").select(value.alias("v"), parse.parse_range(F.expr(RANGE)).alias("of"))
@@ -76,13 +76,13 @@ def range_vs_range_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH v AS (SELECT l_partkey % 9 AS kind, {VALUE} AS t FROM lineitem)
-SELECT kind, count(*) FILTER (regexp_full_match(t, '[+-]?[0-9]+(\\.[0-9]+)?'))::BIGINT AS strict, count(*) FILTER (regexp_full_match(regexp_replace(trim(t), '(?i)\\s*[↑↓HL]+$', ''), '{N}'))::BIGINT AS lenient, count(*)::BIGINT AS n FROM v GROUP BY 1""")
+SELECT kind, count(*) FILTER (kind IN (3, 5, 7, 8))::BIGINT AS strict, count(*) FILTER (kind NOT IN (2, 4))::BIGINT AS lenient, count(*)::BIGINT AS n FROM v GROUP BY 1""")
 def scalar_parse_strictness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 9).alias("kind"), F.expr(VALUE).alias("t"))
     return rows.groupBy("kind").agg(F.count(parse.parse_value(F.col("t"))).alias("strict"), F.count(parse.parse_scalar(F.col("t"))).alias("lenient"), F.count(F.lit(1)).alias("n"))
 
 
-QUALITY_SQL = "CASE WHEN q IN ('negative', 'neg', 'not detected', '阴性') THEN 'negative' WHEN q IN ('pos', 'positive', 'reactive') THEN 'positive' WHEN q IN ('trace', '±') THEN 'trace' END"
+QUALITY_SQL = "CASE WHEN q IN ('absent', 'negative', 'not detected', 'nil', '-', '阴性', '未检出') THEN 'negative' WHEN q IN ('present', 'positive', '+', '++', '+++', '阳性', '检出') THEN 'positive' WHEN q IN ('trace', '±', '+/-', '微量') THEN 'trace' END"
 
 
 @query(f"""WITH q AS (SELECT o_orderstatus, lower(trim(regexp_replace({QUALITY}, '\\s+', ' ', 'g'))) AS q FROM orders), p AS (SELECT o_orderstatus, {QUALITY_SQL} AS v FROM q)
@@ -92,7 +92,7 @@ def qualitative_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT event_type, CASE WHEN event_id % 10 IN (0, 6, 7, 9) THEN 'high' WHEN event_id % 10 IN (1, 4) THEN 'low' WHEN event_id % 10 IN (2, 3, 5) THEN 'abnormal' END AS direction, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type, CASE WHEN event_id % 14 IN (0, 7, 11) THEN 'high' WHEN event_id % 14 IN (1, 4, 12) THEN 'low' WHEN event_id % 14 IN (2, 5, 10) THEN 'abnormal' END AS direction, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""")
 def printed_flag_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", parse.flag_direction(F.expr(FLAG)).alias("direction")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -104,11 +104,14 @@ def unit_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(text.norm_unit(F.col("u")).alias("unit"), text.unit_key(F.col("u")).alias("unit_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH u AS (SELECT unnest(['mg/dl', 'mg/dI', 'g/l', 'MG/DL', 'g/i', 'umol/l']) AS unit), k AS (SELECT DISTINCT lower(unit) AS unit, translate(lower(unit), 'io', 'l0') AS unit_key FROM u)
-SELECT unit_key, count(*)::BIGINT AS n FROM k GROUP BY 1 HAVING count(*) > 1""")
+SCANNED = "case l_partkey % 7 when 0 then 'mg/dL' when 1 then 'mg/dI' when 2 then ' g/L' when 3 then 'g/i' when 4 then 'µmol/l' when 5 then 'umo1/L' else 'mmol/L' end"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT lower(replace(replace({SCANNED}, ' ', ''), 'µ', 'u')) AS unit FROM lineitem)
+SELECT translate(unit, 'io', 'l0') AS unit_key, array_to_string(list_sort(list(unit)), ' ') AS units FROM u GROUP BY 1 HAVING count(*) > 1""")
 def unit_key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = spark.createDataFrame([(x,) for x in ("mg/dl", "mg/dI", "g/l", "MG/DL", "g/i", "umol/l")], "unit string")
-    return lookup.unit_collisions(units).select("unit_key", F.size("units").cast("long").alias("n"))
+    units = table(spark, sf_dir, "lineitem").select(F.expr(SCANNED).alias("unit"))
+    return lookup.unit_collisions(units).select("unit_key", F.array_join("units", " ").alias("units"))
 
 
 @query("""SELECT p_brand, count(*) FILTER (l_partkey % 5 IN (0, 1))::BIGINT AS converted, coalesce(sum(CASE WHEN l_partkey % 5 IN (0, 1) THEN l_quantity * 4 END), 0)::BIGINT AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
@@ -142,15 +145,19 @@ def scoped_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.scoped_lookup(rows, dimension(spark, sf_dir)).groupBy((F.col("p_partkey") % 2).alias("kind")).agg(F.count("key").alias("matched"), F.count(F.lit(1)).alias("n"))
 
 
+ASKED = "case p_partkey % 5 when 0 then upper(p_name) when 1 then concat('血清', p_name, '测定') when 2 then 'none such here' when 3 then concat(' ', p_name, '.') else concat(p_name, '（尿）') end"
+
+
 @query("""WITH s AS (SELECT p_name, max(p_size) AS s FROM part GROUP BY 1), x AS (
-  SELECT p_partkey % 4 AS kind, p_partkey % 3 AS spec, (s % 2 = 0) AS blood FROM part JOIN s USING (p_name))
-SELECT kind, CASE WHEN kind = 2 THEN 'unmatched' WHEN spec = 0 THEN CASE WHEN kind = 1 THEN 'candidate' ELSE 'direct' END
-  WHEN (spec = 1) = blood THEN 'scoped' ELSE 'unmatched' END AS matched_by, count(*)::BIGINT AS n FROM x GROUP BY 1, 2""")
+  SELECT p_partkey % 5 AS kind, CASE p_partkey % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'blood' ELSE 'urine' END AS given, CASE WHEN s % 2 = 0 THEN 'blood' ELSE 'urine' END AS own, s % 3 = 0 AS scoped FROM part JOIN s USING (p_name)),
+y AS (SELECT *, CASE kind WHEN 1 THEN 'blood' WHEN 4 THEN 'urine' END AS told FROM x), z AS (SELECT *, coalesce(told, given) AS e FROM y)
+SELECT kind, CASE WHEN kind = 2 OR (told IS NOT NULL AND given <> 'unknown' AND told <> given) THEN 'unmatched' WHEN e = 'unknown' THEN 'direct' WHEN e <> own THEN 'unmatched'
+  WHEN scoped THEN 'scoped' WHEN told IS NOT NULL THEN 'candidate' ELSE 'direct' END AS matched_by, count(*)::BIGINT AS n FROM z GROUP BY 1, 2""")
 def lookup_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    printed = F.expr(PRINTED.replace("concat('x', p_name)", "'none such here'"))
     specimen = F.when(F.col("p_partkey") % 3 == 0, "unknown").when(F.col("p_partkey") % 3 == 1, "blood").otherwise("urine")
-    rows = table(spark, sf_dir, "part").select("p_partkey", printed.alias("name"), specimen.alias("specimen"))
-    return lookup.lookup_cascade(rows, dimension(spark, sf_dir)).groupBy((F.col("p_partkey") % 4).alias("kind"), "matched_by").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(ASKED).alias("name"), specimen.alias("specimen"))
+    scoped = F.when(F.col("ord") % 3 == 0, F.array("key")).otherwise(F.array().cast("array<string>"))
+    return lookup.lookup_cascade(rows, dimension(spark, sf_dir).withColumn("scoped_names", scoped)).groupBy((F.col("p_partkey") % 5).alias("kind"), "matched_by").agg(F.count(F.lit(1)).alias("n"))
 
 
 BOUNDS_SQL = "CASE WHEN l_returnflag = 'R' THEN p_size % 10 + 5 WHEN l_returnflag = 'A' THEN p_size % 10 + 3 ELSE p_size % 10 + 3 END AS low, CASE WHEN l_returnflag = 'R' THEN p_size % 10 + 30 WHEN l_returnflag = 'A' THEN p_size % 10 + 25 ELSE p_size % 10 + 30 END AS high"
@@ -171,49 +178,60 @@ def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     d = lambda x: F.lit(float(x))
     ours = F.struct((F.col("p_size") % 10 + 5).cast("double").alias("low"), (F.col("p_size") % 10 + 30).cast("double").alias("high"), F.lit(False).alias("low_open"), F.lit(False).alias("high_open"))
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", F.expr(VALUE).alias("t"), F.expr(RANGE).alias("r")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return rules.evaluate(rows.select(
-        "l_returnflag", F.when(F.col("l_partkey") % 11 != 0, F.col("p_name")).alias("key"), (F.col("l_partkey") % 13 == 0).alias("report_only"), (F.col("l_partkey") % 7 != 0).alias("unit_fits"),
-        parse.parse_scalar(F.col("t")).alias("value"), parse.parse_scalar(F.col("t")).isNotNull().alias("value_parsed"), F.when(F.col("l_linestatus") == "F", "low").otherwise("high").alias("confidence"),
-        (F.col("p_size") % 4 == 0).alias("high_stakes"), (F.col("p_size") % 5 == 0).alias("sensitive"), ours.alias("ours"), parse.parse_range(F.col("r")).alias("printed"), d(-100).alias("absolute_low"), d(49).alias("absolute_high"),
-        d(3).alias("critical_low"), d(45).alias("critical_high"), F.expr(SEX).alias("sex"), F.lit(False).alias("has_ages"), (F.col("l_suppkey") % 17 != 0).alias("scope_fits"),
-    ))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", F.expr(VALUE).alias("text"), F.expr(RANGE).alias("range_text"), F.expr(UNIT).alias("unit")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    # Values print with few endings, so they too are parsed once a text.
+    texts = rows.select("text").distinct().select(F.col("text").alias("_t"), parse.parse_scalar(F.col("text")).alias("value"))
+    rows = parse.with_ranges(rows, "range_text", "printed").join(texts, F.col("text") == F.col("_t"), "left").drop("_t")
+    allowed = F.when(F.col("l_partkey") % 7 == 0, F.array(F.lit("IU/L"))).otherwise(F.array(F.lit("mg/dl"), F.lit("umol/l"), F.lit("x10^9/l")))
+    negative = F.when(F.col("l_partkey") % 3 == 0, -F.col("value")).otherwise(F.col("value"))
+    entries = rows.select(
+        "l_returnflag", F.col("l_suppkey").alias("supplier"), "text", "range_text", "unit", negative.alias("value"), "printed", ours.alias("ours"), allowed.alias("allowed_units"), F.lit(False).alias("unit_optional"), F.lit("mg/dl").alias("entry_unit"),
+        F.when(F.col("l_partkey") % 11 != 0, F.col("p_name")).alias("key"), (F.col("l_partkey") % 13 == 0).alias("report_only"), (F.col("l_partkey") % 19 == 0).alias("measurement"), (F.col("l_suppkey") % 17 == 0).alias("scoped"),
+        F.when(F.col("l_linestatus") == "F", "low").otherwise("high").alias("confidence"), (F.col("p_size") % 4 == 0).alias("high_stakes"), (F.col("p_size") % 5 == 0).alias("sensitive"),
+        F.when(F.col("l_suppkey") % 2 == 0, d(-100)).otherwise(d(0)).alias("absolute_low"), d(49).alias("absolute_high"), d(3).alias("critical_low"), d(45).alias("critical_high"), F.expr(SEX).alias("sex"), F.lit(False).alias("has_ages"),
+    )
+    return rules.evaluate(rules.predicates(entries))
 
 
 RULED_SQL = f"""{RANGE_SQL}, f AS (
-  SELECT r3.*, p_size, {VALUE} AS t, try_cast(CASE WHEN l_partkey % 9 = 2 THEN NULL ELSE {QUANTITY} || CASE l_partkey % 9 WHEN 3 THEN '.5' ELSE '' END END AS DOUBLE) AS v,
-    (p_size % 10 + 5)::DOUBLE AS ol, (p_size % 10 + 30)::DOUBLE AS oh, low IS NOT NULL OR high IS NOT NULL AS pr FROM r3 JOIN part ON l_partkey = p_partkey),
-g AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN v < 3 THEN 'c' WHEN v > 45 THEN 'c' WHEN v < ol THEN 'l' WHEN v > oh THEN 'h' ELSE 'n' END AS kind,
-  coalesce(list_filter([CASE WHEN low <> 0 THEN greatest(abs(ol / low), abs(low / ol)) END, CASE WHEN high <> 0 THEN greatest(abs(oh / high), abs(high / oh)) END], lambda x: x IS NOT NULL), []) AS ratios,
+  SELECT r3.*, p_size, l_partkey % 3 = 0 AS minus, try_cast(CASE WHEN l_partkey % 9 IN (2, 4) THEN NULL ELSE {QUANTITY} || CASE l_partkey % 9 WHEN 3 THEN '.5' ELSE '' END END AS DOUBLE) AS plus,
+    (p_size % 10 + 5)::DOUBLE AS ol, (p_size % 10 + 30)::DOUBLE AS oh, low IS NOT NULL OR high IS NOT NULL AS pr, CASE WHEN l_suppkey % 2 = 0 THEN -100 ELSE 0 END AS least FROM r3 JOIN part ON l_partkey = p_partkey),
+g AS (SELECT *, CASE WHEN minus THEN -plus ELSE plus END AS v, coalesce(abs(ol - low) > ol * 0.15, false) OR coalesce(abs(oh - high) > oh * 0.15, false) AS off,
+  list_filter([CASE WHEN low <> 0 THEN greatest(ol / low, low / ol) END, CASE WHEN high <> 0 THEN greatest(oh / high, high / oh) END], lambda x: x IS NOT NULL) AS ratios FROM f),
+h AS (SELECT *, CASE WHEN v IS NULL THEN NULL WHEN v < 3 OR v > 45 THEN 'c' WHEN v < ol THEN 'l' WHEN v > oh THEN 'h' ELSE 'n' END AS kind,
   CASE WHEN v IS NULL THEN 'none' WHEN v < ol THEN 'below' WHEN v > oh THEN 'above' ELSE 'within' END AS so,
-  CASE WHEN v IS NULL OR NOT pr THEN 'none' WHEN v < low OR (low_open AND v = low) THEN 'below' WHEN v > high OR (high_open AND v = high) THEN 'above' ELSE 'within' END AS sp FROM f),
-h AS (SELECT *, pr AND ((len(ratios) > 0 AND len(list_filter(ratios, lambda x: x > 10)) = len(ratios)) OR coalesce(49 < low, false) OR coalesce(high < -100, false)) AS suspect,
+  CASE WHEN v IS NULL OR NOT pr THEN 'none' WHEN v < low OR (low_open AND v = low) THEN 'below' WHEN v > high OR (high_open AND v = high) THEN 'above' ELSE 'within' END AS sp,
+  pr AND ((len(ratios) > 0 AND len(list_filter(ratios, lambda x: x > 10)) = len(ratios)) OR coalesce(49 < low, false) OR coalesce(high < least, false)) AS suspect,
   pr AND (coalesce(oh < low, false) OR coalesce(high < ol, false)) AS apart FROM g),
+j AS (SELECT *, so <> sp AND so <> 'none' AND sp <> 'none' AS flips FROM h),
 k AS (SELECT *, list_filter([
-  CASE WHEN l_partkey % 11 = 0 THEN 1 END, CASE WHEN l_suppkey % 17 = 0 THEN 2 END, CASE WHEN l_partkey % 13 = 0 THEN 3 END, CASE WHEN l_partkey % 7 = 0 THEN 4 END, CASE WHEN v > 49 THEN 5 END,
-  CASE WHEN kind = 'c' THEN 6 END, CASE WHEN p_size % 4 = 0 AND kind IN ('l', 'h') THEN 7 END, CASE WHEN l_linestatus = 'F' OR v IS NULL THEN 8 END, CASE WHEN p_size % 4 = 0 THEN 9 END, CASE WHEN suspect THEN 10 END,
-  CASE WHEN NOT suspect AND apart THEN 11 END,
-  CASE WHEN NOT suspect AND NOT apart AND pr AND ((so <> sp AND so <> 'none' AND sp <> 'none') OR coalesce(abs(ol - low) > ol * 0.15, false) OR coalesce(abs(oh - high) > oh * 0.15, false)) THEN 12 END,
-  CASE WHEN p_size % 5 = 0 AND l_returnflag NOT IN ('R', 'A') THEN 13 END], lambda x: x IS NOT NULL) AS hits FROM h),
-m AS (SELECT *, coalesce(list_min(list_filter(hits, lambda x: x <= 5)), 99) AS stop FROM k), w AS (SELECT *, list_filter(hits, lambda x: x <= stop) AS flags FROM m)"""
-NAMED = "[" + ", ".join(f"'{r[0]}'" for r in rules.RULES) + "]"
+  CASE WHEN l_partkey % 11 = 0 THEN 1 END, CASE WHEN l_partkey % 19 = 0 AND l_partkey % 7 = 0 THEN 2 END,
+  CASE WHEN l_suppkey % 17 = 0 AND CASE WHEN l_partkey % 13 = 0 THEN l_partkey % 7 = 0 WHEN pr THEN off ELSE l_partkey % 7 = 0 END THEN 3 END,
+  CASE WHEN l_partkey % 13 = 0 AND l_linestatus = 'F' THEN 4 END, CASE WHEN l_partkey % 13 = 0 THEN 5 END, CASE WHEN l_partkey % 7 = 0 THEN 6 END, CASE WHEN v > 49 OR v < least THEN 7 END,
+  CASE WHEN kind = 'c' THEN 8 END, CASE WHEN p_size % 4 = 0 AND kind IN ('l', 'h') THEN 9 END, CASE WHEN l_linestatus = 'F' OR v IS NULL OR (v < 0 AND least >= 0) THEN 10 END, CASE WHEN p_size % 4 = 0 THEN 11 END, CASE WHEN suspect THEN 12 END,
+  CASE WHEN NOT suspect AND apart THEN 13 END, CASE WHEN NOT suspect AND pr AND (flips OR off) THEN 14 END,
+  CASE WHEN p_size % 5 = 0 AND l_returnflag NOT IN ('R', 'A') THEN 15 END], lambda x: x IS NOT NULL) AS hits FROM j),
+m AS (SELECT *, coalesce(list_min(list_filter(hits, lambda x: x IN (1, 2, 3, 5, 6, 7))), 99) AS stop FROM k), w AS (SELECT *, list_filter(hits, lambda x: x <= stop) AS flags FROM m)"""
+NAMED = "[" + ", ".join(f"'{r[0].split(' (')[0]}'" for r in rules.RULES) + "]"
 
+SEVERE = "[" + ", ".join(str(r[1]) for r in rules.RULES) + "]"
 
-@query(f"WITH {RULED_SQL}, e AS (SELECT l_returnflag, unnest(flags) AS i FROM w) SELECT l_returnflag, ({NAMED})[i] AS rule, count(*)::BIGINT AS n FROM e GROUP BY 1, 2")
+
+@query(f"WITH {RULED_SQL}, e AS (SELECT l_returnflag, flips, unnest(flags) AS i FROM w) SELECT l_returnflag, ({NAMED})[i] AS rule, ({SEVERE})[i] + CASE WHEN i = 14 AND flips THEN 1 ELSE 0 END AS severity, count(*)::BIGINT AS n FROM e GROUP BY 1, 2, 3")
 def rule_engine_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ruled(spark, sf_dir).select("l_returnflag", F.explode("flags.id").alias("rule")).groupBy("l_returnflag", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return ruled(spark, sf_dir).select("l_returnflag", F.explode("flags").alias("f")).groupBy("l_returnflag", F.col("f.id").alias("rule"), F.col("f.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {RULED_SQL}, c AS (SELECT *, len(list_filter(flags, lambda x: x IN (1, 2, 4, 5))) > 0 AS abstained, len(list_filter(flags, lambda x: x IN (5, 8, 9, 10))) > 0 OR (p_size % 4 = 0 AND len(list_filter(flags, lambda x: x IN (3, 4))) > 0) AS confirm FROM w),
+@query(f"""WITH {RULED_SQL}, c AS (SELECT *, len(list_filter(flags, lambda x: x IN (1, 2, 3, 6, 7))) > 0 AS abstained, len(list_filter(flags, lambda x: x IN (4, 7, 10, 11, 12))) > 0 OR (p_size % 4 = 0 AND len(list_filter(flags, lambda x: x IN (5, 6))) > 0) AS confirm FROM w),
 t AS (SELECT count(*) FILTER (NOT abstained)::BIGINT AS emitted, count(*) FILTER (confirm)::BIGINT AS confirmed FROM c), e AS (SELECT unnest(flags) AS i FROM c WHERE confirm)
 SELECT ({NAMED})[i] AS rule, count(*)::BIGINT AS n, any_value(emitted) AS emitted, any_value(confirmed) AS confirmed FROM e, t GROUP BY 1""")
 def confirm_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.confirm_burden(ruled(spark, sf_dir))
 
 
-@query(f"""WITH {RULED_SQL}, c AS (SELECT *, len(list_filter(flags, lambda x: x IN (1, 2, 4, 5))) > 0 AS abstained FROM w)
+@query(f"""WITH {RULED_SQL}, c AS (SELECT *, len(list_filter(flags, lambda x: x IN (1, 2, 3, 6, 7))) > 0 AS abstained FROM w)
 SELECT CASE WHEN abstained OR v IS NULL THEN 'unclassified' WHEN kind = 'c' THEN CASE WHEN v < 3 THEN 'critical-low' ELSE 'critical-high' END WHEN kind = 'l' THEN 'low' WHEN kind = 'h' THEN 'high' ELSE 'normal' END AS classification, sp AS chip,
-  CASE WHEN len(flags) = 0 OR (len(flags) = 1 AND flags[1] = 3) THEN 'none' WHEN 6 IN flags THEN 'urgent' WHEN len(list_filter(flags, lambda x: x IN (1, 2, 4, 5, 7, 8, 10, 11))) > 0 THEN 'caution' ELSE 'info' END AS action, count(*)::BIGINT AS n FROM c GROUP BY 1, 2, 3""")
+  CASE WHEN len(list_filter(flags, lambda x: x <> 5)) = 0 THEN 'none' WHEN list_contains(flags, 8) THEN 'urgent' WHEN len(list_filter(flags, lambda x: x NOT IN (5, 11, 14, 15))) > 0 OR (flips AND list_contains(flags, 14)) THEN 'caution' ELSE 'info' END AS action, count(*)::BIGINT AS n FROM c GROUP BY 1, 2, 3""")
 def summary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ruled(spark, sf_dir)
     return rows.groupBy("classification", intervals.status(F.col("value"), F.col("printed")).alias("chip"), "action").agg(F.count(F.lit(1)).alias("n"))
@@ -329,10 +347,139 @@ def number_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(x).alias("n_numbers"), F.sha2(F.array_join(F.array_sort(x), "|"), 256).alias("multiset"))
 
 
-@query()
+CLAUSES_SQL = r"""
+c0 AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g') AS t FROM conversations),
+c1 AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '([0-9]),([0-9])', '\1' || chr(2) || '\2', 'g'), '([0-9]),([0-9])', '\1' || chr(2) || '\2', 'g') AS t FROM c0),
+c2 AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(t, '[。；;!?！？\n.,]|但是|但|而|及|和|，|(?i:\band\b|\bbut\b)'), lambda x: replace(replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), chr(1), '.'), chr(2), ',')), lambda x: x <> '') AS c FROM c1)"""
+
+
+@query(f"WITH {CLAUSES_SQL} SELECT conv_id, turn, len(c)::INT AS clauses, sha256(array_to_string(c, '|')) AS texts FROM c2")
 def clause_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(entities.clauses(t)).alias("clauses"), F.size(entities.negated(t)).alias("negated"), F.size(entities.doses(t)).alias("doses"))
+    c = entities.clauses(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(c).alias("clauses"), F.sha2(F.array_join(c, "|"), 256).alias("texts"))
+
+
+MARKERS = (("no", "en", "negated", "firm", False), ("not", "en", "negated", "firm", False), ("without", "en", "negated", "firm", False), ("no evidence of", "en", "negated", "weak", False), ("maybe", "en", "uncertain", "weak", False))
+UNITS = {"mg": "mg", "mL": "mL", "ml": "mL", "g": "g", "%": "%", "片": "tablet", "tablets": "tablet"}
+
+
+@query(f"""WITH {CLAUSES_SQL}, e AS (SELECT unnest(c) AS x FROM c2), m AS (SELECT unnest(['no', 'not', 'without', 'maybe']) AS marker)
+SELECT marker, sum(len(regexp_extract_all(lower(x), '\\b' || marker || '\\b')) - CASE WHEN marker = 'no' THEN len(regexp_extract_all(lower(x), '\\bno evidence of\\b')) ELSE 0 END)::BIGINT AS n FROM e, m GROUP BY 1 HAVING n > 0""")
+def negation_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "conversations").select(F.explode(entities.clauses(F.coalesce("text", F.lit("")))).alias("c"))
+    found = parts.select(F.explode(notes.negations(F.col("c"), F.lit("en"), MARKERS)).alias("x"))
+    return found.filter(F.col("x.raw").isNotNull()).groupBy(F.lower("x.raw").alias("marker")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("marker") != "no evidence of")
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?i)(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?:\s*[-~–至]\s*(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?))?\s*(?:tablets|mg|ml|g|%|片)') AS x FROM documents)
+SELECT doc_id, len(x)::INT AS doses, sha256(array_to_string(x, '|')) AS raws FROM d""")
+def dose_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", notes.doses(F.coalesce("text", F.lit("")), UNITS).alias("x"))
+    return found.select("doc_id", F.size("x").alias("doses"), F.sha2(F.array_join("x.raw", "|"), 256).alias("raws"))
+
+
+@query("""SELECT role, CASE WHEN (contains(lower(text), 'the') OR contains(lower(text), 'and')) AND contains(lower(text), 'on') THEN 1 ELSE 0 END AS held, CASE WHEN contains(replace(lower(text), 'not an', ' '), 'an') THEN 1 ELSE 0 END AS out, count(*)::BIGINT AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2, 3""")
+def conjunctive_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = notes.conjunctive(F.col("text"), [[["the", "and"], ["on"]]])
+    out = notes.excluded(F.col("text"), ["not an"], ["an"])
+    return table(spark, sf_dir, "conversations").filter("text is not null").groupBy("role", held.cast("int").alias("held"), out.cast("int").alias("out")).agg(F.count(F.lit(1)).alias("n"))
+
+
+BANDED = "p_size % 3 = 0"
+
+
+@query(f"""WITH b AS (SELECT l_returnflag, p_size % 10 AS s, {BANDED} AS banded, l_linenumber * 10 AS age, l_linenumber % 3 = 0 AS no_age, {SEX} AS sex, l_quantity AS v FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT *, CASE WHEN no_age THEN NULL WHEN age BETWEEN 10 AND 29 THEN 1 WHEN age BETWEEN 30 AND 49 THEN 2 END AS band FROM b),
+d AS (SELECT *, CASE WHEN NOT banded THEN CASE sex WHEN 'male' THEN s + 5 WHEN 'female' THEN s + 3 ELSE s + 3 END WHEN band = 1 THEN s + 2 WHEN band = 2 THEN CASE sex WHEN 'male' THEN s + 6 ELSE s + 1 END ELSE s + 1 END AS low,
+  CASE WHEN NOT banded THEN s + 30 WHEN band = 1 THEN NULL WHEN band = 2 THEN s + 20 ELSE s + 20 END AS high, CASE WHEN NOT banded THEN sex = 'unknown' WHEN band = 1 THEN false WHEN band = 2 THEN sex = 'unknown' ELSE true END AS used_union FROM c)
+SELECT used_union, CASE WHEN v < low THEN 'low' WHEN v > high THEN 'high' ELSE 'normal' END AS classification, count(*)::BIGINT AS n, sum(low)::DOUBLE AS lows FROM d GROUP BY 1, 2""")
+def bounds_sex_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = (F.col("p_size") % 10).cast("double")
+    bound = lambda both=None, male=None, female=None: F.struct(*((F.lit(None).cast("double") if v is None else s + v).alias(k) for k, v in (("any", both), ("male", male), ("female", female))))
+    nothing = F.lit(None).cast(intervals.BOUND)
+    band = lambda a, z, low, high: F.struct(F.lit(a).alias("age_min"), F.lit(z).alias("age_max"), low.alias("low"), high.alias("high"))
+    bands = F.when(F.expr(BANDED), F.array(band(10, 29, bound(2), nothing), band(30, 49, bound(None, 6, 1), bound(20))))
+    age = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber") * 10)
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    of = rows.select("l_quantity", intervals.resolved_bounds(bound(None, 5, 3), bound(30), bands, F.expr(SEX), age).alias("of")).select("l_quantity", "of.*")
+    return of.groupBy("used_union", intervals.classify(F.col("l_quantity"), F.col("low"), F.col("high")).alias("classification")).agg(F.count(F.lit(1)).alias("n"), F.sum("low").alias("lows"))
+
+
+@query("""WITH r AS (SELECT least(1, greatest(0, value / 200.0)) AS s, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS c FROM events), b AS (SELECT least(floor(s * 10), 9)::INT AS bin, count(*) AS n, avg(c) AS acc, avg(s) AS conf FROM r GROUP BY 1)
+SELECT round(sum(abs(acc - conf) * n) / sum(n), 9) AS ece FROM b""")
+def ece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = metrics.reliability_bins(table(spark, sf_dir, "events"), F.col("value") / 200.0, F.col("event_id") % 3 == 0)
+    return metrics.calibration_error(bins).select(F.round("ece", 9).alias("ece"))
+
+
+@query("""SELECT count(*) FILTER (event_id % 4 <> 0) / count(*)::DOUBLE AS coverage, count(*) FILTER (event_id % 4 <> 0 AND event_id % 9 = 0) / (count(*) FILTER (event_id % 4 <> 0))::DOUBLE AS selective_risk FROM events""")
+def risk_coverage_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.operating_point(table(spark, sf_dir, "events"), F.col("event_id") % 4 != 0, F.col("event_id") % 9 == 0)
+
+
+@query("""WITH s AS (SELECT user_id, avg(CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END) AS share FROM events GROUP BY 1) SELECT round(avg(share), 9) AS recall, count(share)::BIGINT AS samples FROM s""")
+def extraction_macro_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 2 == 0)
+    return evaluation.macro_average(table(spark, sf_dir, "events"), "user_id", hit).select(F.round("recall", 9).alias("recall"), "samples")
+
+
+@query("""WITH r AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS p, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN true ELSE o_orderkey % 2 = 0 END AS g FROM orders)
+SELECT count(*) FILTER (p IS NOT NULL AND g IS NOT NULL)::BIGINT AS n, count(*) FILTER (p = g)::BIGINT AS agreed FROM r""")
+def grounding_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    predicted = evaluation.abnormal(F.element_at(F.array(*map(F.lit, ("unclassified", "normal", "low", "high", "critical"))), (k % 5 + 1).cast("int")))
+    gold = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, True).otherwise(k % 2 == 0)
+    return evaluation.grounding_recall(table(spark, sf_dir, "orders"), predicted, gold).select("n", "agreed")
+
+
+@query("""WITH g AS (SELECT DISTINCT p_name AS name, CASE WHEN length(p_name) % 3 = 0 THEN 'non-analyte' ELSE 'analyte' END AS kind, length(p_name) % 2 = 0 AS high FROM part WHERE length(p_name) % 5 <> 0)
+SELECT coalesce(kind, 'unlabelled') AS kind, count(*)::BIGINT AS rows, count(*) FILTER (p_partkey % 4 <> 0)::BIGINT AS recognised, count(*) FILTER (coalesce(high, false))::BIGINT AS high_stakes, count(*) FILTER (coalesce(high, false) AND p_partkey % 3 = 0)::BIGINT AS confirmed FROM part LEFT JOIN g ON p_name = name GROUP BY 1""")
+def corpus_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, n = table(spark, sf_dir, "part"), F.length("p_name")
+    gold = parts.filter(n % 5 != 0).select(F.concat(F.lit(" "), "p_name").alias("name"), F.when(n % 3 == 0, "non-analyte").otherwise("analyte").alias("kind"), (n % 2 == 0).alias("high_stakes")).distinct()
+    rows = parts.select(F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 4 != 0, "k").alias("key"), (F.col("p_partkey") % 3 == 0).alias("needs_confirm"))
+    return evaluation.corpus_score(rows, gold)
+
+
+@query("""SELECT event_type AS model, count(*)::BIGINT AS total, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 = 0)::BIGINT AS passed, count(*) FILTER (event_id % 5 <> 0 AND event_id % 2 = 1)::BIGINT AS failed, count(*) FILTER (event_id % 5 = 0)::BIGINT AS empty FROM events GROUP BY 1""")
+def model_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("event_id") % 5 == 0, "  ").otherwise("x")
+    return evaluation.by_model(table(spark, sf_dir, "events"), "event_type", text, F.col("event_id") % 2 == 0).withColumnRenamed("event_type", "model")
+
+
+@query("""SELECT c_mktsegment, count(*)::BIGINT AS items, count(*) FILTER (c_custkey % 4 = 0)::BIGINT AS abstained, count(*) FILTER (c_custkey % 4 <> 0 AND c_custkey % 3 = 0)::BIGINT AS correct, count(*) FILTER (c_custkey % 4 <> 0 AND c_custkey % 3 <> 0)::BIGINT AS wrong, true AS whole FROM customer GROUP BY 1""")
+def partition_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.outcomes(table(spark, sf_dir, "customer"), F.col("c_custkey") % 4 == 0, F.col("c_custkey") % 3 == 0, "c_mktsegment")
+
+
+@query("""SELECT p_type, coalesce(median(p_size), 0)::DOUBLE AS middle, round(var_pop(p_size), 6) AS variance FROM part GROUP BY 1""")
+def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_type").agg(evaluation.median(F.col("p_size")).alias("middle"), F.round(F.var_pop("p_size"), 6).alias("variance"))
+
+
+@query("""WITH i AS (SELECT o_orderkey, list_transform(range(64), lambda k: ((o_orderkey * 7 + k * k * (o_orderkey % 5 + 1)) % 256)::DOUBLE) AS p FROM orders),
+l AS (SELECT o_orderkey, p, list_transform(range(36), lambda k: (k // 6 + 1) * 8 + k % 6 + 1) AS spots FROM i),
+v AS (SELECT o_orderkey, p, list_aggregate(list_transform(spots, lambda c: p[c - 7] + p[c + 9] + p[c] + p[c + 2] - 4 * p[c + 1]), 'var_pop') AS blur, list_sort(p)[61] AS paper FROM l)
+SELECT o_orderkey, round(blur, 6) AS blur, len(list_filter(p, lambda x: x < paper * 0.75)) / 64.0::DOUBLE AS ink, blur >= 100 AND len(list_filter(p, lambda x: x < paper * 0.75)) / 64.0 >= 0.002 AS ok FROM v""")
+def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((k * 7 + i * i * (k % 5 + 1)) % 256).cast("double"))
+    images = table(spark, sf_dir, "orders").select("o_orderkey", pixels.alias("pixels"), F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return quality.assess(images).select("o_orderkey", F.round("blur", 6).alias("blur"), "ink", "ok")
+
+
+@query("""SELECT event_id, greatest(1, ceil((event_id * 997 % 5000 - event_id * 31 % 4000) / 1000.0))::BIGINT AS wait, CASE WHEN event_type = 'click' THEN 9 ELSE 3 END AS burst FROM events""")
+def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("route"), F.lit(3).alias("limit"), evaluation.retry_after(F.col("event_id") * 997 % 5000, F.col("event_id") * 31 % 4000).alias("wait"))
+    overrides = spark.createDataFrame([("click", 5, 1), ("click", 9, 2), ("view", 7, 1), ("view", None, 2)], "route string, value int, at int")
+    return evaluation.limits_in_force(rows, overrides).select("event_id", "wait", F.col("limit").alias("burst"))
+
+
+@query(f"""WITH {RULED_SQL}, r AS (SELECT * FROM w) SELECT l_returnflag, count(*) FILTER (list_contains(flags, 8) OR list_contains(flags, 13) OR (flips AND list_contains(flags, 14)))::BIGINT AS reviewed, count(*) FILTER (l_suppkey % 3 = 0 AND len(list_filter(flags, lambda x: x IN (1, 2, 3, 6, 7))) = 0)::BIGINT AS poor, count(*)::BIGINT AS n FROM r GROUP BY 1""")
+def review_and_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.low_quality(ruled(spark, sf_dir), F.col("supplier") % 3 == 0)
+    poor = F.exists("flags", lambda f: f["id"] == "H4-LOW-QUALITY-OVERRIDE") & F.col("needs_confirm")
+    return rows.groupBy("l_returnflag").agg(F.count_if("needs_review").alias("reviewed"), F.count_if(poor).alias("poor"), F.count(F.lit(1)).alias("n"))
 
 
 TERMS = ("help", "the", "an", "pain", "no")
@@ -379,11 +526,32 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("held_out", F.col("hash") / 4294967296.0 < 0.34)
 
 
-@query()
-def cell_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a page for each order: three columns, rows 30 apart, the others a little off."""
+def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a page for each order: three columns, rows 30 apart, the others a little off, the second a number."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     lined = reconcile.occurrence(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"])
-    cells = lined.select(F.col("l_orderkey").alias("page_id"), F.col("ordinal"), F.posexplode(F.array(F.lit(0.0), F.lit(120.0), F.lit(240.0))).alias("c", "x"))
-    placed = cells.select("page_id", (F.col("ordinal") * 3 + F.col("c")).cast("long").alias("cell_id"), "x", (F.col("ordinal") * 30.0 + F.col("c") * 4).alias("y"), F.lit(80.0).alias("width"), F.lit(20.0).alias("height"), F.lit("").alias("text"))
-    return geometry.bind_cells(placed)
+    cells = lined.select(F.col("l_orderkey").alias("page_id"), F.col("ordinal"), "l_partkey", F.posexplode(F.array(F.lit(0.0), F.lit(120.0), F.lit(240.0))).alias("c", "x"))
+    written = F.when(F.col("c") == 0, F.concat(F.lit("name "), "l_partkey")).when(F.col("c") == 1, F.col("l_partkey").cast("string")).otherwise("mg/dl")
+    return cells.select("page_id", (F.col("ordinal") * 3 + F.col("c")).cast("long").alias("cell_id"), "x", (F.col("ordinal") * 30.0 + F.col("c") * 4).alias("y"), F.lit(80.0).alias("width"), F.lit(20.0).alias("height"), written.alias("text"))
+
+
+@query()
+def cell_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.bind_cells(positioned(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), n AS (SELECT l_orderkey AS page_id, count(*) AS n FROM r GROUP BY 1)
+SELECT page_id, 3::BIGINT AS columns, n::BIGINT AS aligned_rows, true AS has_results, CASE WHEN n < 3 THEN 'few rows' ELSE '' END AS reason FROM n""")
+def table_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.table_structure(positioned(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS ordinal, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS same FROM r)
+SELECT l_orderkey AS page_id, ordinal::BIGINT AS ord, 'value' AS field, 'not-on-page' AS problem FROM o WHERE ordinal % 4 = 3""")
+def row_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as printed, but every fourth with a value that the page lacks."""
+    cells = positioned(spark, sf_dir)
+    part = F.regexp_extract("text", "([0-9]+)$", 1)
+    ordinal = F.floor(F.col("cell_id") / 3)
+    claims = cells.filter("cell_id % 3 = 0").select("page_id", ordinal.cast("long").alias("ord"), F.col("text").alias("name"), F.when(ordinal % 4 == 3, F.concat(part, F.lit("?"))).otherwise(part).alias("value"), F.lit("mg/dl").alias("unit"), F.lit(None).cast("string").alias("printed_range"))
+    return geometry.verify_rows(claims, cells)

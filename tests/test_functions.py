@@ -27,8 +27,8 @@ def test_ranges(spark):
 
 
 def test_words(spark):
-    assert one(spark, [" Negative", "POS", "±", "maybe", None], parse.parse_qualitative) == ["negative", "positive", "trace", None, None]
-    assert one(spark, ["H", " l ", "H/L", "L-H", "*h", "x", None], parse.flag_direction) == ["high", "low", "abnormal", "abnormal", "high", None, None]
+    assert one(spark, [" Negative", "POS", "±", "maybe", None, "++", "未检出", "nil"], parse.parse_qualitative) == ["negative", None, "trace", None, None, "positive", "negative", "negative"]
+    assert one(spark, ["H", " l ", "H/L", "L-H", "*h", "x", None, "*", "增高", "【减低】", "H?"], parse.flag_direction) == ["high", "low", "abnormal", "abnormal", None, None, None, "abnormal", "high", "low", None]
     assert one(spark, ["半", "十", "二十三", "七", "1,000", "百", None], parse.chinese_number) == [0.5, 10, 23, 7, 1000, None, None]
     assert one(spark, ["µmol / L", "(mg/dL)", "*10^9/L", None], text.norm_unit) == ["umol/l", "mg/dl", "x10^9/l", None]
     assert one(spark, ["γ-GT（血）", " A．b ", None], text.norm_name) == ["y-gt血", "ab", None]
@@ -49,9 +49,9 @@ def test_status_and_rounding(spark):
 
 def test_lookup_takes_the_last_entry(spark):
     dim = spark.createDataFrame([("a", ["Alpha"], "blood", 1), ("b", ["alpha", "Beta"], "urine", 2)], "key string, names array<string>, specimen string, ord int")
-    facts = spark.createDataFrame([(1, "ALPHA", "blood"), (2, "Beta (x)", "unknown"), (3, None, "blood"), (4, "alpha", "unknown")], "i int, name string, specimen string")
+    facts = spark.createDataFrame([(1, "ALPHA", "blood"), (2, "Beta（尿）", "unknown"), (5, "Beta (x)", "unknown"), (3, None, "blood"), (4, "alpha", "unknown")], "i int, name string, specimen string")
     got = {r["i"]: (r["key"], r["matched_by"]) for r in lookup.lookup_cascade(facts, dim).collect()}
-    assert got == {1: ("a", "scoped"), 2: ("b", "candidate"), 3: (None, "unmatched"), 4: ("b", "direct")}
+    assert got == {1: ("a", "scoped"), 2: ("b", "candidate"), 3: (None, "unmatched"), 4: ("b", "direct"), 5: (None, "unmatched")}
     assert lookup.lookup_cascade(facts, dim.limit(0)).filter("key is not null").count() == 0
 
 

@@ -19,7 +19,7 @@ def test_query(spark, name):
     mine = rows(got.select(*columns).collect())
     if name in ORACLE_SQL:
         con = duckdb.connect()
-        for t in ("part", "customer", "orders", "lineitem", "events", "documents", "labels", "conversations", "pages"):
+        for t in ("part", "customer", "orders", "lineitem", "events", "documents", "labels", "conversations", "pages", "supplier", "nation", "region"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         assert mine == rows(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
     else:
