@@ -51,7 +51,7 @@ def test_lookup_takes_the_last_entry(spark):
     dim = spark.createDataFrame([("a", ["Alpha"], "blood", 1), ("b", ["alpha", "Beta"], "urine", 2)], "key string, names array<string>, specimen string, ord int")
     facts = spark.createDataFrame([(1, "ALPHA", "blood"), (2, "Beta（尿）", "unknown"), (5, "Beta (x)", "unknown"), (3, None, "blood"), (4, "alpha", "unknown")], "i int, name string, specimen string")
     got = {r["i"]: (r["key"], r["matched_by"]) for r in lookup.lookup_cascade(facts, dim).collect()}
-    assert got == {1: ("a", "scoped"), 2: ("b", "candidate"), 3: (None, "unmatched"), 4: ("b", "direct"), 5: (None, "unmatched")}
+    assert got == {1: ("a", "scoped"), 2: ("b", "scoped"), 3: (None, "unmatched"), 4: ("b", "direct"), 5: (None, "unmatched")}
     assert lookup.lookup_cascade(facts, dim.limit(0)).filter("key is not null").count() == 0
 
 
