@@ -5,14 +5,15 @@ streams of such trees: an element's content is a sequence of elements, text slot
 optional, and no label stands twice in a sequence. A page is a wrapper of its own; wrappers of one host are aligned again
 and again:
 
-- equal labels are aligned in turn; a text that differs makes its slot variable, an equal one stays a constant;
+- equal labels are aligned in turn; a slot keeps the texts that each page has in it, and is variable but for them;
 - a mismatch becomes an optional item;
 - an item that comes again, or in another order, makes the stretch between a repeated group.
 
 So a wrapper grows with the labels of a template, not with pages. Every page takes part: tasks align what they read, and
 two more rounds align the tasks' wrappers of a host, first in 64 parts.
 
-A host's wrapper gives its rules: where the article is (the article or main element with most text; failing that, the
+A host's wrapper gives its rules: whether an element that names mark as no part holds nearly all that varies and so is the
+article after all; else where the article is (the article or main element with most text; failing that, the
 deepest element that holds most of the variable text), which labels hold mostly links, and which constant texts are the
 template's. A page that its host's rules don't fit is read by the rules of a wrapper of its own.
 
@@ -25,6 +26,7 @@ where they stand on ID_TAGS and hold one of ID_WORDS.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -41,11 +43,13 @@ from .common import to_batch, whole, written
 DEPTH, PARTS, HOSTS_HELD, LABELS_HELD = 100, 64, 2000, 48
 #: Share of the article's text that the element to descend to must hold; of links from which an element is a list of links.
 MOSTLY, LINKED = 0.6, 0.6
-#: Pages from which an equal text is the template's.
-CONSTANT_PAGES = 3
+#: Pages from which an equal text is the template's; times the text without marks that a marked element must hold to be the article.
+CONSTANT_PAGES, OVERRULED = 3, 4
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/><]*)((?:[^"'<>]++|"[^"<]*"|'[^'<]*'|["'])*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Quotes hold anything, but only behind an equals sign; one that is never closed is a character as others.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/><]*)((?:[^"'<>=]++|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # Elements by their kind in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp template noscript svg annotation annotation-xml object audio video canvas select".split())
@@ -97,9 +101,9 @@ def names(tag: str, attributes: str) -> str:
     found, ids, words, hidden = [], [], [], False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNSEEN.search(value):
             hidden = True
-        elif key != "aria-hidden":
+        elif key in ("class", "id", "role", "itemprop"):
             some = re.sub(r"\d+", "0", value.lower()).split()
             found += some
             (ids if key == "id" else words).extend(some)
@@ -161,6 +165,8 @@ def read_tree(page: str) -> Element:
         if ending:
             if over.get(tag):
                 over[tag] -= 1
+                if tag in BLOCK:
+                    stack[-1].children.append(Element("hr", "hr"))
             else:
                 close((tag,), frozenset() if tag in BLOCK and tag != "p" else SCOPE | {"li", "td", "th"} if tag == "p" else BLOCK)
             continue
@@ -182,7 +188,8 @@ def read_tree(page: str) -> Element:
             continue
         if len(stack) > DEPTH:
             over[tag] = over.get(tag, 0) + 1
-            stack[-1].children.append("\n")
+            if tag in BLOCK:
+                stack[-1].children.append(Element("hr", "hr"))
             continue
         now = Element(tag, label)
         stack[-1].children.append(now)
@@ -193,14 +200,23 @@ def read_tree(page: str) -> Element:
 
 
 # Wrappers are lists of items. Each item is a list: label, least, many, pages, characters, characters in links, content.
-# content: an element's items; a slot's constant text or None; a group's items.
+# content: an element's or a group's items; of a slot the texts that each page has in it, none if all differ.
 SLOT, GROUP = "#", "()"
 
 
+def as_constant(t: str) -> str:
+    """A text that a template may hold; a digest stands for a long one."""
+    return t if len(t) <= 64 else f"{len(t)} {hashlib.sha1(t.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
+def constant_size(c: str) -> int:
+    return int(c.split(" ", 1)[0]) if len(c) > 41 and c[-41] == " " and c[:-41].isdigit() else len(c)
+
+
 def item_of(node: Element | str, linked: bool) -> list:
     if isinstance(node, str):
         t = " ".join(node.split())
-        return [SLOT, 1, 0, 1, len(t), len(t) if linked else 0, t if len(t) <= 200 else None]
+        return [SLOT, 1, 0, 1, len(t), len(t) if linked else 0, [as_constant(t)]]
     inside = [item_of(c, linked or node.tag == "a") for c in node.children if not (isinstance(c, str) and not c.strip())]
     inside = fold(inside)
     return [node.label, 1, 0, 1, sum(i[4] for i in inside), sum(i[5] for i in inside), inside]
@@ -213,7 +229,7 @@ def labels(item: list) -> set[str]:
 def merge(a: list, b: list, add_pages: bool) -> list:
     """Two items of one label as one; add_pages: they come from different pages."""
     if a[0] == SLOT:
-        inside = a[6] if a[6] == b[6] else None
+        inside = sorted(set(a[6]) & set(b[6]) if add_pages else set(a[6]) | set(b[6]))
     elif a[0] == GROUP:
         return grouped([a, b], add_pages)
     else:
@@ -311,7 +327,8 @@ def rules_of(wrapper: list) -> dict:
         """Characters outside links of what may be the article's."""
         label = item[0]
         if label == SLOT:
-            return item[4] - item[5] if item[6] is None or wrapper[3] < CONSTANT_PAGES else 0.05 * (item[4] - item[5])
+            own = item[4] - item[5]
+            return own if wrapper[3] < CONSTANT_PAGES else max(0.05 * own, own - sum(map(constant_size, item[6])) * item[3])
         here = path if label == GROUP else (*path, label)
         tag = label.split(".", 1)[0]
         if label != GROUP and Element(tag, label).out and not (inside and Element(tag, label).is_head()):
@@ -323,6 +340,27 @@ def rules_of(wrapper: list) -> dict:
 
     total = walk(wrapper, (), False)
     root: tuple = ("html",)
+    # Marks are names alone; where a host's marked element holds nearly all that varies between pages, the wrapper overrules it.
+    marked: dict[tuple, float] = {}
+
+    def varying(item: list, path: tuple, mark: tuple | None) -> None:
+        if item[0] == SLOT:
+            if mark:
+                marked[mark] = marked.get(mark, 0.0) + max(0, item[4] - item[5] - sum(map(constant_size, item[6])) * item[3])
+            return
+        here = path if item[0] == GROUP else (*path, item[0])
+        tag = item[0].split(".", 1)[0]
+        if item[0] != GROUP and tag in OUT_TAGS:
+            return
+        if item[0] != GROUP and not mark and item[0].endswith((NO_PART, HEADER)):
+            mark = here
+        for i in item[6]:
+            varying(i, here, mark)
+
+    varying(wrapper, (), None)
+    kept = max(marked, key=lambda p: (marked[p], p), default=None) if wrapper[3] >= CONSTANT_PAGES else None
+    if kept and marked[kept] > OVERRULED * total:
+        return {"root": list(kept), "constants": [], "links": [], "kept": "/".join(kept)}
     named = {p: c for p, c in best.items() if (p[-1].split(".", 1)[0] in ("article", "main") or "articlebody" in p[-1].split(".")) and c >= 0.25 * total and c > 0}
     articles = {p: c for p, c in named.items() if p[-1].split(".", 1)[0] != "main"}
     if named:
@@ -349,12 +387,13 @@ def rules_of(wrapper: list) -> dict:
 
     def under(item: list, path: tuple) -> None:
         if item[0] == SLOT:
-            if item[6] and item[3] >= CONSTANT_PAGES and not item[2] and path[: len(root)] == root:
-                constants.append([path, item[6]])
+            if item[3] >= CONSTANT_PAGES and path[: len(root)] == root:
+                constants.extend([path, c] for c in item[6])
             return
         here = path if item[0] == GROUP else (*path, item[0])
         tag = item[0].split(".", 1)[0]
-        if len(here) > len(root) and here[: len(root)] == root and tag in ("ul", "ol", "div", "section", "table", "dl") and item[4] and item[5] > LINKED * item[4] and item[4] < 0.5 * max(1.0, best[root]):
+        # Within a named article lists of links are its text, such as references.
+        if not named and len(here) > len(root) and here[: len(root)] == root and tag in ("ul", "ol", "div", "section", "table", "dl") and item[4] and item[5] > LINKED * item[4] and item[4] < 0.5 * max(1.0, best[root]):
             links.append("/".join(here))
             return
         for i in item[6]:
@@ -362,7 +401,8 @@ def rules_of(wrapper: list) -> dict:
 
     under(wrapper, ())
     # A template's constants need variable text beside them: copies of one page are no template.
-    if sum(len(c) for _, c in constants) * 2 * wrapper[3] > best.get(root, 0.0) + sum(len(c) for _, c in constants) * wrapper[3] or wrapper[3] < CONSTANT_PAGES:
+    fixed = sum(constant_size(c) for _, c in constants) * wrapper[3]
+    if fixed * 2 > best.get(root, 0.0) + fixed or wrapper[3] < CONSTANT_PAGES:
         constants = []
     # Articles of one host share headings: those in the article's element are its text.
     inner = lambda path: path[len(root) :] if named else path[len(root) : len(root) + 1]
@@ -371,7 +411,10 @@ def rules_of(wrapper: list) -> dict:
 
 
 def blocks_of(tree: Element, rules: dict) -> list[str]:
-    root, constants, links = tuple(rules["root"]), {tuple(c) for c in rules["constants"]}, set(rules["links"])
+    root, constants, links, kept = tuple(rules["root"]), {tuple(c) for c in rules["constants"]}, set(rules["links"]), rules.get("kept")
+    # Of a tag with very many labels in its wrapper, the bare tag stands for each.
+    bare = lambda x: x.split(".", 1)[0] + (x[-len(NO_PART) :] if x.endswith((NO_PART, HEADER)) else "")
+    known = {*root, *(x for p, _ in constants for x in p.split("/")), *(x for p in links for x in p.split("/"))}
     out: list[str] = []
     run: list[str] = []
 
@@ -385,10 +428,10 @@ def blocks_of(tree: Element, rules: dict) -> list[str]:
         return any(isinstance(c, Element) and (c.tag == "h1" or has_title(c)) for c in node.children)
 
     def walk(node: Element, path: tuple, taking: bool) -> None:
-        here = (*path, node.label)
+        here = (*path, node.label if node.label in known or bare(node.label) not in known else bare(node.label))
         if not taking and here != root[: len(here)]:
             return
-        if node.out and len(here) > len(root) and not (node.is_head() and has_title(node)):
+        if node.out and len(here) > len(root) and "/".join(here) != kept and not (node.is_head() and has_title(node)):
             if node.tag in BLOCK:
                 flush()
             return
@@ -401,7 +444,7 @@ def blocks_of(tree: Element, rules: dict) -> list[str]:
             flush()
         for c in node.children:
             if isinstance(c, str):
-                if now and (key, " ".join(c.split())) not in constants:
+                if now and not (constants and (key, as_constant(" ".join(c.split()))) in constants):
                     run.append(c)
             else:
                 walk(c, here, now)

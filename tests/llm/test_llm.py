@@ -262,3 +262,31 @@ def test_packing_asks_by_all_terms_of_a_seed():
     pool = packing.Pool([(0, 40, 0, terms), (1, 3, 0, terms[:3] + 50), (2, 3, 0, np.array([0, 60, 61], np.uint16))], idf, 20.0)
     pool.take(0, 40)
     assert next(pool.neighbours(0)) == 2
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<body><article><div title="a < b">Text</div></article></body>', "Text"),
+    ('<body><article><p class="share-price">Price 3</p><div class="side-effects">Nausea</div></article></body>', "Price 3\nNausea"),
+    ('<body><article><p>Body</p><ul><li><a href="/a">Ref one</a></li><li><a href="/b">Ref two</a></li></ul></article></body>', "Body\nRef one\nRef two"),
+    ('<body><article><p>Seen</p><p style="display: none">Not seen</p><div hidden>Nor</div></article></body>', "Seen"),
+    ("<body>" + "<div>" * 150 + "<p>One</p><p>Two</p>" + "</div>" * 150 + "</body>", "One\nTwo"),
+    ('<body><article><p data-class="sidebar" title="class=advert">In</p></article></body>', "In"),
+    ('<body><article><p class="a"">Stray</p><p title="x>Open</p></article></body>', "Stray\nOpen"),
+    ("<body><article><p>" + "long " * 30000 + "</p></article></body>", ("long " * 30000).strip()),
+])
+def test_html_of_one_page(page, want):
+    assert html_extract.main_text(page, None) == want
+
+
+def test_wrappers_decide_where_names_dont(spark):
+    """The host's wrapper drops long and short constants without telling names, overrules a name, and is what differs from
+    reading each page alone."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    notice = "We keep what you read for as long as we like. " * 8
+    plain = "<body><div class=c><p>{0}</p><div>%s</div><p>Follow us</p><p>{0} end</p></div></body>" % notice
+    named = "<body><p>x{1}</p><div class=sidebar><p>{0}</p></div></body>"
+    rows = [(i, "http://plain/" + str(i), plain.format(words(i), i)) for i in range(5)] + [(i + 10, "http://named/" + str(i), named.format(words(i), i)) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{words(i)}\n{words(i)} end" for i in range(5)} | {i + 10: words(i) for i in range(5)}
+    alone = {i: html_extract.main_text(p, None) for i, _, p in rows}
+    assert all(alone[i] != got[i] for i in got)
