@@ -2,20 +2,21 @@
 
 Vectors become whole numbers, so scores are exact. The vectors' second moments (a matrix of the dimension's size, summed
 by partition) give the SVD's rotation; after it the first coordinates hold most of the length. Candidates are dealt into
-blocks by descending length. Queries meet the block of the longest candidates first, which gives each a lower bound on its
-k-th score; then the other blocks, where
+blocks by descending length. Queries meet them in rounds, the longest first: one group of blocks, then 4, 16, 64 and so on.
+Each round raises the queries' k-th scores so far, below which the next one prunes:
 
 - a query skips a block when its length times the block's largest is below the bound;
 - of the rest, the partial sum over the first rotated coordinates plus the product of the residual lengths
   (Cauchy-Schwarz) is an upper bound, and only pairs that reach the query's k-th score are scored in full.
 
-Bounds have a margin for rounding, pairs are pruned only strictly below, and full scores are integer sums. Queries travel
+Bounds have a margin for rounding, pairs are pruned only strictly below, and full scores are integer sums: in 64 bits where
+lengths show that they fit, else in Python's whole numbers. Queries travel
 in blocks to groups of candidate blocks: a row is a matrix, and no row of pairs is made but each block's best k.
 
 Defined results: vectors null, or with null or non-finite components, take no part; shorter vectors count as filled up
 with zeros; ties go to the smaller id; rows with equal ids are candidates of their own, but never of a query with that id;
-a null id is a candidate, after all others in ties; an empty table gives an empty result. Components beyond 2**24 in
-absolute value after scaling are an error, as scores might not fit.
+a null id is a candidate, after all others in ties; an empty table gives an empty result. Components of 2**62 and more in
+absolute value after scaling, and results beyond 64 bits, are an error.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import to_batch, written
+from .common import release, to_batch, written
 
 NULL_ID = np.iinfo(np.int64).max
 FOUND = "query_id long, vec_id long, score long"
@@ -35,19 +36,19 @@ FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("sco
 
 
 def whole_vectors(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """vec_id, v (array<int>), norm of the rows that take part."""
+    """vec_id, v (array<bigint>), norm of the rows that take part."""
     x = F.col(embedding).cast("array<double>")
     fit = F.forall(x, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
     v = F.transform(x, lambda y: F.floor(y * scale).cast("double"))
-    checked = F.when(F.forall("v", lambda y: F.abs(y) <= 1 << 24), F.col("v").cast("array<int>")).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("array<int>"))
+    checked = F.when(F.forall("v", lambda y: F.abs(y) < float(1 << 62)), F.col("v").cast("array<bigint>")).otherwise(F.raise_error(F.lit("a component is too large for a score")).cast("array<bigint>"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y))
     return vectors.filter(F.col(embedding).isNotNull()).filter(fit).select(F.coalesce(F.col(vec_id).cast("long"), F.lit(int(NULL_ID))).alias("vec_id"), v.alias("v")).select("vec_id", checked.alias("v"), norm.alias("norm"))
 
 
-def matrix(batch: pa.RecordBatch, d: int) -> np.ndarray:
+def matrix(batch: pa.RecordBatch, d: int, kind: type = np.float64) -> np.ndarray:
     lists = batch.column("v")
     n = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((batch.num_rows, d), np.float64)
+    out = np.zeros((batch.num_rows, d), kind)
     if len(n) and (n == d).all():
         out[:] = lists.flatten().to_numpy().reshape(-1, d)
     else:
@@ -63,7 +64,7 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
         total = np.zeros((d, d))
         for batch in batches:
             m = matrix(batch, d)
-            total += m.T @ m
+            total += m.T @ m  # rounded where numbers are large: any rotation gives right results
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(d), d), pa.int32()), pa.array(np.tile(np.arange(d), d), pa.int32()), pa.array(total.ravel())], names=["i", "j", "s"])
 
     total = np.zeros((d, d))
@@ -74,7 +75,7 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
 
 def block_bytes(rows: DataFrame, d: int, turn: np.ndarray, most: int) -> DataFrame:
     """Rows sorted by group within a partition, packed as matrices of at most `most` rows:
-    group, ids, v (int32), r (rotated, float32), top (largest norm)."""
+    group, ids, v (int64), r (rotated, float64), top (largest norm)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,9 +86,9 @@ def block_bytes(rows: DataFrame, d: int, turn: np.ndarray, most: int) -> DataFra
                     part = batch.slice(at, min(most, b - at))
                     if not part.num_rows:
                         continue
-                    m = matrix(part, d)
+                    m = matrix(part, d, np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(groups[at])], pa.int64()), pa.array([part.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([m.astype("<i4").tobytes()], pa.binary()), pa.array([(m @ turn).astype("<f4").tobytes()], pa.binary()), pa.array([float(part.column("norm").to_numpy().max())])],
+                        [pa.array([int(groups[at])], pa.int64()), pa.array([part.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([m.astype("<i8").tobytes()], pa.binary()), pa.array([(m.astype(np.float64) @ turn).astype("<f8").tobytes()], pa.binary()), pa.array([float(part.column("norm").to_numpy().max())])],
                         names=["group", "ids", "v", "r", "top"],
                     )
 
@@ -114,14 +115,21 @@ def score_block(q_ids, q_v, q_r, bound, c_ids, c_v, c_r, top: float, k: int, fir
         may = may[c_ids[may] != q_ids[i]]
         if not len(may):
             continue
-        ids, scores = best(c_ids[may], c_v[may] @ q_v[i], k)
+        if length[i] * top < float(1 << 61):
+            scores = c_v[may] @ q_v[i]
+        else:
+            exact = c_v[may].astype(object) @ q_v[i].astype(object)
+            largest = sorted(exact, reverse=True)[: k]
+            if any(not -(1 << 63) <= x < 1 << 63 for x in largest):
+                raise ValueError("a score doesn't fit 64 bits")
+            may, scores = may[exact >= largest[-1]], np.array([x for x in exact if x >= largest[-1]], np.int64)
+        ids, scores = best(c_ids[may], scores, k)
         for a, s in zip(ids.tolist(), scores.tolist(), strict=True):
             yield int(q_ids[i]), a, s
 
 
 def _arrays(x: dict, d: int):
-    # Products of 2**24-bounded numbers are exact in int64; in float64 too where lengths multiply to less than 2**53.
-    return np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["v"], "<i4").reshape(-1, d).astype(np.int64), np.frombuffer(x["r"], "<f4").reshape(-1, d)
+    return np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["v"], "<i8").reshape(-1, d), np.frombuffer(x["r"], "<f8").reshape(-1, d)
 
 
 def topk(vectors: DataFrame, queries: F.Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256, block: int = 4096, groups: int | None = None, first: int = 16) -> DataFrame:
@@ -151,41 +159,37 @@ def topk(vectors: DataFrame, queries: F.Column, k: int = 5, vec_id: str = "vec_i
     q_rows = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))).repartition(q_blocks, "group").sortWithinPartitions("group")
     query_blocks = written(block_bytes(q_rows.select("group", "vec_id", "v", "norm"), d, turn, block), "queries")
 
-    def meet(lead: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for x in batch.to_pylist():
-                    q, c = _arrays({n: x[f"q_{n}"] for n in ("ids", "v", "r")}, d), _arrays(x, d)
-                    bound = np.full(len(q[0]), -np.inf) if lead else np.frombuffer(x["bounds"], "<f8")
-                    found = list(score_block(*q, bound, *c, x["top"], k, min(first, d)))
-                    for at in range(0, len(found), 10000):
-                        yield to_batch(found[at : at + 10000], FOUND_ARROW)
-
-        return run
-
-    asking = query_blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("group", "ids", "v", "r")))
-    # Lead: the first block of the longest candidates, one row of the candidates' table by its largest norm.
-    longest = candidates.agg(F.max("top")).first()[0]
-    one = candidates.filter(F.col("top") == longest).agg(F.max_by(F.struct("ids", "v", "r", "top"), F.xxhash64("ids")).alias("x")).select("x.*").withColumn("at", F.lit(0))
-    first_found = written(asking.withColumn("at", F.lit(0)).join(F.broadcast(one), "at").mapInArrow(meet(True), FOUND), "lead")
-    kth = first_found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
-    bounds = written(kth.select("query_id", F.col("kth").cast("double").alias("kth")).withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).groupBy("group").agg(F.collect_list(F.struct("query_id", "kth")).alias("kths")), "bounds")
-
-    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
+                q, c = _arrays({n: x[f"q_{n}"] for n in ("ids", "v", "r")}, d), _arrays(x, d)
                 known = {y["query_id"]: y["kth"] for y in x["kths"] or []}
-                ids = np.frombuffer(x["q_ids"], "<i8")
-                value = np.array([known.get(i, -np.inf) for i in ids.tolist()], "<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([x["q_group"]], pa.int64()), *(pa.array([x[c]], pa.binary()) for c in ("q_ids", "q_v", "q_r")), pa.array([value.tobytes()], pa.binary())], names=["q_group", "q_ids", "q_v", "q_r", "bounds"])
-
-    bounded = asking.join(bounds.withColumnRenamed("group", "q_group"), "q_group", "left").mapInArrow(attach, "q_group long, q_ids binary, q_v binary, q_r binary, bounds binary")
-    # Each block of queries goes to each group of candidate blocks: copies of a block of queries, not of pairs of rows.
-    numbered = candidates.select(F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("at"), "ids", "v", "r", "top")
-    met = bounded.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).join(numbered, "at").mapInArrow(meet(False), FOUND)
+                bound = np.array([known.get(i, -np.inf) for i in q[0].tolist()])
+                found = list(score_block(*q, bound, *c, x["top"], k, min(first, d)))
+                for at in range(0, len(found), 10000):
+                    yield to_batch(found[at : at + 10000], FOUND_ARROW)
+
+    asking = query_blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("group", "ids", "v", "r")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.when(F.col("vec_id") != F.lit(int(NULL_ID)), F.col("vec_id")).alias("vec_id"), "score")
+    best_so_far, low, many = None, 0, 1
+    while low < groups:
+        # Each block of queries goes to each group of candidate blocks: copies of a block of queries, not of pairs of rows.
+        here = candidates.filter((F.col("group") >= low) & (F.col("group") < low + many)).select((F.col("group") - low).alias("at"), "ids", "v", "r", "top")
+        if best_so_far is None:
+            bounded = asking.withColumn("kths", F.lit(None).cast("array<struct<query_id:bigint,kth:bigint>>"))
+        else:
+            kth = best_so_far.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
+            kths = kth.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_group")).agg(F.collect_list(F.struct("query_id", "kth")).alias("kths"))
+            bounded = asking.join(kths, "q_group", "left")
+        asked_all = bounded.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(many, groups - low) - 1).cast("long"))))
+        found = asked_all.join(here, "at").mapInArrow(meet, FOUND)
+        if best_so_far is not None:
+            found = found.unionByName(best_so_far.select("query_id", "vec_id", "score"))
+        now = written(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
+        if best_so_far is not None:
+            release(best_so_far)
+        best_so_far, low, many = now, low + many, many * 4
+    return best_so_far.select("query_id", "rank", F.when(F.col("vec_id") != F.lit(int(NULL_ID)), F.col("vec_id")).alias("vec_id"), "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,19 @@ def test_topk_ties_and_odd_vectors(spark):
     assert topk_search.topk(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_large_and_repeated_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.integers(0, 7)).tolist()) for i in range(300)] + [(3, [1e6] * 6), (3, [1e6] * 6), (None, [2e6] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("norm", F.lit(1))
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = set()
+    for q, a in [x for x in whole if x[0] is not None and x[0] % 50 == 0]:
+        found = sorted((-sum(x * y for x, y in zip(a, b)), i is None, i or 0) for i, b in whole if i != q)[:4]
+        want |= {(q, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(found)}
+    got = {tuple(r) for r in topk_search.topk(df, F.col("vec_id") % 50 == 0, 4, block=16, groups=20).collect()}
+    assert got == want
+
+
 def test_mixing_conserves_quotas(spark):
     docs = odd_docs(spark).withColumn("size", F.lit("clash"))
     mixed = mixing.mix(docs, block_words=64, shard_blocks=16)
