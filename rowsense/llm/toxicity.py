@@ -226,9 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Voter
             looked = [first.look(b) for b in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([sum(h.values()) / max(1, n) for _, h, n in looked], pa.float64()), batch.column("toxic").cast(pa.int64())], names=["density", "toxic"])
 
-    # One number and label for each row of the bounded sample.
-    parted = rows.select("body", F.col("toxic").cast("long").alias("toxic")).mapInArrow(densities, "density double, toxic long").orderBy("density", "toxic").toArrow()
-    voters = Voters(lexicon, best_cut(parted["density"].to_numpy(), parted["toxic"].to_numpy()))
+    # The bounded sample's distinct densities and labels, with counts: nearly all are 0.
+    parted = rows.select("body", F.col("toxic").cast("long").alias("toxic")).mapInArrow(densities, "density double, toxic long").groupBy("density", "toxic").count().toArrow().sort_by([("density", "ascending"), ("toxic", "ascending")])
+    many = parted["count"].to_numpy()
+    voters = Voters(lexicon, best_cut(np.repeat(parted["density"].to_numpy(), many), np.repeat(parted["toxic"].to_numpy(), many)))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
