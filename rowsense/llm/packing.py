@@ -33,7 +33,7 @@ from .common import to_batch, whole, written
 
 WINDOW, END, SHARD_DOCS = 2048, 1, 2048
 #: Words, and parts of words, that a worker remembers; only parts go through the tokenizer.
-WORDS_HELD, PARTS_HELD = 200_000, 200_000
+WORDS_HELD, PARTS_HELD = 500_000, 500_000
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Fixed value: the tokenizer's own way of cutting words, which its file states.
@@ -98,7 +98,7 @@ class Encoder:
         self.parts, self.part_ids = WordTable(), Ragged()
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
     def learn_parts(self) -> None:
         new, self.parts.new = self.parts.new, []
@@ -223,13 +223,24 @@ class Pool:
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.query = [t for t, _ in found]
-        self.next = 0
+        self.query = [t.astype(np.int64) for t, _ in found]
+        self.next, self.used, self.indexed = 0, 0, len(rows)
+
+    def forget_used(self) -> None:
+        """Takes used documents out of the index, whenever they have become a fifth of it."""
+        if self.used * 5 > self.indexed:
+            keep = self.left[self.doc] > 0
+            self.doc, self.weight = self.doc[keep], self.weight[keep]
+            self.starts = np.r_[0, np.cumsum(keep)][self.starts]
+            self.indexed -= self.used
+            self.used = 0
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents, the best scores first; then those that share no term with the seed."""
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.query[seed].tolist()]
-        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=len(self.rows))
+        self.forget_used()
+        first, n = self.starts[self.query[seed]], self.starts[self.query[seed] + 1] - self.starts[self.query[seed]]
+        at = np.arange(n.sum()) + np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n)
+        scores = np.bincount(self.doc[at], self.weight[at], minlength=len(self.rows))
         scores[self.left == 0] = 0
         many = 64
         while True:
@@ -250,6 +261,7 @@ class Pool:
         at = int(self.taken[i])
         self.taken[i] += n
         self.left[i] -= n
+        self.used += not self.left[i]
         return i, at, n
 
     def sequences(self, window: int) -> Iterator[list[tuple[int, int, int]]]:
