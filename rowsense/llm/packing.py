@@ -220,6 +220,12 @@ class Pool:
         n = np.array([len(t) for t, _ in found])
         doc, term, tf = np.repeat(np.arange(len(rows)), n), np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.repeat(self.left, n) / max(mean, 1.0)))
+        # Terms that many documents have are rows of a matrix, whose sums need no places; the others are lists of postings.
+        often = np.bincount(term, minlength=len(idf)) * 8 >= len(rows)
+        self.row_of = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows_of_often = np.zeros((int(often.sum()), len(rows)), np.float32)
+        self.rows_of_often[self.row_of[term[often[term]]], doc[often[term]]] = weight[often[term]]
+        doc, weight, term = (x[~often[term]] for x in (doc, weight, term))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
@@ -241,6 +247,10 @@ class Pool:
         first, n = self.starts[self.query[seed]], self.starts[self.query[seed] + 1] - self.starts[self.query[seed]]
         at = np.arange(n.sum()) + np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n)
         scores = np.bincount(self.doc[at], self.weight[at], minlength=len(self.rows))
+        often = self.row_of[self.query[seed]]
+        asked = np.zeros(len(self.rows_of_often), np.float32)
+        asked[often[often >= 0]] = 1
+        scores = scores + asked @ self.rows_of_often
         scores[self.left == 0] = 0
         many = 64
         while True:
