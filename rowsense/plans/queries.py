@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals, parse, text
-from ..operators import entities, evaluation, geometry, lookup, metrics, notes, quality, reconcile, rules
+from ..operators import entities, evaluation, fidelity, geometry, lookup, metrics, notes, quality, reconcile, rules
 from ..streaming import limits
 
 #: Derived columns, the same text for Spark and SQL.
@@ -555,3 +555,46 @@ def row_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordinal = F.floor(F.col("cell_id") / 3)
     claims = cells.filter("cell_id % 3 = 0").select("page_id", ordinal.cast("long").alias("ord"), F.col("text").alias("name"), F.when(ordinal % 4 == 3, F.concat(part, F.lit("?"))).otherwise(part).alias("value"), F.lit("mg/dl").alias("unit"), F.lit(None).cast("string").alias("printed_range"))
     return geometry.verify_rows(claims, cells)
+
+
+AMOUNT_OUT = "case l_suppkey % 5 when 0 then l_quantity when 1 then l_quantity + 1 when 2 then l_quantity * 2 when 3 then l_quantity end"
+RESULT_IN, RESULT_OUT = ("case {0} % 5 when 0 then '结果阳性' when 1 then 'Test POSITIVE.' when 2 then 'negative' when 3 then 'seropositive' else '阴性 positive' end".format(c) for c in ("l_partkey", "l_suppkey"))
+
+
+@query(f"""WITH d AS (SELECT l_returnflag, l_partkey, l_suppkey, cast(l_quantity as double) AS a, cast({AMOUNT_OUT} as double) AS b FROM lineitem)
+SELECT l_returnflag, f.f AS flag, count(*)::BIGINT AS n FROM (SELECT l_returnflag, unnest(CASE WHEN b IS NULL THEN ['R8-DOSE-NOT-PRESERVED'] WHEN l_suppkey % 5 = 3 THEN ['R8-DOSE-UNIT-DIMENSION-MISMATCH']
+  WHEN a <> b THEN CASE WHEN greatest(a / b, b / a) >= 2 THEN ['R8-DOSE-NOT-PRESERVED', 'R8-DOSE-MAGNITUDE-DIVERGENCE'] ELSE ['R8-DOSE-NOT-PRESERVED'] END
+  WHEN l_partkey % 3 = 0 THEN ['R8-DOSE-FREQUENCY-DROPPED'] ELSE [] END) AS f FROM d) f GROUP BY 1, 2""")
+def dose_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dose per row against one of another amount or unit, or none."""
+    amount = lambda x: F.col(x).cast("double").cast("string").alias("amount")
+    none = F.lit(None).cast("string").alias("upper")
+    dose = lambda x, unit: F.struct(F.col(x).alias("raw"), amount(x), none, F.lit("mass").alias("dimension") if unit is None else F.when(unit, "volume").otherwise("mass").alias("dimension"))
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").cast("string").alias("a"), F.expr(f"cast(cast({AMOUNT_OUT} as double) as string)").alias("b"))
+    output = F.filter(F.array(dose("b", F.col("l_suppkey") % 5 == 3)), lambda o: o["amount"].isNotNull())
+    found = fidelity.dose_hits(F.array(dose("a", None)), output, F.when(F.col("l_partkey") % 3 == 0, "bid"), F.lit(None).cast("string"))
+    return rows.select("l_returnflag", F.explode(found).alias("h")).groupBy("l_returnflag", F.col("h.id").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+POLARITY_SQL = "CASE WHEN contains({0}, '阳性') THEN 'positive' WHEN contains({0}, '阴性') THEN 'negative' WHEN regexp_matches(lower({0}), '\\bpositive\\b') THEN 'positive' WHEN regexp_matches(lower({0}), '\\bnegative\\b') THEN 'negative' END"
+
+
+@query(f"""WITH t AS (SELECT {RESULT_IN} AS a, {RESULT_OUT} AS b FROM lineitem), p AS (SELECT a, b, {POLARITY_SQL.format('a')} AS x, {POLARITY_SQL.format('b')} AS y FROM t)
+SELECT a, b, coalesce(x <> y, false) AS flipped, count(*)::BIGINT AS n FROM p GROUP BY 1, 2, 3""")
+def result_polarity_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.expr(RESULT_IN).alias("a"), F.expr(RESULT_OUT).alias("b"))
+    return rows.groupBy("a", "b", (F.size(fidelity.polarity_hits(F.col("a"), F.col("b"))) > 0).alias("flipped")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS id, max(CASE WHEN l_linenumber % 4 = 0 THEN 1 ELSE 0 END) AS own, max(CASE WHEN l_partkey % 3 > 0 THEN 1 ELSE 0 END) AS usable FROM lineitem GROUP BY 1),
+lost AS (SELECT l_orderkey AS id, max(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END) AS risk FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_partkey = a.l_partkey AND b.l_suppkey % 5 > 0) GROUP BY 1),
+o AS (SELECT o_orderkey AS note_id, coalesce(own, 0) AS own, risk, CASE WHEN coalesce(usable, 0) = 0 THEN 'total-drop' WHEN o_orderkey % 11 = 0 THEN 'directives' WHEN risk IS NOT NULL THEN 'partial-drop' ELSE 'kept' END AS outcome
+  FROM orders LEFT JOIN s ON s.id = o_orderkey LEFT JOIN lost ON lost.id = o_orderkey)
+SELECT note_id, outcome, (CASE WHEN outcome IN ('total-drop', 'directives') THEN 2 WHEN outcome = 'partial-drop' THEN greatest(own, risk + 1) ELSE own END)::INTEGER AS action FROM o""")
+def note_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as notes, lineitems as their segments; what a segment of a supplier divisible by 5 states is not covered."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "note_id")
+    notes_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("note_id"), F.lit("x").alias("text"))
+    segments = lines.select("note_id", F.when(F.col("l_partkey") % 3 > 0, "s").alias("source"), (F.col("l_linenumber") % 4 == 0).cast("int").alias("action"))
+    keyed = lines.select("note_id", F.col("l_partkey").alias("key"), (F.col("l_partkey") % 2 == 0).alias("high_risk"), "l_suppkey")
+    return fidelity.ground(notes_, segments, keyed.drop("l_suppkey"), keyed.filter("l_suppkey % 5 > 0"), notes_.filter("note_id % 11 = 0"))

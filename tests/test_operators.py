@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rowsense.functions import text
-from rowsense.operators import evaluation, geometry, lookup, notes, quality, rules
+from rowsense.operators import evaluation, fidelity, geometry, lookup, notes, quality, rules
 
 
 def test_negations_use_the_longest_markers_first(spark):
@@ -95,3 +95,23 @@ def test_evaluation_gates(spark):
     assert {(r["id"], r["lang"]): (r["text"], r["verified"]) for r in evaluation.resolved_texts(texts).collect()} == {("t", "bo"): ("Hi", False), ("t", "zh"): ("Hi", False), ("t", "en"): ("Hi", True), ("u", "bo"): (None, False), ("u", "zh"): (None, False)}
     shown = spark.range(1).select(evaluation.range_text(F.lit(1.5), F.lit(2.0), F.lit("u")), evaluation.range_text(F.lit(None).cast("double"), F.lit(2.0), F.lit(None).cast("string"), F.lit(True)), evaluation.range_text(F.lit(3.0), F.lit(2.0), F.lit("u"))).first()
     assert tuple(shown) == ("1.5–2 u", "< 2", "")
+
+
+def test_fidelity_of_a_second_version(spark):
+    dose = "array<struct<amount:string,upper:string,dimension:string>>"
+    rows = [([("5", None, "m")], [("5", None, "m")], []), ([("5", "10", "m")], [("5", None, "m")], [fidelity.RANGE_INCOMPLETE]), ([("5", "10", "m")], [("5", "10", "m")], []), ([("5", None, "m")], [], [fidelity.NOT_PRESERVED]), ([("5", None, "m")], [("5", None, "v")], [fidelity.UNIT_MISMATCH]), ([("5", None, "m")], [("50", None, "m")], [fidelity.NOT_PRESERVED, fidelity.MAGNITUDE]), ([("5", None, "m")], [("6", "7", "m")], [fidelity.NOT_PRESERVED]), ([("0", None, "m")], [("7", None, "m")], [fidelity.NOT_PRESERVED]), ([], [("7", None, "m")], []), (None, None, [])]
+    none = F.lit(None).cast("string")
+    got = spark.createDataFrame(rows, f"s {dose}, o {dose}, want array<string>").select("want", fidelity.verdict(fidelity.dose_hits(F.col("s"), F.col("o"), none, none), F.col("s")).alias("v")).collect()
+    assert all(r["v"]["flags"] == r["want"] for r in got) and [r["v"]["action"] for r in got] == [0, 1, 0, 1, 2, 2, 1, 1, 0, 0]
+    assert got[4]["v"]["preserved"] == [] and len(got[0]["v"]["preserved"]) == 1
+    drugs = spark.createDataFrame([(["a"], ["a"], None, "A SR", "A"), (["a"], [], None, "A", ""), ([], ["b"], ["Zzz"], "Zzz", "B"), ([], [], ["Zzz"], "Zzz", None), (None, None, None, None, None)], "s array<string>, o array<string>, u array<string>, st string, ot string")
+    got = [[h["id"] for h in r[0]] for r in drugs.select(fidelity.drug_hits(F.col("s"), F.col("o"), F.col("u"), F.lit(None), F.col("st"), F.col("ot"), [("sr", "缓释")])).collect()]
+    assert got == [[fidelity.QUALIFIER_DROPPED], [fidelity.DRUG_LOST], [fidelity.UNKNOWN_ALTERED], [], []]
+    order = "array<struct<drug:string,kind:string,direction:string>>"
+    cases = [([], [("a", "hold", None)], False), ([("a", "hold", None)], [("b", "hold", None)], False), ([("a", "hold", None), ("b", "continue", None)], [("a", "continue", None), ("b", "hold", None)], True), ([("a", "dose-change", None)], [("a", "dose-change", None)], True), ([("a", "hold", None)], [], True), ([("a", "dose-change", "up")], [("a", "dose-change", "up")], False)]
+    got = spark.createDataFrame(cases, f"s {order}, o {order}, want boolean").select("want", fidelity.directives_differ(F.col("s"), F.col("o")).alias("d")).collect()
+    assert all(r["want"] == r["d"] for r in got)
+    lost = spark.createDataFrame([(["1", "2"], ["1"], [("2", None, "m")]), (["1"], None, None), (None, None, None)], f"s array<string>, o array<string>, d {dose}")
+    assert [len(r[0]) for r in lost.select(fidelity.number_hits(F.col("s"), F.col("o"), F.col("d"))).collect()] == [0, 1, 0]
+    shown = spark.range(1).select(fidelity.canonical_finding(F.lit("No Mass seen"), [("nodule", ["nodul"]), ("mass", ["mass", "占位"])]), fidelity.age_label(F.lit(40)), fidelity.age_label(F.lit(41)), fidelity.age_label(F.lit(None).cast("int"))).first()
+    assert tuple(shown) == ("mass", "18–64 (submitted age-band value: 40)", "41", "not provided")
