@@ -6,8 +6,10 @@ highest action. Defined results: null arrays count as empty, null texts as texts
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ HITS = "array<struct<id:string,action:int>>"
 NOT_PRESERVED, UNIT_MISMATCH, RANGE_INCOMPLETE = "R8-DOSE-NOT-PRESERVED", "R8-DOSE-UNIT-DIMENSION-MISMATCH", "R8-DOSE-RANGE-INCOMPLETE"
 MAGNITUDE, FREQUENCY_DROPPED, UNPARSEABLE = "R8-DOSE-MAGNITUDE-DIVERGENCE", "R8-DOSE-FREQUENCY-DROPPED", "R8-DOSE-SOURCE-UNPARSEABLE"
 NUMBER_LOST, DRUG_LOST, UNKNOWN_ALTERED = "R8-NUMBER-NOT-PRESERVED", "R9-DRUG-SUBSTITUTED", "R9-UNKNOWN-DRUG-ALTERED"
+HEDGE_WEAKENED, NEGATION_DIFFERS = "R7-HEDGE-STRENGTH-WEAKENED", "R7-NEGATION-POLARITY-MISMATCH"
+RETARGETED, SCOPE_BROKEN = "R7-NEGATION-RETARGETED", "R7-NEGATION-SCOPE-BROKEN"
 QUALIFIER_DROPPED, POLARITY_FLIP = "R9-DRUG-QUALIFIER-DROPPED", "R9-RESULT-POLARITY-FLIP"
 
 
@@ -85,6 +89,63 @@ def polarity_hits(source_text: Column, output_text: Column) -> Column:
     return hits_if(F.coalesce(result_polarity(source_text) != result_polarity(output_text), F.lit(False)), (POLARITY_FLIP, ABSTAIN))
 
 
+def negation_hits(source: Column, output: Column, source_text: Column, output_text: Column, source_lang: Column, output_lang: Column, findings: Iterable[tuple[str, dict[str, list[str]], bool]], hedges: dict[str, list[str]], exclusions: dict[str, list[str]], locators: dict[str, list[str]]) -> Column:
+    """Hits of the source's negations (notes.negations(), 'absent' or not) against the output's.
+
+    findings: name, terms by language, high risk; a negation's finding is the first of which it holds a term. Of one finding
+    both sides must be as certain (a negation of no known finding
+    counts for one that the output states); an output that states what the source negates, or negates what it states, differs. Negations
+    of other findings can only be counted: more of a kind abstain, fewer are flagged. A hedge (cannot exclude) of the source
+    is compared with words of exclusion alone. Null arrays count as empty, null texts as blank."""
+    findings = [(name, terms, risk) for name, terms, risk in findings]
+    says = lambda text, terms: any(t.lower() in text.lower() for t in terms)
+
+    def excludes(text: str, of: str) -> bool:
+        low = text.lower()
+        for h in sorted(hedges.get(of, ()), key=len, reverse=True):
+            low = low.replace(h.lower(), " ")
+        return says(low, exclusions.get(of, ()))
+
+    def of_segment(ours: list, theirs: list, text: str, other: str, of: str, to: str) -> list[dict]:
+        out: list[tuple[str, int]] = []
+        hedged, used = says(text, hedges.get(of, ())), set()
+        about = lambda n, language: next((f for f in findings if says(n["finding"] or "", f[1].get(language, ()))), None)
+        known, known_out = [about(n, of) for n in ours], [about(n, to) for n in theirs]
+        if hedged and excludes(other, to):
+            out += [(HEDGE_WEAKENED, ABSTAIN), (NEGATION_DIFFERS, ABSTAIN)]
+        for n, finding in zip(ours, known, strict=True):
+            if finding is None or hedged:
+                continue
+            stated = says(other, finding[1].get(to, ()))
+            same = next((i for i, k in enumerate(known_out) if k and k[0] == finding[0]), None)
+            if same is None and stated:
+                same = next((i for i, k in enumerate(known_out) if k is None), None)
+            if same is not None:
+                used.add(same)
+                firm, firm_out = n["polarity"] == "absent", theirs[same]["polarity"] == "absent"
+                if firm != firm_out:
+                    out.append((NEGATION_DIFFERS, ABSTAIN if firm_out and finding[2] else FLAG))
+            elif stated and theirs:
+                out.append((RETARGETED, FLAG))
+            elif stated:
+                scoped = says(n["finding"] or "", locators.get(of, ()))
+                out.append((SCOPE_BROKEN, ABSTAIN) if scoped else (NEGATION_DIFFERS, FLAG))
+        for finding in known_out:
+            if finding and all(k is None or k[0] != finding[0] for k in known) and says(text, finding[1].get(of, ())):
+                out.append((NEGATION_DIFFERS, ABSTAIN if finding[2] else FLAG))
+        if not hedged and not says(other, hedges.get(to, ())):
+            counts = [Counter(n["polarity"] == "absent" for i, (n, k) in enumerate(zip(ns, ks, strict=True)) if k is None and i not in taken) for ns, ks, taken in ((ours, known, ()), (theirs, known_out, used))]
+            out += [(NEGATION_DIFFERS, ABSTAIN if counts[1][firm] > counts[0][firm] else FLAG) for firm in (True, False) if counts[1][firm] != counts[0][firm]]
+        return [{"id": i, "action": a} for i, a in out]
+
+    @F.pandas_udf(HITS)
+    def find(ours: pd.Series, theirs: pd.Series, texts: pd.Series, others: pd.Series, langs: pd.Series, tos: pd.Series) -> pd.Series:
+        full = lambda x: list(x) if x is not None else []
+        return pd.Series([of_segment(full(a), full(b), t or "", o or "", of, to) for a, b, t, o, of, to in zip(ours, theirs, texts, others, langs, tos, strict=True)])
+
+    return find(source, output, source_text, output_text, source_lang, output_lang)
+
+
 def verdict(found: Column, stated: Column) -> Column:
     """struct<action, flags, preserved>: the highest action, each flag once, and what is stated unless it abstains."""
     action = F.coalesce(F.array_max(F.transform(found, lambda h: h["action"])), F.lit(RENDER))

@@ -14,8 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Share of the narrower width that must overlap; share of a row's height within which a cell belongs to it.
-OVERLAP, NEAR = 0.5, 0.4
+#: Share of the narrower width that must overlap; shares of a cell's height within which a cell belongs to a row and a column
+#: lines up with the first.
+OVERLAP, NEAR, ALIGNED = 0.5, 0.4, 0.25
 
 
 def _columns(cells: list[dict]) -> list[int]:
@@ -35,28 +36,52 @@ def _columns(cells: list[dict]) -> list[int]:
     return [place[k] for k in of]
 
 
-def _anchors(cells: list[dict], column: list[int]) -> list[int | None]:
+def _offset(own: np.ndarray, rows: np.ndarray, near: float) -> tuple[float, bool]:
+    """The shift at which most of a column's cells meet rows one to one, and whether all that can do so; of equal shifts that
+    with the least median distance, then the smallest."""
+
+    def met(shift: float) -> tuple[int, float]:
+        away = np.abs(own[:, None] - shift - rows).ravel()
+        cells, taken, far = set(), set(), []
+        close = np.flatnonzero(away <= near)
+        for at in close[np.argsort(away[close], kind="stable")].tolist():
+            cell, row = divmod(at, len(rows))
+            if cell not in cells and row not in taken:
+                cells.add(cell)
+                taken.add(row)
+                far.append(float(away[at]))
+        return -len(far), median(far) if far else float("inf")
+
+    shifts = dict.fromkeys([0.0, *(own[:, None] - rows).ravel().tolist()])
+    best = min(shifts, key=lambda d: (*met(d), abs(d)))
+    matched, spread = met(best)
+    return best, -matched >= min(len(own), len(rows)) and spread <= near
+
+
+def _anchors(cells: list[dict], column: list[int]) -> list[int | None] | None:
+    """The anchor of each cell; None if the page has no heights or a column that doesn't line up with the first."""
     middle = np.array([c["y"] + c["height"] / 2 for c in cells])
-    first = sorted((i for i, k in enumerate(column) if k == 0), key=lambda i: (middle[i], i))
-    rows = middle[first]
-    gaps = np.diff(rows)
-    near = NEAR * (float(np.median(gaps[gaps > 0])) if (gaps > 0).any() else median(c["height"] for c in cells))
+    height = median(c["height"] for c in cells)
+    if height <= 0:
+        return None
+    first = [i for i, k in enumerate(column) if k == 0]
+    down = sorted(first, key=lambda i: middle[i])
     anchor: list[int | None] = [None] * len(cells)
     for i in first:
         anchor[i] = cells[i]["cell_id"]
     for k in sorted(set(column) - {0}):
         own = [i for i, x in enumerate(column) if x == k]
-        # The offset at which most cells meet a row; of equal ones with the least distances, then the smallest.
-        best = (0, 0.0, 0.0, 0.0)
-        for d in np.unique(np.r_[0.0, (rows[:, None] - middle[own]).ravel()]):
-            off = np.abs(middle[own][:, None] + d - rows).min(1)
-            best = min(best, (-int((off <= near).sum()), float(off.sum()), abs(float(d)), float(d)))
-        away = np.abs(middle[own][:, None] + best[3] - rows)
-        taken: set[int] = set()
-        for _, _, r, i in sorted((float(away[n, r]), cells[i]["cell_id"], r, i) for n, i in enumerate(own) for r in range(len(first)) if away[n, r] <= near):
-            if r not in taken and anchor[i] is None:
-                taken.add(r)
-                anchor[i] = cells[first[r]]["cell_id"]
+        shift, fits = _offset(middle[own], middle[first], ALIGNED * height)
+        if not fits:
+            return None
+        away = np.abs(middle[down] - (middle[own] - shift)[:, None])
+        nearest = away.argmin(1)
+        best: dict[int, tuple[float, int]] = {}
+        for n, row in enumerate(nearest.tolist()):
+            if away[n, row] <= NEAR * height:
+                best[row] = min(best.get(row, (float("inf"), -1)), (float(away[n, row]), n))
+        for row, (_, n) in best.items():
+            anchor[own[n]] = cells[down[row]]["cell_id"]
     return anchor
 
 
@@ -87,15 +112,17 @@ def cluster_columns(cells: DataFrame) -> DataFrame:
 
 
 def bind_cells(cells: DataFrame) -> DataFrame:
-    """page_id, cell_id, column, anchor: the cell of the first column in whose row a cell stands. Each column is first
-    shifted by the offset at which most of its cells meet a row; a row takes one cell of a column, the nearest."""
-    schema = pa.schema([(x, pa.int64()) for x in ("page_id", "cell_id", "column", "anchor")])
+    """page_id, cell_id, column, anchor, refused: the cell of the first column in whose row a cell stands. Each column is first
+    shifted by the offset at which most of its cells meet a row; a row takes one cell of a column, the nearest. A page with a
+    column that fits no shift is refused: none of its cells has an anchor, as values could meet wrong names."""
+    schema = pa.schema([*((x, pa.int64()) for x in ("page_id", "cell_id", "column", "anchor")), ("refused", pa.bool_())])
 
     def make(cs: list[dict]) -> list[tuple]:
         column = _columns(cs)
-        return [(c["page_id"], c["cell_id"], k, a) for c, k, a in zip(cs, column, _anchors(cs, column), strict=True)]
+        bound = _anchors(cs, column)
+        return [(c["page_id"], c["cell_id"], k, a, bound is None) for c, k, a in zip(cs, column, bound or [None] * len(cs), strict=True)]
 
-    return _by_page(cells, make, schema, "page_id long, cell_id long, column long, anchor long")
+    return _by_page(cells, make, schema, "page_id long, cell_id long, column long, anchor long, refused boolean")
 
 
 #: A table has at least so many rows, such a share of its cells in rows, and of a column's cells that are results.

@@ -20,6 +20,14 @@ AMOUNT = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|[零一二两三四五六
 NEGATION = "array<struct<raw:string,finding:string,polarity:string,strength:string>>"
 DOSE = "array<struct<raw:string,amount:string,upper:string,dimension:string,start:int,end:int>>"
 
+NAMED = "array<struct<raw:string,id:string>>"
+DIRECTIVE = "array<struct<raw:string,kind:string,direction:string,drug:string>>"
+#: Characters after which these words order nothing; what a negated directive means; a stop of any named medicine
+#: and a halving.
+NO_ORDER = {"停": "经诊产售搏跳留止工业学课滞顿车电水", "暂停": "期间一片时刻后会歇下"}
+TURNED = {"hold": "continue", "continue": "hold"}
+STOP_MEDICINE, HALVE = re.compile("停[一-龥]{1,8}?药"), re.compile(r"\bcut\b[a-z0-9\s'-]*\bin half\b", re.ASCII)
+
 
 def free_hits(text: str, needle: str, used: list[tuple[int, int]], whole_words: bool) -> Iterable[tuple[int, int]]:
     """Places of the needle that lie in no used stretch; as whole words, no letter or digit touches its own outer ones."""
@@ -111,6 +119,55 @@ def known_drugs(clause: Column, lang: Column, forms: Iterable[tuple[str, str]])
     return find(clause, lang)
 
 
+def directives(clause: Column, lang: Column, drugs: Column, markers: Iterable[tuple[str, str, str, str | None, bool]], inversions: Iterable[tuple[str, str]], monitored: Iterable[str], referents: Iterable[tuple[str, str]]) -> Column:
+    """raw, kind (hold, continue, dose-change or unknown), direction (of dose changes) and nearest drug of each directive.
+
+    drugs: array<struct<raw, id>> of the clause; markers: marker, language, kind, direction, and whether it needs a drug or a
+    referent (word, language) in the clause; a negation (word, language) right before a marker turns it; a continue marker
+    right before something monitored orders nothing. A null clause or null drugs state nothing."""
+    ordered, monitored, inversions = sorted(markers, key=lambda m: -len(m[0])), tuple(monitored), list(inversions)
+
+    def is_turned(before: str, of: str) -> bool:
+        if of != "en":
+            return before.endswith(tuple(w for w, language in inversions if language == of))
+        ends = "|".join(re.escape(w.lower()) for w, language in inversions if language == of)
+        return bool(ends) and re.search(rf"(?<![a-z0-9])(?:{ends})\s*$", before) is not None
+
+    def in_clause(text: str, of: str, named: Iterable[dict]) -> list[dict]:
+        low, used, found = text.lower() if of == "en" else text, [], []
+        places = [(text.find(d["raw"]), d["id"]) for d in named if d["raw"] in text]
+        referred = len(named) > 0 or any((t.lower() if of == "en" else t) in low for t, language in referents if language == of)
+
+        def add(a: int, b: int, kind: str, direction: str | None) -> None:
+            used.append((a, b))
+            if is_turned(low[:a], of):
+                kind, direction = (kind, "unknown") if kind == "dose-change" else (TURNED.get(kind, "unknown"), None)
+            elif kind == "dose-change":
+                direction = direction or "unknown"
+            drug = min(places, key=lambda p: abs(p[0] - a))[1] if places else None
+            found.append({"raw": text[a:b], "kind": kind, "direction": direction, "drug": drug})
+
+        for marker, language, kind, direction, needs_drug in ordered:
+            if language != of or (needs_drug and not referred):
+                continue
+            for a, b in free_hits(low, marker.lower() if of == "en" else marker, used, of == "en"):
+                orders_nothing = text[b : b + 1] and text[b : b + 1] in NO_ORDER.get(marker, "")
+                if not (orders_nothing or (marker == "停" and text[:a].endswith("暂")) or (kind == "continue" and text[b:].startswith(monitored))):
+                    add(a, b, kind, direction)
+        others = STOP_MEDICINE.finditer(text) if of == "zh" else HALVE.finditer(low) if of == "en" and referred else ()
+        for m in others:
+            clear = all(m.end() <= a or m.start() >= b for a, b in used)
+            if clear and not (of == "zh" and text[m.start() + 1] in NO_ORDER["停"]):
+                add(m.start(), m.end(), *(("hold", None) if of == "zh" else ("dose-change", "down")))
+        return found
+
+    @F.pandas_udf(DIRECTIVE)
+    def find(clauses: pd.Series, langs: pd.Series, named: pd.Series) -> pd.Series:
+        return pd.Series([in_clause(t or "", of, ds if ds is not None else []) for t, of, ds in zip(clauses, langs, named, strict=True)])
+
+    return find(clause, lang, drugs)
+
+
 def bare_numbers(clause: Column, dosed: Column) -> Column:
     """Numbers of the clause that lie in no dose. dosed: doses() of the clause."""
 

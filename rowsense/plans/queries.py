@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals, parse, text
-from ..operators import entities, evaluation, fidelity, geometry, lookup, metrics, notes, quality, reconcile, rules
+from ..operators import entities, evaluation, fidelity, geometry, lookup, metrics, notes, quality, reconcile, rules, wellformed
 from ..streaming import limits
 
 #: Derived columns, the same text for Spark and SQL.
@@ -535,9 +535,13 @@ def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("page_id", (F.col("ordinal") * 3 + F.col("c")).cast("long").alias("cell_id"), "x", (F.col("ordinal") * 30.0 + F.col("c") * 4).alias("y"), F.lit(80.0).alias("width"), F.lit(20.0).alias("height"), written.alias("text"))
 
 
-@query()
+@query("""WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), o AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS row, l_orderkey % 7 = 0 AND count(*) OVER (PARTITION BY l_orderkey) > 1 AS refused FROM r)
+SELECT page_id, row * 3 + c AS cell_id, c AS "column", CASE WHEN NOT refused THEN row * 3 END AS anchor, refused FROM o, range(3) t(c)""")
 def cell_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.bind_cells(positioned(spark, sf_dir))
+    """Pages whose order is divisible by 7 have a third column whose cells drift ever further down."""
+    row = F.floor(F.col("cell_id") / 3)
+    drifts = (F.col("page_id") % 7 == 0) & (F.col("cell_id") % 3 == 2)
+    return geometry.bind_cells(positioned(spark, sf_dir).withColumn("y", F.col("y") + F.when(drifts, row * row * 11.0).otherwise(0.0)))
 
 
 @query("""WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem), n AS (SELECT l_orderkey AS page_id, count(*) AS n FROM r GROUP BY 1)
@@ -598,3 +602,55 @@ def note_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = lines.select("note_id", F.when(F.col("l_partkey") % 3 > 0, "s").alias("source"), (F.col("l_linenumber") % 4 == 0).cast("int").alias("action"))
     keyed = lines.select("note_id", F.col("l_partkey").alias("key"), (F.col("l_partkey") % 2 == 0).alias("high_risk"), "l_suppkey")
     return fidelity.ground(notes_, segments, keyed.drop("l_suppkey"), keyed.filter("l_suppkey % 5 > 0"), notes_.filter("note_id % 11 = 0"))
+
+
+#: Beginnings of texts: one syllable and a separator, doubled, first, two runs without one, CJK, Devanagari, a control, unassigned, not composed, blanks.
+BO = ("\u0f42\u0f0b", "\u0f42\u0f0b\u0f0b", " \u0f0b\u0f42", "\u0f42 \u0f44 ", "\u8840", "\u0905\U0001f600$", "\u200b", "\u0f48\u0f77", "e\u0301", "   ")
+
+
+@query(rf"""WITH t AS (SELECT [{", ".join(f"'{b}'" for b in BO)}][p_partkey % 10 + 1] || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS t FROM part),
+f AS (SELECT unnest([{{'c': 'A1', 'n': (trim(t) = '')::INT}}, {{'c': 'A2', 'n': regexp_matches(t, '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}]')::INT}},
+  {{'c': 'A3', 'n': len(regexp_extract_all(t, '[^\x{{0f00}}-\x{{0fff}}A-Za-z0-9 !"#%''()*+,\-./:;<=>?\[\]^_{{}}²µ×μ–−≤≥]'))}}, {{'c': 'A4', 'n': len(regexp_extract_all(t, '[\x{{0900}}-\x{{097f}}]'))}},
+  {{'c': 'A5', 'n': len(regexp_extract_all(t, '[\x{{0f48}}\x{{0f6d}}-\x{{0f70}}\x{{0f77}}\x{{0f79}}\x{{0f98}}\x{{0fbd}}\x{{0fcd}}\x{{0fdb}}-\x{{0fff}}]')) + (nfc_normalize(t) <> t)::INT}},
+  {{'c': 'A7', 'n': regexp_matches(t, '^\s*[\x{{0f0b}}\x{{0f0c}}]')::INT + contains(t, '་་')::INT + (len(list_filter(string_split(t, ' '), lambda r: regexp_matches(r, '[\x{{0f40}}-\x{{0fbc}}]'))) >= 2 AND NOT regexp_matches(t, '[\x{{0f0b}}\x{{0f0c}}]'))::INT}},
+  {{'c': 'A9', 'n': len(regexp_extract_all(t, '[\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}\x{{2066}}-\x{{2069}}\x{{feff}}]'))}}]) AS f FROM t) SELECT f.c AS "check", sum(f.n)::BIGINT AS n FROM f GROUP BY 1 HAVING sum(f.n) > 0""")
+def well_formedness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    begins = F.element_at(F.array(*map(F.lit, BO)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    texts = table(spark, sf_dir, "part").select(F.concat(begins, F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_name"))).alias("t"))
+    return texts.select(F.explode(wellformed.findings(F.col("t"))).alias("f")).groupBy("f.check").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Clauses with the directives that they state (kind, direction): marker, turned by a negation, an ambiguous word without a drug, a word that orders nothing, monitoring, halving.
+ORDERS = (("Stop aspirin today", "en", ("hold",)), ("do not stop aspirin", "en", ("continue",)), ("hold the rail", "en", ()), ("hold this medication", "en", ("hold",)), ("停经三月", "zh", ()), ("停降压药", "zh", ("hold",)), ("继续观察", "zh", ()), ("cut the aspirin in half", "en", ("dose-change:down",)), ("do not increase aspirin", "en", ("dose-change:unknown",)), ("household", "en", ()))
+ORDER_MARKERS = (("stop", "en", "hold", None, False), ("hold", "en", "hold", None, True), ("increase", "en", "dose-change", "up", False), ("停", "zh", "hold", None, True), ("继续", "zh", "continue", None, True))
+
+
+@query(f"""WITH e(i, kinds) AS (VALUES {", ".join(f"({i}, {list(k)}::VARCHAR[])" for i, (_, _, k) in enumerate(ORDERS))}) SELECT o_orderkey AS id, array_to_string(kinds, ',') AS kinds FROM orders JOIN e ON o_orderkey % {len(ORDERS)} = i""")
+def directive_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order states one of the clauses."""
+    pick = lambda n: F.element_at(F.array(*(F.lit(o[n]) for o in ORDERS)), (F.col("o_orderkey") % len(ORDERS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", pick(0).alias("clause"), pick(1).alias("lang"))
+    named = F.when(F.lower("clause").contains("aspirin"), F.array(F.struct(F.lit("aspirin").alias("raw"), F.lit("a").alias("id")))).otherwise(F.array().cast(notes.NAMED))
+    found = notes.directives(F.col("clause"), F.col("lang"), named, ORDER_MARKERS, [("do not", "en"), ("不要", "zh")], ["观察"], [("medication", "en"), ("这个药", "zh")])
+    kinds = F.transform(found, lambda d: F.concat_ws(":", d["kind"], d["direction"]))
+    return rows.select(F.col("o_orderkey").alias("id"), F.array_join(kinds, ",").alias("kinds"))
+
+
+#: A source and its translation, with the flags and the action that they get.
+NEGATED = (
+    ("未见占位", "No mass seen", (), 0), ("提示恶性", "no malignancy", ("R7-NEGATION-POLARITY-MISMATCH",), 2), ("未见占位", "A mass is seen", ("R7-NEGATION-POLARITY-MISMATCH",), 1),
+    ("不能排除转移", "metastasis is excluded", ("R7-HEDGE-STRENGTH-WEAKENED", "R7-NEGATION-POLARITY-MISMATCH"), 2), ("未见左肺占位", "A mass is seen", ("R7-NEGATION-SCOPE-BROKEN",), 2),
+    ("未见占位", "A mass with no malignancy", ("R7-NEGATION-RETARGETED",), 1), ("未见占位", "A mass with no effusion", (), 0), ("未见积液", "effusion", ("R7-NEGATION-POLARITY-MISMATCH",), 1), ("占位", "mass", (), 0),
+)
+FOUND = (("mass", {"zh": ["占位"], "en": ["mass"]}, False), ("malignancy", {"zh": ["恶性"], "en": ["malignan"]}, True), ("metastasis", {"zh": ["转移"], "en": ["metasta"]}, True))
+NEGATION_MARKERS = (("未见", "zh", "absent", "firm", False), ("提示", "zh", "uncertain", "weak", False), ("no", "en", "absent", "firm", False))
+
+
+@query(f"""WITH e(i, flags, action) AS (VALUES {", ".join(f"({i}, {list(f)}::VARCHAR[], {a})" for i, (_, _, f, a) in enumerate(NEGATED))}) SELECT action::INTEGER AS action, array_to_string(flags, ',') AS flags, count(*)::BIGINT AS n FROM lineitem JOIN e ON l_partkey % {len(NEGATED)} = i GROUP BY 1, 2""")
+def negation_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda n: F.element_at(F.array(*(F.lit(o[n]) for o in NEGATED)), (F.col("l_partkey") % len(NEGATED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(pick(0).alias("a"), pick(1).alias("b"))
+    found = [notes.negations(F.col(c), F.lit(of), NEGATION_MARKERS) for c, of in (("a", "zh"), ("b", "en"))]
+    told = fidelity.negation_hits(*found, F.col("a"), F.col("b"), F.lit("zh"), F.lit("en"), FOUND, {"zh": ["不能排除"], "en": ["cannot exclude"]}, {"en": ["excluded", "ruled out"]}, {"zh": ["左肺"]})
+    verdict = fidelity.verdict(told, F.array().cast("array<string>"))
+    return rows.select(verdict.alias("v")).groupBy(F.col("v.action").alias("action"), F.array_join("v.flags", ",").alias("flags")).agg(F.count(F.lit(1)).alias("n"))

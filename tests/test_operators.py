@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rowsense.functions import text
-from rowsense.operators import evaluation, fidelity, geometry, lookup, notes, quality, rules
+from rowsense.operators import evaluation, fidelity, geometry, lookup, notes, quality, rules, wellformed
 
 
 def test_negations_use_the_longest_markers_first(spark):
@@ -115,3 +115,40 @@ def test_fidelity_of_a_second_version(spark):
     assert [len(r[0]) for r in lost.select(fidelity.number_hits(F.col("s"), F.col("o"), F.col("d"))).collect()] == [0, 1, 0]
     shown = spark.range(1).select(fidelity.canonical_finding(F.lit("No Mass seen"), [("nodule", ["nodul"]), ("mass", ["mass", "占位"])]), fidelity.age_label(F.lit(40)), fidelity.age_label(F.lit(41)), fidelity.age_label(F.lit(None).cast("int"))).first()
     assert tuple(shown) == ("mass", "18–64 (submitted age-band value: 40)", "41", "not provided")
+
+
+def test_columns_that_fit_no_shift_refuse_the_page(spark):
+    at = lambda page, ys: [(page, i, x, float(y), 50.0, 20.0, "t") for i, (x, y) in enumerate(ys)]
+    shifted = at(1, [(0.0, 0), (0.0, 30), (0.0, 60), (100.0, 30), (100.0, 60), (100.0, 90)])
+    drifting = at(2, [(0.0, 0), (0.0, 30), (100.0, 0), (100.0, 60)])
+    two = at(3, [(0.0, 0), (100.0, 0), (100.0, 3)])
+    flat = [(4, 0, 0.0, 0.0, 50.0, 0.0, "t")]
+    cells = spark.createDataFrame(shifted + drifting + two + flat, "page_id long, cell_id long, x double, y double, width double, height double, text string")
+    got = {p: [(r["anchor"], r["refused"]) for r in sorted(geometry.bind_cells(cells).collect(), key=lambda r: r["cell_id"]) if r["page_id"] == p] for p in (1, 2, 3, 4)}
+    assert got[1] == [(0, False), (1, False), (2, False)] * 2 and got[2] == [(None, True)] * 4
+    assert got[3] == [(0, False), (0, False), (None, False)] and got[4] == [(None, True)]
+    assert geometry.bind_cells(cells.limit(0)).count() == 0
+
+
+def test_well_formed_texts(spark):
+    texts = ["\u0f42\u0f0b", None, "\U0001f600\u200b", "\u0f77", "\u0f42 \u0f44", "\u0f42\u0f0b\u0f0b", "a\n\u0f0b", "\u8840 5"]
+    got = [[tuple(f) for f in r[0]] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(wellformed.findings(F.col("t"))).collect()]
+    assert got[:3] == [[], [("A1", None, None)], [("A3", 0, 0x1F600), ("A3", 2, 0x200B), ("A9", 2, 0x200B)]]
+    assert got[3][0] == ("A5", 0, 0x0F77) and [[f[0] for f in x] for x in got[4:]] == [["A7"], ["A7"], ["A3"], ["A2", "A3"]]
+
+
+def test_directives_by_marker_negation_and_scope(spark):
+    markers = [("stop", "en", "hold", None, False), ("keep taking", "en", "continue", None, False), ("halve", "en", "dose-change", "down", False), ("暂停", "zh", "hold", None, True), ("停", "zh", "hold", None, True)]
+    a, b = ("aspirin", "a"), ("warfarin", "b")
+    cases = [("stop aspirin, keep taking warfarin", "en", [a, b], [("stop", "hold", None, "a"), ("keep taking", "continue", None, "b")]), ("never stop aspirin", "en", [a], [("stop", "continue", None, "a")]), ("whenever stop", "en", [], [("stop", "hold", None, None)]), ("暂停期间服药", "zh", [("药", "c")], []), ("不要停药", "zh", [("药", "c")], [("停", "continue", None, "c")]), ("停他汀类药物", "zh", [], [("停他汀类药", "hold", None, None)]), ("nonstop", "en", [a], []), (None, "en", None, [])]
+    got = spark.createDataFrame([c[:3] for c in cases], f"c string, lang string, d {notes.NAMED}").select(notes.directives(F.col("c"), F.col("lang"), F.col("d"), markers, [("never", "en"), ("不要", "zh")], ["观察"], [])).collect()
+    assert [sorted((d["raw"], d["kind"], d["direction"], d["drug"]) for d in r[0]) for r in got] == [sorted(c[3], key=str) for c in cases]
+
+
+def test_negations_of_two_versions(spark):
+    one = "array<struct<raw:string,finding:string,polarity:string,strength:string>>"
+    neg = lambda finding, polarity="absent": ("x", finding, polarity, "firm")
+    cases = [([neg("mass")], [neg("mass")], "no mass", "no mass", []), ([neg("mass", "uncertain")], [neg("mass")], "mass?", "no mass", [1]), ([], [neg("tumour")], "tumour", "no tumour", [2]), ([neg("clot")], [], "no clot", "clot", [1]), ([], [neg("clot")], "clot", "no clot", [2]), ([neg("mass")], [neg(None)], "no mass", "mass: none", []), (None, None, None, None, [])]
+    known = [("mass", {"en": ["mass"]}, False), ("tumour", {"en": ["tumour"]}, True)]
+    got = spark.createDataFrame([c[:4] for c in cases], f"a {one}, b {one}, s string, t string").select(fidelity.negation_hits(F.col("a"), F.col("b"), F.col("s"), F.col("t"), F.lit("en"), F.lit("en"), known, {}, {}, {})).collect()
+    assert [[h["action"] for h in r[0]] for r in got] == [c[4] for c in cases]
