@@ -120,7 +120,8 @@ def known_drugs(clause: Column, lang: Column, forms: Iterable[tuple[str, str]])
 
 
 def directives(clause: Column, lang: Column, drugs: Column, markers: Iterable[tuple[str, str, str, str | None, bool]], inversions: Iterable[tuple[str, str]], monitored: Iterable[str], referents: Iterable[tuple[str, str]]) -> Column:
-    """raw, kind (hold, continue, dose-change or unknown), direction (of dose changes) and nearest drug of each directive.
+    """raw, kind (hold, continue, dose-change or unknown), direction (of dose changes) and drug of each directive:
+    the one whose first mention starts nearest to it.
 
     drugs: array<struct<raw, id>> of the clause; markers: marker, language, kind, direction, and whether it needs a drug or a
     referent (word, language) in the clause; a negation (word, language) right before a marker turns it; a continue marker
