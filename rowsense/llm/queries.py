@@ -6,6 +6,7 @@ from .html_extract import op1_html_extract
 from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .mixing import op6_mixing
 from .packing import op7_packing
+from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .secret_scan import op3_secret_scan
 from .topk_search import OP5_SQL, op5_topk
 from .toxicity import op8_toxicity
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op12_periodic_runs": op12_periodic_runs,
 }
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_topk": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_topk": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_periodic_runs": OP12_SQL}
