@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
 from .chat_format import OP10_SQL, op10_chat_format
+from .conversation_repair import OP13_SQL, op13_conversation_repair
 from .fingerprints import op2_fingerprints
 from .html_extract import op1_html_extract
 from .jaccard_join import OP9_SQL, op9_jaccard_join
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_topk": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_periodic_runs": OP12_SQL}
+ORACLE_SQL = {"op4_warc": OP4_SQL, "op5_topk": OP5_SQL, "op9_jaccard_join": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_conversation_repair": OP13_SQL}
