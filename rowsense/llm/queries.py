@@ -11,6 +11,7 @@ from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .secret_scan import op3_secret_scan
 from .topk_search import OP5_SQL, op5_topk
 from .toxicity import op8_toxicity
+from .url_filter import op11_url_filter
 from .warc_archive import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_format": op10_chat_format,
+    "op11_url_filter": op11_url_filter,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
