@@ -12,16 +12,18 @@ and again:
 So a wrapper grows with the labels of a template, not with pages. Every page takes part: tasks align what they read, and
 two more rounds align the tasks' wrappers of a host, first in 64 parts.
 
-A host's wrapper gives its rules: whether an element that names mark as no part holds nearly all that varies and so is the
-article after all; else where the article is (the article or main element with most text; failing that, the
-deepest element that holds most of the variable text), which labels hold mostly links, and which constant texts are the
-template's. A page that its host's rules don't fit is read by the rules of a wrapper of its own.
+A host's wrapper gives its rules: where the articles are (all article elements, else main; failing both, the deepest
+element that holds most of the variable text). Within named articles, which labelled containers are the template's: those
+that stand behind the first paragraph and say the same on all pages (adverts, notices), and those at the end that repeat
+labelled items of a short line and a text (readers' comments); paragraphs, headings and lists that pages share stay. Elsewhere,
+which labels hold mostly links and which constant texts are the template's. A page that its host's rules don't fit is read by
+the rules of a wrapper of its own.
 
 Defined results: null or empty html gives the empty text; a null or broken URL is a host of its own, the empty one; equal
 pages give equal texts within a host; rows with equal ids stay; elements nested deeper than DEPTH are read as content of
-the deepest. White space is Unicode's; a line break element is white space; formulas are text of their line. Classes and roles
-mark what is not the article by whole words or compounds with words of layout only (TEXT_TAGS by whole words alone); ids only
-where they stand on ID_TAGS and hold one of ID_WORDS.
+the deepest. White space is Unicode's; a line break element is white space; formulas are text of their line. Classes, roles and
+labels for readers of screens mark what is not the article by whole words or compounds with words of layout only (TEXT_TAGS by
+whole words alone); ids only where they stand on ID_TAGS and hold one of ID_WORDS.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ from .common import to_batch, whole, written
 DEPTH, PARTS, HOSTS_HELD, LABELS_HELD = 100, 64, 2000, 48
 #: Share of the article's text that the element to descend to must hold; of links from which an element is a list of links.
 MOSTLY, LINKED = 0.6, 0.6
-#: Pages from which an equal text is the template's; times the text without marks that a marked element must hold to be the article.
-CONSTANT_PAGES, OVERRULED = 3, 4
+#: Pages from which an equal text is the template's; share of a list's text that its items' first lines have at most.
+CONSTANT_PAGES, BYLINE = 3, 0.4
 
 #: Quotes hold anything, but only behind an equals sign; one that is never closed is a character as others.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/><]*)((?:[^"'<>=]++|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+)>""", re.S)
@@ -58,13 +60,15 @@ ENDS_P = BLOCK - {"option", "optgroup", "legend", "caption", "tbody", "thead", "
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 SCOPE = frozenset("ul ol dl table div article section body html main aside nav form".split())
 # Elements and words of class, id or role that mark what is not the article.
-OUT_TAGS = frozenset("nav aside footer form script style noscript template iframe button select textarea dialog menu svg object audio video canvas head title noembed noframes search".split())
-OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox adslot adsense banner promo promotion sponsor sponsored sponsors nav navbar navigation navi menu menubar submenu breadcrumb breadcrumbs footer foot sidebar side aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations trending pagination pager paging toolbar search login widget widgets copyright legal disclaimer skip masthead topbar complementary contentinfo dialog hidden".split())
+OUT_TAGS = frozenset("nav aside footer form label output datalist script style noscript template iframe button select textarea dialog menu svg object audio video canvas head title noembed noframes search".split())
+OUT_WORDS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising adbox adslot adsense banner promo promotion sponsor sponsored sponsors nav navbar navigation navi menu menubar submenu breadcrumb breadcrumbs footer foot sidebar side aside cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations trending pagination pager paging toolbar search login widget widgets copyright legal disclaimer skip masthead topbar complementary contentinfo dialog hidden teaser teasers".split())
 HEAD_WORDS = frozenset("header head banner masthead topbar".split())
 # Classes that templates put on the body, where their words don't mark.
 NEVER_OUT = frozenset("html body article main".split())
+# Whole words that mark an article element.
+ARTICLE_WORDS = frozenset("ad advert advertisement comment promo promoted recommended related reply sponsored teaser".split())
 # Words beside a telling one that leave its meaning; elements that only a whole class or role word marks.
-LAYOUT_WORDS = frozenset("area bar block bottom box button buttons col column container content group inner item items left link links list main outer page panel post right row section site slot top unit wrap wrapper".split())
+LAYOUT_WORDS = frozenset("area articles bar block bottom box button buttons col column container content entries entry feed form google group inner item items left link links list main news outer page panel post posts products reader readers right row section site slot stories story thread top topics unit user users visitor visitors wrap wrapper x".split())
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 # Elements that an id alone marks, and its words, as slugs of headings are ids too.
 ID_TAGS = frozenset("div section ul ol dl table center details figure fieldset".split())
@@ -85,7 +89,7 @@ def tells(word: str, marks: frozenset, compound: bool) -> bool:
 @lru_cache(10_000)
 def mark(tag: str, ids: tuple[str, ...], words: tuple[str, ...]) -> str:
     if tag in NEVER_OUT:
-        return ""
+        return NO_PART if tag == "article" and not ARTICLE_WORDS.isdisjoint(words) else ""
     compound = tag not in TEXT_TAGS
     if any(tells(w, OUT_WORDS - HEAD_WORDS, compound) for w in words) or tag in ID_TAGS and any(tells(w, ID_WORDS - HEAD_WORDS, True) for w in ids):
         return NO_PART
@@ -103,6 +107,9 @@ def names(tag: str, attributes: str) -> str:
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNSEEN.search(value):
             hidden = True
+        elif key == "aria-label":
+            # Several words say together what the element is.
+            words.append("-".join(value.lower().split()))
         elif key in ("class", "id", "role", "itemprop"):
             some = re.sub(r"\d+", "0", value.lower()).split()
             found += some
@@ -184,7 +191,7 @@ def read_tree(page: str) -> Element:
         label = names(tag, m[3])
         if tag == "html":
             continue
-        if tag not in BLOCK and tag != "a" and label == tag:
+        if tag not in BLOCK and tag != "a" and label == tag and tag not in OUT_TAGS:
             continue
         if len(stack) > DEPTH:
             over[tag] = over.get(tag, 0) + 1
@@ -320,7 +327,7 @@ def wrapper_of(page: str) -> list:
 
 
 def rules_of(wrapper: list) -> dict:
-    """root: the labels from the page to the article's element; constants and links: texts and paths that are left out."""
+    """roots: the labels from the page to the articles' elements; constants, links and cut: texts and paths that are left out."""
     best: dict[tuple, float] = {}
 
     def walk(item: list, path: tuple, inside: bool) -> float:
@@ -340,49 +347,28 @@ def rules_of(wrapper: list) -> dict:
 
     total = walk(wrapper, (), False)
     root: tuple = ("html",)
-    # Marks are names alone; where a host's marked element holds nearly all that varies between pages, the wrapper overrules it.
-    marked: dict[tuple, float] = {}
-
-    def varying(item: list, path: tuple, mark: tuple | None) -> None:
-        if item[0] == SLOT:
-            if mark:
-                marked[mark] = marked.get(mark, 0.0) + max(0, item[4] - item[5] - sum(map(constant_size, item[6])) * item[3])
-            return
-        here = path if item[0] == GROUP else (*path, item[0])
-        tag = item[0].split(".", 1)[0]
-        if item[0] != GROUP and tag in OUT_TAGS:
-            return
-        if item[0] != GROUP and not mark and item[0].endswith((NO_PART, HEADER)):
-            mark = here
-        for i in item[6]:
-            varying(i, here, mark)
-
-    varying(wrapper, (), None)
-    kept = max(marked, key=lambda p: (marked[p], p), default=None) if wrapper[3] >= CONSTANT_PAGES else None
-    if kept and marked[kept] > OVERRULED * total:
-        return {"root": list(kept), "constants": [], "links": [], "kept": "/".join(kept)}
-    named = {p: c for p, c in best.items() if (p[-1].split(".", 1)[0] in ("article", "main") or "articlebody" in p[-1].split(".")) and c >= 0.25 * total and c > 0}
-    articles = {p: c for p, c in named.items() if p[-1].split(".", 1)[0] != "main"}
-    if named:
-        root = max(articles or named, key=lambda p: ((articles or named)[p], -len(p)))
-    else:
-        repeated = set()
-
-        def many(item: list, path: tuple, under: bool) -> None:
-            here = path if item[0] in (GROUP, SLOT) else (*path, item[0])
-            if item[0] != SLOT:
-                if item[2] or under:
-                    repeated.add(here)
-                for i in item[6]:
-                    many(i, here, item[0] == GROUP)
-
-        many(wrapper, (), False)
-        while True:
-            below = {p: c for p, c in best.items() if len(p) == len(root) + 1 and p[: len(root)] == root}
-            top = max(below, key=lambda p: (below[p], p), default=None)
-            if top is None or not below[top] or below[top] < MOSTLY * best[root] or top in repeated or top[-1].split(".", 1)[0] in ("p", "a", "span", "h1", "h2", "ul", "ol", "table", "blockquote", "pre"):
-                break
-            root = top
+    named = {p: c for p, c in best.items() if (p[-1].split(".", 1)[0] in ("article", "main") or "articlebody" in p[-1].split(".")) and c > 0}
+    articles = {p: c for p, c in named.items() if p[-1].split(".", 1)[0] != "main"} or named
+    outer = [p for p in articles if not any(q != p and p[: len(q)] == q for q in articles)]
+    if outer and sum(articles[p] for p in outer) >= 0.25 * total:
+        return {"roots": [list(p) for p in sorted(outer)], "constants": [], "links": [], "cut": sorted(containers_of(wrapper, set(outer)))}
+    repeated = set()
+
+    def many(item: list, path: tuple, under: bool) -> None:
+        here = path if item[0] in (GROUP, SLOT) else (*path, item[0])
+        if item[0] != SLOT:
+            if item[2] or under:
+                repeated.add(here)
+            for i in item[6]:
+                many(i, here, item[0] == GROUP)
+
+    many(wrapper, (), False)
+    while True:
+        below = {p: c for p, c in best.items() if len(p) == len(root) + 1 and p[: len(root)] == root}
+        top = max(below, key=lambda p: (below[p], p), default=None)
+        if top is None or not below[top] or below[top] < MOSTLY * best[root] or top in repeated or top[-1].split(".", 1)[0] in ("p", "a", "span", "h1", "h2", "ul", "ol", "table", "blockquote", "pre"):
+            break
+        root = top
     constants, links = [], []
 
     def under(item: list, path: tuple) -> None:
@@ -392,8 +378,7 @@ def rules_of(wrapper: list) -> dict:
             return
         here = path if item[0] == GROUP else (*path, item[0])
         tag = item[0].split(".", 1)[0]
-        # Within a named article lists of links are its text, such as references.
-        if not named and len(here) > len(root) and here[: len(root)] == root and tag in ("ul", "ol", "div", "section", "table", "dl") and item[4] and item[5] > LINKED * item[4] and item[4] < 0.5 * max(1.0, best[root]):
+        if len(here) > len(root) and here[: len(root)] == root and tag in ("ul", "ol", "div", "section", "table", "dl") and item[4] and item[5] > LINKED * item[4] and item[4] < 0.5 * max(1.0, best[root]):
             links.append("/".join(here))
             return
         for i in item[6]:
@@ -404,17 +389,90 @@ def rules_of(wrapper: list) -> dict:
     fixed = sum(constant_size(c) for _, c in constants) * wrapper[3]
     if fixed * 2 > best.get(root, 0.0) + fixed or wrapper[3] < CONSTANT_PAGES:
         constants = []
-    # Articles of one host share headings: those in the article's element are its text.
-    inner = lambda path: path[len(root) :] if named else path[len(root) : len(root) + 1]
+    # Pages of one host share headings.
+    inner = lambda path: path[len(root) : len(root) + 1]
     cut = [["/".join(path), c] for path, c in constants if not any(x.split(".", 1)[0] in HEADINGS for x in inner(path))]
-    return {"root": list(root), "constants": cut, "links": links}
+    return {"roots": [list(root)], "constants": cut, "links": links, "cut": []}
+
+
+# Containers that may be a template's; what a list of articles or figures has and one of comments has not; words of
+# what an article says of itself.
+CONTAINERS, TOLD = frozenset("div section ul ol center details dl".split()), HEADINGS | frozenset("figure table pre img dt dd th td".split())
+OWN_WORDS = frozenset("abstract author authors byline caption credit credits date dateline headline intro lead meta published standfirst subtitle summary title updated".split())
+
+
+def tag_of(item: list) -> str:
+    return item[0].split(".", 1)[0]
+
+
+def flat(items: list[list]) -> Iterator[tuple[list, bool]]:
+    """The elements and slots of a sequence, those of groups with true."""
+    for i in items:
+        if i[0] == GROUP:
+            yield from ((x, True) for x in i[6])
+        else:
+            yield i, bool(i[2])
+
+
+def is_constant(item: list) -> bool:
+    """Whether each page that has the item says the same in it."""
+    if item[0] == SLOT:
+        return sum(map(constant_size, item[6])) * item[3] >= item[4]
+    return all(is_constant(i) for i in item[6])
+
+
+def tells_of(item: list) -> set[str]:
+    return {tag_of(item)} | {t for i in item[6] if item[0] != SLOT for t in tells_of(i)}
+
+
+def is_remark(item: list) -> bool:
+    """A labelled item of a short line and a text, without headings or figures."""
+    if item[0] in (SLOT, GROUP) or "." not in item[0] or tag_of(item) not in BLOCK or tells_of(item) & TOLD or not item[4]:
+        return False
+    inside = [x for x, _ in flat(item[6]) if x[4]]
+    return len(inside) > 1 and inside[0][0] != SLOT and inside[0][4] <= BYLINE * item[4]
+
+
+def containers_of(wrapper: list, roots: set[tuple]) -> set[str]:
+    """Paths of labelled containers of articles that are the template's by place and repetition."""
+    cut: set[str] = set()
+
+    def within(item: list, path: tuple) -> None:
+        items = list(flat(item[6]))
+        texts = [k for k, (x, _) in enumerate(items) if x[4] and (x[0] == SLOT or tag_of(x) == "p")]
+        for k, (x, _) in enumerate(items):
+            if x[0] == SLOT:
+                continue
+            here = (*path, x[0])
+            if "." in x[0] and tag_of(x) in CONTAINERS and OWN_WORDS.isdisjoint(re.split("[^a-z]+", x[0])) and texts and k > texts[0] and x[4]:
+                repeats = [y for y, many in flat(x[6]) if many and is_remark(y)]
+                if x[3] >= CONSTANT_PAGES and is_constant(x) or k > texts[-1] and repeats and sum(y[4] for y in repeats) > 0.5 * x[4]:
+                    cut.add("/".join(here))
+                    continue
+            within(x, here)
+
+    def find(item: list, path: tuple) -> None:
+        if item[0] == SLOT:
+            return
+        here = path if item[0] == GROUP else (*path, item[0])
+        if here in roots and item[0] != GROUP:
+            # Copies of one page are no template.
+            if not is_constant(item):
+                within(item, here)
+            return
+        for i in item[6]:
+            find(i, here)
+
+    find(wrapper, ())
+    return cut
 
 
 def blocks_of(tree: Element, rules: dict) -> list[str]:
-    root, constants, links, kept = tuple(rules["root"]), {tuple(c) for c in rules["constants"]}, set(rules["links"]), rules.get("kept")
+    roots, constants, links = {tuple(r) for r in rules["roots"]}, {tuple(c) for c in rules["constants"]}, {*rules["links"], *rules["cut"]}
+    above = {r[:k] for r in roots for k in range(1, len(r) + 1)}
     # Of a tag with very many labels in its wrapper, the bare tag stands for each.
     bare = lambda x: x.split(".", 1)[0] + (x[-len(NO_PART) :] if x.endswith((NO_PART, HEADER)) else "")
-    known = {*root, *(x for p, _ in constants for x in p.split("/")), *(x for p in links for x in p.split("/"))}
+    known = {*(x for r in roots for x in r), *(x for p, _ in constants for x in p.split("/")), *(x for p in links for x in p.split("/"))}
     out: list[str] = []
     run: list[str] = []
 
@@ -429,16 +487,16 @@ def blocks_of(tree: Element, rules: dict) -> list[str]:
 
     def walk(node: Element, path: tuple, taking: bool) -> None:
         here = (*path, node.label if node.label in known or bare(node.label) not in known else bare(node.label))
-        if not taking and here != root[: len(here)]:
+        if not taking and here not in above:
             return
-        if node.out and len(here) > len(root) and "/".join(here) != kept and not (node.is_head() and has_title(node)):
+        if node.out and taking and not (node.is_head() and has_title(node)):
             if node.tag in BLOCK:
                 flush()
             return
         key = "/".join(here)
         if key in links:
             return
-        now = taking or here == root
+        now = taking or here in roots
         block = node.tag in BLOCK
         if block:
             flush()

@@ -292,14 +292,14 @@ def test_html_of_one_page(page, want):
 
 
 def test_wrappers_decide_where_names_dont(spark):
-    """The host's wrapper drops long and short constants without telling names, overrules a name, and is what differs from
-    reading each page alone."""
+    """The host's wrapper drops long and short constants without telling names, and is what differs from reading each page
+    alone; a sidebar stays out, however long."""
     words = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
     notice = "We keep what you read for as long as we like. " * 8
     plain = "<body><div class=c><p>{0}</p><div>%s</div><p>Follow us</p><p>{0} end</p></div></body>" % notice
     named = "<body><p>x{1}</p><div class=sidebar><p>{0}</p></div></body>"
     rows = [(i, "http://plain/" + str(i), plain.format(words(i), i)) for i in range(5)] + [(i + 10, "http://named/" + str(i), named.format(words(i), i)) for i in range(5)]
     got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"{words(i)}\n{words(i)} end" for i in range(5)} | {i + 10: words(i) for i in range(5)}
+    assert got == {i: f"{words(i)}\n{words(i)} end" for i in range(5)} | {i + 10: f"x{i}" for i in range(5)}
     alone = {i: html_extract.main_text(p, None) for i, _, p in rows}
-    assert all(alone[i] != got[i] for i in got)
+    assert all(alone[i] != got[i] for i in range(5))
