@@ -21,6 +21,6 @@ def test_query(spark, name):
         con = duckdb.connect()
         for t in ("part", "customer", "orders", "lineitem", "events", "documents", "labels", "conversations", "pages", "supplier", "nation", "region"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-        assert mine == rows(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+        assert mine == rows(con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({ORACLE_SQL[name]})").fetchall())
     else:
         assert mine
