@@ -45,10 +45,11 @@ def dose_hits(source: Column, output: Column, source_frequency: Column, output_f
         same_ends = lambda o: F.when(o["upper"].isNotNull(), (o["amount"] == s["amount"]) & (o["upper"] == s["upper"])).otherwise(o["amount"].isin(s["amount"], s["upper"]))
         any_dose = F.coalesce(first(same_unit), F.get(output, F.lit(0)))
         range_to = F.coalesce(first(lambda o: same_unit(o) & same_ends(o)), any_dose)
-        single_to = F.coalesce(first(lambda o: o["upper"].isNull() & (o["amount"] == s["amount"])), any_dose)
+        single_to = F.coalesce(first(lambda o: o["amount"] == s["amount"]), any_dose)
         kept = (range_to["amount"] == s["amount"]) & range_to["upper"].eqNullSafe(s["upper"])
         of_range = F.when(range_to.isNull(), hits((NOT_PRESERVED, FLAG))).when(range_to["dimension"] != s["dimension"], hits((UNIT_MISMATCH, ABSTAIN))).otherwise(hits_if(~kept, (RANGE_INCOMPLETE, FLAG)))
-        amount = F.when(single_to["upper"].isNull(), single_to["amount"])
+        # A range of the output stands for its lower end.
+        amount = single_to["amount"]
         a, b = (F.nullif(x.try_cast("double"), F.lit(0.0)) for x in (s["amount"], amount))
         far = F.coalesce(F.greatest(a / b, b / a) >= ratio, F.lit(False))
         changed = F.when(far, hits((NOT_PRESERVED, ABSTAIN), (MAGNITUDE, ABSTAIN))).otherwise(hits((NOT_PRESERVED, FLAG)))
@@ -60,23 +61,27 @@ def dose_hits(source: Column, output: Column, source_frequency: Column, output_f
 
 
 def number_hits(source: Column, output: Column, output_doses: Column) -> Column:
-    """Numbers of the source that are neither numbers nor single doses of the output."""
-    single = F.transform(F.filter(output_doses, lambda d: d["upper"].isNull()), lambda d: d["amount"])
-    lost = F.array_except(filled(source, "array<string>"), F.array_union(filled(output, "array<string>"), filled(single, "array<string>")))
+    """Numbers of the source that are neither numbers nor doses of the output, ranges by their lower end."""
+    dosed = F.transform(output_doses, lambda d: d["amount"])
+    lost = F.array_except(filled(source, "array<string>"), F.array_union(filled(output, "array<string>"), filled(dosed, "array<string>")))
     return hits_if(F.size(lost) > 0, (NUMBER_LOST, FLAG))
 
 
-def drug_hits(source: Column, output: Column, source_unknown: Column, output_unknown: Column, source_text: Column, output_text: Column, qualifiers: Iterable[Iterable[str]] = ()) -> Column:
+def drug_hits(source: Column, output: Column, source_unknown: Column, output_unknown: Column, source_text: Column, output_text: Column, qualifiers: Iterable[dict[str, Iterable[str]]] = (), source_lang: Column | str = "en") -> Column:
     """Known drugs (ids) that the output lacks; unknown ones (tokens) that it replaced by another drug; and, where a drug
-    survives, qualifiers (groups of forms of one qualifier) that it dropped."""
+    survives, qualifiers that it dropped. qualifiers: forms by language; the source says one in its own, the output in any."""
     source, output, source_unknown, output_unknown = (filled(x, "array<string>") for x in (source, output, source_unknown, output_unknown))
+    source_lang = F.lit(source_lang) if isinstance(source_lang, str) else source_lang
     text = F.coalesce(output_text, F.lit(""))
     names_drug = (F.size(output) > 0) | (F.size(output_unknown) > 0)
     altered = F.exists(source_unknown, lambda t: (t != "") & ~F.contains(text, t)) & names_drug
     out = [hits_if(F.size(F.array_except(source, output)) > 0, (DRUG_LOST, ABSTAIN)), hits_if(altered, (UNKNOWN_ALTERED, ABSTAIN))]
+    has = lambda t, forms: F.lower(F.coalesce(t, F.lit(""))).rlike("|".join(rf"\Q{f.strip().lower()}\E" for f in forms))
     for forms in qualifiers:
-        has = lambda t: F.lower(F.coalesce(t, F.lit(""))).rlike("|".join(rf"\Q{f.strip().lower()}\E" for f in forms))  # noqa: B023, E731
-        out.append(hits_if(has(source_text) & ~has(output_text) & F.arrays_overlap(source, output), (QUALIFIER_DROPPED, FLAG)))
+        said = F.lit(False)
+        for lang, own in forms.items():
+            said |= (source_lang == lang) & has(source_text, own)
+        out.append(hits_if(said & ~has(output_text, [f for own in forms.values() for f in own]) & F.arrays_overlap(source, output), (QUALIFIER_DROPPED, FLAG)))
     return F.concat(*out)
 
 
@@ -89,20 +94,22 @@ def polarity_hits(source_text: Column, output_text: Column) -> Column:
     return hits_if(F.coalesce(result_polarity(source_text) != result_polarity(output_text), F.lit(False)), (POLARITY_FLIP, ABSTAIN))
 
 
-def negation_hits(source: Column, output: Column, source_text: Column, output_text: Column, source_lang: Column, output_lang: Column, findings: Iterable[tuple[str, dict[str, list[str]], bool]], hedges: dict[str, list[str]], exclusions: dict[str, list[str]], locators: dict[str, list[str]]) -> Column:
+def negation_hits(source: Column, output: Column, source_text: Column, output_text: Column, source_lang: Column, output_lang: Column, findings: Iterable[tuple[str, dict[str, list[str]], bool]], hedges: dict[str, list[str]], exclusions: dict[str, list[str]], locators: dict[str, list[str]], shields: dict[str, list[str]] | None = None) -> Column:
     """Hits of the source's negations (notes.negations(), 'absent' or not) against the output's.
 
     findings: name, terms by language, high risk; a negation's finding is the first of which it holds a term. Of one finding
     both sides must be as certain (a negation of no known finding
     counts for one that the output states); an output that states what the source negates, or negates what it states, differs. Negations
     of other findings can only be counted: more of a kind abstain, fewer are flagged. A hedge (cannot exclude) of the source
-    is compared with words of exclusion alone. Null arrays count as empty, null texts as blank."""
+    is compared with words of exclusion alone, away from the shields (the hedges, if none are given), which hold such words.
+    Null arrays count as empty, null texts as blank."""
+    shields = hedges if shields is None else shields
     findings = [(name, terms, risk) for name, terms, risk in findings]
     says = lambda text, terms: any(t.lower() in text.lower() for t in terms)
 
     def excludes(text: str, of: str) -> bool:
         low = text.lower()
-        for h in sorted(hedges.get(of, ()), key=len, reverse=True):
+        for h in sorted(shields.get(of, ()), key=len, reverse=True):
             low = low.replace(h.lower(), " ")
         return says(low, exclusions.get(of, ()))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Chinese digits and their numbers.
 ZH_NUMBER = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-AMOUNT = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|[零一二两三四五六七八九十]+|半"
+AMOUNT = r"[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?|[零一二两三四五六七八九十]+|半"
 NEGATION = "array<struct<raw:string,finding:string,polarity:string,strength:string>>"
 DOSE = "array<struct<raw:string,amount:string,upper:string,dimension:string,start:int,end:int>>"
 
@@ -70,7 +70,7 @@ def plain_amount(raw: str) -> str:
     """An amount in digits: without commas, or as Chinese numbers below 100 read."""
     if raw == "半":
         return "0.5"
-    if re.fullmatch(r"[\d.,]+", raw):
+    if re.fullmatch(r"[0-9.,]+", raw):
         return raw.replace(",", "")
     tens, mark, ones = raw.partition("十")
     if not mark:
@@ -79,15 +79,23 @@ def plain_amount(raw: str) -> str:
     return raw if tens is None or ones is None else str(tens * 10 + ones)
 
 
-def doses(clause: Column, units: dict[str, str]) -> Column:
-    """raw, amount, upper end of a range (or null), the unit's dimension and the place of each dose. units: token, dimension."""
+def dose_pattern(units: dict[str, str]) -> re.Pattern:
     tokens = "|".join(re.escape(u) for u in sorted(units, key=lambda u: -len(u)))
-    pattern = re.compile(rf"({AMOUNT})(?:\s*[-~–至]\s*({AMOUNT}))?\s*({tokens})", re.I)
+    return re.compile(rf"({AMOUNT})(?:\s*[-~–至]\s*({AMOUNT}))?\s*({tokens})", re.I)
+
+
+def doses_in(clause: str, pattern: re.Pattern, units: dict[str, str]) -> list[dict]:
+    return [{"raw": m[0], "amount": plain_amount(m[1]), "upper": plain_amount(m[2]) if m[2] else None, "dimension": units.get(m[3], m[3]), "start": m.start(), "end": m.end()} for m in pattern.finditer(clause)]
+
+
+def doses(clause: Column, units: dict[str, str]) -> Column:
+    """raw, amount, upper end of a range (or null), the unit's dimension and the place of each dose. units: token, dimension.
+    Digits are ASCII or Chinese."""
+    pattern = dose_pattern(units)
 
     @F.pandas_udf(DOSE)
     def find(clauses: pd.Series) -> pd.Series:
-        found = lambda t: [{"raw": m[0], "amount": plain_amount(m[1]), "upper": plain_amount(m[2]) if m[2] else None, "dimension": units.get(m[3], m[3]), "start": m.start(), "end": m.end()} for m in pattern.finditer(t or "")]
-        return pd.Series([found(t) for t in clauses])
+        return pd.Series([doses_in(t or "", pattern, units) for t in clauses])
 
     return find(clause)
 
@@ -119,6 +127,45 @@ def known_drugs(clause: Column, lang: Column, forms: Iterable[tuple[str, str]])
     return find(clause, lang)
 
 
+def is_turned(before: str, of: str, inversions: Iterable[tuple[str, str]]) -> bool:
+    """Whether a negation stands right before."""
+    if of != "en":
+        return before.endswith(tuple(w for w, language in inversions if language == of))
+    ends = "|".join(re.escape(w.lower()) for w, language in inversions if language == of)
+    return bool(ends) and re.search(rf"(?<![a-z0-9])(?:{ends})\s*$", before) is not None
+
+
+def directives_in(text: str, of: str, named: Iterable[dict], markers: Iterable[tuple[str, str, str, str | None, bool]], inversions: Iterable[tuple[str, str]], monitored: Iterable[str], referents: Iterable[tuple[str, str]]) -> list[dict]:
+    """The directives of one clause, see directives()."""
+    low, used, found = text.lower() if of == "en" else text, [], []
+    places = [(text.find(d["raw"]), d["id"]) for d in named if d["raw"] in text]
+    referred = len(named) > 0 or any((t.lower() if of == "en" else t) in low for t, language in referents if language == of)
+
+    def add(a: int, b: int, kind: str, direction: str | None) -> None:
+        used.append((a, b))
+        if is_turned(low[:a], of, inversions):
+            kind, direction = (kind, "unknown") if kind == "dose-change" else (TURNED.get(kind, "unknown"), None)
+        elif kind == "dose-change":
+            direction = direction or "unknown"
+        drug = min(places, key=lambda p: abs(p[0] - a))[1] if places else None
+        found.append({"raw": text[a:b], "kind": kind, "direction": direction, "drug": drug})
+
+    here = [m for m in markers if m[1] == of and (m[0].lower() if of == "en" else m[0]) in low]
+    for marker, _, kind, direction, needs_drug in sorted(here, key=lambda m: -len(m[0])):
+        if needs_drug and not referred:
+            continue
+        for a, b in free_hits(low, marker.lower() if of == "en" else marker, used, of == "en"):
+            orders_nothing = text[b : b + 1] and text[b : b + 1] in NO_ORDER.get(marker, "")
+            if not (orders_nothing or (marker == "停" and text[:a].endswith("暂")) or (kind == "continue" and text[b:].startswith(tuple(monitored)))):
+                add(a, b, kind, direction)
+    others = STOP_MEDICINE.finditer(text) if of == "zh" else HALVE.finditer(low) if of == "en" and referred else ()
+    for m in others:
+        clear = all(m.end() <= a or m.start() >= b for a, b in used)
+        if clear and not (of == "zh" and text[m.start() + 1] in NO_ORDER["停"]):
+            add(m.start(), m.end(), *(("hold", None) if of == "zh" else ("dose-change", "down")))
+    return found
+
+
 def directives(clause: Column, lang: Column, drugs: Column, markers: Iterable[tuple[str, str, str, str | None, bool]], inversions: Iterable[tuple[str, str]], monitored: Iterable[str], referents: Iterable[tuple[str, str]]) -> Column:
     """raw, kind (hold, continue, dose-change or unknown), direction (of dose changes) and drug of each directive:
     the one whose first mention starts nearest to it.
@@ -126,58 +173,23 @@ def directives(clause: Column, lang: Column, drugs: Column, markers: Iterable[tu
     drugs: array<struct<raw, id>> of the clause; markers: marker, language, kind, direction, and whether it needs a drug or a
     referent (word, language) in the clause; a negation (word, language) right before a marker turns it; a continue marker
     right before something monitored orders nothing. A null clause or null drugs state nothing."""
-    ordered, monitored, inversions = sorted(markers, key=lambda m: -len(m[0])), tuple(monitored), list(inversions)
-
-    def is_turned(before: str, of: str) -> bool:
-        if of != "en":
-            return before.endswith(tuple(w for w, language in inversions if language == of))
-        ends = "|".join(re.escape(w.lower()) for w, language in inversions if language == of)
-        return bool(ends) and re.search(rf"(?<![a-z0-9])(?:{ends})\s*$", before) is not None
-
-    def in_clause(text: str, of: str, named: Iterable[dict]) -> list[dict]:
-        low, used, found = text.lower() if of == "en" else text, [], []
-        places = [(text.find(d["raw"]), d["id"]) for d in named if d["raw"] in text]
-        referred = len(named) > 0 or any((t.lower() if of == "en" else t) in low for t, language in referents if language == of)
-
-        def add(a: int, b: int, kind: str, direction: str | None) -> None:
-            used.append((a, b))
-            if is_turned(low[:a], of):
-                kind, direction = (kind, "unknown") if kind == "dose-change" else (TURNED.get(kind, "unknown"), None)
-            elif kind == "dose-change":
-                direction = direction or "unknown"
-            drug = min(places, key=lambda p: abs(p[0] - a))[1] if places else None
-            found.append({"raw": text[a:b], "kind": kind, "direction": direction, "drug": drug})
-
-        for marker, language, kind, direction, needs_drug in ordered:
-            if language != of or (needs_drug and not referred):
-                continue
-            for a, b in free_hits(low, marker.lower() if of == "en" else marker, used, of == "en"):
-                orders_nothing = text[b : b + 1] and text[b : b + 1] in NO_ORDER.get(marker, "")
-                if not (orders_nothing or (marker == "停" and text[:a].endswith("暂")) or (kind == "continue" and text[b:].startswith(monitored))):
-                    add(a, b, kind, direction)
-        others = STOP_MEDICINE.finditer(text) if of == "zh" else HALVE.finditer(low) if of == "en" and referred else ()
-        for m in others:
-            clear = all(m.end() <= a or m.start() >= b for a, b in used)
-            if clear and not (of == "zh" and text[m.start() + 1] in NO_ORDER["停"]):
-                add(m.start(), m.end(), *(("hold", None) if of == "zh" else ("dose-change", "down")))
-        return found
+    markers, monitored, inversions, referents = list(markers), tuple(monitored), list(inversions), list(referents)
 
     @F.pandas_udf(DIRECTIVE)
     def find(clauses: pd.Series, langs: pd.Series, named: pd.Series) -> pd.Series:
-        return pd.Series([in_clause(t or "", of, ds if ds is not None else []) for t, of, ds in zip(clauses, langs, named, strict=True)])
+        return pd.Series([directives_in(t or "", of, ds if ds is not None else [], markers, inversions, monitored, referents) for t, of, ds in zip(clauses, langs, named, strict=True)])
 
     return find(clause, lang, drugs)
 
 
 def bare_numbers(clause: Column, dosed: Column) -> Column:
-    """Numbers of the clause that lie in no dose. dosed: doses() of the clause."""
-
-    @F.pandas_udf("array<string>")
-    def find(clauses: pd.Series, spans: pd.Series) -> pd.Series:
-        number = re.compile(r"\d+(?:[.,]\d+)*")
-        return pd.Series([[m[0] for m in number.finditer(t or "") if not any(m.start() < x["end"] and m.end() > x["start"] for x in ds)] for t, ds in zip(clauses, spans, strict=True)])
+    """Amounts of the clause's numbers that lie in no dose, without commas. dosed: doses() of the clause.
 
-    return find(clause, dosed)
+    Doses are blanked at their places first, so that what remains is a pattern's."""
+    held = F.coalesce(clause, F.lit(""))
+    blanked = F.aggregate(dosed, held, lambda t, d: F.overlay(t, F.repeat(F.lit("\u0000"), d["end"] - d["start"]), d["start"] + 1, d["end"] - d["start"]))
+    found = F.regexp_extract_all(F.coalesce(blanked, held), F.lit("([0-9]+(?:[.,][0-9]+)?)"), F.lit(1))
+    return F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit("")))
 
 
 def nearest(place: Column, candidates: Column) -> Column:
@@ -205,9 +217,14 @@ def excluded(text: Column, hedges: Iterable[str], words: Iterable[str]) -> Colum
     return F.coalesce(bare.rlike("|".join(rf"\Q{w.lower()}\E" for w in words)), F.lit(False))
 
 
-def corrupted_dose(text: Column, units: Iterable[str]) -> Column:
-    """A block, a replacement character or ?? in a text that speaks of a dose."""
-    return F.coalesce(text.rlike(r"[\u2580-\u259f\u25a0\u25a1\ufffd]|\?\?") & text.rlike("(?i)" + "|".join(rf"\Q{u}\E" for u in units)), F.lit(False))
+#: Signs of a text that could not be read, and what tells that it speaks of a dose.
+CORRUPTED = r"[\u2580-\u259f\ufffd]|[?？]{2,}"
+DOSED = r"[0-9]|(?i:mg|mcg|ml|g\b|毫克|微克|毫升|片|粒|单位|iu|处方|prescription|剂量|dose)"
+
+
+def corrupted_dose(text: Column, context: str = DOSED) -> Column:
+    """A block, a replacement character or several question marks in a text that speaks of a dose (context: a pattern)."""
+    return F.coalesce(text.rlike(CORRUPTED) & text.rlike(context), F.lit(False))
 
 
 def survives(kind: Column, value: Column, text: Column) -> Column:

@@ -39,11 +39,27 @@ def double_review(a: DataFrame, b: DataFrame, key: str, context: str, answer: st
     return x.join(y, key).select(key, outcome.alias("outcome"))
 
 
-def merge_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """rows whose fields take a verdict's value where it isn't blank."""
-    new = verdicts.select(key, *(F.nullif(F.trim(F.col(f).cast("string")), F.lit("")).alias(f"_{f}") for f in fields))
-    merged = rows.join(new, key, "left")
-    return merged.withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f).cast("string")) for f in fields}).drop(*(f"_{f}" for f in fields))
+def said(text: Column, otherwise: Column) -> Column:
+    """A reviewer's word as a boolean: true for "true" in any case, the given value where it is empty."""
+    return F.when(F.coalesce(text, F.lit("")) == "", otherwise).otherwise(F.lower(F.trim(text)) == "true")
+
+
+def merge_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, texts: list[str], booleans: list[str] = [], reason: str | None = None, reasons: list[str] = [], when: str | None = None) -> DataFrame:  # noqa: B006
+    """rows whose fields take a verdict's words, of several for one key the last by all its columns.
+
+    texts take what isn't blank, as it is written; booleans keep their type. reason takes one of reasons, keeps its own
+    where none is given, and is cleared where the boolean `when` doesn't hold. Rows without a verdict stay as they are."""
+    fields = [*texts, *booleans, *([reason] if reason else [])]
+    last = verdicts.groupBy(key).agg(F.max(F.struct(*(F.col(f).cast("string").alias(f) for f in fields))).alias("_verdict")).withColumnRenamed(key, "_key")
+    met = rows.join(last, F.col(key) == F.col("_key"), "left")
+    word = lambda f: F.col("_verdict").getField(f)
+    new = {f: F.when(F.trim(word(f)) != "", word(f)).otherwise(F.col(f)) for f in texts}
+    new |= {f: said(word(f), F.col(f)) for f in booleans}
+    if reason:
+        given = F.when(F.trim(word(reason)).isin(reasons), F.trim(word(reason)))
+        kept = F.coalesce(given, F.col(reason))
+        new[reason] = F.when(F.col("_key").isNull(), F.col(reason)).otherwise(F.when(new[when], kept) if when else kept)
+    return met.select(*(new[c].alias(c) if c in new else F.col(c) for c in rows.columns))
 
 
 def occurrence(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

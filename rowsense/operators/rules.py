@@ -177,8 +177,22 @@ def cross_row(rows: DataFrame, report: str = "report_id", total: str = "total",
     return seen.filter(F.coalesce(exceeds, F.lit(False)) | F.coalesce(differs, F.lit(False))).withColumn("problem", F.when(F.coalesce(exceeds, F.lit(False)), "direct exceeds total").otherwise("parts differ from total"))
 
 
+def flag_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """by, rule, severity, n: how many rows have each flag.
+
+    explode_outer, then a filter on what came out: below explode Spark would add a filter on the array's size, and so make
+    all flags a second time."""
+    out = rows.select(*by, F.explode_outer("flags").alias("_flag")).groupBy(*by, F.col("_flag.id").alias("rule"), F.col("_flag.severity").alias("severity"))
+    return out.agg(F.count(F.lit(1)).alias("n")).filter("rule IS NOT NULL")
+
+
 def confirm_burden(rows: DataFrame) -> DataFrame:
-    """Emitted and confirmed rows, and for each rule the confirmed rows that have it: rule, emitted, confirmed, n."""
-    totals = rows.agg(F.count_if(~F.col("abstained")).alias("emitted"), F.count_if(F.col("needs_confirm")).alias("confirmed"))
-    by = rows.filter("needs_confirm").select(F.explode("flags.id").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-    return by.crossJoin(F.broadcast(totals))  # one row of totals
+    """Emitted and confirmed rows, and for each rule the confirmed rows that have it: rule, emitted, confirmed, n.
+
+    One pass: a row counts once as such, and once for each flag that it has where it is confirmed."""
+    ids = F.when(F.col("needs_confirm"), F.col("flags.id")).otherwise(F.array().cast("array<string>"))
+    each = rows.select("abstained", "needs_confirm", F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), ids)).alias("_at", "rule"))
+    own = F.col("_at") == 0
+    counted = each.groupBy("rule").agg(F.count_if(own & ~F.col("abstained")).alias("emitted"), F.count_if(own & F.col("needs_confirm")).alias("confirmed"), F.count(F.lit(1)).alias("n"))
+    totals = counted.filter("rule IS NULL").select("emitted", "confirmed")
+    return counted.filter("rule IS NOT NULL").select("rule", "n").crossJoin(F.broadcast(totals))  # one row of totals

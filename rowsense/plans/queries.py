@@ -5,14 +5,13 @@ reading of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import intervals, parse, text
 from ..operators import entities, evaluation, fidelity, geometry, lookup, metrics, notes, quality, reconcile, rules, wellformed
 from ..streaming import limits
+from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 
 #: Derived columns, the same text for Spark and SQL.
 QUANTITY = "cast(cast(l_quantity as int) as string)"
@@ -23,24 +22,6 @@ FLAG = "case event_id % 14 when 0 then ' H ' when 1 then '↓' when 2 then 'H/L'
 QUALITY = "case o_orderkey % 14 when 0 then ' Negative' when 1 then 'POS' when 2 then '±' when 3 then 'Not  Detected' when 4 then '阴性' when 5 then 'reactive' when 6 then 'maybe' when 7 then 'trace' when 8 then '++' when 9 then '未检出' when 10 then 'Absent' when 11 then '+/-' when 12 then '检出' else 'nil' end"
 SEX = "case l_returnflag when 'R' then 'male' when 'A' then 'female' else 'unknown' end"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 N = parse.NUMBER
 BARE = "regexp_replace(r, '\\s', '', 'g')"
 TWO = ", ".join(f"{{'lo': try_cast(nullif(regexp_extract(b, '^({N}){s}({N})$', 1), '') as double), 'hi': try_cast(nullif(regexp_extract(b, '^({N}){s}({N})$', 2), '') as double)}}" for s in ("--", "[-~–—]"))
@@ -219,7 +200,7 @@ SEVERE = "[" + ", ".join(str(r[1]) for r in rules.RULES) + "]"
 
 @query(f"WITH {RULED_SQL}, e AS (SELECT l_returnflag, flips, unnest(flags) AS i FROM w) SELECT l_returnflag, ({NAMED})[i] AS rule, ({SEVERE})[i] + CASE WHEN i = 14 AND flips THEN 1 ELSE 0 END AS severity, count(*)::BIGINT AS n FROM e GROUP BY 1, 2, 3")
 def rule_engine_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ruled(spark, sf_dir).select("l_returnflag", F.explode("flags").alias("f")).groupBy("l_returnflag", F.col("f.id").alias("rule"), F.col("f.severity").alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return rules.flag_counts(ruled(spark, sf_dir), "l_returnflag")
 
 
 @query(f"""WITH {RULED_SQL}, c AS (SELECT *, len(list_filter(flags, lambda x: x IN (1, 2, 3, 6, 7))) > 0 AS abstained, len(list_filter(flags, lambda x: x IN (4, 7, 10, 11, 12))) > 0 OR (p_size % 4 = 0 AND len(list_filter(flags, lambda x: x IN (5, 6))) > 0) AS confirm FROM w),

@@ -105,7 +105,7 @@ def test_fidelity_of_a_second_version(spark):
     assert all(r["v"]["flags"] == r["want"] for r in got) and [r["v"]["action"] for r in got] == [0, 1, 0, 1, 2, 2, 1, 1, 0, 0]
     assert got[4]["v"]["preserved"] == [] and len(got[0]["v"]["preserved"]) == 1
     drugs = spark.createDataFrame([(["a"], ["a"], None, "A SR", "A"), (["a"], [], None, "A", ""), ([], ["b"], ["Zzz"], "Zzz", "B"), ([], [], ["Zzz"], "Zzz", None), (None, None, None, None, None)], "s array<string>, o array<string>, u array<string>, st string, ot string")
-    got = [[h["id"] for h in r[0]] for r in drugs.select(fidelity.drug_hits(F.col("s"), F.col("o"), F.col("u"), F.lit(None), F.col("st"), F.col("ot"), [("sr", "缓释")])).collect()]
+    got = [[h["id"] for h in r[0]] for r in drugs.select(fidelity.drug_hits(F.col("s"), F.col("o"), F.col("u"), F.lit(None), F.col("st"), F.col("ot"), [{"en": ["sr"], "zh": ["缓释"]}])).collect()]
     assert got == [[fidelity.QUALIFIER_DROPPED], [fidelity.DRUG_LOST], [fidelity.UNKNOWN_ALTERED], [], []]
     order = "array<struct<drug:string,kind:string,direction:string>>"
     cases = [([], [("a", "hold", None)], False), ([("a", "hold", None)], [("b", "hold", None)], False), ([("a", "hold", None), ("b", "continue", None)], [("a", "continue", None), ("b", "hold", None)], True), ([("a", "dose-change", None)], [("a", "dose-change", None)], True), ([("a", "hold", None)], [], True), ([("a", "dose-change", "up")], [("a", "dose-change", "up")], False)]

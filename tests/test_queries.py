@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from rowsense.plans.queries import ORACLE_SQL, QUERIES
+from rowsense.plans import note_queries, queries  # noqa: F401
+from rowsense.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
