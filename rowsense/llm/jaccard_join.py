@@ -383,8 +383,8 @@ def tiles(shared: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def alive(shared: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Those of the rows (key, node, n) whose key has nodes of different clusters, with their cluster."""
-    now = written(shared.join(clusters, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("cluster")), "clustered")
+    """Those of the rows (key, node) whose key has nodes of different clusters, with their cluster."""
+    now = written(shared.join(clusters, "node", "left").select("key", "node", F.coalesce("component", "node").alias("cluster")), "clustered")
     keys = now.groupBy("key").agg(F.min("cluster").alias("c0"), F.max("cluster").alias("c1")).filter("c0 <> c1").select("key")
     out = written(now.join(keys, "key"), "alive")
     release(now)
@@ -411,9 +411,10 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id:
     reps = written(made.select(F.monotonically_increasing_id().alias("node"), "set_hash", "least.doc_id", "least.mark", "n", "prefix", "bits"), "classes")
     checked = lambda pairs: verified(bounded(pairs, reps, num, den), reps, docs, k, num, den, doc_id, text)
 
-    entries = reps.select("node", "n", F.explode("prefix").alias("key"))
+    # Sizes come back where tiles need them: most of these rows end here.
+    entries = reps.select("node", F.explode("prefix").alias("key"))
     keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("key")
-    shared = written(entries.join(keys, "key").select("key", "node", "n"), "shared")
+    shared = written(entries.join(keys, "key").select("key", "node"), "shared")
 
     # Of many near copies, the one with the most shared shingles in its prefix has the fewest changes of its own.
     alone = shared.join(shared.groupBy("node").agg((-F.count(F.lit(1))).alias("least")), "node").withColumn("cluster", F.col("node"))
@@ -426,7 +427,8 @@ def classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id:
     clusters = components(found)
     last = alive(left.drop("cluster"), clusters)
     release(left, clusters)
-    more = checked(tile_pairs(tiles(last, reps, num, den), num, den).distinct())
+    sized = last.join(reps.select("node", "n"), "node")
+    more = checked(tile_pairs(tiles(sized, reps, num, den), num, den).distinct())
     release(last)
     joined = components(found.union(more))
     out = written(reps.join(joined, "node", "left").select("set_hash", "node", F.coalesce("component", "node").alias("component"), "doc_id", "mark"), "components")
