@@ -5,8 +5,13 @@ is chosen, the rightmost of equal ones, and each choice is kept once with its po
 `window + k - 1` code points that two texts share has a chosen hash in common. Likeness is the share of distinct chosen
 hashes that two fingerprints have in common (Jaccard).
 
+Texts with few grams have narrower windows, down to every gram, so that their likeness doesn't hang on a few hashes: the widest
+of STEPS of which SPARE go into the grams. What a wide window chooses a narrow one chooses too, so of two fingerprints with
+different windows the finer is thinned to the other's window before they are compared.
+
 A text shorter than k is one gram; a text with fewer grams than a window is one window. The empty text has an empty
-fingerprint, and two empty fingerprints are alike (1.0).
+fingerprint, and two empty fingerprints are alike (1.0). Ids may be null or come again, rows may come again, an empty table
+gives no rows, further columns are left out.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import to_batch, whole
 
 K, WINDOW = 24, 48
+#: Windows of shorter texts, and how often a window goes into a text's grams at least.
+STEPS, SPARE = (1, 2, 4, 8, 16, 32), 32
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -75,6 +82,31 @@ def winnow(points: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.nda
     return at, h[at]
 
 
+def window_for(n: int, k: int, window: int) -> int:
+    """The window of a text of n code points, at most the given one."""
+    room = max(1, n - k + 1) // SPARE
+    return window if room >= window else max([s for s in STEPS if s <= min(room, window)], default=1)
+
+
+class Print:
+    """A text's fingerprint, which can be thinned to a wider window."""
+
+    def __init__(self, text: str, k: int, window: int) -> None:
+        self.points, self.k = code_points(text), k
+        self.window = window_for(len(self.points), k, window)
+        self.at, self.h = winnow(self.points, k, self.window)
+        self.distinct = {self.window: np.unique(self.h)}
+
+    def hashes(self, window: int) -> np.ndarray:
+        if window not in self.distinct:
+            self.distinct[window] = np.unique(winnow(self.points, self.k, window)[1])
+        return self.distinct[window]
+
+    def like(self, other: Print) -> float:
+        window = max(self.window, other.window)
+        return likeness(self.hashes(window), other.hashes(window))
+
+
 def as_text(at: np.ndarray, h: np.ndarray) -> str:
     """16 hex digits for each choice: hash, then position."""
     return np.column_stack([h.astype(">u4"), at.astype(">u4")]).astype(">u4").tobytes().hex()
@@ -98,8 +130,8 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             for i in range(0, batch.num_rows, 64):
                 lines = []
                 for x in batch.slice(i, 64).to_pylist():
-                    at, h = winnow(code_points(x["body"]), k, window)
-                    lines.append((x["id"], [{"hash": a, "position": b} for a, b in zip(h.tolist(), at.tolist(), strict=True)]))
+                    made = Print(x["body"], k, window)
+                    lines.append((x["id"], [{"hash": a, "position": b} for a, b in zip(made.h.tolist(), made.at.tolist(), strict=True)]))
                 yield to_batch(lines, schema)
 
     schema = pa.schema([("id", pa.string()), ("grams", pa.list_(pa.struct([("hash", pa.int64()), ("position", pa.int64())])))])
@@ -150,20 +182,19 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Each text's fingerprint, that of the text whose second half is the next document's start, and their likeness."""
 
     def made(now: tuple, nxt: tuple) -> tuple:
-        i, body, at, h, distinct = now
+        i, body, own = now
         half = len(body) // 2
         # The last floor(n / 2) code points go, for as many from the next text, or all of it.
         edited = body[: len(body) - half] + nxt[1][:half]
-        e_at, e_h = winnow(code_points(edited), k, window)
-        return i, len(body), hashlib.sha256(edited.encode()).hexdigest(), as_text(at, h), as_text(e_at, e_h), likeness(distinct, np.unique(e_h)), likeness(distinct, nxt[4])
+        new = Print(edited, k, window)
+        return i, len(body), hashlib.sha256(edited.encode()).hexdigest(), as_text(own.at, own.h), as_text(new.at, new.h), own.like(new), own.like(nxt[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, slot, lines, chars = None, None, [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 for x in batch.slice(i, 64).to_pylist():
-                    at, h = winnow(code_points(x["body"]), k, window)
-                    now = (x["doc_id"], x["body"], at, h, np.unique(h))
+                    now = (x["doc_id"], x["body"], Print(x["body"], k, window))
                     if last is not None and slot == x["slot"]:
                         lines.append(made(last, now))
                         chars += len(last[1])
