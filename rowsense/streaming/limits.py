@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def burst_counts(events: DataFrame, seconds: int, by: tuple[str, ...] = ("user_id", "event_type")) -> DataFrame:
@@ -62,6 +63,10 @@ class Admission:
         self.spent += cost
         return "admitted"
 
+    def ends(self) -> int:
+        """From when on the state says nothing: the last admission has left the window, and the day is over."""
+        return max(self.recent[-1] + self.micros if self.recent else 0, (self.day + 1) * 86_400_000_000)
+
 
 def admit(events: DataFrame, cost: Column, burst: int = 3, seconds: int = 60, daily: int = 60) -> DataFrame:
     """event_id, user_id, outcome (admitted, burst, daily). Each user's events come in order as a sorted stream; a task
@@ -83,22 +88,68 @@ def admit(events: DataFrame, cost: Column, burst: int = 3, seconds: int = 60, da
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInArrow(run, "event_id long, user_id long, outcome string")
 
 
-def admit_stream(events: DataFrame, burst: int = 3, seconds: int = 60, daily: int = 60) -> DataFrame:
-    """The same on a stream (event_id, user_id, ts, cost), with Spark's state for each user; state ends a day after its last event."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = Admission(burst, seconds, daily)
-        if state.exists:
-            recent, kept.day, kept.spent = state.get
-            kept.recent = deque(recent)
-        for f in frames:
-            f = f.assign(at=f.ts.astype("datetime64[us]").astype("int64")).sort_values(["at", "event_id"])
-            yield pd.DataFrame({"event_id": f.event_id, "user_id": f.user_id, "outcome": [kept.ask(int(a), int(c)) for a, c in zip(f["at"], f["cost"])]})
-        state.update((list(kept.recent), kept.day, kept.spent))
-        state.setTimeoutDuration(86_400_000)
-
-    return events.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, outcome string", "recent array<long>, day long, spent long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+class Limiter(StatefulProcessor):
+    """A user's admissions on a stream, in the order of time whatever the order of arrival.
+
+    Events wait in a list until the watermark has passed them; a timer at the first of them takes those that it has passed, in
+    order, and asks the limits. When none waits, the timer stands where the limits have nothing left to remember - the window
+    behind the last admission, or the end of its day - and there the user's state goes."""
+
+    def __init__(self, burst: int, seconds: int, daily: int) -> None:
+        self.limits = burst, seconds, daily
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, at long, cost long")
+        self.kept = handle.getValueState("kept", "recent array<long>, day long, spent long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        new = [(int(i), int(t), int(c)) for f in rows for i, t, c in zip(f.event_id, f.ts.astype("datetime64[us]").astype("int64"), f.cost, strict=True)]
+        self.waiting.appendList(new)
+        self.wake(min(at for _, at, _ in new))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((tuple(int(x) for x in r) for r in self.waiting.get()), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
+        due, later = [r for r in held if r[1] <= passed], [r for r in held if r[1] > passed]
+        state = self.read()
+        outcomes = [state.ask(at, cost) for _, at, cost in due]
+        ends = state.ends()
+        if not later and ends <= passed:
+            self.waiting.clear()
+            self.kept.clear()
+        else:
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+            self.kept.update((list(state.recent), state.day, state.spent))
+            self.wake(later[0][1] if later else ends)
+        if due:
+            yield pd.DataFrame({"event_id": [r[0] for r in due], "user_id": [int(key[0])] * len(due), "outcome": outcomes})
+
+    def close(self) -> None:
+        pass
+
+    def read(self) -> Admission:
+        state = Admission(*self.limits)
+        if self.kept.exists():
+            recent, state.day, state.spent = self.kept.get()
+            state.recent = deque(int(x) for x in recent)
+            state.day, state.spent = int(state.day), int(state.spent)
+        return state
+
+    def wake(self, at: int) -> None:
+        """A timer in whole milliseconds, not before the given time."""
+        self.handle.registerTimer(-(-at // 1000))
+
+
+def admit_stream(events: DataFrame, burst: int = 3, seconds: int = 60, daily: int = 60, late: str = "10 minutes") -> DataFrame:
+    """admit() on a stream (event_id, user_id, ts, cost): each event's outcome once the watermark has passed it.
+
+    Rows later than `late` are dropped, as Spark does behind a watermark. Needs RocksDB as the store of state
+    (spark.sql.streaming.stateStore.providerClass)."""
+    rows = events.filter("user_id is not null and ts is not null").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("cost").cast("long").alias("cost"))
+    timed = rows.withWatermark("ts", late).groupBy("user_id")
+    return timed.transformWithStateInPandas(Limiter(burst, seconds, daily), "event_id long, user_id long, outcome string", "Append", "EventTime")
