@@ -38,6 +38,9 @@ from .common import mixed, release, to_batch, whole, written
 
 #: Places of the table of counts; rows of a block of a tile; pairs' documents up to which their ids are broadcast.
 PLACES, BLOCK, FEW_IDS = 1 << 20, 2048, 1_000_000
+#: Bits of a hash by which prefixes meet: shingles that agree in them are candidates more, never links; 2**48 are enough for
+#: a hundred terabytes of text, and every bit travels twice.
+KEY_BITS = 48
 #: Bytes that are hashed at once; words longer than this many bytes are hashed one by one.
 CHUNK, LONG = 1 << 18, 1 << 16
 BASE = 0x9E3779B97F4A7C15
@@ -245,7 +248,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, k: int, num: int, den: int, doc
                     n = len(h)
                     # Sets ascend, so a stable sort by level puts equal levels in the order of hashes.
                     order = np.argsort(level[(h >> np.uint64(44)).astype(np.int64)], kind="stable")
-                    firsts.append(h[order[: n - -(-num * n // den) + 1 if n else 0]].view(np.int64))
+                    firsts.append((h[order[: n - -(-num * n // den) + 1 if n else 0]] >> np.uint64(64 - KEY_BITS)).astype(np.int64))
                     bits.append(parity_bits(h) if n else b"")
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)])))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(h) for h in sets], pa.int64()), pa.array([set_hash(h) for h in sets], pa.binary()), lists, pa.array(bits, pa.binary())], names=["doc_id", "mark", "n", "set_hash", "prefix", "bits"])
