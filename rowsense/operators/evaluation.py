@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -105,12 +105,93 @@ def range_text(low: Column, high: Column, unit: Column, high_open: Column | None
     return F.coalesce(F.concat_ws(" ", shown, F.when(shown.isNotNull(), F.nullif(unit, F.lit("")))), F.lit(""))
 
 
-def resolved_texts(texts: DataFrame, depth: int = 3) -> DataFrame:
-    """id, lang, text, verified: texts (id, lang, text, fallback: a language, verified) whose fallbacks are followed, at most
-    `depth` times; what a fallback gives is never verified. A cycle ends as null text."""
-    now = texts.select("id", "lang", "text", "verified", F.when(F.col("text").isNull(), F.col("fallback")).alias("to"))
-    base = texts.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("text").alias("_text"), F.col("fallback").alias("_to"))
-    for _ in range(depth):
-        met = now.join(base, (F.col("id") == F.col("_id")) & (F.col("to") == F.col("_lang")), "left")
-        now = met.select("id", "lang", F.coalesce("text", "_text").alias("text"), (F.col("verified") & F.col("to").isNull()).alias("verified"), F.when(F.col("text").isNull() & F.col("_text").isNull(), F.col("_to")).alias("to"))
-    return now.select("id", "lang", "text", F.coalesce("verified", F.lit(False)).alias("verified"))
+def resolved_texts(texts: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, lang, text, verified, resolved_lang, path, error: texts (id, lang, text, fallback: a language, verified) whose fallbacks are
+    followed to a text, however many; what a fallback gives is never verified. A cycle, or a fallback that isn't there, is an
+    error with its path. depth is the most steps, if there is to be one.
+
+    The languages of an id meet in one row, as a map; chains are followed there."""
+    held = F.struct("text", "fallback", F.coalesce("verified", F.lit(False)).alias("verified"))
+    maps = texts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("lang", held))).alias("_of"))
+    asked = maps.select("id", "_of", F.explode(F.map_keys("_of")).alias("lang"))
+    of = lambda at: F.try_element_at("_of", at)
+    start = F.struct(F.col("lang").alias("at"), F.array("lang").alias("path"), F.lit(False).alias("ended"))
+
+    def step(a: Column, i: Column) -> Column:
+        to = of(a["at"])["fallback"]
+        stays = a["ended"] | of(a["at"])["text"].isNotNull() | to.isNull()
+        seen = F.coalesce(F.array_contains(a["path"], to), F.lit(False))
+        return F.when(stays, F.struct(a["at"].alias("at"), a["path"].alias("path"), F.lit(True).alias("ended"))).otherwise(F.struct(F.when(~seen, to).alias("at"), F.concat(a["path"], F.array(to)).alias("path"), seen.alias("ended")))
+
+    steps = F.sequence(F.lit(1), F.size("_of"))
+    walked = asked.withColumn("_end", F.aggregate(steps if depth is None else F.slice(steps, 1, depth), start, step))
+    at, text = F.col("_end.at"), of(F.col("_end.at"))["text"]
+    error = F.when(text.isNull(), F.concat(F.when(at.isNull(), "Localized text fallback cycle: ").otherwise("Localized text without a fallback: "), F.array_join("_end.path", " -> ")))
+    verified = F.coalesce(text.isNotNull() & (at == F.col("lang")) & of(at)["verified"], F.lit(False))
+    return walked.select("id", "lang", text.alias("text"), verified.alias("verified"), F.when(text.isNotNull(), at).alias("resolved_lang"), F.col("_end.path").alias("path"), error.alias("error"))
+
+
+#: What corpus_report counts of a row: name and condition.
+COUNTS = {
+    "items": "true", "recognized": "key IS NOT NULL", "chip_reproduced": "asserted", "chip_deferred": "NOT asserted", "chip_scorable": "scorable", "chip_correct": "scorable AND asserted AND said_out = flagged_out",
+    "chip_wrong": "scorable AND asserted AND said_out <> flagged_out", "chip_abstained": "scorable AND NOT asserted", "recognized_high_stakes": "entry_high_stakes", "recognized_high_stakes_confirm": "entry_high_stakes AND needs_confirm",
+    "gold_high_stakes": "gold_kind = 'analyte' AND gold_high_stakes", "gold_high_stakes_confirm": "gold_kind = 'analyte' AND gold_high_stakes AND needs_confirm", "gold_high_stakes_unrecognized": "gold_kind = 'analyte' AND gold_high_stakes AND key IS NULL",
+    "gold_analyte": "gold_kind = 'analyte'", "gold_non_analyte": "gold_kind = 'non-analyte'", "abstained": "abstains", "classified": "NOT abstains", "confirmed": "NOT abstains AND needs_confirm", "agreement_scored": "agrees IS NOT NULL", "agree": "agrees",
+    "confident_scored": "agrees IS NOT NULL AND NOT needs_confirm AND NOT needs_review", "confident_agree": "agrees AND NOT needs_confirm AND NOT needs_review", "confidently_wrong": "NOT agrees AND NOT needs_confirm AND NOT needs_review", "disagreements": "NOT agrees",
+}
+#: Ratios of counts; null without a base.
+RATIOS = {"chip_coverage": ("chip_reproduced", "items"), "chip_accuracy": ("chip_correct", "chip_scorable"), "confirm_coverage": ("recognized_high_stakes_confirm", "recognized_high_stakes"), "confirm_coverage_gold": ("gold_high_stakes_confirm", "gold_high_stakes"), "abstain_rate": ("abstained", "items"), "confirm_rate": ("confirmed", "classified"), "agreement": ("agree", "agreement_scored"), "confident_agreement": ("confident_agree", "confident_scored")}
+
+
+def judged_rows(rows: DataFrame, gold: DataFrame) -> DataFrame:
+    """rows with their gold label (by trimmed name, the first by name, kind and stakes) and what corpus_report counts.
+
+    rows: report_id, name, key, value_text, value, range_text, flag ('0', '1' or empty: the report's own), asserted and said_out (what the chip
+    says), entry_high_stakes, needs_confirm, needs_review, abstains, classification, rule_ids (array)."""
+    of = gold.groupBy(F.trim(F.col("name")).alias("_name")).agg(F.min(F.struct("kind", "high_stakes")).alias("_gold"))
+    met = rows.join(of, F.trim(rows["name"]) == F.col("_name"), "left")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    filled = met.withColumns({c: no(c) for c in ("asserted", "said_out", "entry_high_stakes", "needs_confirm", "needs_review", "abstains")})
+    scored = F.coalesce(F.col("flag").isin("0", "1"), F.lit(False))
+    given = (F.trim(F.coalesce("value_text", F.lit(""))) != "") & (F.trim(F.coalesce("range_text", F.lit(""))) != "")
+    ours = abnormal(F.col("classification"))
+    flagged = F.col("flag") == "1"
+    reason = F.when(F.col("key").isNull(), "R1-UNKNOWN-ANALYTE").when(F.col("value").isNull(), "NON-NUMERIC-VALUE").otherwise(F.coalesce(F.get("rule_ids", F.lit(0)), F.lit("OTHER-ABSTAIN")))
+    return filled.withColumns({"gold_kind": F.col("_gold.kind"), "gold_high_stakes": F.coalesce("_gold.high_stakes", F.lit(False)), "scorable": scored & given, "flagged_out": flagged, "agrees": F.when(scored & ~F.col("abstains"), ours == flagged), "reason": F.when(F.col("abstains"), reason)}).drop("_name", "_gold")
+
+
+def corpus_report(rows: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: reports, all COUNTS and RATIOS, abstain_by_reason and confirm_by_rule (maps of counts).
+
+    Rows are counted once, by reason and set of rules, of which there are few; all else is read from those counts. The number of
+    reports is that of distinct ids, a pass over one column."""
+    met = judged_rows(rows, gold)
+    rules = F.when(~F.col("abstains") & F.col("needs_confirm"), F.array_sort(F.array_distinct("rule_ids")))
+    counts = [F.count_if(F.coalesce(F.expr(c), F.lit(False))).alias(f"_{n}") for n, c in COUNTS.items()]
+    by = met.groupBy("reason", rules.alias("rules")).agg(*counts)
+    each = F.transform("rules", lambda r: F.struct(r.alias("rule"), F.col("_confirmed").alias("n")))
+    whole = by.agg(
+        *(F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(n) for n in COUNTS),
+        F.coalesce(F.map_from_entries(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "_abstained")))), F.create_map().cast("map<string,bigint>")).alias("abstain_by_reason"),
+        F.flatten(F.collect_list(each)).alias("_rules"),
+    )
+    named = F.array_sort(F.array_distinct(F.transform("_rules", lambda x: x["rule"])))
+    total = lambda name: F.aggregate(F.filter("_rules", lambda x: x["rule"] == name), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    ratios = [F.try_divide(F.col(a), F.col(b)).alias(n) for n, (a, b) in RATIOS.items()]
+    reports = rows.select("report_id").distinct().agg(F.count("report_id").alias("reports"))
+    shown = whole.select(*COUNTS, *ratios, "abstain_by_reason", F.map_from_arrays(named, F.transform(named, total)).alias("confirm_by_rule"))
+    return reports.crossJoin(F.broadcast(shown))  # a row each
+
+
+def worst_rows(rows: DataFrame, gold: DataFrame, most: int = 12) -> DataFrame:
+    """kind, place, name, detail: of each kind (chip-wrong, gold-unrecognized, confidently-wrong, disagreement) the first `most` by name and
+    detail. The report's lists; each kind's first rows are kept in every task before they meet."""
+    met = judged_rows(rows, gold)
+    no = lambda c: F.coalesce(F.expr(COUNTS[c]), F.lit(False))
+    shown = F.concat(F.trim("name"), F.lit(" "), F.coalesce("value_text", F.lit("")), F.lit(" (range "), F.coalesce("range_text", F.lit("")), F.lit(") flagged "), F.when(F.col("flagged_out"), "ABNORMAL").otherwise("normal"), F.lit(", classified "), F.coalesce("classification", F.lit("")))
+    kinds = {"chip-wrong": "chip_wrong", "gold-unrecognized": "gold_high_stakes_unrecognized", "confidently-wrong": "confidently_wrong", "disagreement": "disagreements"}
+    each = F.explode(F.array_compact(F.array(*(F.when(no(c), F.lit(k)) for k, c in kinds.items()))))
+    listed = met.select(each.alias("kind"), F.trim("name").alias("name"), shown.alias("detail")).distinct()
+    part = Window.partitionBy("kind", "_part").orderBy("name", "detail")
+    local = listed.withColumn("_part", F.pmod(F.xxhash64("name", "detail"), F.lit(64))).withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= most)
+    return local.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("name", "detail"))).filter(F.col("place") <= most).select("kind", "place", "name", "detail")

@@ -6,6 +6,8 @@ entries share, the later entry (by ord) has it; an empty dimension matches nothi
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,15 +111,32 @@ def unit_collisions(units: DataFrame, unit: str = "unit") -> DataFrame:
     return units.select(unit_key(F.col(unit)).alias("unit_key"), norm_unit(F.col(unit)).alias("unit")).groupBy("unit_key").agg(F.sort_array(F.collect_set("unit")).alias("units")).filter(F.size("units") > 1)
 
 
-def convert(facts: DataFrame, factors: DataFrame, key: str = "key", value: str = "value", unit: str = "unit") -> DataFrame:
-    """facts with converted and converted_unit where factors (key, from_unit, to_unit, factor) has the key and unit."""
-    table = factors.select(F.col("key").alias("_k"), unit_key(F.col("from_unit")).alias("_u"), F.col("to_unit").alias("converted_unit"), F.col("factor").alias("_f")).dropDuplicates(["_k", "_u"])
-    return facts.join(table, (F.col(key) == F.col("_k")) & (unit_key(F.col(unit)) == F.col("_u")), "left").withColumn("converted", F.col(value) * F.col("_f")).drop("_k", "_u", "_f")
+def first_factors(factors: DataFrame, factor: Column, *more: Column) -> DataFrame:
+    """One row for each key and unit: the first by the column ord where there is one, else the least."""
+    order = [F.col("ord")] if "ord" in factors.columns else []
+    held = F.struct(*(c.alias(f"by{i}") for i, c in enumerate(order)), *(m.alias(f"m{i}") for i, m in enumerate(more)), factor.alias("f"))
+    return factors.groupBy(F.col("key").alias("_k"), unit_key(F.col("from_unit")).alias("_u")).agg(F.min(held).alias("_first"))
+
+
+def convert(facts: DataFrame, factors: DataFrame, key: str = "key", value: str = "value", unit: str = "unit", allowed: str | None = None) -> DataFrame:
+    """facts with converted and converted_unit where factors (key, from_unit, to_unit, factor, ord) has the key and unit, by the
+    first factor. allowed: a column of units that need no conversion, and so get none."""
+    table = first_factors(factors, F.col("factor"), F.col("to_unit"))
+    met = facts.join(table, (F.col(key) == F.col("_k")) & (unit_key(F.col(unit)) == F.col("_u")), "left")
+    own = F.coalesce(F.exists(allowed, lambda a: unit_key(a) == unit_key(F.col(unit))), F.lit(False)) if allowed else F.lit(False)
+    return met.withColumns({"converted_unit": F.when(~own, F.col("_first.m0")), "converted": F.when(~own, F.col(value) * F.col("_first.f"))}).drop("_k", "_u", "_first")
+
+
+def adult_only(entries: DataFrame, age: Column, keys: Iterable[str], least_age: int = 18, bounds: Iterable[str] = ("ref_low", "ref_high", "critical_low", "critical_high")) -> DataFrame:
+    """entries (key, interpretation and bounds), of which those with bands for adults alone lose them for the young, so that
+    no one can read them, and become report-only. An unknown age keeps them."""
+    young = F.coalesce((age < least_age) & (F.col("interpretation") == "ours") & F.col("key").isin(*keys), F.lit(False))
+    return entries.withColumns({"interpretation": F.when(young, "report-only").otherwise(F.col("interpretation")), **{b: F.when(~young, F.col(b)) for b in bounds}})
 
 
 def display_factor(facts: DataFrame, factors: DataFrame, key: str = "key", unit: str = "unit", allowed: str = "allowed_units") -> DataFrame:
     """facts with to_display: 1 where the unit is allowed as it is, the factor's inverse where one leads to the unit, else null."""
-    table = factors.select(F.col("key").alias("_k"), unit_key(F.col("from_unit")).alias("_u"), (1 / F.col("factor")).alias("_f")).dropDuplicates(["_k", "_u"])
+    table = first_factors(factors, F.col("factor")).select("_k", "_u", (1 / F.col("_first.f")).alias("_f"))
     met = facts.join(table, (F.col(key) == F.col("_k")) & (unit_key(F.col(unit)) == F.col("_u")), "left")
     own = F.exists(allowed, lambda a: unit_key(a) == unit_key(F.col(unit)))
     return met.withColumn("to_display", F.when(F.coalesce(own, F.lit(False)), 1.0).otherwise(F.col("_f"))).drop("_k", "_u", "_f")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from rowsense.plans import note_queries, queries, safety_queries  # noqa: F401
+from rowsense.plans import evaluation_queries, note_queries, queries, safety_queries  # noqa: F401
 from rowsense.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
