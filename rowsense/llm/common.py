@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, beside the warehouse's tables, which executors share too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    return f"{base.rstrip('/')}/rowsense/{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir, with its scheme, so that Spark and pyarrow look for it in one file system.
+
+    Where that is unset, a session on one machine takes its warehouse; a cluster must name a folder that all its machines share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    uri = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath().rstrip('/')}/rowsense/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -321,7 +321,7 @@ def in_shards(rows: DataFrame, n: int, shard_docs: int) -> DataFrame:
     first = F.coalesce(F.sum("splits").over(Window.orderBy("bucket", "sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     shards = written(sizes.select("bucket", "subs", "sub", "splits", first.alias("first")), "shards")
     subs = shards.select("bucket", "subs").distinct()
-    placed = placed.join(F.broadcast(subs), "bucket").withColumn("sub", F.pmod(F.xxhash64("second"), F.col("subs")))
+    placed = placed.join(subs, "bucket").withColumn("sub", F.pmod(F.xxhash64("second"), F.col("subs")))
     met = placed.join(shards.drop("subs"), ["bucket", "sub"])
     return met.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("doc_id", "checksum"), F.col("splits")))
 

@@ -76,7 +76,7 @@ def scan_unseen(versions: DataFrame, ledger: str, path: str, text: str, rules: I
                 yield x["blob"], rule, version, [{"start": a, "end": b} for a, b in found]
 
     schema = pa.schema([("blob", pa.string()), ("rule", pa.string()), ("version", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    texts = rows.select("blob", "path_key", "body").join(todo.hint("shuffle_hash"), ["blob", "path_key"])
+    texts = rows.select("blob", "path_key", "body").join(todo, ["blob", "path_key"])
     texts.mapInArrow(by_chunks(scan, schema), LEDGER).write.mode("append").option("compression", "zstd").parquet(ledger)
 
 

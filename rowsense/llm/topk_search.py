@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import release, to_batch, written
 
 NULL_ID = np.iinfo(np.int64).max
+#: Blocks of queries, and of candidates, that a task multiplies with one another.
+SIDE = 8
 FOUND = "query_id long, vec_id long, score long"
 FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -169,20 +171,29 @@ def topk(vectors: DataFrame, queries: F.Column, k: int = 5, vec_id: str = "vec_i
                 for at in range(0, len(found), 10000):
                     yield to_batch(found[at : at + 10000], FOUND_ARROW)
 
-    asking = query_blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("group", "ids", "v", "r")))
+    own = query_blocks.groupBy(F.col("group").alias("q_group")).agg(F.sum(F.length("ids") / 8).cast("long").alias("q_n"))
+    asking = query_blocks.select(*(F.col(c).alias(f"q_{c}") for c in ("group", "ids", "v", "r", "top"))).join(own, "q_group")
+    sides = -(-q_blocks // SIDE)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best_so_far, low, many = None, 0, 1
     while low < groups:
-        # Each block of queries goes to each group of candidate blocks: copies of a block of queries, not of pairs of rows.
-        here = candidates.filter((F.col("group") >= low) & (F.col("group") < low + many)).select((F.col("group") - low).alias("at"), "ids", "v", "r", "top")
+        # A grid: a task has up to SIDE blocks of queries and of one group's candidates, so blocks are copied, pairs of rows never.
+        across = max(-(-max(salt[g] * 2, 1) // SIDE) for g in range(low, min(low + many, groups)) if g in salt) if any(low <= g < low + many for g in salt) else 1
+        cell = F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+        here = candidates.filter((F.col("group") >= low) & (F.col("group") < low + many)).select((F.col("group") - low).alias("at"), F.pmod(F.xxhash64("ids"), F.lit(across)).cast("int").alias("across"), cell.alias("down"), "ids", "v", "r", "top")
         if best_so_far is None:
             bounded = asking.withColumn("kths", F.lit(None).cast("array<struct<query_id:bigint,kth:bigint>>"))
         else:
             kth = best_so_far.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
             kths = kth.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q_group")).agg(F.collect_list(F.struct("query_id", "kth")).alias("kths"))
             bounded = asking.join(kths, "q_group", "left")
-        asked_all = bounded.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(many, groups - low) - 1).cast("long"))))
-        found = asked_all.join(here, "at").mapInArrow(meet, FOUND)
+        # Where all queries of a group have k results, none needs a block whose largest product lies below the least of them.
+        known = F.size("kths") == F.col("q_n")
+        least = F.when(known, F.array_min(F.transform("kths", lambda x: x["kth"]))).cast("double")
+        placed = bounded.withColumn("least", least).withColumn("down", F.pmod(F.col("q_group"), F.lit(sides)).cast("int"))
+        asked_all = placed.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(many, groups - low) - 1).cast("long")))).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        near = F.col("least").isNull() | (F.col("q_top") * F.col("top") * (1 + 1e-5) + 1 >= F.col("least"))
+        found = asked_all.join(here, ["at", "across", "down"]).filter(near).drop("q_top", "q_n", "least").mapInArrow(meet, FOUND)
         if best_so_far is not None:
             found = found.unionByName(best_so_far.select("query_id", "vec_id", "score"))
         now = written(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "best")
