@@ -496,12 +496,20 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.session_counts(table(spark, sf_dir, "events"), "2 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, {COST} AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s(user_id, k, event_id, recent, day, spent, outcome) AS (
+  SELECT user_id, 0::BIGINT, NULL::BIGINT, []::BIGINT[], -1::BIGINT, 0::BIGINT, '' FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, k, event_id, CASE WHEN said = 'admitted' THEN list_append(r, us) ELSE r END, d, CASE WHEN said = 'admitted' THEN sp + cost ELSE sp END, said FROM (
+    SELECT *, CASE WHEN len(r) >= 3 THEN 'burst' WHEN sp + cost > 12 THEN 'daily' ELSE 'admitted' END AS said FROM (
+      SELECT e.*, list_filter(s.recent, lambda t: t > e.us - 21600000000) AS r, e.us // 86400000000 AS d, CASE WHEN e.us // 86400000000 = s.day THEN s.spent ELSE 0 END AS sp FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)))
+SELECT event_id, user_id, outcome FROM s WHERE k > 0""")
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.admit(table(spark, sf_dir, "events"), F.expr(COST), burst=3, seconds=6 * 3600, daily=12)
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda a, c: xor(a, c) * 16777619 % 4294967296) AS hash FROM documents)
+SELECT doc_id, hash, hash / 4294967296.0 < 0.34 AS held_out FROM h""")
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text.fnv1a(F.col("doc_id").cast("string")).alias("hash"))
     return docs.withColumn("held_out", F.col("hash") / 4294967296.0 < 0.34)
