@@ -260,8 +260,8 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose bitmaps allow a link."""
-    of = lambda side: reps.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+    """Those of the pairs (a, b) whose bitmaps allow a link. Sizes alone rule out most pairs, before any bitmap travels."""
+    of = lambda side, what: reps.select(F.col("node").alias(side), F.col(what).alias(f"{what}_{side}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,8 +272,8 @@ def bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
                 if kept:
                     yield to_batch(kept, PAIR)
 
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    return met.filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).mapInArrow(run, "a long, b long")
+    sized = pairs.join(of("a", "n"), "a").join(of("b", "n"), "b").filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    return sized.join(of("b", "bits"), "b").join(of("a", "bits"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
