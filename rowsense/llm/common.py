@@ -42,6 +42,18 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
+_kept: tuple[str, object] | None = None
+
+
+def hold(stage: str, make: Callable[[], object] = lambda: None) -> object:
+    """What a stage holds in a worker between its tasks. Workers are used again, so the next stage that asks drops it."""
+    global _kept
+    if _kept is None or _kept[0] != stage:
+        _kept = None
+        _kept = (stage, make())
+    return _kept[1]
+
+
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     """64-bit numbers, each bit of which depends on all of x's."""
     with np.errstate(over="ignore"):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, release, to_batch, whole, written
+from .common import hold, mixed, release, to_batch, whole, written
 
 #: Places of the table of counts; rows of a block of a tile; pairs' documents up to which their ids are broadcast.
 PLACES, BLOCK, FEW_IDS = 1 << 20, 2048, 1_000_000
@@ -197,6 +197,7 @@ def signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """A row per document; and the counts of each task's shingles, in rows of 4096 places (n is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard")
         counts = np.zeros(PLACES, np.int64)
         for batch in batches:
             for part, sets in sets_of(batch, k):
@@ -352,9 +353,11 @@ def tile_pairs(cells: DataFrame, num: int, den: int) -> DataFrame:
                     yield max(int(node[at]), b), min(int(node[at]), b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("jaccard")
         cell, rows, out = None, [], set()
         for batch in batches:
-            for x in batch.to_pylist():
+            # A few rows at a time, as bitmaps of long sets are large.
+            for x in (x for at in range(0, batch.num_rows, 256) for x in batch.slice(at, 256).to_pylist()):
                 key = (x["key"], x["band"], x["i"], x["j"])
                 if key != cell:
                     if len(rows) > 1:

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import to_batch, whole, written
+from .common import hold, to_batch, whole, written
 
 WINDOW, END, SHARD_DOCS = 2048, 1, 2048
 #: Words, and parts of words, that a worker remembers; only parts go through the tokenizer.
@@ -142,10 +142,9 @@ class Encoder:
         return [self.whole(t) if r is None else self.word_ids.get(r)[0] for t, r in zip(texts, rows, strict=True)]
 
 
-@lru_cache(1)
 def encoder(path: str) -> Encoder:
     """One for each worker process, which Spark uses again."""
-    return Encoder(path)
+    return hold(f"encoder {path}", lambda: Encoder(path))
 
 
 def hashed(x: np.ndarray, salt: int) -> np.ndarray:

@@ -39,3 +39,10 @@ def test_shared_folder_has_a_scheme(spark):
         with pytest.raises(ValueError, match="checkpoint"):
             common.shared_dir(spark)
     assert spark.conf.get("spark.checkpoint.dir") == before
+
+
+def test_a_worker_holds_one_stage_at_a_time():
+    one = common.hold("one", list)
+    assert common.hold("one", list) is one
+    common.hold("other")
+    assert common.hold("one", list) is not one
