@@ -46,3 +46,33 @@ def test_a_worker_holds_one_stage_at_a_time():
     assert common.hold("one", list) is one
     common.hold("other")
     assert common.hold("one", list) is not one
+
+
+@pytest.mark.parametrize("scale", [1, 3000, 1 << 19, 1 << 22])
+def test_cell_equals_brute_force_at_every_width(scale):
+    """One product of matrices a pair of blocks; small numbers travel in two bytes; ties, copies and shared ids as in a plain sort."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-200, 200, (400, 8)) * scale
+    v[50:250] = v[7]
+    ids = np.arange(400)
+    ids[:2] = 5
+    wide = 2 if scale == 1 else 4
+
+    def block(rows):
+        rows = rows[np.argsort(ids[rows], kind="stable")]
+        assert np.abs(v).max() < 1 << (8 * wide - 1)
+        return {"ids": ids[rows].tobytes(), "v": v[rows].astype(f"<i{wide}").tobytes(), "wide": wide, "r": b"", "top": float(np.linalg.norm(v[rows].astype(float), axis=1).max()), "kths": None}
+
+    asked, here = [block(np.arange(0, 400, 3))], [block(np.arange(0, 150)), block(np.arange(150, 400))]
+    got = [tuple(r.values()) for b in topk_search.meet_cell(asked, here, 8, 5) for r in b.to_pylist()]
+    expected = []
+    for q in range(0, 400, 3):
+        best = sorted((-int(s), int(i)) for i, s in zip(ids, v.astype(object) @ v[q].astype(object)) if i != ids[q])[:5]
+        expected += [(int(ids[q]), i, -s) for s, i in best]
+    assert sorted(got) == sorted(expected)
+
+
+def test_blocks_travel_in_two_bytes_a_component(spark):
+    rows = topk_search.whole_vectors(spark.createDataFrame([(i, [0.5, -1.0, 0.25]) for i in range(40)], "vec_id long, embedding array<float>"), "vec_id", "embedding", 256)
+    packed = topk_search.block_bytes(rows.withColumn("group", F.lit(0).cast("long")), 3, None, 2, 64).collect()
+    assert sum(len(r["v"]) for r in packed) == 40 * 3 * 2
