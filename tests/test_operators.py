@@ -152,3 +152,27 @@ def test_negations_of_two_versions(spark):
     known = [("mass", {"en": ["mass"]}, False), ("tumour", {"en": ["tumour"]}, True)]
     got = spark.createDataFrame([c[:4] for c in cases], f"a {one}, b {one}, s string, t string").select(fidelity.negation_hits(F.col("a"), F.col("b"), F.col("s"), F.col("t"), F.lit("en"), F.lit("en"), known, {}, {}, {})).collect()
     assert [[h["action"] for h in r[0]] for r in got] == [c[4] for c in cases]
+
+
+def test_pages_side_by_side_equal_pages_alone(spark):
+    """Pages of different sizes in one batch: shifts as a plain search finds them, and claims without a frame a page."""
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (3, 5), (12, 9)):
+        own, rows = rng.integers(0, 60, (20, n)) * 2.5, rng.integers(0, 60, (20, m)) * 2.5
+        shift, fits = geometry._offsets(own, rows, np.full(20, 5.0))
+        for q in range(20):
+            tried = dict.fromkeys([0.0, *(own[q][:, None] - rows[q]).ravel().tolist()])
+            met = {d: geometry._met(np.abs(own[q][:, None] - d - rows[q]), 5.0) for d in tried}
+            best = min(tried, key=lambda d: (-met[d][0], met[d][1], abs(d)))
+            assert (shift[q], fits[q]) == (best, met[best][0] >= min(n, m) and met[best][1] <= 5.0)
+    cells = [(p, 3 * r + c, 120.0 * c, 30.0 * r + 4 * c, 80.0, 20.0, ["name", str(r), "mg"][c]) for p in range(300) for r in range(p % 7 + 1) for c in range(3)]
+    df = spark.createDataFrame(cells, "page_id long, cell_id long, x double, y double, width double, height double, text string").repartition(2)
+    got = {(r["page_id"], r["cell_id"]): (r["column"], r["anchor"], r["refused"]) for r in geometry.bind_cells(df).collect()}
+    assert got == {(p, i): (i % 3, i - i % 3, False) for p, i, *_ in cells}
+    found = {r["page_id"]: (r["columns"], r["aligned_rows"], r["reason"]) for r in geometry.table_structure(df).collect()}
+    assert found == {p: (3, p % 7 + 1, "few rows" if p % 7 < 2 else "") for p in range(300)}
+    claims = df.select("page_id", (F.col("cell_id") / 3).cast("long").alias("ord"), "text").filter("cell_id % 3 = 1").select("page_id", "ord", F.lit("name").alias("name"), F.when(F.col("ord") == 4, "x").otherwise(F.col("text")).alias("value"), F.lit("mg").alias("unit"), F.lit(None).cast("string").alias("printed_range"))
+    claims = claims.unionByName(claims.limit(1).withColumn("page_id", F.lit(-1).cast("long")).withColumn("ord", F.lit(0).cast("long")))
+    plan = geometry.verify_rows(claims, df)
+    assert "Pandas" not in plan._jdf.queryExecution().toString()
+    assert sorted(map(tuple, plan.collect()), key=str) == sorted([(-1, 0, None, "unverifiable"), *((p, 4, "value", "not-on-page") for p in range(300) if p % 7 > 3)], key=str)
