@@ -515,9 +515,16 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("held_out", F.col("hash") / 4294967296.0 < 0.34)
 
 
+#: Rows of lineitem in a part.
+ROWS_A_PART = 250_000
+
+
 def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a page for each order: three columns, rows 30 apart, the others a little off, the second a number."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    # Pages meet their cells where their rows are, in parts that don't grow with the table.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // ROWS_A_PART))
+    rows = lines.repartition(parts, "l_orderkey").distinct()
     lined = reconcile.occurrence(rows, ["l_orderkey"], ["l_linenumber", "l_partkey"])
     cells = lined.select(F.col("l_orderkey").alias("page_id"), F.col("ordinal"), "l_partkey", F.posexplode(F.array(F.lit(0.0), F.lit(120.0), F.lit(240.0))).alias("c", "x"))
     written = F.when(F.col("c") == 0, F.concat(F.lit("name "), "l_partkey")).when(F.col("c") == 1, F.col("l_partkey").cast("string")).otherwise("mg/dl")
