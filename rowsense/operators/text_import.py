@@ -1,7 +1,8 @@
 """Planning an import of reviewed texts, and applying what a plan accepts.
 
 Each reviewed row is skipped, refused with a reason, or written, by the first rule that holds: joins bring in the entry that a
-row names, how often its id stands in the packet and in the corpus, and its file's text; the rules are one ordered decision.
+row names, how often its id stands in the packet and in the corpus, and its spans of its file; the rules are one ordered
+decision. A file's text never travels with a row: its entries' spans are cut from it once, and its edits applied in one pass.
 Names that more than one id would have are refused last, over accepted and existing names. Edits are spans of a file: they
 must not overlap and must find what they expect; they are applied from the end.
 
@@ -10,6 +11,9 @@ exclusive; a file with a faulty edit isn't changed and says why."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,38 @@ def blank(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(rf"\A{wellformed.BLANK}*\z")
 
 
+def cut(text: str, start: int | None, end: int | None) -> str | None:
+    """The span of a text, as Spark's substr gives it."""
+    if start is None or end is None:
+        return None
+    a = start if start >= 0 else 0 if start == -1 else len(text) + start + 1
+    b = a + end - start
+    return text[max(a, 0) : max(b, 0)] if b > a else ""
+
+
+SPANS = ("start", "end", "current_start", "current_end")
+
+
+def spans_of(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """_file, _start, _end, _current_start, _current_end of entries whose file has a content, and the texts there: _node, _current.
+    A row holds one file with its spans."""
+    schema = pa.schema([("_file", pa.string()), *((f"_{c}", pa.int64()) for c in SPANS), ("_node", pa.string()), ("_current", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                file, content = batch.column("file")[i].as_py(), batch.column("content")[i].as_py()
+                held = batch.column("spans")[i].values
+                for at in range(0, len(held), 4096):
+                    spans = list(zip(*(c.to_pylist() for c in held.slice(at, 4096).flatten()), strict=True))
+                    texts = [(cut(content, a, b), cut(content, c, d)) for a, b, c, d in spans]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([file] * len(spans), *zip(*spans, strict=True), *zip(*texts, strict=True)), schema, strict=True)], schema=schema)
+
+    of_file = entries.filter("file IS NOT NULL").groupBy("file").agg(F.collect_set(F.struct(*(F.col(c).cast("long").alias(c) for c in SPANS))).alias("spans"))
+    ddl = "_file string, " + ", ".join(f"_{c} long" for c in SPANS) + ", _node string, _current string"
+    return of_file.join(files.filter("content IS NOT NULL").select("file", "content"), "file").mapInArrow(run, ddl)
+
+
 def plan_import(rows: DataFrame, entries: DataFrame, files: DataFrame, packets: dict[str, bool], vocabulary: tuple[str, ...] = invariants.UNITS) -> DataFrame:
     """place, id, packet, status, diagnostics (array of check and message), and the edit of a written row.
 
@@ -32,11 +68,13 @@ def plan_import(rows: DataFrame, entries: DataFrame, files: DataFrame, packets:
     full = rows.withColumn("_full", ~blank(F.col("bo")))
     of_id = full.filter("_full").groupBy("id").agg(F.count(F.lit(1)).alias("_times"))
     one = entries.groupBy("id").agg(F.count(F.lit(1)).alias("_matches"), F.any_value(F.struct(*(c for c in entries.columns if c != "id"))).alias("e"))
-    met = full.join(of_id, "id", "left").join(one, "id", "left").join(files.select(F.col("file").alias("_file"), F.col("content").alias("_content")), F.col("e.file") == F.col("_file"), "left")
+    cuts = spans_of(one.select("e.*"), files)
+    same = [F.col("e.file") == F.col("_file"), *(F.col(f"e.{c}").cast("long").eqNullSafe(F.col(f"_{c}")) for c in SPANS)]
+    placed = one.join(cuts, same, "left").withColumn("_content", F.col("_file").isNotNull()).drop("_file", *(f"_{c}" for c in SPANS))
+    met = full.join(of_id, "id", "left").join(placed, "id", "left")
     e = lambda c: F.col("e").getField(c)
     is_name = F.coalesce(*(F.when(F.col("packet") == k, F.lit(v)) for k, v in packets.items()))
-    node = F.substr("_content", e("start") + 1, e("end") - e("start"))
-    current = F.substr("_content", e("current_start") + 1, e("current_end") - e("current_start"))
+    node, current = F.col("_node"), F.col("_current")
     # What the reviewer saw beside the text, if it has changed.
     extras = F.array_sort(F.map_keys(F.map_filter(F.coalesce(e("extra"), F.create_map().cast("map<string,string>")), lambda k, v: ~v.eqNullSafe(F.element_at(F.coalesce("extra", F.create_map().cast("map<string,string>")), k)))))
     seen = F.concat(F.array_compact(F.array(F.when(~F.col("zh").eqNullSafe(e("zh")), "zh"), F.when(~F.col("en").eqNullSafe(e("en")), "en"))), extras)
@@ -53,7 +91,7 @@ def plan_import(rows: DataFrame, entries: DataFrame, files: DataFrame, packets:
         .when(F.col("_matches") > 1, say("IDENTITY", "Target id is ambiguous in the current tree (", F.col("_matches").cast("string"), " matches)."))
         .when(is_name & (~no(e("field") == "name") | (F.col("key").isNotNull() & ~no(F.col("key") == e("key")))), say("IDENTITY", "Glossary-name row no longer identifies the same reference name and key."))
         .when(~is_name & (e("field").isNotNull() | no(e("excluded"))), say("IDENTITY", "Floor row now points to reference content or an explicitly excluded direct-bo call."))
-        .when(F.col("_content").isNull(), say("IDENTITY", "Current source file ", F.coalesce(e("file"), F.lit("")), " is unavailable."))
+        .when(~no(F.col("_content")), say("IDENTITY", "Current source file ", F.coalesce(e("file"), F.lit("")), " is unavailable."))
         .when(~no(e("replaceable")), say("OVERWRITE", "The current bo value is not a fallback; refusing to overwrite direct or redirected copy."))
         .when(~no((e("source_hash") == F.col("source_hash")) & (F.sha2(node, 256) == F.col("source_hash"))), say("B13", "Source drift: expected ", F.substring(F.coalesce("source_hash", F.lit("")), 1, 8), ", got ", F.substring(F.coalesce(e("source_hash"), F.lit("")), 1, 8), ". Re-export and re-review."))
         .when(F.size(seen) > 0, say("PACKET", "Reviewer-visible fields differ from the fresh export (", F.array_join(seen, ", "), "). Re-export and re-review."))
@@ -84,10 +122,32 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     checked = edits.withColumn("_before", F.lag("edit.end").over(by_place))
     held = checked.groupBy("file").agg(F.sort_array(F.collect_list("edit"), asc=False).alias("_edits"), F.bool_or(F.coalesce(F.col("edit.start") < F.col("_before"), F.lit(False))).alias("_overlap"))
     met = held.join(files, "file", "left")
-    at = lambda e: F.substr("content", e["start"] + 1, e["end"] - e["start"])
-    moved = F.get(F.filter("_edits", lambda e: ~F.coalesce(at(e) == e["expected"], F.lit(False))), F.lit(0))["id"]
-    problem = F.when(F.col("content").isNull(), F.concat(F.lit("Missing source file "), "file", F.lit("."))).when(F.col("_overlap"), F.concat(F.lit("Overlapping replacements in "), "file", F.lit("."))).when(moved.isNotNull(), F.concat(moved, F.lit(" changed between validation and application.")))
-    changed = F.aggregate("_edits", F.col("content"), lambda t, e: F.concat(F.substr(t, F.lit(1), e["start"]), e["replacement"], F.substr(t, e["end"] + 1)))
-    # In two steps: in one, the problem would be looked for in the changed text, as both have one name.
-    judged = met.withColumn("problem", problem)
-    return judged.select("file", F.when(F.col("problem").isNull(), changed).otherwise(F.col("content")).alias("content"), "problem")
+    return met.select("file", "content", "_edits", "_overlap").mapInArrow(_edited, "file string, content string, problem string")
+
+
+def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with their edits, the last first: the content that they leave, and what is wrong."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            file, content, overlap = (batch.column(c)[i].as_py() for c in ("file", "content", "_overlap"))
+            edits = list(zip(*(c.to_pylist() for c in batch.column("_edits")[i].values.flatten()), strict=True))
+            moved = None if content is None else next((e[4] for e in edits if e[2] is None or cut(content, e[0], e[1]) != e[2]), None)
+            problem = f"Missing source file {file}." if content is None else f"Overlapping replacements in {file}." if overlap else f"{moved} changed between validation and application." if moved is not None else None
+            if problem is None:
+                content = _replaced(content, edits)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (file, content, problem)], names=["file", "content", "problem"])
+
+
+def _replaced(content: str, edits: list[tuple]) -> str | None:
+    """The content after edits (start, end, expected, replacement, id) that don't overlap and come from the end; null if a part is."""
+    if any(x is None for e in edits for x in (e[0], e[1], e[3])):
+        return None
+    if any(not 0 <= e[0] <= e[1] for e in edits):
+        for start, end, _, new, _ in edits:
+            content = content[: max(start, 0)] + new + cut(content, end, end + len(content) + 1)
+        return content
+    parts, at = [], len(content)
+    for start, end, _, new, _ in edits:
+        parts += [content[end:at], new]
+        at = min(at, start)
+    return "".join(reversed([*parts, content[:at]]))

@@ -117,3 +117,15 @@ def test_edits_must_find_what_they_expect(spark):
     df = spark.createDataFrame(edits, f"file string, edit {text_import.EDIT}")
     got = {r["file"]: (r["content"], r["problem"]) for r in text_import.apply_edits(files, df).collect()}
     assert got == {"a": ("zz1XY456789", None), "b": ("0123456789", "k changed between validation and application."), "c": ("0123456789", "Overlapping replacements in c."), "d": (None, "Missing source file d.")}
+
+
+def test_spans_are_cut_once_as_substr_cuts_them(spark):
+    """Entries' spans come without their file's content, and as Spark's substr gives them, past the ends too."""
+    text = "a血b😀c" * 3
+    spans = [(a, b) for a in (*range(-20, 20, 3), None) for b in (*range(-20, 20, 4), None)]
+    files = spark.createDataFrame([("f", text), ("none", None)], "file string, content string")
+    entries = spark.createDataFrame([(f, *s, *s) for s in spans for f in ("f", "none", "lost")], "file string, start int, end int, current_start int, current_end int")
+    got = {(r["_start"], r["_end"]): (r["_node"], r["_current"]) for r in text_import.spans_of(entries, files).collect()}
+    plain = spark.createDataFrame([(text, *s) for s in spans], "t string, a int, b int").select("a", "b", F.substr("t", F.col("a") + 1, F.col("b") - F.col("a")).alias("s"))
+    assert got == {(r["a"], r["b"]): (r["s"], r["s"]) for r in plain.collect()}
+    assert "content" not in text_import.spans_of(entries, files).columns
