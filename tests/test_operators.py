@@ -176,3 +176,19 @@ def test_pages_side_by_side_equal_pages_alone(spark):
     plan = geometry.verify_rows(claims, df)
     assert "Pandas" not in plan._jdf.queryExecution().toString()
     assert sorted(map(tuple, plan.collect()), key=str) == sorted([(-1, 0, None, "unverifiable"), *((p, 4, "value", "not-on-page") for p in range(300) if p % 7 > 3)], key=str)
+
+
+def test_images_of_several_shapes_in_one_batch(spark):
+    """Each shape is one array; an image is measured as it is alone."""
+    rng = np.random.default_rng(8)
+    shapes = [(0, 0), (2, 9), (3, 3), (8, 8), (5, 4)]
+    images = [(i, *shapes[i % 5], rng.integers(0, 256, shapes[i % 5][0] * shapes[i % 5][1]).astype(float)) for i in range(60)]
+    df = spark.createDataFrame([(i, w, h, p.tolist()) for i, w, h, p in images], "id int, width int, height int, pixels array<double>").coalesce(1)
+    got = {r["id"]: (r["blur"], r["ink"]) for r in quality.assess(df).collect()}
+    for i, w, h, p in images:
+        alone = (float(quality._stencil_variances(p[None], w, h)[0]), float(quality._inks(p[None])[0]))
+        assert np.allclose(got[i], alone)
+        if len(p):
+            tones = np.bincount(p.astype(int), minlength=256)
+            paper = next(t for t in range(256) if tones[: t + 1].sum() >= 0.95 * len(p))
+            assert got[i][1] == sum(x < paper * 0.75 for x in p) / len(p)
