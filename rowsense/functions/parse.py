@@ -71,9 +71,19 @@ def parse_range(x: Column) -> Column:
     return bind(no_space(x), lambda bare: bind(readings_of(bare), lambda two: range_of(bare, two)))
 
 
-def with_ranges(rows: DataFrame, printed: str, name: str = "of") -> DataFrame:
-    """rows with parse_range(printed) as `name`, each distinct text parsed once: reports print few of them. Null stays null."""
-    texts = rows.select(F.col(printed).alias("_text")).filter("_text is not null").distinct()
+#: Distinct texts up to which every task gets all of them.
+FEW = 50_000
+
+
+def few(texts: DataFrame) -> DataFrame:
+    """Distinct texts for a join: few are sent to every task, so that rows stay where they are; many meet rows by their hashes."""
+    return F.broadcast(texts) if texts.limit(FEW + 1).count() <= FEW else texts
+
+
+def with_ranges(rows: DataFrame, printed: str, name: str = "of", among: DataFrame | None = None) -> DataFrame:
+    """rows with parse_range(printed) as `name`, each distinct text parsed once: reports print few of them. Null stays null.
+    among: rows that have all texts of `rows`, if these are cheaper to read."""
+    texts = few((rows if among is None else among).select(F.col(printed).alias("_text")).filter("_text is not null").distinct())
     bare = texts.select("_text", no_space(F.col("_text")).alias("_bare"))
     two = bare.select("_text", "_bare", readings_of(F.col("_bare")).alias("_two"))
     of = two.select("_text", range_of(F.col("_bare"), F.col("_two")).alias(name))

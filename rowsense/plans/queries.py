@@ -154,15 +154,23 @@ def bounds_sex_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag", intervals.classify(F.col("l_quantity"), low, high, F.lit(3), F.lit(45)).alias("classification")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows of lineitem in a part that meets parts.
+JOINED_A_PART = 1_000_000
+
+
 def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with what the rules ask for."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     d = lambda x: F.lit(float(x))
     ours = F.struct((F.col("p_size") % 10 + 5).cast("double").alias("low"), (F.col("p_size") % 10 + 30).cast("double").alias("high"), F.lit(False).alias("low_open"), F.lit(False).alias("high_open"))
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", F.expr(VALUE).alias("text"), F.expr(RANGE).alias("range_text"), F.expr(UNIT).alias("unit")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    printed = lambda of: of.select("*", F.expr(VALUE).alias("text"), F.expr(RANGE).alias("range_text"), F.expr(UNIT).alias("unit"))
+    # What is printed is made after the join, which so moves keys and numbers alone, in parts that don't grow with the table.
+    parted = lines.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // JOINED_A_PART)), "l_partkey")
+    rows = printed(parted.join(parts, F.col("l_partkey") == F.col("p_partkey")))
     # Values print with few endings, so they too are parsed once a text.
-    texts = rows.select("text").distinct().select(F.col("text").alias("_t"), parse.parse_scalar(F.col("text")).alias("value"))
-    rows = parse.with_ranges(rows, "range_text", "printed").join(texts, F.col("text") == F.col("_t"), "left").drop("_t")
+    texts = parse.few(printed(lines).select(F.col("text").alias("_t")).distinct()).select("_t", parse.parse_scalar(F.col("_t")).alias("value"))
+    rows = parse.with_ranges(rows, "range_text", "printed", printed(lines)).join(texts, F.col("text") == F.col("_t"), "left").drop("_t")
     allowed = F.when(F.col("l_partkey") % 7 == 0, F.array(F.lit("IU/L"))).otherwise(F.array(F.lit("mg/dl"), F.lit("umol/l"), F.lit("x10^9/l")))
     negative = F.when(F.col("l_partkey") % 3 == 0, -F.col("value")).otherwise(F.col("value"))
     entries = rows.select(

@@ -92,3 +92,15 @@ def test_reconcile(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, t string")
     b = spark.createDataFrame([(2, "z"), (3, "x")], "k int, t string")
     assert {tuple(r) for r in reconcile.drift(a, b, "k", "t").collect()} == {(1, "missing"), (2, "drift"), (3, "orphan")}
+
+
+def test_few_texts_travel_to_rows_and_many_meet_them(spark, monkeypatch):
+    """Ranges by text give the same rows either way; few texts don't move the rows."""
+    rows = spark.range(200).select("id", F.concat((F.col("id") % 9).cast("string"), F.lit("-20")).alias("r"))
+    wanted = {i: (float(i % 9), 20.0) for i in range(200)}
+    for most, moved in ((50, False), (3, True)):
+        monkeypatch.setattr(parse, "FEW", most)
+        found = parse.with_ranges(rows, "r", among=rows)
+        assert {r["id"]: (r["of"]["low"], r["of"]["high"]) for r in found.collect()} == wanted
+        with_hint = "strategy=broadcast" in found._jdf.queryExecution().analyzed().toString()
+        assert with_hint != moved
