@@ -152,3 +152,15 @@ def test_verdicts_of_reviewers_keep_types(spark):
     got = reconcile.merge_verdicts(cases, said, "id", ["gold"], ["should_abstain", "high_stakes"], "reason", ["ambiguous", "ocr"], "should_abstain")
     assert got.schema["should_abstain"].dataType.simpleString() == "boolean" and got.columns == cases.columns
     assert sorted(map(tuple, got.collect())) == [(1, " new ", False, False, None, "x"), (2, "g", True, True, "ambiguous", "x"), (3, "g", False, True, None, "x"), (4, "g", True, True, "ambiguous", "x")]
+
+
+def test_entities_of_clauses_come_in_batches(spark, monkeypatch):
+    """Entities travel by batches with their text's columns, not clause by clause through a table function."""
+    monkeypatch.setattr(clause_entities, "ROWS", 3)
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "no mass, take aspirin 5 mg. Stop warfarin" if i % 2 else "fine") for i in range(40)], "id long, text string").coalesce(1)
+    found = clause_entities.clause_entities(df)
+    assert "PythonUDTF" not in found._jdf.queryExecution().toString()
+    got = found.select("id", "clause", "place", "type", "raw").collect()
+    assert {r["id"] for r in got} == {i for i in range(40) if i % 5 and i % 2}
+    assert sorted((r["clause"], r["type"], r["raw"]) for r in got if r["id"] == 1) == sorted((r["clause"], r["type"], r["raw"]) for r in got if r["id"] == 39)
+    assert ("drug", "aspirin") in {(r["type"], r["raw"]) for r in got} and ("imperative", "Stop") in {(r["type"], r["raw"]) for r in got}
