@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,10 +87,11 @@ def groups_met(text: Column, categories: Iterable[tuple] = CATEGORIES) -> Column
     """A bitmap of the groups of terms that a plain text (functions.text.plain) holds."""
     key = tuple(categories)
 
-    @F.pandas_udf("long")
-    def find(texts: pd.Series) -> pd.Series:
+    # One text of a batch at a time becomes a Python string.
+    @F.arrow_udf("long")
+    def find(texts: pa.Array) -> pa.Array:
         automaton = known(key)[1]
-        return pd.Series([bits_in(t, automaton) if t else 0 for t in texts], dtype="int64")
+        return pa.array((bits_in(t, automaton) if t else 0 for t in (x.as_py() for x in texts)), pa.int64())
 
     return find(text)
 

@@ -58,3 +58,13 @@ def test_categories_equal_a_plain_search(spark):
         shown = {"I want\n  to die": "I want to die", "ｓｔｒｏｋｅ": "stroke"}.get(t, t or "")
         assert got[i] == [name for name, _, zh, en in emergency.CATEGORIES if met(shown, zh, False) or met(shown, en, True)], t
     assert emergency.suppressing() == ["self-harm", "overdose-poisoning"]
+
+
+def test_a_text_at_a_time_becomes_a_string(spark):
+    """Terms are looked for in Arrow values, not in a batch of Python strings; null and empty texts have none."""
+    from pyspark.util import PythonEvalType
+
+    df = spark.createDataFrame([(1, "I have chest pain"), (2, None), (3, ""), (4, "想死")], "id int, text string")
+    found = df.select("id", emergency.matched(F.col("text")).alias("c"))
+    assert f"], {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["c"] for r in found.collect()} == {1: ["cardiac"], 2: [], 3: [], 4: ["self-harm"]}
