@@ -11,7 +11,8 @@
 4. A source's permuted draws go to the shards in turn by the leaves' quotas, so shards get disjoint draws: draws join the
    shards' stretches by source and range. Within a shard they are sorted by a hash.
 
-Words are counted once: documents are written with their sizes and a number of their own. The line's prefix sums use buckets
+Words are counted once: documents are written with their sizes and a number of their own; the mix's texts stay in the table
+they come from, which is read again, and meet their draws by a hash of id and text, unless two rows have one. The line's prefix sums use buckets
 of about the square root of a source's documents, so a source that holds most rows is many keys. A node of the tree is a row
 with a number per source; the shards' stretches are a row per source and shard.
 
@@ -133,10 +134,17 @@ def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     return docs.select(doc.alias("doc"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(whole(text))).alias("h"))
 
 
-def drawn(rows: DataFrame, block_words: int = 1024, shard_blocks: int = 4096, seed: int = 17, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """sized()'s doc and size, with source_size, target and pieces: what the mix takes of the document, each a run of its
-    words for one shard; order_key orders a shard."""
-    base = written(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
+NONE = "cast(array() as array<struct<pass:bigint,word_start:bigint,n_words:bigint,shard:bigint,order_key:bigint>>)"
+
+
+def _of() -> Column:
+    """What joins rows to their source's: null is a source."""
+    return F.struct(F.col("source").alias("source")).alias("of")
+
+
+def draws(base: DataFrame, block_words: int = 1024, shard_blocks: int = 4096, seed: int = 17, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+    """The sources' plan (of, source_size, target), and row, size, pieces of the rows that the mix draws. base: a written table of
+    row, source, size, h."""
     long = lambda x: F.lit(x).cast("long")
     b = long(block_words)
     plan = source_targets(base.select("source", "size"), weights, share, cap)
@@ -149,8 +157,8 @@ def drawn(rows: DataFrame, block_words: int = 1024, shard_blocks: int = 4096, se
         .withColumn("buckets", F.ceil(F.sqrt("n_docs")).cast("long"))
     )
     plan = written(plan, "targets")
-    draws = plan.agg(F.sum("draws")).first()[0] or 0
-    levels = max(0, (max(1, -(-draws // shard_blocks)) - 1).bit_length())
+    n = plan.agg(F.sum("draws")).first()[0] or 0
+    levels = max(0, (max(1, -(-n // shard_blocks)) - 1).bit_length())
     # A shard's stretch of a source's draws, with the cells of the source's mean stretch that it touches.
     mean = F.greatest(F.ceil(F.col("draws") / (1 << levels)), long(1)).cast("long")
     quotas = splitting_tree(plan.select("rank", "draws"), levels, seed).join(plan.select("rank", mean.alias("mean")), "rank")
@@ -159,9 +167,8 @@ def drawn(rows: DataFrame, block_words: int = 1024, shard_blocks: int = 4096, se
     cells = F.sequence(F.floor(F.col("since") / F.col("mean")).cast("long"), F.floor((F.col("until") - 1) / F.col("mean")).cast("long"))
     stretches = written(stretches.select("rank", "shard", "since", "until", F.explode(cells).alias("cell")), "stretches")
 
-    key = F.struct(F.col("source").alias("source"))
-    plan = plan.withColumn("mean", mean).withColumn("of", key)
-    thin = base.select("row", "size", "h", key.alias("of")).join(plan.select("of", "rank", "buckets", "passes", "rest", "full", "blocks", "mean"), "of").drop("of").withColumn("bucket", F.pmod("h", F.col("buckets")))
+    plan = plan.withColumn("mean", mean).withColumn("of", _of())
+    thin = base.select("row", "size", "h", _of()).join(plan.select("of", "rank", "buckets", "passes", "rest", "full", "blocks", "mean"), "of").drop("of").withColumn("bucket", F.pmod("h", F.col("buckets")))
     # Running sums by bucket, then within buckets: two narrow steps in place of one window over a source.
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = thin.groupBy("rank", "bucket").agg(F.sum("size").alias("all")).select("rank", "bucket", F.coalesce(F.sum("all").over(before), long(0)).alias("start"))
@@ -177,14 +184,30 @@ def drawn(rows: DataFrame, block_words: int = 1024, shard_blocks: int = 4096, se
     runs = runs.withColumn("position", F.col("pass") * F.col("blocks") + F.col("placed")).withColumn("word_start", first - F.col("at")).withColumn("cell", F.floor(F.col("position") / F.col("mean")).cast("long"))
     met = runs.join(stretches, ["rank", "cell"]).filter("position >= since and position < until")
     piece = F.struct("pass", "word_start", "n_words", "shard", F.xxhash64(F.lit(seed), F.col("rank"), F.col("position")).alias("order_key"))
-    pieces = met.groupBy("row").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    none = F.expr("cast(array() as array<struct<pass:bigint,word_start:bigint,n_words:bigint,shard:bigint,order_key:bigint>>)")
-    out = base.withColumn("of", key).join(plan.select("of", "source_size", "target"), "of").join(pieces, "row", "left")
-    return out.select("doc", "size", "source_size", "target", F.coalesce("pieces", none).alias("pieces"))
+    return plan, met.groupBy("row").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+
+
+def drawn(rows: DataFrame, **how) -> DataFrame:
+    """sized()'s doc and size, with source_size, target and pieces: what the mix takes of the document, each a run of its
+    words for one shard; order_key orders a shard. how: as draws() has it."""
+    base = written(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
+    plan, pieces = draws(base.select("row", "source", "size", "h"), **how)
+    out = base.withColumn("of", _of()).join(plan.select("of", "source_size", "target"), "of").join(pieces.drop("size"), "row", "left")
+    return out.select("doc", "size", "source_size", "target", F.coalesce("pieces", F.expr(NONE)).alias("pieces"))
+
+
+def drawn_texts(rows: DataFrame, body: Column, **how) -> DataFrame:
+    """doc, size, pieces of sized()'s rows that the mix draws. Texts aren't written: rows are read again, and their draws come by h."""
+    lines = written(rows.select("source", "size", "h"), "lines")
+    if not lines.filter("size > 0").groupBy("h").count().filter("count > 1").isEmpty():
+        # Rows of one hash are told apart by a number, which holds in a written table alone.
+        return drawn(rows, **how).select("doc", "size", "pieces")
+    pieces = draws(lines.withColumn("row", F.col("h")), **how)[1]
+    return rows.select("doc", "h").filter(body.rlike(WORD)).join(pieces, F.col("h") == F.col("row")).select("doc", "size", "pieces")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None, **how) -> DataFrame:
-    """docs' columns (those to carry) with size, source_size, target and pieces, for drawn()'s parameters."""
+    """docs' columns (those to carry) with size, source_size, target and pieces, for draws()'s parameters."""
     own = ("size", "source_size", "target", "pieces")
     rows = drawn(sized(docs, text, source, doc_id, carry), **how)
     keep = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in own and (carry is None or c in carry)]
@@ -194,8 +217,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 def mixed_texts(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
     """The mix itself: docs' columns and shard, order_key, a row per run of a document's words that one shard gets in one
     pass, with those words as its text, dealt to shards and in each shard's order. Documents without words are not in it."""
-    rows = drawn(sized(docs, text, source, doc_id), **how)
-    empty = F.expr("cast(array() as array<struct<pass:bigint,word_start:bigint,n_words:bigint,shard:bigint,order_key:bigint>>)")
+    body = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
+    rows = drawn_texts(sized(docs, text, source, doc_id), body, **how)
 
     def longer(a: Column, x: Column) -> Column:
         """Neighbouring runs of one pass and shard as one."""
@@ -204,14 +227,13 @@ def mixed_texts(docs: DataFrame, text: str = "text", source: str = "source", doc
         grown = F.struct(last["pass"].alias("pass"), last["word_start"].alias("word_start"), (last["n_words"] + x["n_words"]).alias("n_words"), last["shard"].alias("shard"), last["order_key"].alias("order_key"))
         return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(grown))).otherwise(F.concat(a, F.array(x)))
 
-    body = F.coalesce(F.col(f"doc.`{text}`"), F.lit(""))
     pattern = r"(?s)([\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"
     # A text that is cut is read into words once; runs leave with their own words alone.
     joined = lambda ws, x: F.array_join(F.slice(ws, (x["word_start"] + 1).cast("int"), x["n_words"].cast("int")), "")
     placed = lambda x, part: F.struct(x["shard"].alias("shard"), x["order_key"].alias("order_key"), part.alias("text"))
     cut = F.exists("runs", lambda x: x["n_words"] < F.col("size"))
     parts = F.when(cut, _bound(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda ws: F.transform("runs", lambda x: placed(x, joined(ws, x))))).otherwise(F.transform("runs", lambda x: placed(x, body)))
-    rows = rows.select("doc", "size", body.alias("body"), F.aggregate("pieces", empty, longer).alias("runs")).select("doc", F.explode(parts).alias("run"))
+    rows = rows.select("doc", "size", body.alias("body"), F.aggregate("pieces", F.expr(NONE), longer).alias("runs")).select("doc", F.explode(parts).alias("run"))
     keep = [F.col("run.text").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "order_key")]
     out = rows.select(*keep, F.col("run.shard").alias("shard"), F.col("run.order_key").alias("order_key"))
     return out.repartition("shard").sortWithinPartitions("shard", "order_key")

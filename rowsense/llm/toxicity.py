@@ -5,7 +5,8 @@ r"""Toxicity by weak supervision.
    lexicon words, patterns (address of a reader next to a lexicon word, shouting, runs of marks) and the absence of any
    hit. A voter says 1 (toxic), 0 (clean) or -1 (nothing).
 2. All documents' vote patterns are counted. A generative label model is fitted to the counts by expectation
-   maximisation: a class prior, and for each voter the chance of each vote given the class. Pairs of voters whose votes
+   maximisation: a class prior, and for each voter the chance of each vote given the class. The labelled sample's patterns
+   count with their labels, scaled to the weight of all documents, so the classes can't drift to others that votes form. Pairs of voters whose votes
    still depend on each other given the class get a weight: a voter's evidence is divided by one plus the sum of its
    partial correlations, so voters that repeat each other aren't counted in full.
 3. A linear classifier (logistic, on counts of lexicon words and on votes) is trained on the model's posteriors over the
@@ -176,15 +177,17 @@ def best_cut(density: np.ndarray, toxic: np.ndarray) -> float:
 class LabelModel:
     """The generative model: prior, chance of each vote given the class, and weights against dependence."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> None:
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, marked: np.ndarray | None = None, rounds: int = 60) -> None:
+        """marked: for each pattern, how many labelled rows are clean and toxic."""
         n, self.m = counts.sum(), patterns.shape[1]
+        marked = np.zeros((len(counts), 2)) if marked is None or not marked.sum() else marked * (n / marked.sum())
         onehot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, voter, vote
         # Begin with the majority of the votes, each voter taken to be better than chance.
         lean = (patterns == 1).sum(1) - (patterns == 0).sum(1)
         post = 1 / (1 + np.exp(-2.0 * lean))
         for _ in range(rounds):
-            w1, w0 = counts * post, counts * (1 - post)
-            self.prior = (w1.sum() + 1) / (n + 2)
+            w1, w0 = counts * post + marked[:, 1], counts * (1 - post) + marked[:, 0]
+            self.prior = (w1.sum() + 1) / (n + marked.sum() + 2)
             self.given = np.log(np.stack([(np.einsum("p,pmv->mv", w, onehot) + 0.1) / (w.sum() + 0.3) for w in (w0, w1)]))
             # Of votes beyond what the class explains: correlations of residuals over all patterns.
             expected = post[:, None] * np.exp(self.given[1, :, 2]) + (1 - post)[:, None] * np.exp(self.given[0, :, 2])
@@ -244,18 +247,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Voter
     counted = docs.select(whole("text").alias("body")).mapInArrow(votes, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
     if not counted:
         return voters, np.zeros(voters.size())
-    model = LabelModel(np.array([r["votes"] for r in counted]), np.array([float(r["n"]) for r in counted]))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             looked = [voters.look(b) for b in batch.column("body").to_pylist()]
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([list(v) for v, _, _ in looked], ints), pa.array([list(h) for _, h, _ in looked], ints), pa.array([list(h.values()) for _, h, _ in looked], ints), pa.array([n if h else 0 for _, h, n in looked], pa.int32())], names=["votes", "at", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([list(v) for v, _, _ in looked], ints), pa.array([list(h) for _, h, _ in looked], ints), pa.array([list(h.values()) for _, h, _ in looked], ints), pa.array([n if h else 0 for _, h, n in looked], pa.int32()), batch.column("toxic").cast(pa.int32())], names=["votes", "at", "n", "words", "toxic"])
 
     # The bounded sample's votes and hits; rows without hits are few distinct ones, with counts.
-    got = rows.select("body").mapInArrow(seen, "votes array<int>, at array<int>, n array<int>, words int").groupBy("votes", "at", "n", "words").count().orderBy("votes", "at", "n", "words").collect()
+    keys = ["votes", "at", "n", "words", "toxic"]
+    got = rows.select("body", "toxic").mapInArrow(seen, "votes array<int>, at array<int>, n array<int>, words int, toxic int").groupBy(*keys).count().orderBy(*keys).collect()
     if not got:
         return voters, np.zeros(voters.size())
+    place, marked = {tuple(r["votes"]): i for i, r in enumerate(counted)}, np.zeros((len(counted), 2))
+    for r in got:
+        if (i := place.get(tuple(r["votes"]))) is not None:
+            marked[i, int(r["toxic"] > 0)] += r["count"]
+    model = LabelModel(np.array([r["votes"] for r in counted]), np.array([float(r["n"]) for r in counted]), marked)
     post, many = model.of(np.array([r["votes"] for r in got])), np.array([r["count"] for r in got], float)
     x = np.array([voters.features(tuple(r["votes"]), dict(zip(r["at"], r["n"], strict=True)), r["words"]) for r in got])
     return voters, train_linear(x, post, many)

@@ -126,6 +126,25 @@ def test_mixing_conserves_quotas(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_leaves_texts_where_they_are(spark, monkeypatch):
+    """Only rows that a hash can't tell apart are written with their texts; what is mixed is the same."""
+    tables, written = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, label: tables.append(df.columns) or written(df, label))
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(i * 7 % 50)), "en", "ab"[i % 2], 0) for i in range(60)]
+    mixed = lambda of: mixing.mixed_texts(spark.createDataFrame(of, DOCS), block_words=16, shard_blocks=8).collect()
+    got = mixed(rows)
+    assert tables and not any({"doc", "text"} & set(c) for c in tables)
+    docs = mixing.sized(spark.createDataFrame(rows, DOCS))
+    plain = mixing.drawn(docs, block_words=16, shard_blocks=8).select("doc.doc_id", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["n_words"]).alias("n")).filter("n > 0").collect()
+    taken: dict = {}
+    for r in got:
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(r["text"].split())
+    assert taken == {r["doc_id"]: r["n"] for r in plain}
+    tables.clear()
+    twice = mixed([*rows, *rows[:20], (None, "", "en", "a", 0), (None, "", "en", "a", 0)])
+    assert any("doc" in c for c in tables) and sum(len(r["text"].split()) for r in twice) == round(1.5 * sum(len(x[1].split()) for x in [*rows, *rows[:20]]))
+
+
 def test_mixing_against_the_line_of_words(spark):
     """Each pass takes each word of a source once at most, whole passes all of them; shards get the tree's quotas."""
     rows = [(i, " ".join(f"w{i}_{j}" for j in range(i * 7 % 50)), "en", ("a", "b", None)[i % 3 if i % 2 else 0], 0) for i in range(200)]
@@ -181,6 +200,15 @@ def test_packing_holds_every_token_once(spark):
     assert packing.pack(empty(spark), TOKENIZER).count() == 0
 
 
+def test_label_model_keeps_to_the_labels():
+    """Votes that agree with each other on clean rows don't become the class, whatever their number."""
+    patterns = np.array([[1, 1, -1, -1], [-1, -1, 1, 1], [0, 0, 0, 0]])
+    counts, marked = np.array([1500.0, 1000.0, 7500.0]), np.array([[140, 5], [3, 100], [740, 2]])
+    assert (toxicity.LabelModel(patterns, counts, marked).of(patterns) >= 0.5).tolist() == [False, True, False]
+    free = toxicity.LabelModel(patterns, counts)
+    assert np.allclose(free.of(patterns), toxicity.LabelModel(patterns, counts, np.zeros((3, 2))).of(patterns))
+
+
 def test_toxicity(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd_docs(spark).withColumn("score", F.lit("clash")), labels).collect()
