@@ -1,9 +1,9 @@
 """Floors under answers to health questions: which are shown, shown under a banner, or blocked.
 
 An answer is blocked as a whole: where the question or the answer speaks of what the model must not answer, where the answer
-is out of scope, is written in Tibetan, or gives doses. Texts become rows, their clauses rows of those; a clause is read in both
-languages, once as the commas cut it and once over commas. Equal clauses are read once; what is found goes back to answers as
-one aggregate, and one ordered decision takes it.
+is out of scope, is written in Tibetan, or gives doses. Texts become rows, and equal texts are read once: a text's clauses are read
+in both languages, once as the commas cut them and once over commas. What is found goes back to answers by the text's hash, as one
+aggregate, and one ordered decision takes it.
 
 Defined results: null texts and null arrays say nothing; a null flag is false; answers with equal ids are one answer each, told apart
 by all they say; further columns stay."""
@@ -87,31 +87,39 @@ def clauses_of(text: Column) -> Column:
     return F.array_union(entities.clauses(text), entities.clauses(F.translate(text, ",，", "  ")))
 
 
-@F.pandas_udf(ArrayType(StringType()))
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
 def stated(clauses: pd.Series) -> pd.Series:
-    """Kinds of entities that a clause states in either language."""
+    """For each of a text's clauses, kinds of entities that it states in either language."""
     reader = standard()
-    return pd.Series([sorted({e["type"] for lang in ("en", "zh") for e in reader.read(c, lang)}) if c else [] for c in clauses])
+    return pd.Series([[sorted({e["type"] for lang in ("en", "zh") for e in reader.read(c, lang)}) for c in of] for of in clauses])
 
 
 def gives_dose(clause: Column, kinds: Column) -> Column:
-    """Whether a clause says how much, how often or how long to take a medicine, or to take one at all. kinds: stated()."""
+    """Whether a clause says how much, how often or how long to take a medicine, or to take one at all. kinds: stated()'s of it."""
     is_ = lambda k: F.array_contains(kinds, k)
-    medicine = is_("drug") | says(clause, REFERENTS)
     form = says(clause, f"{A}(?:{FORM_NAMES}){Z}|{ZH_FORM_NAMES}")
     taking = says(clause, f"{ZH_TAKING}|{A}(?:{EN_TAKING}){Z}")
     counted = is_("number") | says(clause, f"{A}{QUANTITY}{Z}")
     lasting = says(clause, f"{A}(?:{EN_DURATION}){Z}|{ZH_DURATION}")
     often = says(clause, f"{CONCEPT_TERMS}|{CURATED}|{A}(?:{EN_SCHEDULE}){Z}|{ZH_SCHEDULE}")
-    return (
-        is_("dosage")
-        | is_("imperative")
-        | says(clause, AMOUNTS)
-        | (medicine & counted)
-        | ((medicine | taking) & (lasting | often))
-        | (says(clause, STRENGTH) & (medicine | taking | form))
-        | ((medicine | form) & taking)
-    )
+
+    def together(of: Column) -> Column:
+        medicine, form, taking = (of[c] for c in ("medicine", "form", "taking"))
+        return ((medicine | form) & taking) | (medicine & counted) | ((medicine | taking) & (lasting | often)) | (says(clause, STRENGTH) & (medicine | taking | form))
+
+    # What is asked again is matched once.
+    asked = F.struct((is_("drug") | says(clause, REFERENTS)).alias("medicine"), form.alias("form"), taking.alias("taking"))
+    return is_("dosage") | is_("imperative") | says(clause, AMOUNTS) | F.exists(F.array(asked), together)
+
+
+def judged(texts: DataFrame) -> DataFrame:
+    """key, categories, tibetan and dosing of rows of key, text and own: whether it is an answer's. A question's doses aren't read."""
+    own = F.col("own")
+    read = texts.select("key", "own", plain(F.col("text")).alias("plain"))
+    read = read.withColumn("clauses", F.when(own, clauses_of(F.col("plain"))).otherwise(F.array().cast("array<string>")))
+    read = read.select("key", "own", "plain", "clauses", stated(F.col("clauses")).alias("kinds"), emergency.groups_met(F.col("plain")).alias("met"))
+    dosing = F.exists(F.arrays_zip(F.col("clauses").alias("clause"), F.col("kinds").alias("kinds")), lambda x: gives_dose(x["clause"], x["kinds"]))
+    return read.select("key", emergency.categories_of(F.col("met")).alias("categories"), (own & F.col("plain").rlike(TIBETAN)).alias("tibetan"), (own & (says(F.col("plain"), AMOUNTS) | dosing)).alias("dosing"))
 
 
 def floors(answers: DataFrame, question: str = "question", texts: str = "texts", detected: str = "detected", out_of_scope: str = "out_of_scope") -> DataFrame:
@@ -123,28 +131,31 @@ def floors(answers: DataFrame, question: str = "question", texts: str = "texts",
     asked = F.coalesce(F.col(question), F.lit(""))
     keyed = answers.select("*", F.sha2(F.to_json(F.struct(asked.alias("q"), body.alias("t"))), 256).alias("_said"))
     said = keyed.select("_said", asked.alias("q"), body.alias("t")).dropDuplicates(["_said"])
-    rows = said.select("_said", F.posexplode(F.concat(F.array("q"), "t")).alias("at", "text")).withColumn("plain", plain(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("categories", emergency.categories_of(emergency.groups_met(F.col("plain"))))
-    never = F.array(*(F.lit(c) for c in emergency.suppressing()))
-    own = F.col("at") > 0
-    told = rows.groupBy("_said").agg(
-        F.bool_or(~own & F.arrays_overlap("categories", never)).alias("asked_never"),
-        F.bool_or(own & F.arrays_overlap("categories", never)).alias("told_never"),
-        F.bool_or(F.size("categories") > 0).alias("urgent"),
-        F.bool_or(own & F.col("plain").rlike(TIBETAN)).alias("tibetan"),
-        F.bool_or(own & says(F.col("plain"), AMOUNTS)).alias("amount"),
+    spoken = said.select("_said", F.posexplode(F.concat(F.array("q"), "t")).alias("at", "text")).select("_said", (F.col("at") > 0).alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    spoken = spoken.withColumn("key", F.unhex(F.sha2("text", 256)))
+    # Of equal texts one is read; the others are rows of their hash alone.
+    found = judged(spoken.groupBy("key").agg(F.first("text").alias("text"), F.bool_or("own").alias("own")))
+    never, own = F.array(*(F.lit(c) for c in emergency.suppressing())), F.col("own")
+    told = (
+        spoken.select("_said", "own", "key")
+        .join(found, "key")
+        .groupBy("_said")
+        .agg(
+            F.bool_or(~own & F.arrays_overlap("categories", never)).alias("asked_never"),
+            F.bool_or(own & F.arrays_overlap("categories", never)).alias("told_never"),
+            F.bool_or(F.size("categories") > 0).alias("urgent"),
+            F.bool_or(own & F.col("tibetan")).alias("tibetan"),
+            F.bool_or(own & F.col("dosing")).alias("dosing"),
+        )
     )
-    clauses = rows.filter(own).select("_said", F.explode(clauses_of(F.col("plain"))).alias("clause"))
-    read = clauses.select("clause").distinct().withColumn("kinds", stated(F.col("clause"))).filter(gives_dose(F.col("clause"), F.col("kinds"))).select("clause")
-    dosing = clauses.join(read, "clause", "left_semi").select("_said").distinct().select(F.col("_said").alias("_dosing"))
-    met = keyed.join(told, "_said", "left").join(dosing, F.col("_said") == F.col("_dosing"), "left")
+    met = keyed.join(told.withColumnRenamed("_said", "_told"), F.col("_said") == F.col("_told"), "left")
     true = lambda c: F.coalesce(c, F.lit(False))
     banner = F.when(true(F.col("told_never")), F.array(F.lit("emergency-self-harm"))).when(true(F.col("urgent")) | true(F.col(detected)), F.array(F.lit("emergency"))).otherwise(F.array().cast("array<string>"))
     refused = (
         F.when(true(F.col("asked_never")), "emergency-only")
         .when(true(F.col(out_of_scope)), "out-of-scope")
         .when(true(F.col("tibetan")), "tibetan-output")
-        .when(true(F.col("amount")) | F.col("_dosing").isNotNull(), "dosing")
+        .when(true(F.col("dosing")), "dosing")
         .when(true(F.col("told_never")), "emergency-only")
     )
     out = met.withColumn("refused", refused).withColumn("banners", F.when(F.col("asked_never"), F.array(F.lit("emergency-self-harm"))).otherwise(banner))

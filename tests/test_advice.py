@@ -32,6 +32,15 @@ def test_floors(spark):
     assert advice.floors(df.limit(0)).count() == 0
 
 
+def test_floors_read_equal_texts_once(spark, monkeypatch):
+    given, judged = [], advice.judged
+    monkeypatch.setattr(advice, "judged", lambda texts: given.append(texts) or judged(texts))
+    rows = [(i, "Take ibuprofen 400 mg." if i % 2 else "How can I sleep?", ["Rest.", f"Drink {i % 3} cups.", None], None, None) for i in range(60)]
+    got = advice.floors(spark.createDataFrame(rows, FORM)).collect()
+    assert len(got) == 60 and {(r["id"] % 3, r["presentation"]) for r in got} == {(0, "normal"), (1, "normal"), (2, "normal")}
+    assert sorted((r["text"], r["own"]) for r in given[0].collect()) == [("", True), *((f"Drink {i} cups.", True) for i in range(3)), ("How can I sleep?", False), ("Rest.", True), ("Take ibuprofen 400 mg.", False)]
+
+
 def met(text, patterns, english):
     """Whether a text holds a pattern, by plain search."""
     low = text.lower().replace("’", "'").replace("‘", "'")
