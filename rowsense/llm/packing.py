@@ -1,7 +1,8 @@
 r"""Lexical retrieval packing: every token of every document lies in exactly one piece of one sequence.
 
-1. Texts become token ids. Words are looked up in a per-worker table that forgets all when it has become large; words it
-   lacks are encoded together. A document's ids end with the end id.
+1. Texts become token ids. Documents side by side are cut into the tokenizer's pieces as one array of code points; each
+   distinct piece is looked up in a per-worker table that forgets all when it has become large; pieces it lacks are encoded
+   together. A document's ids end with the end id.
 2. Documents are dealt to shards of about `shard_docs` documents by a weighted min-hash of their tokens, so texts that share
    rare tokens tend to meet. A min-hash that many documents have is split by a second one; only what is still too large for
    a shard (groups of copies) is split by a hash.
@@ -25,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,26 +34,34 @@ from pyspark.sql import functions as F
 from .common import hold, to_batch, whole, written
 
 WINDOW, END, SHARD_DOCS = 2048, 1, 2048
-#: Words, and parts of words, that a worker remembers; only parts go through the tokenizer.
-WORDS_HELD, PARTS_HELD = 500_000, 500_000
+#: Pieces that a worker remembers; only those it lacks go through the tokenizer.
+PIECES_HELD = 500_000
+#: Texts stand in arrays of about so many bytes, twice as many at most, where each row counts ROW_BYTES more; a longer text
+#: comes alone, and is cut at spaces.
+CHUNK_BYTES, ROW_BYTES = 4 << 20, 1 << 10
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Fixed value: the tokenizer's own way of cutting words, which its file states.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts with these characters or strings go through the tokenizer as a whole.
-ODD = regex.compile(r"[\x1c-\x1f᠎]|<\|")
+ODD = r"[\x1c-\x1f\x{180e}]|<\|"
+#: Stands between texts; no text but odd ones has it.
+BETWEEN = "\x1c"
+#: Classes of code points in the tokenizer's own way of cutting texts, which its file states, and the endings
+#: that it cuts off: 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+SPACE, LETTER, NUMBER, OTHER = range(4)
+CLASSES = (regex.compile(r"\s|\x1c"), SPACE), (regex.compile(r"\p{L}"), LETTER), (regex.compile(r"\p{N}"), NUMBER)
+ENDINGS = "s", "t", "m", "d", "re", "ve", "ll"
 
 
-class WordTable(dict):
-    """Word to number, in the order in which words come; new ones are noted."""
+class PieceTable(dict):
+    """Piece to number, in the order in which pieces come; new ones are noted."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
         return n
 
 
@@ -80,13 +90,27 @@ class Ragged:
         return self.ids[at], lengths
 
 
+def at_spaces(text: str, size: int) -> Iterator[str]:
+    """The text's parts of about so many characters, which end before a space, as no token spans one."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class Encoder:
-    """ids of texts as the tokenizer gives them, by words: no token spans white space or two of its pieces."""
+    """ids of texts as the tokenizer gives them, by its pieces, which no token spans."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.of_pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Pieces are normal and cut already.
+        self.of_pieces.normalizer = normalizers.Sequence([])
+        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         if self.size > 1 << 16:
@@ -94,52 +118,86 @@ class Encoder:
         self.ends = np.zeros(self.size, bool)
         for word, i in vocabulary.items():
             self.ends[i] = word.endswith("</w>")
-        self.words, self.word_ids = WordTable(), Ragged()
-        self.parts, self.part_ids = WordTable(), Ragged()
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
-
-    def learn_parts(self) -> None:
-        new, self.parts.new = self.parts.new, []
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            ids = self.whole(" ".join(some))
+        self.pieces, self.piece_ids = PieceTable(), Ragged()
+        # By code point, filled as they come: its lower case, and that one's class.
+        self.lower, self.kind = np.zeros(0x110000, np.uint32), np.full(0x110000, -1, np.int8)
+
+    def ids(self, text: str, tokenizer: object = None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def learn(self) -> None:
+        new, self.pieces.new = self.pieces.new, []
+        for at in range(0, len(new), 512):
+            some = new[at : at + 512]
+            ids = self.ids(" ".join(some), self.of_pieces)
             last = np.flatnonzero(self.ends[ids]) if len(ids) else np.zeros(0, np.int64)
             if len(last) == len(some) and last[-1] == len(ids) - 1:
-                self.part_ids.add(ids, np.diff(np.r_[-1, last]))
+                self.piece_ids.add(ids, np.diff(np.r_[-1, last]))
             else:
                 for x in some:
-                    one = self.whole(x)
-                    self.part_ids.add(one, np.array([len(one)]))
-
-    def learn_words(self) -> None:
-        new, self.words.new = self.words.new, []
-        if not new:
-            return
-        cut = [[w] if w.isalpha() and w.isascii() else PIECES.findall(w) for w in new]
-        numbers = np.array([self.parts[p] for ps in cut for p in ps], np.int64)
-        self.learn_parts()
-        ids, lengths = self.part_ids.get(numbers)
-        of = np.repeat(np.arange(len(new)), [len(ps) for ps in cut])
-        self.word_ids.add(ids, np.bincount(of, weights=lengths, minlength=len(new)).astype(np.int64))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > WORDS_HELD:
-            self.words, self.word_ids = WordTable(), Ragged()
-        if len(self.parts) > PARTS_HELD:
-            self.parts, self.part_ids = WordTable(), Ragged()
-        rows: list[np.ndarray | None] = []
-        for text in texts:
-            if ODD.search(text):
-                rows.append(None)
-                continue
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            words = text.lower().split()
-            rows.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
-        self.learn_words()
-        return [self.whole(t) if r is None else self.word_ids.get(r)[0] for t, r in zip(texts, rows, strict=True)]
+                    one = self.ids(x, self.of_pieces)
+                    self.piece_ids.add(one, np.array([len(one)]))
+
+    def classes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code points in lower case, and their classes."""
+        kind = self.kind[codes]
+        if (kind < 0).any():
+            for c in np.unique(codes[kind < 0]).tolist():
+                low = chr(c).lower()
+                self.lower[c] = ord(low)
+                self.kind[c] = next((k for of, k in CLASSES if of.fullmatch(low)), OTHER)
+            kind = self.kind[codes]
+        return self.lower[codes], kind
+
+    def cut(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The pieces of all texts in turn, and how many come before each text's end."""
+        # In lower case U+0130 alone is two code points.
+        normal = [t if t.isascii() else unicodedata.normalize("NFC", t).replace("İ", "i̇") for t in texts]
+        codes = np.frombuffer((BETWEEN.join(normal) + BETWEEN * 4).encode("utf-32-le"), "<u4")
+        codes, kind = self.classes(codes)
+        starts = kind != SPACE
+        starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        marks = np.flatnonzero((codes == ord("'")) & starts)
+        for ending in ENDINGS:
+            n = len(ending)
+            found = marks[np.logical_and.reduce([codes[marks + 1 + i] == ord(c) for i, c in enumerate(ending)])]
+            starts[found + 1] = False
+            starts[found + 1 + n] |= kind[found + 1 + n] == LETTER
+        at = np.flatnonzero(starts)
+        before = np.searchsorted(at, np.flatnonzero(codes == ord(BETWEEN))[: len(texts)])
+        keep = kind != SPACE
+        kept, first = codes[keep], np.append(np.flatnonzero(starts[keep]), np.count_nonzero(keep))
+        if len(kept) and kept.max() > 0x7F:
+            width = 1 + (kept > 0x7F).astype(np.int8) + (kept > 0x7FF) + (kept > 0xFFFF)
+            first = np.append(0, np.cumsum(width, dtype=np.int64))[first]
+            body = kept.tobytes().decode("utf-32-le").encode()
+        else:
+            body = kept.astype(np.uint8).tobytes()
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(first.astype(np.int32)), pa.py_buffer(body)), before
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in turn, and the texts' lengths."""
+        if len(texts) != 1 or len(text := texts[0].as_py()) <= CHUNK_BYTES:
+            return self.side_by_side(texts)
+        ids = np.concatenate([self.side_by_side(pa.array([part]))[0] for part in at_spaces(text, CHUNK_BYTES // 4)])
+        return ids, np.array([len(ids)])
+
+    def side_by_side(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.pieces) > PIECES_HELD:
+            self.pieces, self.piece_ids = PieceTable(), Ragged()
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
+        bodies = texts.to_pylist()
+        whole = {i: self.ids(bodies[i]) for i in odd.tolist()}
+        pieces, before = self.cut(["" if i in whole else t for i, t in enumerate(bodies)])
+        distinct = pieces.dictionary_encode()
+        numbers = np.fromiter(map(self.pieces.__getitem__, distinct.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(distinct.dictionary))
+        self.learn()
+        ids, lengths = self.piece_ids.get(numbers[distinct.indices.to_numpy()])
+        ends = np.append(0, np.cumsum(lengths))[before]
+        if not whole:
+            return ids, np.diff(ends, prepend=0)
+        rows = [whole.get(i, x) for i, x in enumerate(np.split(ids, ends[:-1]))]
+        return np.concatenate(rows), np.array([len(x) for x in rows])
 
 
 def encoder(path: str) -> Encoder:
@@ -156,10 +214,24 @@ def hashed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 @lru_cache(2)
-def draws(size: int, salt: int = 77) -> np.ndarray:
-    """For each id a uniform number's exponential draw, divided by the rarity that a merge order tells: the least wins."""
+def draws(size: int, salt: int = 77) -> tuple[np.ndarray, np.ndarray]:
+    """Each id's rank, and the ids by rank, by a uniform number's exponential draw, divided by the rarity that a merge order
+    tells: the least wins."""
     u = (hashed(np.arange(size), salt) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    return -np.log(np.maximum(u, 1e-300)) / np.maximum(np.log2(np.arange(size) + 2.0) - 7.0, 0.05) ** 3
+    order = np.argsort(-np.log(np.maximum(u, 1e-300)) / np.maximum(np.log2(np.arange(size) + 2.0) - 7.0, 0.05) ** 3, kind="stable").astype(np.int32)
+    rank = np.zeros(size, np.int32)
+    rank[order] = np.arange(size)
+    return rank, order
+
+
+def chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in turn, so many at a time that their texts take about CHUNK_BYTES; a longer text comes alone."""
+    size = pc.binary_length(batch.column(text)).to_numpy().astype(np.int64) + ROW_BYTES
+    ends = np.diff(np.cumsum(size) // CHUNK_BYTES) > 0
+    cuts = np.r_[0, np.flatnonzero(ends | (size[:-1] > CHUNK_BYTES)) + 1, batch.num_rows]
+    for at, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if at < end:
+            yield batch.slice(at, end - at)
 
 
 TOKENS = "doc_id long, n_tokens long, ids binary, signature int, second int, checksum long, df binary"
@@ -171,18 +243,21 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, doc_id: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        df, draw, other = np.zeros(enc.size, np.int64), draws(enc.size), draws(enc.size, 78)
+        df, ranks = np.zeros(enc.size, np.int64), (draws(enc.size), draws(enc.size, 78))
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                part = batch.slice(i, 128)
-                lines = []
-                for d, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint16(end)).astype("<u2")
-                    terms = np.unique(ids)
-                    df[terms] += 1
-                    raw = ids.tobytes()
-                    lines.append((d, len(ids), raw, int(terms[np.argmin(draw[terms])]), int(terms[np.argmin(other[terms])]), zlib.crc32(raw), None))
-                yield to_batch(lines, TOKENS_ARROW)
+            for part in chunks(batch, 1):
+                ids, lengths = enc.encode(part.column(1))
+                ids = np.insert(ids, np.cumsum(lengths), end).astype("<u2")
+                lengths = lengths + 1
+                ends = np.cumsum(lengths)
+                first = ends - lengths
+                terms = np.sort(np.repeat(np.arange(len(lengths), dtype=np.uint32) << 16, lengths) | ids)
+                df += np.bincount(terms[np.diff(terms, prepend=~terms[:1]) != 0] & 0xFFFF, minlength=enc.size)
+                least = [order[np.minimum.reduceat(rank[ids], first)] for rank, order in ranks]
+                raw = ids.tobytes()
+                sums = [zlib.crc32(raw[2 * i : 2 * j]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), packed, *map(pa.array, least), pa.array(sums, pa.int64()), pa.nulls(len(lengths), pa.binary())], schema=TOKENS_ARROW)
         if df.any():
             yield to_batch([(None, None, None, None, None, None, df.astype("<i8").tobytes())], TOKENS_ARROW)
 
