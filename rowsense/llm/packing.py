@@ -38,7 +38,7 @@ WINDOW, END, SHARD_DOCS = 2048, 1, 2048
 PIECES_HELD = 500_000
 #: Texts stand in arrays of about so many bytes, twice as many at most, where each row counts ROW_BYTES more; a longer text
 #: comes alone, and is cut at spaces.
-CHUNK_BYTES, ROW_BYTES = 4 << 20, 1 << 10
+CHUNK_BYTES, ROW_BYTES = 2 << 20, 1 << 10
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Texts with these characters or strings go through the tokenizer as a whole.
