@@ -1,8 +1,8 @@
 r"""Lexical retrieval packing: every token of every document lies in exactly one piece of one sequence.
 
 1. Texts become token ids. Documents side by side are cut into the tokenizer's pieces as one array of code points; each
-   distinct piece is looked up in a per-worker table that forgets all when it has become large; pieces it lacks are encoded
-   together. A document's ids end with the end id.
+   distinct piece is looked up in a task's table that keeps the most frequent ones when it has become large; pieces it lacks
+   are encoded together. A document's ids end with the end id. A worker holds nothing of it after its task.
 2. Documents are dealt to shards of about `shard_docs` documents by a weighted min-hash of their tokens, so texts that share
    rare tokens tend to meet. A min-hash that many documents have is split by a second one; only what is still too large for
    a shard (groups of copies) is split by a hash.
@@ -22,7 +22,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hold, to_batch, whole, written
+from .common import lean, to_batch, whole, written
 
 WINDOW, END, SHARD_DOCS = 2048, 1, 2048
-#: Pieces that a worker remembers; only those it lacks go through the tokenizer.
-PIECES_HELD = 500_000
+#: Pieces that a task remembers, and those of them that it keeps when it has more; only those it lacks go through the tokenizer.
+PIECES_HELD, PIECES_KEPT = 200_000, 100_000
 #: Texts stand in arrays of about so many bytes, twice as many at most, where each row counts ROW_BYTES more; a longer text
 #: comes alone, and is cut at spaces.
-CHUNK_BYTES, ROW_BYTES = 2 << 20, 1 << 10
+CHUNK_BYTES, ROW_BYTES = 1 << 20, 1 << 10
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Texts with these characters or strings go through the tokenizer as a whole.
@@ -107,11 +107,11 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.of_pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.of_pieces = path, Tokenizer.from_file(path)
         # Pieces are normal and cut already.
         self.of_pieces.normalizer = normalizers.Sequence([])
         self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary = self.of_pieces.get_vocab()
         self.size = max(vocabulary.values()) + 1
         if self.size > 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
@@ -119,9 +119,18 @@ class Encoder:
         for word, i in vocabulary.items():
             self.ends[i] = word.endswith("</w>")
         self.pieces, self.piece_ids = PieceTable(), Ragged()
+        # How many arrays had a piece, by its number.
+        self.met = np.zeros(0, np.int32)
         # By code point, filled as they come: its lower case, and that one's class.
         self.lower, self.kind = np.zeros(0x110000, np.uint32), np.full(0x110000, -1, np.int8)
 
+    @cached_property
+    def tokenizer(self) -> object:
+        """For odd texts, which few tasks have."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str, tokenizer: object = None) -> np.ndarray:
         return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
@@ -138,6 +147,15 @@ class Encoder:
                     one = self.ids(x, self.of_pieces)
                     self.piece_ids.add(one, np.array([len(one)]))
 
+    def forget(self, most: int) -> None:
+        """Keeps pieces that more than one array had, those of the most arrays, so many at most."""
+        kept = np.flatnonzero(self.met > 1)
+        kept = kept[np.argsort(-self.met[kept], kind="stable")[:most]]
+        pieces, ids = list(self.pieces), self.piece_ids.get(kept)
+        self.pieces, self.piece_ids, self.met = PieceTable(), Ragged(), np.ones(len(kept), np.int32)
+        self.pieces.update((pieces[i], n) for n, i in enumerate(kept.tolist()))
+        self.piece_ids.add(*ids)
+
     def classes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The code points in lower case, and their classes."""
         kind = self.kind[codes]
@@ -184,7 +202,7 @@ class Encoder:
 
     def side_by_side(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > PIECES_HELD:
-            self.pieces, self.piece_ids = PieceTable(), Ragged()
+            self.forget(PIECES_KEPT)
         odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
         bodies = texts.to_pylist()
         whole = {i: self.ids(bodies[i]) for i in odd.tolist()}
@@ -192,6 +210,8 @@ class Encoder:
         distinct = pieces.dictionary_encode()
         numbers = np.fromiter(map(self.pieces.__getitem__, distinct.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(distinct.dictionary))
         self.learn()
+        self.met = np.append(self.met, np.zeros(len(self.pieces) - len(self.met), np.int32))
+        self.met[numbers] += 1
         ids, lengths = self.piece_ids.get(numbers[distinct.indices.to_numpy()])
         ends = np.append(0, np.cumsum(lengths))[before]
         if not whole:
@@ -200,11 +220,6 @@ class Encoder:
         return np.concatenate(rows), np.array([len(x) for x in rows])
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process, which Spark uses again."""
-    return hold(f"encoder {path}", lambda: Encoder(path))
-
-
 def hashed(x: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (x.astype(np.uint64) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
@@ -242,7 +257,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, doc_id: str = "do
     """A row per document, and one per task that has only df: in how many of the task's documents each id is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = Encoder(tokenizer)
         df, ranks = np.zeros(enc.size, np.int64), (draws(enc.size), draws(enc.size, 78))
         for batch in batches:
             for part in chunks(batch, 1):
@@ -261,7 +276,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END, doc_id: str = "do
         if df.any():
             yield to_batch([(None, None, None, None, None, None, df.astype("<i8").tobytes())], TOKENS_ARROW)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("body")).mapInArrow(run, TOKENS)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("body")).mapInArrow(lean(run), TOKENS)
 
 
 def frequencies(tokens: DataFrame) -> np.ndarray:
@@ -448,7 +463,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         for at in range(0, len(lines), 2048):
             yield to_batch(lines[at : at + 2048], PACKED_ARROW)
 
-    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "checksum").mapInArrow(run, PACKED)
+    return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "checksum").mapInArrow(lean(run), PACKED)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

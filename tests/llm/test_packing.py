@@ -1,6 +1,10 @@
 """Packing's ids against the tokenizer's own, and what encoding asks of Python."""
 
+import gc
 import random
+import tracemalloc
+from itertools import islice, product
+from string import ascii_lowercase
 
 import numpy as np
 import public_tokenizers
@@ -63,6 +67,49 @@ def test_forgotten_pieces_are_learned_again(monkeypatch):
     assert len(encoder.pieces) == 3
 
 
+def test_pieces_of_many_texts_outlive_the_others(monkeypatch):
+    monkeypatch.setattr(packing, "PIECES_HELD", 4)
+    monkeypatch.setattr(packing, "PIECES_KEPT", 2)
+    encoder = packing.Encoder(TOKENIZER)
+    for texts in (["two one"], ["one three two"], ["one four five three"], ["six two one three five"]):
+        ids, lengths = encoder.encode(pa.array(texts))
+        assert ids.tolist() == own(texts)[0] and lengths.tolist() == [len(ids)]
+    assert list(encoder.pieces)[:2] == ["one", "two"] and "four" not in encoder.pieces
+
+
+def test_memory_does_not_grow_with_distinct_words():
+    """600,000 words one after another: the table and the arrays stay under 48 MB."""
+    words = ("".join(w) for w in product(ascii_lowercase, repeat=5))
+    encoder = packing.Encoder(TOKENIZER)
+    tracemalloc.start()
+    try:
+        for _ in range(20):
+            encoder.encode(pa.array([" ".join(islice(words, 30_000))]))
+        assert tracemalloc.get_traced_memory()[1] < 48 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_no_encoder_after_its_task(spark):
+    docs = spark.createDataFrame([(i, "some words") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert packing.tokenized(docs, TOKENIZER).filter("df is null").count() == 40
+
+    def held(batches):
+        for batch in batches:
+            n = sum(isinstance(x, packing.Encoder) for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert {r["n"] for r in docs.select("doc_id").mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_the_whole_tokenizer_is_loaded_for_odd_texts_alone():
+    encoder = packing.Encoder(TOKENIZER)
+    encoder.encode(pa.array(["some words"]))
+    assert "tokenizer" not in vars(encoder)
+    ids, _ = encoder.encode(pa.array(["a <|endoftext|> b"]))
+    assert ids.tolist() == own(["a <|endoftext|> b"])[0]
+
+
 def test_chunks_are_bounded_by_bytes_and_rows():
     sizes = [10, 10, packing.CHUNK_BYTES * 3, 10, *([0] * 10_000), packing.CHUNK_BYTES // 2]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array(["x" * n for n in sizes])], names=["doc_id", "text"])
