@@ -3,7 +3,8 @@
 Each reviewed row is skipped, refused with a reason, or written, by the first rule that holds: joins bring in the entry that a
 row names, how often its id stands in the packet and in the corpus, and its spans of its file; the rules are one ordered
 decision. A file's text never travels with a row: its entries' spans are cut from it once, and its edits applied in one pass.
-Names that more than one id would have are refused last, over accepted and existing names. Edits are spans of a file: they
+Names that more than one id would have are refused last, over accepted and existing names: by counting a name's ids; only messages name them
+all, so a plan's text grows with the square of a name's ids, and its rows alone (judge_import) don't. Edits are spans of a file: they
 must not overlap and must find what they expect; they are applied from the end.
 
 Defined results: a null or blank new text is skipped; rows are told apart by their place; spans count code points from 0, ends
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from . import invariants, wellformed
 
 EDIT = "struct<start:int,end:int,expected:string,replacement:string,id:string>"
+SAID = "array<struct<check:string,message:string>>"
+#: Ids of a name whose messages a task makes, about: a message names all others.
+PART = 1024
 
 
 def blank(text: Column) -> Column:
@@ -58,6 +62,12 @@ def spans_of(entries: DataFrame, files: DataFrame) -> DataFrame:
     return of_file.join(files.filter("content IS NOT NULL").select("file", "content"), "file").mapInArrow(run, ddl)
 
 
+def judge_import(rows: DataFrame, entries: DataFrame, files: DataFrame, packets: dict[str, bool], vocabulary: tuple[str, ...] = invariants.UNITS) -> DataFrame:
+    """place, id, packet, status, checks (what is wrong, without messages), and the file and edit of a written row, of tables as plan_import
+    reads them. A row's size doesn't grow with how many ids share its name."""
+    return _judged(rows, entries, files, packets, vocabulary)[0].select("place", "id", "packet", "status", "checks", "file", "edit")
+
+
 def plan_import(rows: DataFrame, entries: DataFrame, files: DataFrame, packets: dict[str, bool], vocabulary: tuple[str, ...] = invariants.UNITS) -> DataFrame:
     """place, id, packet, status, diagnostics (array of check and message), and the edit of a written row.
 
@@ -65,6 +75,23 @@ def plan_import(rows: DataFrame, entries: DataFrame, files: DataFrame, packets:
     entries: id, file, start, end (the entry's span), source_hash, field, key, zh, en, extra, current (the text that the edit replaces,
     with its span current_start, current_end), replaceable (whether that is a fallback), wrap (a format for the new text), zh_literal,
     zh_holders, excluded, existing (a curated name, or null); files: file, content. packets: kind to whether its rows are names."""
+    judged, names, both = _judged(rows, entries, files, packets, vocabulary)
+    ids = names.groupBy(F.col("name").alias("_name")).agg(F.sort_array(F.collect_list("id")).alias("_ids"))
+    # Rows meet the ids of their names last, so that no message is shuffled; a name of many ids is dealt to many tasks.
+    parts = lambda shared: F.ceil(F.array_max(F.transform(shared, lambda x: x["n"])) / PART)
+    alike = both.select(F.col("_shared").alias("_of")).distinct().withColumn("_each", F.explode("_of"))
+    others = alike.join(ids, F.col("_each.name") == F.col("_name")).groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("_name", "_ids"))).alias("_with"))
+    others = others.withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), parts(F.col("_of")) - 1)))
+    at = F.when(F.col("_shared").isNull(), F.xxhash64("place")).otherwise(F.pmod(F.xxhash64("id"), parts(F.col("_shared"))))
+    out = judged.withColumn("_part", at).join(others, (F.col("_shared") == F.col("_of")) & (F.col("_part") == F.col("_to")), "left")
+    message = lambda x: F.concat(F.lit("Tibetan reference name collides with "), F.array_join(F.array_remove(x["_ids"], F.col("id")), ", "), F.lit("."))
+    clash = F.transform("_with", lambda x: F.struct(F.lit("B12").alias("check"), message(x).alias("message")))
+    return out.select("place", "id", "packet", "status", F.coalesce("_said", clash, F.array().cast(SAID)).alias("diagnostics"), "file", "edit")
+
+
+def _judged(rows: DataFrame, entries: DataFrame, files: DataFrame, packets: dict[str, bool], vocabulary: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their status, checks and edit, what is said of a row but for its names (_said), and its names that others have too, with the
+    number of their ids (_shared); the id and name of all that share a name; and such names by id."""
     full = rows.withColumn("_full", ~blank(F.col("bo")))
     of_id = full.filter("_full").groupBy("id").agg(F.count(F.lit(1)).alias("_times"))
     one = entries.groupBy("id").agg(F.count(F.lit(1)).alias("_matches"), F.any_value(F.struct(*(c for c in entries.columns if c != "id"))).alias("e"))
@@ -81,7 +108,7 @@ def plan_import(rows: DataFrame, entries: DataFrame, files: DataFrame, packets:
     holders = invariants.found(F.coalesce("bo", F.lit("")), r"(\{[^{}]*\})")
     literal = F.regexp_replace(F.coalesce("bo", F.lit("")), r"\{[^{}]*\}", "")
     wrong = invariants.template_diagnostics(e("zh_literal"), literal, e("zh_holders"), holders, vocabulary)
-    seconds = F.when(F.coalesce(e("zh_literal").contains("秒"), F.lit(False)), F.array(F.struct(F.lit("DECISION").alias("check"), F.lit("Resolve what seconds are called before importing this row.").alias("message")))).otherwise(F.array().cast("array<struct<check:string,message:string>>"))
+    seconds = F.when(F.coalesce(e("zh_literal").contains("秒"), F.lit(False)), F.array(F.struct(F.lit("DECISION").alias("check"), F.lit("Resolve what seconds are called before importing this row.").alias("message")))).otherwise(F.array().cast(SAID))
     no = lambda c: F.coalesce(c, F.lit(False))
     say = lambda check, *message: F.array(F.struct(F.lit(check).alias("check"), F.concat(*(m if isinstance(m, Column) else F.lit(m) for m in message)).alias("message")))
     refusal = (
@@ -102,17 +129,18 @@ def plan_import(rows: DataFrame, entries: DataFrame, files: DataFrame, packets:
     )
     edit = F.struct(e("current_start").alias("start"), e("current_end").alias("end"), e("current").alias("expected"), F.replace(e("wrap"), F.lit("{}"), F.to_json(F.struct(F.col("bo").alias("b"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("bo").alias("b")))) - 6)).alias("replacement"), F.col("id").alias("id")).cast(EDIT)
     judged = met.select("place", "id", "packet", "_full", refusal.alias("_refusal"), e("file").alias("file"), edit.alias("_edit"), F.when(no(is_name), literal).alias("_name"))
-    # Names of accepted rows and existing ones: those that two ids have are refused.
+    # Names of accepted rows and existing ones: those that two ids have are refused. An accepted id has two at most, a new and an existing one.
     accepted = judged.filter("_full AND _refusal IS NULL AND _name IS NOT NULL").select("id", F.col("_name").alias("name"))
-    names = accepted.unionByName(entries.filter("field = 'name' AND existing IS NOT NULL").select("id", F.col("existing").alias("name"))).distinct()
-    shared = names.groupBy("name").agg(F.sort_array(F.collect_list("id")).alias("ids")).filter("size(ids) > 1")
-    clashing = shared.select(F.explode("ids").alias("_clash"), "ids").select("_clash", F.concat(F.lit("Tibetan reference name collides with "), F.array_join(F.array_remove("ids", F.col("_clash")), ", "), F.lit(".")).alias("_with"))
-    out = judged.join(clashing, (F.col("id") == F.col("_clash")) & F.col("_name").isNotNull() & F.col("_refusal").isNull(), "left")
-    status = F.when(~F.col("_full"), "skipped").when(F.col("_refusal").isNotNull() | F.col("_with").isNotNull(), "refused").otherwise("written")
-    none = F.array().cast("array<struct<check:string,message:string>>")
-    why = F.when(~F.col("_full"), none).when(F.col("_refusal").isNotNull(), F.col("_refusal")).when(F.col("_with").isNotNull(), say("B12", F.col("_with"))).otherwise(none)
-    written = status == "written"
-    return out.select("place", "id", "packet", status.alias("status"), why.cast("array<struct<check:string,message:string>>").alias("diagnostics"), F.when(written, F.col("file")).alias("file"), F.when(written, F.col("_edit")).alias("edit"))
+    names = accepted.unionByName(entries.filter("field = 'name' AND existing IS NOT NULL").select("id", F.col("existing").alias("name"))).filter("id IS NOT NULL").distinct()
+    many = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    names = names.join(many, "name")
+    both = names.groupBy(F.col("id").alias("_clash")).agg(F.min(F.struct("name", "n")).alias("_least"), F.max(F.struct("name", "n")).alias("_most")).select("_clash", F.array_distinct(F.array("_least", "_most")).alias("_shared"))
+    out = judged.join(both, (F.col("id") == F.col("_clash")) & F.col("_name").isNotNull() & F.col("_refusal").isNull() & F.col("_full"), "left")
+    status = F.when(~F.col("_full"), "skipped").when(F.col("_refusal").isNotNull() | F.col("_shared").isNotNull(), "refused").otherwise("written")
+    said = F.when(~F.col("_full"), F.array().cast(SAID)).otherwise(F.col("_refusal").cast(SAID))
+    checks = F.coalesce(F.transform("_said", lambda x: x["check"]), F.transform("_shared", lambda _: F.lit("B12")), F.array().cast("array<string>"))
+    written = F.col("status") == "written"
+    return out.withColumn("status", status).withColumn("_said", said).select("place", "id", "packet", "status", checks.alias("checks"), F.when(written, F.col("file")).alias("file"), F.when(written, F.col("_edit")).alias("edit"), "_said", "_shared"), names, both
 
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:

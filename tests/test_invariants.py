@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from rowsense.operators import invariants, text_import
+from rowsense.plans import safety_queries
 
 
 def plain(zh, bo):
@@ -111,6 +112,29 @@ def test_names_that_two_ids_would_have(spark):
     assert imports(spark, [name], {2: [(18, "ཀ་ 0")]})[0] == [("written", [])]
 
 
+def test_a_row_with_two_names_that_others_have_is_one_row(spark):
+    changes = {0: [(18, "ཁ་")], 1: [(5, "name"), (18, "ཀ་ 0")], 2: [(5, "name"), (18, "ཁ་")]}
+    assert imports(spark, [("names", "e0", None, "甲 0", "ཀ་ 0")], changes)[0] == [("refused", ["B12", "B12"])]
+
+
+def test_what_is_moved_does_not_grow_with_the_ids_of_a_name(spark):
+    """Judged rows are as long for many ids of a name as for few; a plan's messages name all others; the query makes none."""
+    files = spark.createDataFrame([("f", NODE)], "file string, content string")
+
+    def tables(n):
+        both = ["concat('e', id) AS id", "node AS source_hash", "'k' AS key", "'甲' AS zh", "'x' AS en", "map('screen', 's') AS extra"]
+        ids = spark.range(n).withColumn("node", F.sha2(F.lit(NODE), 256))
+        entry = ["'f' AS file", "0 AS start", f"{len(NODE)} AS end", "'name' AS field", "\"fallback('zh')\" AS current", "16 AS current_start", "30 AS current_end", "true AS replaceable", "'reviewed({})' AS wrap", "'甲' AS zh_literal", "CAST(array() AS array<string>) AS zh_holders", "false AS excluded", "CAST(null AS string) AS existing"]
+        return ids.selectExpr("id AS place", "'names' AS packet", *both, "'ཀ་' AS bo"), ids.selectExpr(*both, *entry), files, {"names": True, "floor": False}
+
+    few, many = (text_import.judge_import(*tables(n)).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.concat("status", F.array_join("checks", ","))).alias("said"), F.max(F.length(F.to_json(F.struct("*")))).alias("long")).first() for n in (2, 2500))
+    assert few["said"] == many["said"] == ["refusedB12"] and (few["n"], many["n"]) == (2, 2500) and many["long"] <= few["long"] + 2 * len("2500")
+    told = text_import.plan_import(*tables(2500)).select("id", F.size("diagnostics").alias("n"), F.regexp_extract(F.col("diagnostics")[0]["message"], r"\ATibetan reference name collides with (.*)\.\z", 1).alias("ids"))
+    each = told.select("id", "n", F.array_distinct(F.split("ids", ", ")).alias("ids")).agg(F.count(F.lit(1)), F.count_if((F.col("n") == 1) & (F.size("ids") == 2499) & ~F.array_contains("ids", F.col("id"))), F.count_if(F.array_sort("ids") == F.col("ids"))).first()
+    assert tuple(each) == (2500, 2500, 2500)
+    assert "array_remove" not in safety_queries.import_plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_edits_must_find_what_they_expect(spark):
     files = spark.createDataFrame([("a", "0123456789"), ("b", "0123456789"), ("c", "0123456789")], "file string, content string")
     edits = [("a", (2, 4, "23", "XY", "i")), ("a", (0, 1, "0", "zz", "j")), ("b", (2, 4, "99", "", "k")), ("c", (1, 4, "123", "", "l")), ("c", (3, 5, "34", "", "m")), ("d", (0, 1, "x", "", "n"))]
