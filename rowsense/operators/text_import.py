@@ -132,8 +132,7 @@ def _judged(rows: DataFrame, entries: DataFrame, files: DataFrame, packets: dict
     # Names of accepted rows and existing ones: those that two ids have are refused. An accepted id has two at most, a new and an existing one.
     accepted = judged.filter("_full AND _refusal IS NULL AND _name IS NOT NULL").select("id", F.col("_name").alias("name"))
     names = accepted.unionByName(entries.filter("field = 'name' AND existing IS NOT NULL").select("id", F.col("existing").alias("name"))).filter("id IS NOT NULL").distinct()
-    many = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    names = names.join(many, "name")
+    names = names.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("name"))).filter("n > 1")
     both = names.groupBy(F.col("id").alias("_clash")).agg(F.min(F.struct("name", "n")).alias("_least"), F.max(F.struct("name", "n")).alias("_most")).select("_clash", F.array_distinct(F.array("_least", "_most")).alias("_shared"))
     out = judged.join(both, (F.col("id") == F.col("_clash")) & F.col("_name").isNotNull() & F.col("_refusal").isNull() & F.col("_full"), "left")
     status = F.when(~F.col("_full"), "skipped").when(F.col("_refusal").isNotNull() | F.col("_shared").isNotNull(), "refused").otherwise("written")
